@@ -75,7 +75,7 @@ _DEPS = {
 }
 
 
-def with_views(*names: str) -> str:
+def with_views(*names: str, recursive: bool = False) -> str:
     """``WITH v1 AS (...), v2 AS (...)`` for the named views (+ dependencies)."""
     order: list[str] = []
 
@@ -87,4 +87,5 @@ def with_views(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "with " + ",\n".join(f"{n} as ({FIXTURE_SQL[n]})" for n in order) + "\n"
+    head = "with recursive " if recursive else "with "
+    return head + ",\n".join(f"{n} as ({FIXTURE_SQL[n]})" for n in order) + "\n"
