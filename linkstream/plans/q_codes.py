@@ -42,12 +42,12 @@ def _sql_feistel(src: str, prefix: str, inverse: bool = False) -> str:
 
 
 def _sql_b62(x: str) -> str:
-    return (f"array_to_string(list_transform([{_POWERS}], p -> substr('{BASE62_ALPHABET}', "
+    return (f"array_to_string(list_transform([{_POWERS}], lambda p: substr('{BASE62_ALPHABET}', "
             f"cast((({x}) // p) % 62 as int) + 1, 1)), '')")
 
 
 def _sql_b62_decode(c: str) -> str:
-    return (f"cast(list_sum(list_transform(range(11), i -> cast(instr('{BASE62_ALPHABET}', substr({c}, i + 1, 1)) - 1 as hugeint)"
+    return (f"cast(list_sum(list_transform(range(11), lambda i: cast(instr('{BASE62_ALPHABET}', substr({c}, i + 1, 1)) - 1 as hugeint)"
             f" * [{_POWERS}][i + 1])) % 18446744073709551616 as ubigint)")
 
 
