@@ -65,13 +65,13 @@ select page_id as request_id,
   case when page_id % 4 = 0 then null else concat('user', cast(page_id % 20 as varchar(20))) end as user_id
 from pages""",
     "created_events": """
-select id as key, id as value, created_at as timestamp from url_mappings""",
+select lpad(cast(page_id as varchar(20)),11,'0') as key, lpad(cast(page_id as varchar(20)),11,'0') as value,
+  timestamp '2024-01-01 00:00:00' + interval '1' minute * page_id as timestamp from pages""",
 }
 
 _DEPS = {
     "click_json": ["clicks"],
     "cache_entries": ["url_mappings"],
-    "created_events": ["url_mappings"],
 }
 
 

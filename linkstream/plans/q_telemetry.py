@@ -1 +1,108 @@
-"""Registered queries."""
+"""Registered queries: telemetry."""
+
+from __future__ import annotations
+
+from linkstream.operators import telemetry as TM
+from linkstream.plans.oracle_fixtures import with_views as V
+from linkstream.plans.registry import query
+from linkstream.sources import fixtures as FX
+from linkstream.sources.tables import Tables
+
+
+@query("table_counts", "A16", V("spans", "metric_points", "app_logs") + """
+select 'spans' as table_name, count(*) as rows from spans
+union all select 'metrics', count(*) from metric_points
+union all select 'logs', count(*) from app_logs""")
+def q_table_counts(spark, sf):
+    t = Tables(spark, sf)
+    return TM.table_counts({"spans": FX.spans(t), "metrics": FX.metric_points(t), "logs": FX.app_logs(t)})
+
+
+@query("error_count_by_service", "A6", V("app_logs") + """
+select service_name, count(*) as errors from app_logs
+where level = 'ERROR' and timestamp >= timestamp '2024-01-30 23:59:59' - interval 1 hour group by service_name""")
+def q_errors_hour(spark, sf):
+    return TM.error_count_by_service(FX.app_logs(Tables(spark, sf)), FX.NOW, "1 HOUR")
+
+
+@query("error_count_by_service_day", "A6", V("app_logs") + """
+select service_name, count(*) as errors from app_logs
+where level = 'ERROR' and timestamp >= timestamp '2024-01-30 23:59:59' - interval 1 day group by service_name""")
+def q_errors_day(spark, sf):
+    return TM.error_count_by_service(FX.app_logs(Tables(spark, sf)), FX.NOW, "1 DAY")
+
+
+@query("metric_sum", "A10", V("metric_points") + """
+select service, method, status_code, count(*) as value, round(sum(duration), 6) as duration_sum
+from metric_points where name = 'http_requests_total' group by all""")
+def q_metric_sum(spark, sf):
+    return TM.metric_sum(FX.metric_points(Tables(spark, sf)), "http_requests_total",
+                         ["service", "method", "status_code"])
+
+
+@query("metric_sum_hourly", "A10", V("metric_points") + """
+select date_trunc('hour', ts) as bucket, service, count(*) as value, round(sum(duration), 6) as duration_sum
+from metric_points where name = 'http_requests_total' group by all""")
+def q_metric_sum_hourly(spark, sf):
+    return TM.metric_sum(FX.metric_points(Tables(spark, sf)), "http_requests_total", ["service"], bucket="hour")
+
+
+_EDGES = ", ".join(f"({e}::double)" for e in TM.DEFAULT_EDGES)
+
+
+@query("latency_histogram", "A12", V("metric_points") + f"""
+select p.method, p.status_code, count(*) as count, round(sum(p.duration), 6) as sum, e.le,
+  cast(sum(case when p.duration <= e.le then 1 else 0 end) as bigint) as bucket_count
+from metric_points p cross join (values {_EDGES}) e(le) group by p.method, p.status_code, e.le""")
+def q_latency_histogram(spark, sf):
+    return TM.latency_histogram(FX.metric_points(Tables(spark, sf)), ["method", "status_code"])
+
+
+@query("service_red", "A13", V("metric_points") + """
+select service, date_trunc('day', ts) as bucket, count(*) as requests,
+  round(count(*) / 86400.0, 9) as rate_per_s,
+  round(avg(case when status_code >= 500 then 1.0 else 0.0 end), 9) as error_rate,
+  round(quantile_cont(duration, 0.5), 9) as p50, round(quantile_cont(duration, 0.9), 9) as p90,
+  round(quantile_cont(duration, 0.99), 9) as p99
+from metric_points group by all""")
+def q_service_red(spark, sf):
+    return TM.service_red(FX.metric_points(Tables(spark, sf)), "day")
+
+
+_TRACE = """trace as (select trace_id, count(*) as n_spans, min(start_ts) as trace_start, max(duration_ms) as longest_ms,
+  min(case when parent_span_id is null then service end) as root_service from spans group by trace_id)"""
+
+
+@query("logs_for_trace", "J7", V("app_logs", "spans") + ", " + _TRACE + """
+select l.trace_id, l.timestamp, l.service_name, l.level, l.attr_k, t.n_spans, t.trace_start, t.longest_ms,
+  t.root_service from app_logs l left join trace t on t.trace_id = l.trace_id""")
+def q_logs_for_trace(spark, sf):
+    from pyspark.sql import functions as F
+    t = Tables(spark, sf)
+    logs = FX.app_logs(t).withColumn("attr_k", F.col("attributes")["k"]).drop("attributes")
+    return TM.logs_for_trace(logs, FX.spans(t))
+
+
+@query("trace_waterfall", "W6", V("spans") + ", " + _TRACE + """
+select s.trace_id, s.span_id, s.parent_span_id, s.service, s.start_ts, s.duration_ms,
+  cast((epoch_us(s.start_ts) - epoch_us(t.trace_start)) / 1000 as bigint) as offset_ms,
+  s.duration_ms = t.longest_ms as is_longest
+from spans s join trace t on t.trace_id = s.trace_id""")
+def q_trace_waterfall(spark, sf):
+    return TM.trace_waterfall(FX.spans(Tables(spark, sf)))
+
+
+@query("service_map", "J8", V("spans") + """
+select p.service as caller, c.service as callee, count(*) as calls, round(avg(c.duration_ms), 6) as avg_ms,
+  max(c.duration_ms) as max_ms
+from spans c join spans p on p.trace_id = c.trace_id and p.span_id = c.parent_span_id group by all""")
+def q_service_map(spark, sf):
+    return TM.service_map(FX.spans(Tables(spark, sf)))
+
+
+@query("service_map_hourly", "J8", V("spans") + """
+select date_trunc('hour', c.start_ts) as bucket, p.service as caller, c.service as callee, count(*) as calls,
+  round(avg(c.duration_ms), 6) as avg_ms, max(c.duration_ms) as max_ms
+from spans c join spans p on p.trace_id = c.trace_id and p.span_id = c.parent_span_id group by all""")
+def q_service_map_hourly(spark, sf):
+    return TM.service_map(FX.spans(Tables(spark, sf)), bucket="hour")

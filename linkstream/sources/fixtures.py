@@ -157,11 +157,10 @@ def shorten_requests(t: Tables) -> DataFrame:
 
 
 def created_events(t: Tables) -> DataFrame:
-    """Created-code stream rows (key = value = code) with their time."""
-    m = url_mappings(t)
-    return m.select(F.col("id").alias("key"), F.col("id").alias("value"),
-                    F.col("created_at").alias("timestamp"))
-
-
-def publish_json_stamp(col) -> Column:
-    return to_rfc3339(col)
+    """Created-code stream rows (key = value = code) with their time: one per
+    link ever created, including links deleted later."""
+    p = t("pages")
+    code = code_of("page_id")
+    return p.select(code.alias("key"), code.alias("value"),
+                    (F.to_timestamp(F.lit(BASE_TS)) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("page_id").cast("int")))
+                    .alias("timestamp"))
