@@ -145,7 +145,7 @@ def time_to_first_click(created: DataFrame, clicks: DataFrame, within: str = "30
                  & (F.col("event_time") <= F.col("created_at") + F.expr(f"INTERVAL {within}"))))
     first = j.groupBy(code, "created_at").agg(F.min("event_time").alias("first_click"))
     return first.withColumn("seconds_to_first_click",
-                            ((F.unix_micros("first_click") - F.unix_micros("created_at")) / 1_000_000).cast("bigint"))
+                            F.floor((F.unix_micros("first_click") - F.unix_micros("created_at")) / 1_000_000).cast("bigint"))
 
 
 def totals_before(rollup: DataFrame, now: str) -> DataFrame:

@@ -107,7 +107,7 @@ def trace_waterfall(spans: DataFrame) -> DataFrame:
     j = spans.join(s, "trace_id")
     offset_ms = (F.unix_micros("start_ts") - F.unix_micros("trace_start")) / F.lit(1000)
     return j.select("trace_id", "span_id", "parent_span_id", "service", "start_ts", "duration_ms",
-                    offset_ms.cast("bigint").alias("offset_ms"),
+                    F.floor(offset_ms).cast("bigint").alias("offset_ms"),
                     (F.col("duration_ms") == F.col("longest_ms")).alias("is_longest"))
 
 

@@ -122,7 +122,7 @@ def q_funnel(spark, sf):
 
 @query("time_to_first_click", "J9", V("created_events", "clicks") + """
 select c.key as short_code, c.timestamp as created_at, min(k.event_time) as first_click,
-  cast((epoch_us(min(k.event_time)) - epoch_us(c.timestamp)) / 1000000 as bigint) as seconds_to_first_click
+  (epoch_us(min(k.event_time)) - epoch_us(c.timestamp)) // 1000000 as seconds_to_first_click
 from created_events c join clicks k on k.short_code = c.key
  and k.event_time >= c.timestamp and k.event_time <= c.timestamp + interval 30 day
 group by c.key, c.timestamp""")

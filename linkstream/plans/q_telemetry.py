@@ -85,7 +85,7 @@ def q_logs_for_trace(spark, sf):
 
 @query("trace_waterfall", "W6", V("spans") + ", " + _TRACE + """
 select s.trace_id, s.span_id, s.parent_span_id, s.service, s.start_ts, s.duration_ms,
-  cast((epoch_us(s.start_ts) - epoch_us(t.trace_start)) / 1000 as bigint) as offset_ms,
+  (epoch_us(s.start_ts) - epoch_us(t.trace_start)) // 1000 as offset_ms,
   s.duration_ms = t.longest_ms as is_longest
 from spans s join trace t on t.trace_id = s.trace_id""")
 def q_trace_waterfall(spark, sf):
