@@ -19,7 +19,8 @@ from linkstream.constants import TOP_LINKS_N
 from linkstream.operators.rollup import clicks_by_code
 from linkstream.plans.joins import bounded_broadcast
 
-_ORDER = [F.col("total_clicks").desc(), F.col("short_code").asc()]
+def _order():
+    return [F.col("total_clicks").desc(), F.col("short_code").asc()]
 
 
 def _live_links(links: DataFrame) -> DataFrame:
@@ -31,12 +32,12 @@ def _live_links(links: DataFrame) -> DataFrame:
 def _with_rank(df: DataFrame) -> DataFrame:
     # Applied only to <= n rows (after a LIMIT), so the un-partitioned window
     # runs on a bounded single partition.
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*_ORDER)))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
 
 
 def top_links(rollup: DataFrame, n: int = TOP_LINKS_N) -> DataFrame:
     """Codes by merged clicks, descending; ties broken by code ascending."""
-    return _with_rank(clicks_by_code(rollup).orderBy(*_ORDER).limit(n))
+    return _with_rank(clicks_by_code(rollup).orderBy(*_order()).limit(n))
 
 
 def top_links_enriched(rollup: DataFrame, links: DataFrame, n: int = TOP_LINKS_N,
@@ -50,12 +51,12 @@ def top_links_enriched(rollup: DataFrame, links: DataFrame, n: int = TOP_LINKS_N
     """
     live = _live_links(links)
     if drop_deleted == "after_limit":
-        top = bounded_broadcast(clicks_by_code(rollup).orderBy(*_ORDER).limit(n), n)
+        top = bounded_broadcast(clicks_by_code(rollup).orderBy(*_order()).limit(n), n)
         joined = top.join(live, top["short_code"] == live["id"], "inner")
     elif drop_deleted == "before_limit":
         totals = clicks_by_code(rollup)
         joined = (totals.join(live, totals["short_code"] == live["id"], "inner")
-                        .orderBy(*_ORDER).limit(n))
+                        .orderBy(*_order()).limit(n))
     else:
         raise ValueError(f"drop_deleted must be after_limit or before_limit, not {drop_deleted!r}")
     return _with_rank(joined.select("short_code", "long_url", "total_clicks"))
@@ -67,7 +68,7 @@ def top_links_page(rollup: DataFrame, links: DataFrame, page: int = 1,
     if page < 1 or limit < 1:
         raise ValueError("page and limit must be >= 1")
     offset = (page - 1) * limit
-    ranked = clicks_by_code(rollup).orderBy(*_ORDER).offset(offset).limit(limit)
+    ranked = clicks_by_code(rollup).orderBy(*_order()).offset(offset).limit(limit)
     # <= limit rows: the un-partitioned count is a bounded single partition.
     ranked = ranked.withColumn(
         "has_next", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) == F.lit(limit))
@@ -75,7 +76,7 @@ def top_links_page(rollup: DataFrame, links: DataFrame, page: int = 1,
     live = _live_links(links)
     page_rows = top.join(live, top["short_code"] == live["id"], "inner")
     return (page_rows.select("short_code", "long_url", "total_clicks", "has_next")
-                     .withColumn("rank", F.row_number().over(Window.orderBy(*_ORDER)) + F.lit(offset)))
+                     .withColumn("rank", F.row_number().over(Window.orderBy(*_order())) + F.lit(offset)))
 
 
 def orphan_clicks(rollup: DataFrame, links: DataFrame) -> DataFrame:
