@@ -49,3 +49,9 @@ def display_date(col) -> Column:
 def display_count(col) -> Column:
     """Integer with thousands separators."""
     return F.format_number(_c(col), 0)
+
+
+def valid_enum(col, allowed) -> Column:
+    """Value in the allowed list (NULL is not allowed)."""
+    c = _c(col)
+    return c.isNotNull() & c.isin(list(allowed))

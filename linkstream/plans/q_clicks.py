@@ -110,3 +110,11 @@ def q_dedup_created(spark, sf):
     t = Tables(spark, sf)
     pub = C.publish_created(FX.url_mappings(t))
     return C.dedup_created(pub.unionByName(pub))  # two change-feed replicas emit each record
+
+
+@query("valid_event_types", "H18", """
+select event_id, event_type, event_type in ('view', 'click', 'purchase') as valid from events""")
+def q_valid_enum(spark, sf):
+    from linkstream.functions.text import valid_enum
+    e = Tables(spark, sf)("events")
+    return e.select("event_id", "event_type", valid_enum("event_type", ["view", "click", "purchase"]).alias("valid"))

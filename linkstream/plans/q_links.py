@@ -188,3 +188,42 @@ def q_apply_retention(spark, sf):
 select * from url_mappings where created_at + interval 2 hours > timestamp '2024-01-01 02:30:00'""")
 def q_expire_links(spark, sf):
     return L.expire_links(FX.url_mappings(Tables(spark, sf)), "2024-01-01 02:30:00", "2 HOURS")
+
+
+# Owner edits derived from pages: every page's owner asks to change or remove
+# its link; anonymous and deleted links must refuse.
+_EDIT_SQL = V("url_mappings") + """,
+edits as (select lpad(cast(page_id as varchar(20)), 11, '0') as id, url || '?v=2' as long_url,
+  'user' || cast(page_id % 20 as varchar) as user_id,
+  timestamp '2024-01-01 00:00:00' + interval '1' minute * page_id + interval 1 day as commit_ts,
+  page_id as seq from pages)
+"""
+
+
+def _edits(t, which):
+    from linkstream.sources.fixtures import BASE_TS, code_of
+    p = t("pages")
+    if which == "delete":
+        p = p.where(F.col("page_id") % 2 == 0)
+    ts = (F.to_timestamp(F.lit(BASE_TS)) + F.make_dt_interval(F.lit(1), F.lit(0), F.col("page_id").cast("int")))
+    return p.select(code_of("page_id").alias("id"), F.concat("url", F.lit("?v=2")).alias("long_url"),
+                    F.concat(F.lit("user"), (F.col("page_id") % 20).cast("string")).alias("user_id"),
+                    ts.alias("commit_ts"), F.col("page_id").alias("seq"))
+
+
+@query("update_links", "M2", _EDIT_SQL + """
+select m.id, case when m.user_id is not null and m.user_id = e.user_id then e.long_url else m.long_url end as long_url,
+  m.user_id, m.created_at from url_mappings m left join edits e on e.id = m.id""")
+def q_update_links(spark, sf):
+    t = Tables(spark, sf)
+    final, _, _ = L.update_links(FX.url_mappings(t), _edits(t, "update"))
+    return final
+
+
+@query("delete_links", "M3", _EDIT_SQL + """
+select m.* from url_mappings m where not exists (select 1 from edits e where e.id = m.id and e.seq % 2 = 0
+  and m.user_id is not null and m.user_id = e.user_id)""")
+def q_delete_links(spark, sf):
+    t = Tables(spark, sf)
+    final, _, _ = L.delete_links(FX.url_mappings(t), _edits(t, "delete"))
+    return final

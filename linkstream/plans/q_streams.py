@@ -93,3 +93,81 @@ def q_change_feed(spark, sf):
     _, applied, _ = L.apply_mutations(None, FX.link_mutations(Tables(spark, sf)))
     created, _ = IN.links_change_feed(applied)
     return created
+
+
+@query("stream_clicks_sink", "S6", _PARSED + "select event_time, short_code, country_code from p where ok")
+def q_stream_sink(spark, sf):
+    from linkstream.operators.clicks import parse_clicks
+    from linkstream.sources.sinks import write_clicks_jdbc
+    src = _message_files(spark, FX.click_json(Tables(spark, sf)), "sink-msgs")
+    out = scratch_path(spark, "click-sink")
+    cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": 2}
+    clicks, _ = parse_clicks(read_clicks_stream(spark, cfg))
+    q = (clicks.writeStream.foreachBatch(write_clicks_jdbc({"path": out}))
+               .option("checkpointLocation", scratch_path(spark, "sink-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_time", "short_code", "country_code")
+
+
+@query("stream_created_per_hour", "S3, A15", V("created_events") + """
+select date_trunc('hour', timestamp) as hour, count(*) as created from created_events group by all""")
+def q_stream_created(spark, sf):
+    from linkstream.operators.clicks import dedup_created
+    from linkstream.operators.rollup import created_per_hour
+    from linkstream.sources.streams import read_created_stream
+    created = FX.created_events(Tables(spark, sf))
+    src = _message_files(spark, created.unionByName(created), "created-msgs")  # two feed replicas
+    stream = read_created_stream(spark, {"format": "json", "path": src,
+                                         "schema": "key string, value string, timestamp timestamp"})
+    out = scratch_path(spark, "created-sink")
+    deduped = stream.withWatermark("timestamp", "1 day").dropDuplicatesWithinWatermark(["key", "value"])
+    q = (deduped.writeStream.format("parquet").option("path", out)
+                .option("checkpointLocation", scratch_path(spark, "created-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return created_per_hour(dedup_created(spark.read.parquet(out)))
+
+
+@query("read_telemetry_counts", "S9, A16", V("spans", "metric_points", "app_logs") + """
+select 'spans' as table_name, count(*) as rows from spans
+union all select 'metrics', count(*) from metric_points
+union all select 'logs', count(*) from app_logs""")
+def q_read_telemetry(spark, sf):
+    from linkstream.operators.telemetry import read_telemetry, table_counts
+    t = Tables(spark, sf)
+    base = scratch_path(spark, "telemetry")
+    for kind, df in (("spans", FX.spans(t)), ("metrics", FX.metric_points(t)), ("logs", FX.app_logs(t))):
+        df.write.mode("overwrite").parquet(f"{base}/{kind}")
+    return table_counts({k: read_telemetry(spark, base, k) for k in ("spans", "metrics", "logs")})
+
+
+@query("stream_sessions", "R4", None)
+def q_stream_sessions(spark, sf):
+    ev = FX.user_events(Tables(spark, sf))
+    src = _message_files(spark, ev, "session-rows", fmt="parquet")
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    sess = AL.stream_sessions(stream, "user_id", "30 minutes", ts="timestamp")
+    out = scratch_path(spark, "sessions")
+    q = (sess.writeStream.format("parquet").option("path", out).outputMode("append")
+             .option("checkpointLocation", scratch_path(spark, "sessions-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("stream_top_links", "R12, J1", _PARSED + """,
+hourly as (select date_trunc('hour', event_time) as hour, short_code, country_code, count(*) as total_clicks
+           from p where ok group by all),
+totals as (select short_code, cast(sum(total_clicks) as bigint) as total_clicks from hourly group by short_code),
+m as (""" + """select lpad(cast(page_id as varchar(20)),11,'0') as id, url as long_url from pages where page_id % 7 <> 3),
+top as (select * from totals order by total_clicks desc, short_code limit 10),
+e as (select t.short_code, l.long_url, t.total_clicks from top t join m l on t.short_code = l.id)
+select '{"top_links":[' || coalesce(string_agg(json_object('short_code', short_code, 'long_url', long_url,
+  'total_clicks', total_clicks)::varchar, ',' order by total_clicks desc, short_code), '') || ']}' as json from e""")
+def q_stream_top_links(spark, sf):
+    t = Tables(spark, sf)
+    src = _message_files(spark, FX.click_json(t), "top-msgs")
+    path = scratch_path(spark, "top")
+    cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": 2}
+    q = IN.stream_top_links(read_clicks_stream(spark, cfg), FX.url_mappings(t), path,
+                            scratch_path(spark, "top-ck"), trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.json(f"{path}/top_links").select("json")

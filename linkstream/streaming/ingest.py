@@ -101,7 +101,7 @@ def stream_links_change_feed(applied_stream: DataFrame, path: str, checkpoint: s
 
 def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint: str,
                      every: str = DASHBOARD_REFRESH, n: int = TOP_LINKS_N,
-                     value_col: str = "value") -> StreamingQuery:
+                     value_col: str = "value", trigger: dict | None = None) -> StreamingQuery:
     """Dashboard feed: after each batch's partials are written, recompute the
     enriched top-n from the roll-up and replace the published document."""
     clicks, _ = parse_clicks(stream, value_col)
@@ -113,7 +113,7 @@ def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint:
         top = top_links_enriched(read_rollup(spark, path), links, n)
         top_links_json(top).write.mode("overwrite").json(f"{path}/top_links")
 
-    return _start(clicks.writeStream.foreachBatch(step), checkpoint, {"processingTime": every})
+    return _start(clicks.writeStream.foreachBatch(step), checkpoint, trigger or {"processingTime": every})
 
 
 __all__ = ["batch_dir", "compact_rollup_job", "dedup_stream", "links_change_feed", "read_rollup",
