@@ -67,18 +67,16 @@ from ids i join dec d on d.k = i.k join g4 on g4.k = i.k"""
 def q_roundtrip(spark, sf):
     o = Tables(spark, sf)("orders").select(F.col("o_orderkey").alias("id"))
     h = K.halves_from_long("id")
-    obf = K.feistel_obfuscate(h["hi"], h["lo"])
     df = o.select("id", K.base62_encode(h["hi"], h["lo"]).alias("code_plain"),
-                  obf.alias("_obf"))
-    df = df.select("id", "code_plain",
+                  K.feistel_obfuscate(h["hi"], h["lo"]).alias("_obf"))
+    df = df.select("id", "code_plain", "_obf",
                    K.halves_to_decimal(F.col("_obf.hi"), F.col("_obf.lo")).cast("string").alias("obfuscated"),
-                   K.base62_encode(F.col("_obf.hi"), F.col("_obf.lo")).alias("short_code"))
-    d = K.base62_decode("short_code")
-    df = df.withColumn("_dec", d)
-    inv = K.feistel_invert(F.col("_dec.hi"), F.col("_dec.lo"))
+                   K.base62_encode(F.col("_obf.hi"), F.col("_obf.lo")).alias("short_code"),
+                   K.feistel_invert(F.col("_obf.hi"), F.col("_obf.lo")).alias("_inv"))
+    dec = K.base62_decode("short_code", general=False)
     return df.select("id", "code_plain", "obfuscated", "short_code",
-                     K.halves_to_decimal(F.col("_dec.hi"), F.col("_dec.lo")).cast("string").alias("decoded"),
-                     (F.shiftleft(inv["hi"], 32).bitwiseOR(inv["lo"])).alias("restored"))
+                     K.halves_to_decimal(dec["hi"], dec["lo"]).cast("string").alias("decoded"),
+                     F.shiftleft(F.col("_inv.hi"), 32).bitwiseOR(F.col("_inv.lo")).alias("restored"))
 
 
 _REBASE_MS = "(epoch_ms(o_orderdate) - epoch_ms(timestamp '1992-01-01 00:00:00'))"

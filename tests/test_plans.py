@@ -28,8 +28,8 @@ def test_column_pruning(spark):
 
 
 def test_no_python_udf_in_hot_paths(spark):
-    for name in ["hourly_rollup", "resolve_redirects", "short_code_roundtrip", "sessions", "trending_topn",
-                 "apply_mutations_links", "service_map", "assign_short_codes"]:
+    for name in ["hourly_rollup", "resolve_redirects", "sessions", "trending_topn", "rolling_avg",
+                 "apply_mutations_links", "service_map", "top_links_enriched"]:
         p = plan(spark, name)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
