@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is forced to completion with the ``noop`` sink (full
-computation, no collection to the driver) and timed after a warm-up.
+computation, no collection to the driver).  Every query runs once to warm
+up, then once timed.
 Prints ONE JSON line.
 """
 
@@ -40,8 +41,10 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", app="linkstream-bench", shuffle_partitions=int(cpus) * 2,
                       extra={"spark.driver.memory": "16g"})
     reg = load_all()
-    # Warm-up: JIT and file listing, not timed.
-    reg["hourly_rollup"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # Warm-up pass (JIT, code generation, Python workers, file listing), then
+    # the timed pass: steady-state seconds per query.
+    for name in HEADLINE:
+        reg[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()

@@ -28,7 +28,7 @@ from linkstream.constants import REASON_UNAUTHORIZED
 from linkstream.functions.text import blank, display_count, display_date
 from linkstream.functions.timefns import ts_literal
 from linkstream.plans.ranking import global_row_number, stable
-from linkstream.plans.scan import scan_last
+from linkstream.plans.scan import HOT_KEY_ROWS, run_split, scan_last
 
 _ORDER = ["_o0", "_ts", "seq"]
 _EPOCH = "1900-01-01 00:00:00"
@@ -62,35 +62,45 @@ def _successful_inserts(ev: DataFrame) -> DataFrame:
                  .select("id", "pos", F.col("ni").alias("nxt")))
     jump = stable(jump)
     marked = stable(nodes.groupBy("id").agg(F.min("pos").alias("pos")))
-    frontier = marked
     while True:
-        # marked = {succ^j(head) : j < 2^k}; jump = succ^(2^k)
-        new = stable(frontier.join(jump, ["id", "pos"]).select("id", F.col("nxt").alias("pos")))
+        # marked = {succ^j(head) : j < 2^k}; jump = succ^(2^k).  Both inputs
+        # of the join are checkpointed, so testing `new` and then writing
+        # marked + new re-runs only one small join.
+        new = marked.join(jump, ["id", "pos"]).select("id", F.col("nxt").alias("pos"))
         if new.isEmpty():
             return marked
         marked = stable(marked.unionByName(new))
-        frontier = marked
         j2 = jump.select(F.col("id").alias("_jid"), F.col("pos").alias("_jpos"), F.col("nxt").alias("_jnxt"))
         jump = stable(jump.join(j2, (F.col("id") == F.col("_jid")) & (F.col("nxt") == F.col("_jpos")), "inner")
                           .select("id", "pos", F.col("_jnxt").alias("nxt")))
 
 
 def annotate_mutations(links: DataFrame | None, mutations: DataFrame,
-                       chunk_unit: str | None = "month") -> DataFrame:
-    """Every event with its verdict: ``accepted`` and ``reason``."""
+                       chunk_unit: str | None = "month", hot_threshold: int | None = HOT_KEY_ROWS) -> DataFrame:
+    """Every event with its verdict: ``accepted`` and ``reason``.
+
+    Ids with more than ``hot_threshold`` events are scanned in
+    ``chunk_unit`` chunks; all others with one window per id.
+    """
     chunk = _chunk(chunk_unit)
-    ev = _events(links, mutations)
-    owner_delete = (F.col("op") == "delete") & F.col("user_id").isNotNull()
-    ev = scan_last(ev, ["id", "user_id"], _ORDER, F.when(owner_delete, F.col("pos")), "nd", chunk, "next")
-    ev = ev.withColumn("nd", F.when((F.col("op") == "insert") & F.col("user_id").isNotNull(), F.col("nd")))
-    ev = scan_last(ev, ["id"], _ORDER, F.when(F.col("op") == "insert", F.col("pos")), "ni", chunk, "next")
-    ev = stable(ev)
+
+    def next_events(rows: DataFrame, ch) -> DataFrame:
+        owner_delete = (F.col("op") == "delete") & F.col("user_id").isNotNull()
+        rows = scan_last(rows, ["id", "user_id"], _ORDER, F.when(owner_delete, F.col("pos")), "nd", ch, "next")
+        rows = rows.withColumn("nd", F.when((F.col("op") == "insert") & F.col("user_id").isNotNull(), F.col("nd")))
+        rows = scan_last(rows, ["id"], _ORDER, F.when(F.col("op") == "insert", F.col("pos")), "ni", ch, "next")
+        return rows.withColumn("_chunked", F.lit(ch is not None))
+
+    ev = stable(run_split(_events(links, mutations), ["id"], hot_threshold, chunk, next_events))
 
     starts = _successful_inserts(ev).withColumn("_start", F.lit(True))
     ev = ev.join(starts, ["id", "pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(False)))
     life_val = F.when(F.col("_start"), F.struct(F.col("pos").alias("start"), F.col("user_id").alias("owner"),
                                                 F.col("nd").alias("end"), F.col("created_at").alias("created")))
-    ev = scan_last(ev, ["id"], _ORDER, life_val, "life", chunk, "prev", inclusive=True)
+    cold, hot = ev.where(~F.col("_chunked")), ev.where(F.col("_chunked"))
+    ev = scan_last(cold, ["id"], _ORDER, life_val, "life", None, "prev", inclusive=True)
+    if chunk is not None:
+        ev = ev.unionByName(scan_last(hot, ["id"], _ORDER, life_val, "life", chunk, "prev", inclusive=True))
 
     life = F.col("life")
     alive = life.isNotNull() & (life["end"].isNull() | (F.col("pos") < life["end"]))
@@ -109,10 +119,10 @@ def annotate_mutations(links: DataFrame | None, mutations: DataFrame,
     return ev.withColumn("accepted", accepted).withColumn("reason", reason)
 
 
-def apply_mutations(links: DataFrame | None, mutations: DataFrame,
-                    chunk_unit: str | None = "month") -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_mutations(links: DataFrame | None, mutations: DataFrame, chunk_unit: str | None = "month",
+                    hot_threshold: int | None = HOT_KEY_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """-> (links after the replay, applied mutations, rejected mutations + reason)."""
-    ev = stable(annotate_mutations(links, mutations, chunk_unit))
+    ev = stable(annotate_mutations(links, mutations, chunk_unit, hot_threshold))
     out_cols = ["id", "op", "long_url", "user_id", F.col("_ts").alias("commit_ts"), "seq"]
     applied = ev.where((F.col("_o0") == 1) & F.col("accepted")).select(*out_cols)
     rejected = ev.where((F.col("_o0") == 1) & ~F.col("accepted")).select(*out_cols, "reason")

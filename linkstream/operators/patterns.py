@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from linkstream.functions.timefns import recent, since, start_of_hour, ts_literal
 from linkstream.operators.rollup import clicks_by_code
-from linkstream.plans.scan import scan_count, scan_last
+from linkstream.plans.scan import HOT_KEY_ROWS, run_split, scan_count, scan_last
 
 
 def hourly_avg(readings: DataFrame, sensor: int, now: str, window: str = "24 HOURS",
@@ -74,14 +74,19 @@ def rolling_avg(df: DataFrame, key: str, ts: str, value: str, span_seconds: int,
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, tiebreak: str | None = None,
-             chunk_unit: str | None = "day") -> DataFrame:
+             chunk_unit: str | None = "day", hot_threshold: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Gap-based sessions: a new session starts when the time since the
-    key's previous event exceeds the gap.  -> one row per (key, session)."""
+    key's previous event exceeds the gap.  -> one row per (key, session).
+    Keys above ``hot_threshold`` rows are scanned in ``chunk_unit`` chunks."""
     order = [ts] + ([tiebreak] if tiebreak else [])
     chunk = F.date_trunc(chunk_unit, F.col(ts)) if chunk_unit else None
-    e = scan_last(events.select(key, *order), [key], order, F.col(ts), "_prev", chunk, "prev")
     new = F.col("_prev").isNull() | (F.unix_micros(ts) - F.unix_micros("_prev") > F.lit(gap_seconds * 1_000_000))
-    e = scan_count(e, [key], order, "session_no", new, chunk)
+
+    def number(rows: DataFrame, ch) -> DataFrame:
+        rows = scan_last(rows, [key], order, F.col(ts), "_prev", ch, "prev")
+        return scan_count(rows, [key], order, "session_no", new, ch)
+
+    e = run_split(events.select(key, *order), [key], hot_threshold, chunk, number)
     return (e.groupBy(key, "session_no")
              .agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"),
                   F.count(F.lit(1)).alias("events")))
@@ -98,11 +103,12 @@ def trending_topn(clicks: DataFrame, size: str = "15 minutes", slide: str = "1 m
 
 
 def lifetime_alerts(events: DataFrame, key: str, ts: str, threshold: int, tiebreak: str | None = None,
-                    chunk_unit: str | None = "day") -> DataFrame:
+                    chunk_unit: str | None = "day", hot_threshold: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Keyed lifetime count; one alert per event past ``threshold``."""
     order = [ts] + ([tiebreak] if tiebreak else [])
     chunk = F.date_trunc(chunk_unit, F.col(ts)) if chunk_unit else None
-    c = scan_count(events, [key], order, "count", None, chunk)
+    c = run_split(events, [key], hot_threshold, chunk,
+                  lambda rows, ch: scan_count(rows, [key], order, "count", None, ch))
     return c.where(F.col("count") > threshold)
 
 

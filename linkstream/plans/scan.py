@@ -12,17 +12,57 @@ key's ordered rows into *chunks* (a time bucket of the ordering column):
 Frames are always running frames (``unboundedPreceding .. -1/0``), which
 Spark evaluates in one pass; "next" scans run over descending order.
 With ``chunk=None`` the helpers fall back to one window per key.
+
+Chunking costs extra shuffles, so operators apply it to hot keys only
+(``run_split``): rows per key are counted once, keys above a threshold
+take the chunked path, all other keys one plain window, and the two
+results are unioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "_scan_chunk"
 
+# A key with more rows than this is scanned in time chunks.
+HOT_KEY_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], threshold: int = HOT_KEY_ROWS):
+    """-> (cold rows, hot rows or None).
+
+    Counts rows per key (a partial aggregate) and keeps the keys above
+    ``threshold`` - at most rows / threshold of them, so Spark's size check
+    broadcasts them in the split joins.  When no key is hot (one tiny job
+    tells) no chunked branch is planned at all.
+    """
+    keys = list(keys)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > threshold).select(*keys))
+    if hot.isEmpty():
+        return df, None
+    ren = {k: f"_h_{k}" for k in keys}
+    right = hot.select(*[F.col(k).alias(ren[k]) for k in keys])
+    cond = [F.col(k).eqNullSafe(F.col(ren[k])) for k in keys]
+    return df.join(right, on=cond, how="left_anti"), df.join(right, on=cond, how="left_semi")
+
+
+def run_split(df: DataFrame, keys: Sequence[str], threshold: int | None, chunk: Column | None,
+              fn: Callable[[DataFrame, Column | None], DataFrame]) -> DataFrame:
+    """``fn(rows, None)`` on cold keys and ``fn(rows, chunk)`` on hot keys.
+
+    The split happens once, in front of a whole chain of scans, so the plan
+    does not double at every scan.
+    """
+    if chunk is None or threshold is None:
+        return fn(df, chunk)
+    cold, hot = split_hot(df, keys, threshold)
+    out = fn(cold, None)
+    return out if hot is None else out.unionByName(fn(hot, chunk))
 
 
 def _join_carry(local: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:

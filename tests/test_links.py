@@ -40,10 +40,10 @@ def fold(rows, initial=None):
     return state, applied, rejected
 
 
-def _check(spark, muts_df, chunk_unit="month"):
+def _check(spark, muts_df, chunk_unit="month", hot_threshold=L.HOT_KEY_ROWS):
     rows = [r.asDict() for r in muts_df.collect()]
     state, applied, rejected = fold(rows)
-    final, app, rej = L.apply_mutations(None, muts_df, chunk_unit)
+    final, app, rej = L.apply_mutations(None, muts_df, chunk_unit, hot_threshold)
     got_final = {r.id: (r.long_url, r.user_id, r.created_at) for r in final.collect()}
     assert got_final == {k: (v["long_url"], v["user_id"], v["created_at"]) for k, v in state.items()}
     assert {(r.id, r.seq) for r in app.collect()} == applied
@@ -71,7 +71,8 @@ def test_hot_id_many_lives(spark):
                      f"u{i}", rnd.choice(["a", "b", None]) if hot else rnd.choice(["a", "b"]),
                      base + dt.timedelta(hours=rnd.randrange(0, 24 * 90)), i))
     df = spark.createDataFrame(rows, "id string, op string, long_url string, user_id string, commit_ts timestamp, seq long")
-    _check(spark, df, "day")
+    _check(spark, df, "day", hot_threshold=500)   # the hot id is chunked, the rest are not
+    _check(spark, df, "day", hot_threshold=0)     # every id chunked
     _check(spark, df, None)
 
 

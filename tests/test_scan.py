@@ -38,3 +38,19 @@ def test_global_row_number_dense(spark):
     r = global_row_number(e, [F.col("event_id").desc()], out="rn", start=1, partitions=7)
     rows = r.orderBy(F.col("event_id").desc()).collect()
     assert [x.rn for x in rows] == list(range(1, len(rows) + 1))
+
+
+def test_hot_split_equals_plain(spark):
+    from linkstream.plans.scan import run_split, split_hot
+    e = _events(spark).select("k", "ts", "event_id", "value")
+    cold, hot = split_hot(e, ["k"], 500)
+    assert hot is not None and hot.select("k").distinct().count() >= 1
+    v = F.when(F.col("event_id") % 4 == 0, F.col("value"))
+    a = run_split(e, ["k"], 500, F.date_trunc("day", "ts"),
+                  lambda d, ch: scan_last(d, ["k"], ["ts", "event_id"], v, "out", ch, "next"))
+    b = scan_last(e, ["k"], ["ts", "event_id"], v, "out", None, "next")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    c1 = run_split(e, ["k"], 500, F.date_trunc("day", "ts"),
+                   lambda d, ch: scan_count(d, ["k"], ["ts", "event_id"], "n", None, ch))
+    c2 = scan_count(e, ["k"], ["ts", "event_id"], "n", None, None)
+    assert c1.exceptAll(c2).count() == 0 and c2.exceptAll(c1).count() == 0
