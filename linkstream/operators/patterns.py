@@ -46,7 +46,7 @@ def top_products_by_revenue(events: DataFrame, now: str, n: int = 5, window: str
     totals = p.groupBy("product_id").agg(F.round(F.sum("amount"), 6).alias("revenue"))
     order = [F.col("revenue").desc(), F.col("product_id").asc()]
     top = totals.orderBy(*order).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # <= n rows
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # <= n rows
 
 
 def running_clicks(rollup: DataFrame) -> DataFrame:
@@ -97,7 +97,8 @@ def trending_topn(clicks: DataFrame, size: str = "15 minutes", slide: str = "1 m
     counts = (clicks.groupBy(F.window(ts, size, slide).alias("w"), key)
                     .agg(F.count(F.lit(1)).alias("clicks")))
     w = Window.partitionBy("w").orderBy(F.col("clicks").desc(), F.col(key).asc())
-    ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+                    .withColumn("rank", F.col("rank").cast("bigint")))
     return ranked.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                          key, "clicks", "rank")
 

@@ -32,7 +32,7 @@ def _live_links(links: DataFrame) -> DataFrame:
 def _with_rank(df: DataFrame) -> DataFrame:
     # Applied only to <= n rows (after a LIMIT), so the un-partitioned window
     # runs on a bounded single partition.
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))
 
 
 def top_links(rollup: DataFrame, n: int = TOP_LINKS_N) -> DataFrame:
@@ -76,7 +76,8 @@ def top_links_page(rollup: DataFrame, links: DataFrame, page: int = 1,
     live = _live_links(links)
     page_rows = top.join(live, top["short_code"] == live["id"], "inner")
     return (page_rows.select("short_code", "long_url", "total_clicks", "has_next")
-                     .withColumn("rank", F.row_number().over(Window.orderBy(*_order())) + F.lit(offset)))
+                     .withColumn("rank", (F.row_number().over(Window.orderBy(*_order())) + F.lit(offset))
+                                 .cast("bigint")))
 
 
 def orphan_clicks(rollup: DataFrame, links: DataFrame) -> DataFrame:

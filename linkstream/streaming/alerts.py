@@ -32,7 +32,7 @@ def rank_closed_windows(n: int, out_path: str, key: str = "short_code"):
     one batch, so ranking inside the batch is exact."""
     def step(batch: DataFrame, batch_id: int) -> None:
         w = Window.partitionBy("w").orderBy(F.col("clicks").desc(), F.col(key).asc())
-        ranked = (batch.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+        ranked = (batch.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
                        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                                key, "clicks", "rank"))
         ranked.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")

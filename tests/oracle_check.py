@@ -52,16 +52,40 @@ def _rows(names, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+_SPARK_KIND = {"IntegerType": "int32", "LongType": "int64", "ShortType": "int16", "ByteType": "int8",
+               "DoubleType": "float64", "FloatType": "float32", "StringType": "str", "BooleanType": "bool",
+               "TimestampType": "ts", "TimestampNTZType": "ts", "DateType": "date", "DecimalType": "decimal",
+               "MapType": "map", "StructType": "struct", "ArrayType": "list", "BinaryType": "bytes"}
+_DUCK_KIND = {"INTEGER": "int32", "BIGINT": "int64", "SMALLINT": "int16", "TINYINT": "int8", "HUGEINT": "int128",
+              "UBIGINT": "uint64", "DOUBLE": "float64", "FLOAT": "float32", "VARCHAR": "str", "BOOLEAN": "bool",
+              "TIMESTAMP": "ts", "DATE": "date", "DECIMAL": "decimal", "MAP": "map", "STRUCT": "struct",
+              "LIST": "list", "BLOB": "bytes", "JSON": "str"}
+
+
+def type_kinds(df, res):
+    s = {f.name: _SPARK_KIND.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    d = {}
+    for name, t, *_ in res.description:
+        key = str(t).split("(")[0].upper()
+        d[name] = _DUCK_KIND.get(key, key)
+    return s, d
+
+
 def compare(spark, con, name, build, sql, sf_dir):
     df = build(spark, sf_dir)
     s_names = df.columns
     s_rows = [tuple(r) for r in df.collect()]
     res = con.execute(sql)
     d_names = [c[0] for c in res.description]
+    s_kinds, d_kinds = type_kinds(df, res)
     d_rows = res.fetchall()
     problems = []
     if sorted(s_names) != sorted(d_names):
         problems.append(f"columns spark={sorted(s_names)} duck={sorted(d_names)}")
+    else:
+        bad_types = {c: (s_kinds[c], d_kinds[c]) for c in s_names if s_kinds[c] != d_kinds[c]}
+        if bad_types:
+            problems.append(f"types (spark, duck) {bad_types}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
     if not problems:
