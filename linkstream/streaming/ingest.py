@@ -35,21 +35,35 @@ def with_click_watermark(stream: DataFrame, delay: str = CLICK_WATERMARK, ts: st
     return stream.withWatermark(ts, delay)
 
 
+_PARTIAL_SCHEMA = "hour timestamp, short_code string, country_code string, total_clicks bigint"
+
+
+def init_rollup(spark: SparkSession, path: str) -> None:
+    """Create the roll-up location (empty partial and compacted tables) if
+    absent; ``ignore`` mode leaves an existing location untouched."""
+    empty = spark.createDataFrame([], _PARTIAL_SCHEMA)
+    empty.write.mode("ignore").parquet(f"{path}/partials/batch_id=-1")
+    empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1")
+
+
 def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str,
                          trigger: dict | None = None, value_col: str = "value") -> StreamingQuery:
+    init_rollup(stream.sparkSession, path)
     clicks, _ = parse_clicks(stream, value_col)
     return _start(clicks.writeStream.foreachBatch(write_rollup(f"{path}/partials")), checkpoint, trigger)
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    partials = spark.read.schema(_PARTIAL_SCHEMA + ", batch_id bigint").parquet(f"{path}/partials")
+    compacted = spark.read.schema(_PARTIAL_SCHEMA + ", upto bigint").parquet(f"{path}/compacted")
+    return partials, compacted
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Partial rows visible to readers: the newest compacted version plus
     every partial batch written after it.  Sum them to get totals."""
-    partials = spark.read.parquet(f"{path}/partials")
-    try:
-        compacted = spark.read.parquet(f"{path}/compacted")
-    except Exception:  # no compaction yet  # noqa: BLE001
-        return partials.select(*ROLLUP_KEY, "total_clicks")
-    upto = compacted.agg(F.max("upto")).first()[0]
+    partials, compacted = _versions(spark, path)
+    upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
     newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*ROLLUP_KEY, "total_clicks")
     return compacted.where(F.col("upto") == F.lit(upto)).select(*ROLLUP_KEY, "total_clicks").unionByName(newer)
 
@@ -59,15 +73,11 @@ def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
     compacted version.  ``upto_batch`` must be a committed batch id (e.g.
     ``query.lastProgress['batchId']``), so a batch still being replayed is
     never folded in.  Readers switch to the version once it is complete."""
-    partials = spark.read.parquet(f"{path}/partials").where(F.col("batch_id") <= F.lit(upto_batch))
-    try:
-        compacted = spark.read.parquet(f"{path}/compacted")
-        prev = compacted.agg(F.max("upto")).first()[0]
-        base = compacted.where(F.col("upto") == F.lit(prev)).select(*ROLLUP_KEY, "total_clicks")
-        partials = partials.where(F.col("batch_id") > F.lit(prev))
-        rows = base.unionByName(partials.select(*ROLLUP_KEY, "total_clicks"))
-    except Exception:  # first compaction  # noqa: BLE001
-        rows = partials.select(*ROLLUP_KEY, "total_clicks")
+    partials, compacted = _versions(spark, path)
+    prev = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    base = compacted.where(F.col("upto") == F.lit(prev)).select(*ROLLUP_KEY, "total_clicks")
+    fresh = partials.where((F.col("batch_id") > F.lit(prev)) & (F.col("batch_id") <= F.lit(upto_batch)))
+    rows = base.unionByName(fresh.select(*ROLLUP_KEY, "total_clicks"))
     merged = rows.groupBy(*ROLLUP_KEY).agg(F.sum("total_clicks").cast("bigint").alias("total_clicks"))
     merged.write.mode("overwrite").parquet(f"{path}/compacted/upto={upto_batch}")
 
@@ -104,6 +114,7 @@ def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint:
                      value_col: str = "value", trigger: dict | None = None) -> StreamingQuery:
     """Dashboard feed: after each batch's partials are written, recompute the
     enriched top-n from the roll-up and replace the published document."""
+    init_rollup(stream.sparkSession, path)
     clicks, _ = parse_clicks(stream, value_col)
     write_partials = write_rollup(f"{path}/partials")
 
