@@ -25,7 +25,9 @@ from linkstream.schemas import SHORTEN_REQUEST
 
 
 def validate_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """Parse JSON bodies; ``reason`` is NULL for accepted requests."""
+    """Parse JSON bodies; ``reason`` is NULL for accepted requests and
+    ``status`` is the response code the shorten API gives (201 created,
+    400 for a bad body or a missing URL)."""
     j = F.from_json(F.col(body_col), SHORTEN_REQUEST,
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     p = df.withColumn("_j", j)
@@ -33,7 +35,8 @@ def validate_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
                .when(blank(F.col("_j.long_url")), F.lit(REASON_MISSING_URL)))
     keep = [c for c in df.columns if c != body_col]
     return p.select(*keep, F.col("_j.long_url").alias("long_url"),
-                    F.col("_j.custom_slug").alias("custom_slug"), reason.alias("reason"))
+                    F.col("_j.custom_slug").alias("custom_slug"), reason.alias("reason"),
+                    F.when(reason.isNull(), F.lit(201)).otherwise(F.lit(400)).alias("status"))
 
 
 def choose_slug(df: DataFrame, user_col: str = "user_id", slug_col: str = "custom_slug") -> DataFrame:

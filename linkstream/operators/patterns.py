@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstream.functions.timefns import recent, since, start_of_hour, ts_literal
-from linkstream.operators.rollup import clicks_by_code
+from linkstream.functions.timefns import recent, since, start_of_hour
 from linkstream.plans.scan import HOT_KEY_ROWS, run_split, scan_count, scan_last
 
 
@@ -153,7 +152,3 @@ def time_to_first_click(created: DataFrame, clicks: DataFrame, within: str = "30
     first = j.groupBy(code, "created_at").agg(F.min("event_time").alias("first_click"))
     return first.withColumn("seconds_to_first_click",
                             F.floor((F.unix_micros("first_click") - F.unix_micros("created_at")) / 1_000_000).cast("bigint"))
-
-
-def totals_before(rollup: DataFrame, now: str) -> DataFrame:
-    return clicks_by_code(rollup.where(F.col("hour") < ts_literal(now)))

@@ -114,7 +114,9 @@ def _validated(spark, sf):
     return G.validate_requests(FX.shorten_requests(Tables(spark, sf)))
 
 
-@query("validate_requests", "P5", _VALID_SQL + "select request_id, user_id, long_url, custom_slug, reason from v")
+@query("validate_requests", "P5", _VALID_SQL + """
+select request_id, user_id, long_url, custom_slug, reason, case when reason is null then 201 else 400 end as status
+from v""")
 def q_validate(spark, sf):
     return _validated(spark, sf)
 

@@ -136,7 +136,3 @@ def scan_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: st
     res = _join_carry(local, carried, keys)
     return (res.withColumn(out, F.col(f"_{out}_local") + F.col(f"_{out}_carry"))
                .drop(flag, _CHUNK, f"_{out}_local", f"_{out}_carry"))
-
-
-def day_chunk(ts: str) -> Column:
-    return F.date_trunc("day", F.col(ts))
