@@ -14,39 +14,49 @@ from linkstream.sources.tables import Tables
 # A life starts at the first insert of an id, or at the first insert after
 # the delete that ended the previous life; it ends at the first delete by
 # its owner after its start.
-_LIVES = V("link_mutations", recursive=True) + """,
-ins as (select id, commit_ts, seq, user_id, long_url from link_mutations where op = 'insert'),
-dels as (select id, commit_ts, seq, user_id from link_mutations where op = 'delete'),
-lives(id, ts, seq, owner) as (
-  select id, commit_ts, seq, user_id from (
-    select *, row_number() over (partition by id order by commit_ts, seq) as rn from ins) where rn = 1
+def _lives_sql(with_init: bool) -> str:
+    """Replay as a recursive walk over lives.  A life starts at the first
+    insert of an id, or at the first insert after the delete that ended the
+    previous life; it ends at the first delete by its owner after its start.
+    With ``with_init`` the current link table enters as inserts ordered
+    before every mutation (o0 = 0)."""
+    init = """
+  union all select id, 'insert', long_url, user_id, created_at, -1, 0 from url_mappings""" if with_init else ""
+    views = V("link_mutations", "url_mappings", recursive=True) if with_init else V("link_mutations", recursive=True)
+    return views + f""",
+evs as (select id, op, long_url, user_id, commit_ts, seq, 1 as o0 from link_mutations{init}),
+ins as (select * from evs where op = 'insert'),
+dels as (select * from evs where op = 'delete'),
+lives(id, o0, ts, seq, owner) as (
+  select id, o0, commit_ts, seq, user_id from (
+    select *, row_number() over (partition by id order by o0, commit_ts, seq) as rn from ins) where rn = 1
   union all
-  select i.id, i.commit_ts, i.seq, i.user_id from (
-    select e.id, min({'ts': i.commit_ts, 'seq': i.seq}) as ipos from (
-      select l.id, min({'ts': d.commit_ts, 'seq': d.seq}) as dpos from lives l join dels d
+  select i.id, i.o0, i.commit_ts, i.seq, i.user_id from (
+    select e.id, min({{'o0': i.o0, 'ts': i.commit_ts, 'seq': i.seq}}) as ipos from (
+      select l.id, min({{'o0': d.o0, 'ts': d.commit_ts, 'seq': d.seq}}) as dpos from lives l join dels d
         on d.id = l.id and d.user_id = l.owner
-       and {'ts': d.commit_ts, 'seq': d.seq} > {'ts': l.ts, 'seq': l.seq}
+       and {{'o0': d.o0, 'ts': d.commit_ts, 'seq': d.seq}} > {{'o0': l.o0, 'ts': l.ts, 'seq': l.seq}}
       group by l.id) e
-    join ins i on i.id = e.id and {'ts': i.commit_ts, 'seq': i.seq} > e.dpos
+    join ins i on i.id = e.id and {{'o0': i.o0, 'ts': i.commit_ts, 'seq': i.seq}} > e.dpos
     group by e.id) x
-  join ins i on i.id = x.id and i.commit_ts = x.ipos.ts and i.seq = x.ipos.seq
+  join ins i on i.id = x.id and i.o0 = x.ipos.o0 and i.commit_ts = x.ipos.ts and i.seq = x.ipos.seq
 ),
 lives_full as (
-  select l.id, l.ts, l.seq, l.owner,
-    (select min({'ts': d.commit_ts, 'seq': d.seq}) from dels d
+  select l.id, l.o0, l.ts, l.seq, l.owner,
+    (select min({{'o0': d.o0, 'ts': d.commit_ts, 'seq': d.seq}}) from dels d
       where d.id = l.id and d.user_id = l.owner
-        and {'ts': d.commit_ts, 'seq': d.seq} > {'ts': l.ts, 'seq': l.seq}) as endpos
+        and {{'o0': d.o0, 'ts': d.commit_ts, 'seq': d.seq}} > {{'o0': l.o0, 'ts': l.ts, 'seq': l.seq}}) as endpos
   from lives l
 ),
 ev as (
-  select m.*, {'ts': m.commit_ts, 'seq': m.seq} as pos, lf.owner as start_owner, lf.endpos as start_end,
+  select m.*, {{'o0': m.o0, 'ts': m.commit_ts, 'seq': m.seq}} as pos, lf.endpos as start_end,
     lf.id is not null as is_start
-  from link_mutations m left join lives_full lf on lf.id = m.id and lf.ts = m.commit_ts and lf.seq = m.seq
+  from evs m left join lives_full lf on lf.id = m.id and lf.o0 = m.o0 and lf.ts = m.commit_ts and lf.seq = m.seq
 ),
 cov as (
   select *,
-    last_value(case when is_start then {'owner': user_id, 'endpos': start_end, 'created': commit_ts} end ignore nulls)
-      over (partition by id order by commit_ts, seq rows between unbounded preceding and current row) as life
+    last_value(case when is_start then {{'owner': user_id, 'endpos': start_end, 'created': commit_ts}} end ignore nulls)
+      over (partition by id order by o0, commit_ts, seq rows between unbounded preceding and current row) as life
   from ev
 ),
 verdict as (
@@ -62,8 +72,15 @@ verdict as (
 """
 
 
+_LIVES = _lives_sql(False)
+_FINAL_LINKS = """
+select id, s.url as long_url, s.owner as user_id, s.created as created_at from (
+  select id, arg_max({'url': long_url, 'owner': life.owner, 'created': life.created, 'endpos': life.endpos}, pos) as s
+  from verdict where accepted and op in ('insert', 'update') group by id) where s.endpos is null"""
+
+
 @query("apply_mutations_applied", "J6", _LIVES + """
-select id, op, long_url, user_id, commit_ts, seq from verdict where accepted""")
+select id, op, long_url, user_id, commit_ts, seq from verdict where accepted and o0 = 1""")
 def q_apply_applied(spark, sf):
     _, applied, _ = L.apply_mutations(None, FX.link_mutations(Tables(spark, sf)))
     return applied
@@ -72,22 +89,19 @@ def q_apply_applied(spark, sf):
 @query("apply_mutations_rejected", "J6", _LIVES + """
 select id, op, long_url, user_id, commit_ts, seq,
   case when op = 'insert' then 'already_exists' when not alive then 'not_found' else 'not_owner' end as reason
-from verdict where not accepted""")
+from verdict where not accepted and o0 = 1""")
 def q_apply_rejected(spark, sf):
     _, _, rejected = L.apply_mutations(None, FX.link_mutations(Tables(spark, sf)))
     return rejected
 
 
-@query("apply_mutations_links", "J6", _LIVES + """
-select id, s.url as long_url, s.owner as user_id, s.created as created_at from (
-  select id, arg_max({'url': long_url, 'owner': life.owner, 'created': life.created, 'endpos': life.endpos}, pos) as s
-  from verdict where accepted and op in ('insert', 'update') group by id) where s.endpos is null""")
+@query("apply_mutations_links", "J6", _LIVES + _FINAL_LINKS)
 def q_apply_links(spark, sf):
     final, _, _ = L.apply_mutations(None, FX.link_mutations(Tables(spark, sf)))
     return final
 
 
-@query("apply_mutations_on_links", "M1-M3", None)
+@query("apply_mutations_on_links", "M1-M3, J6", _lives_sql(True) + _FINAL_LINKS)
 def q_apply_on_links(spark, sf):
     """Replay the mutation log on top of the existing link table."""
     t = Tables(spark, sf)
