@@ -79,7 +79,9 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, tiebreak: s
     Keys above ``hot_threshold`` rows are scanned in ``chunk_unit`` chunks."""
     order = [ts] + ([tiebreak] if tiebreak else [])
     chunk = F.date_trunc(chunk_unit, F.col(ts)) if chunk_unit else None
-    new = F.col("_prev").isNull() | (F.unix_micros(ts) - F.unix_micros("_prev") > F.lit(gap_seconds * 1_000_000))
+    # Same rule as session_window: events [t, t + gap) that overlap merge,
+    # so an event exactly ``gap`` after the previous one starts a session.
+    new = F.col("_prev").isNull() | (F.unix_micros(ts) - F.unix_micros("_prev") >= F.lit(gap_seconds * 1_000_000))
 
     def number(rows: DataFrame, ch) -> DataFrame:
         rows = scan_last(rows, [key], order, F.col(ts), "_prev", ch, "prev")

@@ -68,7 +68,7 @@ def q_rolling_avg(spark, sf):
 
 @query("sessions", "W3", V("user_events") + """
 select user_id, session_no, min(timestamp) as session_start, max(timestamp) as session_end, count(*) as events
-from (select *, cast(sum(case when prev is null or epoch_us(timestamp) - epoch_us(prev) > 1800000000 then 1 else 0 end)
+from (select *, cast(sum(case when prev is null or epoch_us(timestamp) - epoch_us(prev) >= 1800000000 then 1 else 0 end)
         over (partition by user_id order by timestamp, product_id, event_type, amount
               rows between unbounded preceding and current row) as bigint) as session_no
       from (select *, lag(timestamp) over (partition by user_id order by timestamp, product_id, event_type, amount)

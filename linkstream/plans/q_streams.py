@@ -61,16 +61,23 @@ def q_stream_bot_lifetime(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_trending", "R3, R1, R8", None)
+@query("stream_trending", "R3, R1, R8", V("clicks") + """,
+w as (select date_trunc('minute', event_time) - to_minutes(k) as window_start, short_code
+      from clicks, range(15) r(k)),
+c as (select window_start, window_start + interval 15 minute as window_end, short_code, count(*) as clicks
+      from w group by all),
+r as (select *, row_number() over (partition by window_start order by clicks desc, short_code) as rank from c)
+select * from r where rank <= 10
+  and window_end <= (select max(event_time) from clicks) - interval 5 second""")
 def q_stream_trending(spark, sf):
     t = Tables(spark, sf)
     clicks = FX.clicks(t)
     src = _message_files(spark, clicks, "click-rows", fmt="parquet")
-    stream = spark.readStream.schema(clicks.schema).parquet(src)
+    stream = spark.readStream.schema(clicks.schema).parquet(src)  # all files in one micro-batch
     out, ck = scratch_path(spark, "trending"), scratch_path(spark, "trending-ck")
     q = AL.stream_trending(stream, out, ck, n=10, trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @query("stream_split_clicks", "R6", _PARSED + "select event_id, route from p")
@@ -140,7 +147,13 @@ def q_read_telemetry(spark, sf):
     return table_counts({k: read_telemetry(spark, base, k) for k in ("spans", "metrics", "logs")})
 
 
-@query("stream_sessions", "R4", None)
+@query("stream_sessions", "R4", V("user_events") + """,
+s as (select user_id, timestamp, sum(case when prev is null or epoch_us(timestamp) - epoch_us(prev) >= 1800000000
+        then 1 else 0 end) over (partition by user_id order by timestamp rows between unbounded preceding and current row) as sid
+      from (select *, lag(timestamp) over (partition by user_id order by timestamp) as prev from user_events)),
+g as (select user_id, min(timestamp) as session_start, max(timestamp) + interval 30 minute as session_end,
+        count(*) as events from s group by user_id, sid)
+select * from g where session_end <= (select max(timestamp) from user_events) - interval 5 second""")
 def q_stream_sessions(spark, sf):
     ev = FX.user_events(Tables(spark, sf))
     src = _message_files(spark, ev, "session-rows", fmt="parquet")
