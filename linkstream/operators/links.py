@@ -62,14 +62,16 @@ def _successful_inserts(ev: DataFrame) -> DataFrame:
                  .select("id", "pos", F.col("ni").alias("nxt")))
     jump = stable(jump)
     marked = stable(nodes.groupBy("id").agg(F.min("pos").alias("pos")))
+    size = marked.count()
     while True:
-        # marked = {succ^j(head) : j < 2^k}; jump = succ^(2^k).  Both inputs
-        # of the join are checkpointed, so testing `new` and then writing
-        # marked + new re-runs only one small join.
+        # marked = {succ^j(head) : j < 2^k}; jump = succ^(2^k).  The join runs
+        # once: marked + new is written, and no growth means the walk is done.
         new = marked.join(jump, ["id", "pos"]).select("id", F.col("nxt").alias("pos"))
-        if new.isEmpty():
+        grown = stable(marked.unionByName(new))
+        grown_size = grown.count()
+        if grown_size == size:
             return marked
-        marked = stable(marked.unionByName(new))
+        marked, size = grown, grown_size
         j2 = jump.select(F.col("id").alias("_jid"), F.col("pos").alias("_jpos"), F.col("nxt").alias("_jnxt"))
         jump = stable(jump.join(j2, (F.col("id") == F.col("_jid")) & (F.col("nxt") == F.col("_jpos")), "inner")
                           .select("id", "pos", F.col("_jnxt").alias("nxt")))
@@ -85,10 +87,12 @@ def annotate_mutations(links: DataFrame | None, mutations: DataFrame,
     chunk = _chunk(chunk_unit)
 
     def next_events(rows: DataFrame, ch) -> DataFrame:
+        # Partitioned by id first: hash(id) also satisfies the (id, user_id)
+        # clustering of the second window, so it needs no second shuffle.
+        rows = scan_last(rows, ["id"], _ORDER, F.when(F.col("op") == "insert", F.col("pos")), "ni", ch, "next")
         owner_delete = (F.col("op") == "delete") & F.col("user_id").isNotNull()
         rows = scan_last(rows, ["id", "user_id"], _ORDER, F.when(owner_delete, F.col("pos")), "nd", ch, "next")
         rows = rows.withColumn("nd", F.when((F.col("op") == "insert") & F.col("user_id").isNotNull(), F.col("nd")))
-        rows = scan_last(rows, ["id"], _ORDER, F.when(F.col("op") == "insert", F.col("pos")), "ni", ch, "next")
         return rows.withColumn("_chunked", F.lit(ch is not None))
 
     ev = stable(run_split(_events(links, mutations), ["id"], hot_threshold, chunk, next_events))
