@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstream.functions.timefns import recent, start_of_hour
+from linkstream.plans.ranking import exact_quantiles
 
 DEFAULT_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -69,23 +70,30 @@ def service_red(points: DataFrame, bucket: str = "day", exact: bool = True,
                 status: str = "status_code") -> DataFrame:
     """Rate, errors, duration (p50/p90/p99) per service and time bucket.
 
-    ``exact`` uses ``percentile`` (linear interpolation); set it False for
-    ``percentile_approx`` with fixed memory per group on very hot services.
+    ``exact`` computes the quantiles by a distributed sort
+    (``plans.ranking.exact_quantiles``), so no service's values are ever
+    gathered in one task; ``exact=False`` uses ``percentile_approx`` (one
+    pass, fixed memory per group).
     """
+    seconds = {"minute": 60, "hour": 3600, "day": 86400}[bucket]
+    keyed = points.withColumn("bucket", F.date_trunc(bucket, ts))
+    agg = (keyed.groupBy(service, "bucket")
+                .agg(F.count(F.lit(1)).alias("requests"),
+                     F.avg((F.col(status) >= 500).cast("double")).alias("error_rate")))
     if exact:
-        q = F.percentile(duration, [0.5, 0.9, 0.99])
+        qs = exact_quantiles(keyed, [service, "bucket"], duration, [0.5, 0.9, 0.99], ["_p50", "_p90", "_p99"])
+        agg = agg.join(qs, [service, "bucket"], "left")
     else:
-        q = F.percentile_approx(duration, [0.5, 0.9, 0.99], 10000)
-    seconds = {"minute": 60, "hour": 3600, "day": 86400}[bucket]
-    agg = (points.groupBy(service, F.date_trunc(bucket, ts).alias("bucket"))
-                 .agg(F.count(F.lit(1)).alias("requests"),
-                      F.avg((F.col(status) >= 500).cast("double")).alias("error_rate"),
-                      q.alias("_q")))
+        approx = (keyed.groupBy(service, "bucket")
+                       .agg(F.percentile_approx(duration, [0.5, 0.9, 0.99], 10000).alias("_a")))
+        agg = agg.join(approx.select(service, "bucket", *[F.col("_a")[i].alias(n) for i, n in
+                                                          enumerate(["_p50", "_p90", "_p99"])]),
+                       [service, "bucket"], "left")
     return agg.select(service, "bucket", "requests",
                       F.round(F.col("requests") / F.lit(float(seconds)), 9).alias("rate_per_s"),
                       F.round("error_rate", 9).alias("error_rate"),
-                      F.round(F.col("_q")[0], 9).alias("p50"), F.round(F.col("_q")[1], 9).alias("p90"),
-                      F.round(F.col("_q")[2], 9).alias("p99"))
+                      F.round("_p50", 9).alias("p50"), F.round("_p90", 9).alias("p90"),
+                      F.round("_p99", 9).alias("p99"))
 
 
 def _trace_summary(spans: DataFrame) -> DataFrame:

@@ -36,3 +36,34 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "row_number
     res = with_pid.join(F.broadcast(offsets), "_pid")
     return (res.withColumn(out, F.col("_off") + F.col("_idx") + F.lit(start))
                .drop("_mid", "_pid", "_idx", "_off"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
+                    names: list[str]) -> DataFrame:
+    """Exact quantiles (linear interpolation, as ``percentile``) per group,
+    without holding any group in one task.
+
+    Rows are numbered in (keys, value) order by a distributed range sort;
+    per group the start rank and size give the positions each quantile needs
+    (h = (n - 1) * p, its floor and ceiling); only those rows are fetched, by
+    an equi-join on (keys, rank) - the rank is unique, so a hot group spreads
+    evenly - and interpolated.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ranked = global_row_number(v, [*[F.col(k).asc() for k in keys], F.col("_v").asc()], out="_rn", start=0)
+    stats = ranked.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    need = (stats.select(*keys, "_start", "_n", F.explode(wanted).alias("w"))
+                 .select(*keys, "_start", F.col("w.q").alias("_q"),
+                         ((F.col("_n") - 1) * F.col("w.p")).alias("_h")))
+    need = (need.withColumn("_lo", F.floor("_h").cast("bigint")).withColumn("_hi", F.ceil("_h").cast("bigint")))
+    picks = need.select(*keys, "_q", "_h", "_lo", "_hi",
+                        F.explode(F.array(F.col("_start") + F.col("_lo"), F.col("_start") + F.col("_hi"))).alias("_rn"))
+    got = picks.join(ranked, [*keys, "_rn"]).dropDuplicates([*keys, "_q", "_rn"])
+    per_q = got.groupBy(*keys, "_q", "_h", "_lo", "_hi").agg(
+        F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
+    # Same interpolation form as Spark's percentile.
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
+        (F.col("_hi") - F.col("_h")) * F.col("_vlo") + (F.col("_h") - F.col("_lo")) * F.col("_vhi"))
+    wide = per_q.groupBy(*keys).pivot("_q", list(range(len(probs)))).agg(F.first(q))
+    return wide.select(*keys, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])

@@ -54,3 +54,14 @@ def test_hot_split_equals_plain(spark):
                    lambda d, ch: scan_count(d, ["k"], ["ts", "event_id"], "n", None, ch))
     c2 = scan_count(e, ["k"], ["ts", "event_id"], "n", None, None)
     assert c1.exceptAll(c2).count() == 0 and c2.exceptAll(c1).count() == 0
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from linkstream.plans.ranking import exact_quantiles
+    e = _events(spark).select("k", "value")
+    got = exact_quantiles(e, ["k"], "value", [0.0, 0.5, 0.9, 0.99, 1.0], ["q0", "q50", "q90", "q99", "q100"])
+    ref = e.groupBy("k").agg(F.percentile("value", [0.0, 0.5, 0.9, 0.99, 1.0]).alias("r"))
+    j = got.join(ref, "k")
+    assert j.count() == ref.count()
+    for i, n in enumerate(["q0", "q50", "q90", "q99", "q100"]):
+        assert j.where(F.abs(F.col(n) - F.col("r")[i]) > 1e-9).count() == 0, n
