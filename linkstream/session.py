@@ -15,16 +15,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Defaults that matter at scale; every one can be overridden by the caller.
+# The broadcast threshold stays Spark's default: a join side is broadcast
+# only when its measured size is below it, and explicit broadcast() is
+# reserved for sides bounded by construction (a LIMIT n result).
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # Spark broadcasts a join side only when its measured size is below
-    # this bound; explicit broadcast() is reserved for sides whose size is
-    # bounded by construction (a LIMIT n result).
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
