@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 
 from linkstream.constants import (
     CACHE_MISS_ERROR, OUTCOME_CACHE_HIT, OUTCOME_EMPTY_CODE, OUTCOME_GUARD_MISS,
-    OUTCOME_TABLE_HIT, OUTCOME_TABLE_MISS,
+    OUTCOME_TABLE_HIT, OUTCOME_TABLE_MISS, READ_EDGE_BUCKET_PER_S, READ_LIMIT_PER_S,
+    WRITE_EDGE_BUCKET_PER_S, WRITE_LIMIT_PER_S,
 )
 from linkstream.functions.text import blank
 
+# Limits configured in front of the original services (requests per second).
+CONFIGURED_LIMITS = {"write": WRITE_LIMIT_PER_S, "read": READ_LIMIT_PER_S,
+                     "write_edge": WRITE_EDGE_BUCKET_PER_S, "read_edge": READ_EDGE_BUCKET_PER_S}
+
 
 def known_codes(created: DataFrame, resolved: DataFrame | None = None,
                 created_col: str = "value", resolved_col: str = "short_code") -> DataFrame:
@@ -110,3 +115,9 @@ def rate_limit_audit(requests: DataFrame, descriptor: list[str], limit: int,
     return (agg.where(F.col("requests") > limit)
                .select(*descriptor, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                        "requests", (F.col("requests") - F.lit(limit)).alias("excess")))
+
+
+def audit_configured_limit(requests: DataFrame, kind: str, descriptor: list[str] | None = None,
+                           ts: str = "ts") -> DataFrame:
+    """``rate_limit_audit`` with one of the configured per-second limits."""
+    return rate_limit_audit(requests, list(descriptor or []), CONFIGURED_LIMITS[kind], "1 second", ts)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkstream.functions.text import default_country
-from linkstream.functions.timefns import to_rfc3339
 from linkstream.sources.tables import Tables
 
 BASE_TS = "2024-01-01 00:00:00"
