@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkstream.constants import REASON_UNAUTHORIZED
+from linkstream.constants import REASON_UNAUTHORIZED, STALE_READ
 from linkstream.functions.text import blank, display_count, display_date
 from linkstream.functions.timefns import ts_literal
 from linkstream.plans.ranking import global_row_number, stable
@@ -159,12 +159,14 @@ def delete_links(links: DataFrame, rows: DataFrame):
     return apply_mutations(links, _with_op(rows, "delete"))
 
 
-def latest_state(changelog: DataFrame, as_of: str | None = None) -> DataFrame:
-    """State of each id after its last change (optionally as of a time);
-    ids whose last change is a delete are dropped.  One partial+final
-    aggregate: a hot id is pre-reduced on the map side."""
+def latest_state(changelog: DataFrame, as_of=None) -> DataFrame:
+    """State of each id after its last change (optionally as of a time: a
+    timestamp text or Column); ids whose last change is a delete are
+    dropped.  One partial+final aggregate: a hot id is pre-reduced on the
+    map side."""
     if as_of is not None:
-        changelog = changelog.where(F.col("commit_ts") <= ts_literal(as_of))
+        cutoff = ts_literal(as_of) if isinstance(as_of, str) else as_of
+        changelog = changelog.where(F.col("commit_ts") <= cutoff)
     last = changelog.groupBy("id").agg(
         F.max(F.struct("commit_ts", "seq", "op", "long_url", "user_id")).alias("s"))
     return (last.where(F.col("s")["op"] != "delete")
@@ -177,6 +179,12 @@ def links_as_of(changelog: DataFrame, as_of: str) -> DataFrame:
     return latest_state(changelog, as_of)
 
 
+def stale_read(changelog: DataFrame, now: str, staleness: str = STALE_READ) -> DataFrame:
+    """The link table as a read with bounded staleness sees it at ``now``
+    (``staleness`` "0 seconds" is a strong read)."""
+    return latest_state(changelog, ts_literal(now) - F.expr(f"INTERVAL {staleness}"))
+
+
 def diff_links(old: DataFrame, new: DataFrame) -> DataFrame:
     """inserted / updated / deleted ids between two snapshots."""
     o = old.select(F.col("id").alias("_oid"), F.col("long_url").alias("old_url"), F.col("user_id").alias("old_user"))

@@ -241,3 +241,12 @@ def q_delete_links(spark, sf):
     t = Tables(spark, sf)
     final, _, _ = L.delete_links(FX.url_mappings(t), _edits(t, "delete"))
     return final
+
+
+@query("stale_read", "J3", V("link_mutations") + """
+select id, s.long_url as long_url, s.user_id as user_id, s.commit_ts as updated_at from (
+  select id, max({'commit_ts': commit_ts, 'seq': seq, 'op': op, 'long_url': long_url, 'user_id': user_id}) as s
+  from link_mutations where commit_ts <= timestamp '1996-01-01 00:00:00' - interval 15 second group by id)
+where s.op <> 'delete'""")
+def q_stale_read(spark, sf):
+    return L.stale_read(FX.link_mutations(Tables(spark, sf)), "1996-01-01 00:00:00", "15 seconds")
