@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from linkstream.constants import REASON_UNAUTHORIZED, STALE_READ
 from linkstream.functions.text import blank, display_count, display_date
 from linkstream.functions.timefns import ts_literal
+from linkstream.plans.joins import BUCKET_COL, join_links
 from linkstream.plans.ranking import global_row_number, stable
 from linkstream.plans.scan import HOT_KEY_ROWS, run_split, scan_last
 
@@ -198,10 +199,15 @@ def diff_links(old: DataFrame, new: DataFrame) -> DataFrame:
              .select(F.coalesce("_oid", "_nid").alias("id"), "change", "old_url", "new_url"))
 
 
-def lookup_by_code(links: DataFrame, codes: DataFrame, code_col: str = "short_code") -> DataFrame:
-    """Many point reads as one join; each distinct code is looked up once."""
+def lookup_by_code(links: DataFrame, codes: DataFrame, code_col: str = "short_code",
+                   link_buckets: int | None = None) -> DataFrame:
+    """Many point reads as one join; each distinct code is looked up once.
+    With ``link_buckets`` (a table stored by ``sinks.write_links``) only the
+    partitions holding the requested codes are read."""
     distinct_codes = codes.select(F.col(code_col).alias("short_code")).distinct()
-    return distinct_codes.join(links.select(F.col("id").alias("short_code"), "long_url"), "short_code", "inner")
+    extra = [BUCKET_COL] if BUCKET_COL in links.columns else []
+    found = join_links(distinct_codes, "short_code", links.select("id", "long_url", *extra), "inner", link_buckets)
+    return found.select("short_code", "long_url")
 
 
 def filter_user(links: DataFrame, user: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from linkstream.constants import TOP_LINKS_N
 from linkstream.operators.rollup import clicks_by_code
-from linkstream.plans.joins import bounded_broadcast
+from linkstream.plans.joins import BUCKET_COL, bounded_broadcast, join_links
 
 def _order():
     return [F.col("total_clicks").desc(), F.col("short_code").asc()]
@@ -25,8 +25,9 @@ def _order():
 
 def _live_links(links: DataFrame) -> DataFrame:
     """Links with a usable destination (missing or empty URLs are dropped)."""
+    extra = [BUCKET_COL] if BUCKET_COL in links.columns else []
     return (links.where(F.col("long_url").isNotNull() & (F.col("long_url") != ""))
-                 .select(F.col("id"), F.col("long_url")))
+                 .select(F.col("id"), F.col("long_url"), *extra))
 
 
 def _with_rank(df: DataFrame) -> DataFrame:
@@ -41,18 +42,20 @@ def top_links(rollup: DataFrame, n: int = TOP_LINKS_N) -> DataFrame:
 
 
 def top_links_enriched(rollup: DataFrame, links: DataFrame, n: int = TOP_LINKS_N,
-                       drop_deleted: str = "after_limit") -> DataFrame:
+                       drop_deleted: str = "after_limit", link_buckets: int | None = None) -> DataFrame:
     """Top ``n`` codes with their destination URL.
 
     ``after_limit`` (the original behaviour): rank first, then drop codes whose
     link is gone, so fewer than ``n`` rows may come back.
     ``before_limit``: drop dead codes first, then rank, always ``n`` rows if
     that many live codes were clicked.
+    ``link_buckets``: the link table is stored by ``sinks.write_links``;
+    only the partitions of the ranked codes are read.
     """
     live = _live_links(links)
     if drop_deleted == "after_limit":
         top = bounded_broadcast(clicks_by_code(rollup).orderBy(*_order()).limit(n), n)
-        joined = top.join(live, top["short_code"] == live["id"], "inner")
+        joined = join_links(top, "short_code", live, "inner", link_buckets)
     elif drop_deleted == "before_limit":
         totals = clicks_by_code(rollup)
         joined = (totals.join(live, totals["short_code"] == live["id"], "inner")

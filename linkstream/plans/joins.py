@@ -26,3 +26,29 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     if max_rows > MAX_BOUNDED_BROADCAST_ROWS:
         return df
     return F.broadcast(df)
+
+
+# Stored link tables are partitioned by a hash bucket of the id.  A join that
+# also matches the bucket lets dynamic partition pruning reuse the broadcast
+# side and read only the partitions of the keys it holds: enriching the top
+# n codes then reads at most n partitions instead of the whole table.
+LINK_BUCKETS = 1024
+BUCKET_COL = "id_bucket"
+
+
+def key_bucket(col, buckets: int = LINK_BUCKETS):
+    c = F.col(col) if isinstance(col, str) else col
+    return F.pmod(F.xxhash64(c), F.lit(buckets))
+
+
+def join_links(keys: DataFrame, key_col: str, links: DataFrame, how: str = "inner",
+               buckets: int | None = None) -> DataFrame:
+    """Join ``keys`` to a link table on ``key_col = id``; when the table is
+    stored bucketed (``id_bucket`` partition column, ``buckets`` given) the
+    bucket is matched too, so partitions without those keys are pruned."""
+    cond = keys[key_col] == links["id"]
+    if buckets is not None and BUCKET_COL in links.columns:
+        keys = keys.withColumn("_kb", key_bucket(key_col, buckets))
+        cond = (keys[key_col] == links["id"]) & (keys["_kb"] == links[BUCKET_COL])
+        return keys.join(links, cond, how).drop("_kb", BUCKET_COL)
+    return keys.join(links, cond, how)

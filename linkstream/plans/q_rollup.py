@@ -132,3 +132,22 @@ select '{"top_links":[' || coalesce(string_agg(json_object('short_code', short_c
 def q_top_links_json(spark, sf):
     t = Tables(spark, sf)
     return TL.top_links_json(TL.top_links_enriched(R.hourly_rollup(FX.clicks(t)), FX.url_mappings(t), 10))
+
+
+@query("top_links_enriched_stored", "J1, S7", V("clicks", "url_mappings") + ", " + _HOURLY_SQL + ", " + _TOTALS_SQL
+       + ", " + _LIVE_SQL + """,
+top as (select * from totals order by total_clicks desc, short_code limit 10)
+select t.short_code, l.long_url, t.total_clicks,
+  row_number() over (order by t.total_clicks desc, t.short_code) as rank
+from top t join live l on t.short_code = l.id""")
+def q_top_links_stored(spark, sf):
+    """Top links against a stored, id-bucketed link table: dynamic partition
+    pruning reads only the buckets of the ranked codes."""
+    from linkstream.plans.joins import LINK_BUCKETS
+    from linkstream.session import scratch_path
+    from linkstream.sources.sinks import write_links
+    t = Tables(spark, sf)
+    path = scratch_path(spark, "links")
+    write_links(FX.url_mappings(t), path, LINK_BUCKETS)
+    links = spark.read.parquet(path)
+    return TL.top_links_enriched(R.hourly_rollup(FX.clicks(t)), links, 10, link_buckets=LINK_BUCKETS)

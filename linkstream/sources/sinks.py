@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkstream.constants import SINK_BATCH_ROWS, SINK_MAX_RETRIES
 from linkstream.operators.rollup import hourly_rollup
+from linkstream.plans.joins import BUCKET_COL, LINK_BUCKETS, key_bucket
 
 
 def batch_dir(path: str, batch_id: int) -> str:
@@ -67,3 +68,9 @@ def write_created_feed(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.select("key", "value").write.mode("overwrite").parquet(batch_dir(path, batch_id))
     return write
+
+
+def write_links(links: DataFrame, path: str, buckets: int = LINK_BUCKETS, mode: str = "overwrite") -> None:
+    """Store a link table partitioned by ``id_bucket`` (see plans.joins)."""
+    (links.withColumn(BUCKET_COL, key_bucket("id", buckets))
+          .write.mode(mode).partitionBy(BUCKET_COL).parquet(path))

@@ -36,3 +36,8 @@ def test_no_python_udf_in_hot_paths(spark):
 
 def test_trending_uses_group_limit(spark):
     assert "WindowGroupLimit" in plan(spark, "trending_topn")
+
+
+def test_stored_links_are_pruned_dynamically(spark):
+    p = plan(spark, "top_links_enriched_stored")
+    assert "dynamicpruning" in p.lower()
