@@ -20,6 +20,7 @@ from linkstream.constants import (
     WRITE_EDGE_BUCKET_PER_S, WRITE_LIMIT_PER_S,
 )
 from linkstream.functions.text import blank
+from linkstream.plans.joins import BUCKET_COL, join_links
 
 # Limits configured in front of the original services (requests per second).
 CONFIGURED_LIMITS = {"write": WRITE_LIMIT_PER_S, "read": READ_LIMIT_PER_S,
@@ -50,8 +51,12 @@ def known_code_guard(requests: DataFrame, known: DataFrame,
 
 
 def resolve_redirects(requests: DataFrame, known: DataFrame, cache: DataFrame | None,
-                      links: DataFrame, count_miss_as_error: bool = False) -> DataFrame:
-    """Outcome per request: status, source label, destination."""
+                      links: DataFrame, count_miss_as_error: bool = False,
+                      link_buckets: int | None = None) -> DataFrame:
+    """Outcome per request: status, source label, destination.  With
+    ``link_buckets`` (a link table stored by ``sinks.write_links``) the table
+    lookup also matches the bucket, so dynamic partition pruning can skip
+    buckets no requested code falls in."""
     codes = requests.select("short_code").where(~blank("short_code")).distinct()
     k = known.select("short_code", F.lit(True).alias("_known"))
     looked = codes.join(k, "short_code", "left")
@@ -60,8 +65,9 @@ def resolve_redirects(requests: DataFrame, known: DataFrame, cache: DataFrame |
         looked = looked.join(c, "short_code", "left")
     else:
         looked = looked.withColumn("_cache_url", F.lit(None).cast("string"))
-    t = links.select(F.col("id").alias("short_code"), F.col("long_url").alias("_table_url"))
-    looked = looked.join(t, "short_code", "left")
+    extra = [BUCKET_COL] if BUCKET_COL in links.columns else []
+    t = links.select("id", F.col("long_url").alias("_table_url"), *extra)
+    looked = join_links(looked, "short_code", t, "left", link_buckets).drop("id")
 
     known_ = F.coalesce(F.col("_known"), F.lit(False))
     source = (F.when(~known_, F.lit(OUTCOME_GUARD_MISS))
