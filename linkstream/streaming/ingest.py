@@ -43,7 +43,7 @@ def init_rollup(spark: SparkSession, path: str) -> None:
     absent; ``ignore`` mode leaves an existing location untouched."""
     empty = spark.createDataFrame([], _PARTIAL_SCHEMA)
     empty.write.mode("ignore").parquet(f"{path}/partials/batch_id=-1")
-    empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1")
+    empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1/day=1970-01-01")
 
 
 def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str,
@@ -55,31 +55,45 @@ def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str,
 
 def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     partials = spark.read.schema(_PARTIAL_SCHEMA + ", batch_id bigint").parquet(f"{path}/partials")
-    compacted = spark.read.schema(_PARTIAL_SCHEMA + ", upto bigint").parquet(f"{path}/compacted")
+    compacted = spark.read.schema(_PARTIAL_SCHEMA + ", upto bigint, day date").parquet(f"{path}/compacted")
     return partials, compacted
 
 
+def _current_days(compacted: DataFrame) -> DataFrame:
+    """For each day, the rows of the newest compacted version holding it."""
+    newest = compacted.groupBy("day").agg(F.max("upto").alias("upto"))
+    return compacted.join(newest, ["day", "upto"], "left_semi")
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """Partial rows visible to readers: the newest compacted version plus
-    every partial batch written after it.  Sum them to get totals."""
+    """Partial rows visible to readers: per day the newest compacted version,
+    plus every partial batch written after the newest compaction.  Sum them
+    to get totals."""
     partials, compacted = _versions(spark, path)
     upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
     newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*ROLLUP_KEY, "total_clicks")
-    return compacted.where(F.col("upto") == F.lit(upto)).select(*ROLLUP_KEY, "total_clicks").unionByName(newer)
+    return _current_days(compacted).select(*ROLLUP_KEY, "total_clicks").unionByName(newer)
 
 
 def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
-    """Merge partials of committed batches <= ``upto_batch`` into a new
-    compacted version.  ``upto_batch`` must be a committed batch id (e.g.
+    """Merge partials of committed batches <= ``upto_batch`` into version
+    ``upto_batch``, rewriting only the days those batches touched.
+
+    ``upto_batch`` must be a committed batch id (e.g.
     ``query.lastProgress['batchId']``), so a batch still being replayed is
-    never folded in.  Readers switch to the version once it is complete."""
+    never folded in.  A day untouched by the new batches keeps its older
+    version, which readers still pick for it; the new version becomes
+    visible when its write commits."""
     partials, compacted = _versions(spark, path)
     prev = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
-    base = compacted.where(F.col("upto") == F.lit(prev)).select(*ROLLUP_KEY, "total_clicks")
-    fresh = partials.where((F.col("batch_id") > F.lit(prev)) & (F.col("batch_id") <= F.lit(upto_batch)))
-    rows = base.unionByName(fresh.select(*ROLLUP_KEY, "total_clicks"))
-    merged = rows.groupBy(*ROLLUP_KEY).agg(F.sum("total_clicks").cast("bigint").alias("total_clicks"))
-    merged.write.mode("overwrite").parquet(f"{path}/compacted/upto={upto_batch}")
+    fresh = (partials.where((F.col("batch_id") > F.lit(prev)) & (F.col("batch_id") <= F.lit(upto_batch)))
+                     .select(*ROLLUP_KEY, "total_clicks").withColumn("day", F.to_date("hour")))
+    touched = fresh.select("day").distinct()
+    base = (_current_days(compacted).join(touched, "day", "left_semi")
+                                    .select(*ROLLUP_KEY, "total_clicks", "day"))
+    merged = (base.unionByName(fresh).groupBy("day", *ROLLUP_KEY)
+                  .agg(F.sum("total_clicks").cast("bigint").alias("total_clicks")))
+    merged.write.mode("overwrite").partitionBy("day").parquet(f"{path}/compacted/upto={upto_batch}")
 
 
 def stream_split_clicks(stream: DataFrame, paths: dict[str, str], checkpoint: str,

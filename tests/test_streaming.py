@@ -82,3 +82,24 @@ def test_windowed_alert_stream_reports_late_drops(spark):
                .option("checkpointLocation", scratch_path(spark, "ck3")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert AL.dropped_by_watermark(q) > 0  # shuffled files => late rows are counted, not hidden
+
+
+def test_incremental_compaction_keeps_untouched_days(spark):
+    from linkstream.operators.clicks import parse_clicks
+    from linkstream.sources.sinks import write_rollup
+    t = Tables(spark, SF001)
+    good, _ = parse_clicks(FX.click_json(t))
+    out = scratch_path(spark, "roll-inc")
+    IN.init_rollup(spark, out)
+    early = good.where(F.col("event_time") < F.lit("2024-01-15").cast("timestamp"))
+    late = good.where(F.col("event_time") >= F.lit("2024-01-15").cast("timestamp"))
+    w = write_rollup(f"{out}/partials")
+    w(good, 0)
+    IN.compact_rollup_job(spark, out, 0)           # every day in version 0
+    w(late, 1)
+    IN.compact_rollup_job(spark, out, 1)           # version 1 holds late days only
+    w(early.limit(5), 2)                            # not yet compacted
+    versions = spark.read.parquet(f"{out}/compacted").where("upto = 1")
+    assert versions.where(F.col("day") < F.lit("2024-01-15").cast("date")).count() == 0
+    want = good.count() + late.count() + 5
+    assert IN.read_rollup(spark, out).agg(F.sum("total_clicks")).first()[0] == want
