@@ -15,18 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, TOP_LINKS_N
+from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, SINK_FLUSH_MS, TOP_LINKS_N
 from linkstream.operators.clicks import parse_clicks, publish_created, route_clicks
 from linkstream.operators.rollup import ROLLUP_KEY
 from linkstream.operators.toplinks import top_links_enriched, top_links_json
 from linkstream.sources.sinks import batch_dir, write_created_feed, write_rollup, write_split
 
 
+# Without an explicit trigger, ingest flushes on the original sink's cadence.
+DEFAULT_TRIGGER = {"processingTime": f"{SINK_FLUSH_MS} milliseconds"}
+
+
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
-    if trigger:
-        writer = writer.trigger(**trigger)
-    return writer.start()
+    return writer.trigger(**(trigger or DEFAULT_TRIGGER)).start()
 
 
 def with_click_watermark(stream: DataFrame, delay: str = CLICK_WATERMARK, ts: str = "event_time") -> DataFrame:
