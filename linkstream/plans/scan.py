@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 _CHUNK = "_scan_chunk"
 
 # A key with more rows than this is scanned in time chunks.
-HOT_KEY_ROWS = 1_000_000
+HOT_KEY_ROWS = 10_000_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], threshold: int = HOT_KEY_ROWS):
