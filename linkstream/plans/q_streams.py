@@ -181,6 +181,6 @@ def q_stream_top_links(spark, sf):
     path = scratch_path(spark, "top")
     cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": 2}
     q = IN.stream_top_links(read_clicks_stream(spark, cfg), FX.url_mappings(t), path,
-                            scratch_path(spark, "top-ck"), trigger={"availableNow": True})
+                            scratch_path(spark, "top-ck"), trigger={"availableNow": True}, compact_every=1)
     q.awaitTermination()
     return spark.read.json(f"{path}/top_links").select("json")

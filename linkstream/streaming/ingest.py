@@ -48,11 +48,23 @@ def init_rollup(spark: SparkSession, path: str) -> None:
     empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1/day=1970-01-01")
 
 
-def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str,
-                         trigger: dict | None = None, value_col: str = "value") -> StreamingQuery:
+def _rollup_writer(path: str, compact_every: int | None):
+    """Write the batch's partial counts; every ``compact_every`` batches fold
+    the batches before this one (all committed) into a compacted version."""
+    write_partials = write_rollup(f"{path}/partials")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        write_partials(batch, batch_id)
+        if compact_every and batch_id > 0 and batch_id % compact_every == 0:
+            compact_rollup_job(batch.sparkSession, path, batch_id - 1)
+    return step
+
+
+def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                         value_col: str = "value", compact_every: int | None = None) -> StreamingQuery:
     init_rollup(stream.sparkSession, path)
     clicks, _ = parse_clicks(stream, value_col)
-    return _start(clicks.writeStream.foreachBatch(write_rollup(f"{path}/partials")), checkpoint, trigger)
+    return _start(clicks.writeStream.foreachBatch(_rollup_writer(path, compact_every)), checkpoint, trigger)
 
 
 def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +100,8 @@ def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
     visible when its write commits."""
     partials, compacted = _versions(spark, path)
     prev = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    if upto_batch <= prev:
+        return  # already compacted (a re-run must not overwrite the version)
     fresh = (partials.where((F.col("batch_id") > F.lit(prev)) & (F.col("batch_id") <= F.lit(upto_batch)))
                      .select(*ROLLUP_KEY, "total_clicks").withColumn("day", F.to_date("hour")))
     touched = fresh.select("day").distinct()
@@ -127,12 +141,13 @@ def stream_links_change_feed(applied_stream: DataFrame, path: str, checkpoint: s
 
 def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint: str,
                      every: str = DASHBOARD_REFRESH, n: int = TOP_LINKS_N,
-                     value_col: str = "value", trigger: dict | None = None) -> StreamingQuery:
+                     value_col: str = "value", trigger: dict | None = None,
+                     compact_every: int | None = None) -> StreamingQuery:
     """Dashboard feed: after each batch's partials are written, recompute the
     enriched top-n from the roll-up and replace the published document."""
     init_rollup(stream.sparkSession, path)
     clicks, _ = parse_clicks(stream, value_col)
-    write_partials = write_rollup(f"{path}/partials")
+    write_partials = _rollup_writer(path, compact_every)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         write_partials(batch, batch_id)

@@ -98,6 +98,7 @@ def test_incremental_compaction_keeps_untouched_days(spark):
     IN.compact_rollup_job(spark, out, 0)           # every day in version 0
     w(late, 1)
     IN.compact_rollup_job(spark, out, 1)           # version 1 holds late days only
+    IN.compact_rollup_job(spark, out, 1)           # re-run (replayed batch): no-op
     w(early.limit(5), 2)                            # not yet compacted
     versions = spark.read.parquet(f"{out}/compacted").where("upto = 1")
     assert versions.where(F.col("day") < F.lit("2024-01-15").cast("date")).count() == 0
