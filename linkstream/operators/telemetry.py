@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstream.functions.timefns import recent, start_of_hour
-from linkstream.plans.ranking import exact_quantiles
+from linkstream.plans.ranking import join_null_safe, exact_quantiles
 
 DEFAULT_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -82,13 +82,13 @@ def service_red(points: DataFrame, bucket: str = "day", exact: bool = True,
                      F.avg((F.col(status) >= 500).cast("double")).alias("error_rate")))
     if exact:
         qs = exact_quantiles(keyed, [service, "bucket"], duration, [0.5, 0.9, 0.99], ["_p50", "_p90", "_p99"])
-        agg = agg.join(qs, [service, "bucket"], "left")
+        agg = join_null_safe(agg, qs, [service, "bucket"], "left")
     else:
         approx = (keyed.groupBy(service, "bucket")
                        .agg(F.percentile_approx(duration, [0.5, 0.9, 0.99], 10000).alias("_a")))
-        agg = agg.join(approx.select(service, "bucket", *[F.col("_a")[i].alias(n) for i, n in
-                                                          enumerate(["_p50", "_p90", "_p99"])]),
-                       [service, "bucket"], "left")
+        agg = join_null_safe(agg, approx.select(service, "bucket", *[F.col("_a")[i].alias(n) for i, n in
+                                                                    enumerate(["_p50", "_p90", "_p99"])]),
+                              [service, "bucket"], "left")
     return agg.select(service, "bucket", "requests",
                       F.round(F.col("requests") / F.lit(float(seconds)), 9).alias("rate_per_s"),
                       F.round("error_rate", 9).alias("error_rate"),

@@ -38,6 +38,14 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "row_number
                .drop("_mid", "_pid", "_idx", "_off"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (group keys may be NULL)."""
+    ren = {k: f"_jr_{k}" for k in keys}
+    r = right.select(*[F.col(c).alias(ren.get(c, c)) for c in right.columns])
+    cond = [F.col(k).eqNullSafe(F.col(ren[k])) for k in keys]
+    return left.join(r, cond, how).drop(*ren.values())
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str]) -> DataFrame:
     """Exact quantiles (linear interpolation, as ``percentile``) per group,
@@ -59,7 +67,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     need = (need.withColumn("_lo", F.floor("_h").cast("bigint")).withColumn("_hi", F.ceil("_h").cast("bigint")))
     picks = need.select(*keys, "_q", "_h", "_lo", "_hi",
                         F.explode(F.array(F.col("_start") + F.col("_lo"), F.col("_start") + F.col("_hi"))).alias("_rn"))
-    got = picks.join(ranked, [*keys, "_rn"]).dropDuplicates([*keys, "_q", "_rn"])
+    got = join_null_safe(picks, ranked.select(*keys, "_rn", "_v"), [*keys, "_rn"]) \
+        .dropDuplicates([*keys, "_q", "_rn"])
     per_q = got.groupBy(*keys, "_q", "_h", "_lo", "_hi").agg(
         F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
     # Same interpolation form as Spark's percentile.

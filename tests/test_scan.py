@@ -65,3 +65,10 @@ def test_exact_quantiles_match_percentile(spark):
     assert j.count() == ref.count()
     for i, n in enumerate(["q0", "q50", "q90", "q99", "q100"]):
         assert j.where(F.abs(F.col(n) - F.col("r")[i]) > 1e-9).count() == 0, n
+
+
+def test_exact_quantiles_null_group(spark):
+    from linkstream.plans.ranking import exact_quantiles
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    got = {r.g: r.q50 for r in exact_quantiles(df, ["g"], "v", [0.5], ["q50"]).collect()}
+    assert got == {None: 2.0, "a": 2.0}
