@@ -109,3 +109,24 @@ def test_links_as_of_is_snapshot(spark):
     log = FX.link_mutations(Tables(spark, SF001))
     early = L.links_as_of(log, "1993-01-01 00:00:00")
     assert early.where(F.col("updated_at") > F.lit("1993-01-01 00:00:00").cast("timestamp")).count() == 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+MUTS = "id string, op string, long_url string, user_id string, commit_ts timestamp, seq long"
+_EVENT = st.tuples(st.sampled_from(["k0", "k1", "k2"]), st.sampled_from(["insert", "update", "delete"]),
+                   st.sampled_from(["a", "b", None]), st.integers(min_value=0, max_value=40))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(_EVENT, min_size=1, max_size=60), st.booleans())
+def test_replay_property(spark, events, chunked):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, op, f"u{i}", user, base + dt.timedelta(hours=6 * day), i)
+            for i, (k, op, user, day) in enumerate(events)]
+    df = spark.createDataFrame(rows, MUTS)
+    if chunked:
+        _check(spark, df, "day", hot_threshold=0)
+    else:
+        _check(spark, df, None)
