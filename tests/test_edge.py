@@ -86,3 +86,22 @@ def test_rollup_properties(spark):
     live = totals.join(links.select(F.col("id").alias("short_code")), "short_code", "left_semi")
     orphans = TL.orphan_clicks(roll, links)
     assert live.count() + orphans.count() == totals.count()
+
+
+def test_configured_limit_audit(spark):
+    base = dt.datetime(2026, 3, 14, 12, 0, 0)
+    rows = [(i, base + dt.timedelta(microseconds=i), "c") for i in range(1003)]   # 1003 in one second
+    reqs = spark.createDataFrame(rows, "request_id long, ts timestamp, short_code string")
+    over = RS.audit_configured_limit(reqs, "read_edge").collect()                     # 1000/s bucket
+    assert [(r.requests, r.excess) for r in over] == [(1003, 3)]
+    assert RS.audit_configured_limit(reqs, "read").count() == 0                     # 5000/s global
+
+
+def test_stale_read_hides_recent_changes(spark):
+    t0 = dt.datetime(2026, 3, 14, 12, 0, 0)
+    log = spark.createDataFrame([("a", "insert", "u1", "x", t0, 1),
+                                 ("a", "update", "u2", "x", t0 + dt.timedelta(seconds=10), 2)], MUTS)
+    now = "2026-03-14 12:00:20"
+    stale = L.stale_read(log, now, "15 seconds").collect()
+    strong = L.stale_read(log, now, "0 seconds").collect()
+    assert [r.long_url for r in stale] == ["u1"] and [r.long_url for r in strong] == ["u2"]
