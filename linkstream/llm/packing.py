@@ -25,7 +25,9 @@ from linkstream.llm.common import dense_slots
 SEQUENCE = 4096
 END_ID = 2
 #: Words whose ids a task remembers, and the longest such word.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+CACHED_WORDS, CACHED_LENGTH = 600_000, 64
+#: Marks behind a word that are tokens of their own.
+CLOSING = ".,;:!?#$%&*)"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,17 +38,36 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds(dict):
     """Word -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer never joins text across a blank or a line feed, so ids of a
-    text are those of its words in turn.
+    The tokenizer (a byte-level BPE with word ends) never joins text across a
+    blank or a line feed, so ids of a text are those of its words in turn.  It
+    lower-cases, and it parts a letter or digit from the marks behind it, so a
+    word not seen yet is looked up in lower case and without closing marks.  A
+    word of Latin letters is one pre-token, so its bytes go straight to the
+    model; all others take the whole way.
     """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # byte-level alphabet: printable bytes stand for themselves, the others for 256 onwards
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        stem = word.rstrip(CLOSING)
+        if stem and stem != word and stem[-1].isalnum():
+            ids = self[stem] + self[word[len(stem):]]
+        elif word.isalpha() and max(word) < "\u0130":
+            if (low := word.lower()) != word:
+                ids = self[low]
+            else:
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+                ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
