@@ -6,11 +6,13 @@ reliable checkpoints (``spark.checkpoint.dir``) and counts of small tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkstream.session import checkpoint_dir
 from linkstream.sources.tables import read_table
 
 #: Equal (group, bucket) cells of ``dense_slots`` are numbered in one task each.
@@ -23,6 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the shared folder.  For loops: a checkpoint keeps the
+    size estimate of the plan before it, which joins multiply in every round."""
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of ``df``."""
     taken = {c.lower() for c in df.columns}

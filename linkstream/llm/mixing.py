@@ -83,19 +83,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str
     column whose name is taken gets leading underscores.
     """
     kept = keep or df.columns
-    copy, copies, rate_name, order = free_name(df.select(*kept), "copy", "copies", "rate", "shuffle_key")
+    names = free_name(df.select(*kept), "copy", "copies", "rate", "shuffle_key")
     rates = _with_cdf(source_rates(df, source, text, weights, temper, budget)).checkpoint()
     if rates.count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rates = rates.select("_src", F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"), F.col("parts").alias("_parts"))
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    drawn = (df.withColumn("_key", key).select(*kept, F.col(source).alias("_of"), "_key")
-               .join(rates, F.col("_of").eqNullSafe(F.col("_src")))
-               .withColumn(copies, poisson_inverse(F.col("_key"), F.col("_cdf"), F.col("_parts"), seed))
-               .withColumn(rate_name, F.col("_rate")).drop("_cdf", "_parts", "_rate", "_src", "_of"))
-    rows = expand_copies(drawn, copies, copy).withColumn(
-        order, F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:shuffle"), "_key", F.col(copy).cast("string"))), 1, 15),
-                      16, 10).cast("bigint"))
+    # The document travels as one value, so that no name of its columns matters here.
+    whole = df.select(F.struct(*[F.col(c) for c in kept]).alias("row"), key.alias("key"), F.col(source).alias("src"))
+    drawn = whole.join(rates, F.col("src").eqNullSafe(F.col("_src"))).select(
+        "row", "key", "rate", poisson_inverse(F.col("key"), F.col("cdf"), F.col("parts"), seed).alias("copies"))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:shuffle"), "key", F.col("copy").cast("string"))), 1, 15), 16, 10)
+    rows = expand_copies(drawn, "copies", "copy").withColumn("order", order.cast("bigint"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(n, F.col(order)).sortWithinPartitions(order)
-                .select(*kept, copy, copies, rate_name, order))
+    return (rows.repartition(n, F.col("order")).sortWithinPartitions("order").select(
+        *[F.col("row")[c].alias(c) for c in kept],
+        *[F.col(c).alias(out) for c, out in zip(("copy", "copies", "rate", "order"), names)]))

@@ -20,7 +20,7 @@ sets have a Jaccard similarity of 0.8 or more.
 5. A cell returns, per member, the number of its links, and a spanning forest
    of the links: as many rows as members, never a row per pair.
 6. Components come from the forests by min-label propagation with pointer
-   jumping, over checkpointed narrow tables.
+   jumping, over narrow written tables.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkstream.llm.common import free_name
+from linkstream.llm.common import free_name, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -326,21 +326,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): the least node of its
     component.  Each round hooks every root onto the least root next to it and
     then halves the paths, so rounds grow with the logarithm of a chain."""
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
+    real = edges.where("a <> b").select("a", "b")
+    both = written(real.union(real.select("b", "a")).distinct())
+    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     while True:
         # the least label among neighbours, carried to the root
         near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b") \
                    .join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-        hook = near.where(F.col("rb") < F.col("ra")).groupBy("ra").agg(F.min("rb").alias("to")).checkpoint()
+        hook = written(near.where(F.col("rb") < F.col("ra")).groupBy("ra").agg(F.min("rb").alias("to")))
         if hook.isEmpty():
             return label
         # follow hooks of hooks: roots only ever point to smaller ones
         for _ in range(2):
             hook = hook.join(hook.select(F.col("ra").alias("to"), F.col("to").alias("next")), "to", "left") \
                        .select("ra", F.coalesce("next", "to").alias("to"))
-        label = label.join(hook.withColumnRenamed("ra", "root"), "root", "left") \
-                     .select("node", F.coalesce("to", "root").alias("root")).checkpoint()
+        label = written(label.join(hook.withColumnRenamed("ra", "root"), "root", "left")
+                             .select("node", F.coalesce("to", "root").alias("root")))
 
 
 def clustered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

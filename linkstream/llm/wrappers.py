@@ -211,9 +211,11 @@ def main_slots(wrapper: list) -> tuple[list[str], list[str]]:
     left = [s for s in wrapper[1] if not outside(s)]
     inside = [s for s in left if any(tag in ("article", "main") for tag, _ in _parts(s))]
     rest = []
+    # pages that are all alike say nothing about what is template
+    varies = any(mark is None for *_, mark in wrapper[1].values())
     for s in set(left).difference(inside):
         pages, chars, linked, mark = wrapper[1][s]
-        template = pages > 1 and mark is not None
+        template = varies and pages > 1 and mark is not None
         if not template and 2 * linked < chars:
             rest.append(s)
     return sorted(inside), sorted(rest)
