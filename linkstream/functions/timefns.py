@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
-RFC3339_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
+# Fraction of a second in front of the offset that ends the text.
+_FRACTION = r"\.([0-9]{1,9})(?=(?:Z|[+-][0-9]{2}:[0-9]{2})$)"
 
 
 def _c(col) -> Column:
@@ -14,10 +15,12 @@ def _c(col) -> Column:
 
 
 def rfc3339_to_ts(col) -> Column:
-    """RFC 3339 text (``Z`` or ``+hh:mm`` offset) -> UTC timestamp; bad -> NULL."""
+    """RFC 3339 text (``Z`` or ``+hh:mm`` offset, up to 9 fraction digits) -> UTC
+    timestamp, cut to microseconds; bad -> NULL."""
     c = _c(col)
-    return F.coalesce(F.try_to_timestamp(c, F.lit(RFC3339)),
-                      F.try_to_timestamp(c, F.lit(RFC3339_MILLIS)))
+    whole = F.try_to_timestamp(F.regexp_replace(c, _FRACTION, ""), F.lit(RFC3339))
+    digits = F.rpad(F.substring(F.regexp_extract(c, _FRACTION, 1), 1, 6), 6, "0")
+    return F.timestamp_micros(F.unix_micros(whole) + digits.cast("bigint"))
 
 
 def to_rfc3339(col) -> Column:

@@ -61,11 +61,11 @@ def rolling_avg(df: DataFrame, key: str, ts: str, value: str, span_seconds: int,
     """Average of ``value`` over ``[t - span, t]`` per key at every distinct ``t``."""
     chunk = max(chunk_seconds or 0, span_seconds, 1)
     pre = (df.groupBy(key, ts).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-             .withColumn("_e", F.unix_seconds(ts)))
-    pre = pre.withColumn("_own", F.floor(F.col("_e") / chunk))
+             .withColumn("_e", F.unix_micros(ts)))
+    pre = pre.withColumn("_own", F.floor(F.col("_e") / (chunk * 1_000_000)))
     # Each row also serves the next chunk, whose frames reach back into it.
     copies = pre.withColumn("_part", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = Window.partitionBy(key, "_part").orderBy("_e").rangeBetween(-span_seconds, 0)
+    w = Window.partitionBy(key, "_part").orderBy("_e").rangeBetween(-span_seconds * 1_000_000, 0)
     rolled = copies.select(key, ts, "_own", "_part",
                            F.sum("_s").over(w).alias("_ws"), F.sum("_n").over(w).alias("_wn"))
     return (rolled.where(F.col("_own") == F.col("_part"))

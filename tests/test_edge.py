@@ -105,3 +105,19 @@ def test_stale_read_hides_recent_changes(spark):
     stale = L.stale_read(log, now, "15 seconds").collect()
     strong = L.stale_read(log, now, "0 seconds").collect()
     assert [r.long_url for r in stale] == ["u1"] and [r.long_url for r in strong] == ["u2"]
+
+
+def test_rfc3339_fractions(spark):
+    from linkstream.functions.timefns import rfc3339_to_ts
+    want = {"2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02T03:04:05.1Z": "2024-01-02 03:04:05.1",
+            "2024-01-02T03:04:05.123456Z": "2024-01-02 03:04:05.123456",
+            "2024-01-02T03:04:05.123456789+05:30": "2024-01-01 21:34:05.123456",
+            "2024-01-02T03:04:05.Z": None, "2024-01-02T03:04:05.1234567891Z": None, "2024-01-02T03:04:05.5": None}
+    df = spark.createDataFrame([(x,) for x in want], "x string")
+    assert {r["x"]: r["t"] for r in df.select("x", rfc3339_to_ts("x").cast("string").alias("t")).collect()} == want
+
+
+def test_rolling_avg_below_one_second(spark):
+    from linkstream.operators.patterns import rolling_avg
+    df = spark.sql("select 1 k, timestamp'2024-01-01 00:00:10.1' ts, 1.0D v union all select 1, timestamp'2024-01-01 00:00:10.9', 9.0D")
+    assert [r["rolling_avg"] for r in rolling_avg(df, "k", "ts", "v", 60).orderBy("ts").collect()] == [1.0, 5.0]
