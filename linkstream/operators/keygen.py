@@ -61,10 +61,8 @@ def assign_short_codes(df: DataFrame, order_col: str, start_id: int = 0, mode: s
     elif mode == "snowflake":
         if batch_ms is None:
             raise ValueError("snowflake mode needs batch_ms")
-        n_parts = need.rdd.getNumPartitions()
-        if n_parts > (1 << SNOWFLAKE_NODE_BITS):
-            raise ValueError(f"snowflake mode supports at most 1024 partitions, got {n_parts}")
-        base = stable(need.withColumn("_mid", F.monotonically_increasing_id()))
+        # One node id per partition: more partitions than nodes are folded together.
+        base = stable(need.coalesce(1 << SNOWFLAKE_NODE_BITS).withColumn("_mid", F.monotonically_increasing_id()))
         idx = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
         node = F.shiftright("_mid", 33)
         ident = snowflake_compose(F.lit(batch_ms) + F.floor(idx / 4096).cast("bigint"), node, idx % 4096)

@@ -37,6 +37,8 @@ def with_click_watermark(stream: DataFrame, delay: str = CLICK_WATERMARK, ts: st
     return stream.withWatermark(ts, delay)
 
 
+# Compacted versions whose write ended; a version without its row does not exist for readers.
+_FINISHED_SCHEMA = "upto bigint"
 _PARTIAL_SCHEMA = "hour timestamp, short_code string, country_code string, total_clicks bigint"
 
 
@@ -46,6 +48,7 @@ def init_rollup(spark: SparkSession, path: str) -> None:
     empty = spark.createDataFrame([], _PARTIAL_SCHEMA)
     empty.write.mode("ignore").parquet(f"{path}/partials/batch_id=-1")
     empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1/day=1970-01-01")
+    spark.createDataFrame([], _FINISHED_SCHEMA).write.mode("ignore").parquet(f"{path}/finished")
 
 
 def _rollup_writer(path: str, compact_every: int | None):
@@ -70,7 +73,8 @@ def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str, trigger:
 def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     partials = spark.read.schema(_PARTIAL_SCHEMA + ", batch_id bigint").parquet(f"{path}/partials")
     compacted = spark.read.schema(_PARTIAL_SCHEMA + ", upto bigint, day date").parquet(f"{path}/compacted")
-    return partials, compacted
+    finished = spark.read.schema(_FINISHED_SCHEMA).parquet(f"{path}/finished")
+    return partials, compacted.join(finished, "upto", "left_semi")
 
 
 def _current_days(compacted: DataFrame) -> DataFrame:
@@ -96,8 +100,10 @@ def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
     ``upto_batch`` must be a committed batch id (e.g.
     ``query.lastProgress['batchId']``), so a batch still being replayed is
     never folded in.  A day untouched by the new batches keeps its older
-    version, which readers still pick for it; the new version becomes
-    visible when its write commits."""
+    version, which readers still pick for it.  The new version becomes
+    visible by its row in ``finished``, written after all its days: a job that
+    dies between days leaves nothing to readers, and its re-run overwrites
+    what it left."""
     partials, compacted = _versions(spark, path)
     prev = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
     if upto_batch <= prev:
@@ -110,6 +116,7 @@ def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
     merged = (base.unionByName(fresh).groupBy("day", *ROLLUP_KEY)
                   .agg(F.sum("total_clicks").cast("bigint").alias("total_clicks")))
     merged.write.mode("overwrite").partitionBy("day").parquet(f"{path}/compacted/upto={upto_batch}")
+    spark.createDataFrame([(upto_batch,)], _FINISHED_SCHEMA).write.mode("append").parquet(f"{path}/finished")
 
 
 def stream_split_clicks(stream: DataFrame, paths: dict[str, str], checkpoint: str,

@@ -104,3 +104,20 @@ def test_incremental_compaction_keeps_untouched_days(spark):
     assert versions.where(F.col("day") < F.lit("2024-01-15").cast("date")).count() == 0
     want = good.count() + late.count() + 5
     assert IN.read_rollup(spark, out).agg(F.sum("total_clicks")).first()[0] == want
+
+
+def test_compaction_that_died_between_days_loses_nothing(spark):
+    from linkstream.operators.clicks import parse_clicks
+    from linkstream.sources.sinks import write_rollup
+    good, _ = parse_clicks(FX.click_json(Tables(spark, SF001)))
+    out = scratch_path(spark, "roll-crash")
+    IN.init_rollup(spark, out)
+    write_rollup(f"{out}/partials")(good, 0)
+    total = good.count()
+    day = good.select(F.to_date("event_time").alias("d")).agg(F.min("d")).first()[0]
+    half = spark.read.parquet(f"{out}/partials").where((F.col("batch_id") == 0) & (F.to_date("hour") == F.lit(day)))
+    half.drop("batch_id").write.parquet(f"{out}/compacted/upto=0/day={day}")  # the other days were never written
+    assert IN.read_rollup(spark, out).agg(F.sum("total_clicks")).first()[0] == total
+    IN.compact_rollup_job(spark, out, 0)
+    assert IN.read_rollup(spark, out).agg(F.sum("total_clicks")).first()[0] == total
+    assert IN._versions(spark, out)[1].agg(F.sum("total_clicks")).first()[0] == total
