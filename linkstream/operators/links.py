@@ -12,11 +12,17 @@ A sequential fold per key would put a hot key into one task.  Instead the
 fold is decomposed into *lives*: a life starts at a successful insert and
 ends at the first later delete by its owner; the next life starts at the
 first insert after that delete.  "Next delete by owner" and "next insert"
-are chunked ordered scans (``plans.scan``); which inserts start a life is
-found by pointer doubling over ``succ(insert) = next_insert(next_delete)``
-from the first insert of each id - ``log2(lives)`` rounds of equi-joins
-on unique event keys, with the lineage cut each round.  Every other
-verdict is then a per-row expression.
+are ordered scans (``plans.scan``), which cut every id into ranges of rows;
+which inserts start a life is found by pointer doubling over
+``succ(insert) = next_insert(next_delete)`` from the first insert of each
+id - ``log2(lives)`` rounds of equi-joins on unique event positions, with
+the lineage cut each round.  Every other verdict is then a per-row
+expression.
+
+An event's position is its number in the order (id, time, seq, op, user,
+URL), so two events of one id with equal (commit_ts, seq) have one order
+and one insert of them wins; events equal in all of it are interchangeable.
+The scans and the doubling carry no URL; it joins back once at the end.
 """
 
 from __future__ import annotations
@@ -29,10 +35,10 @@ from linkstream.functions.text import blank, display_count, display_date
 from linkstream.functions.timefns import ts_literal
 from linkstream.plans.joins import BUCKET_COL, join_links
 from linkstream.plans.ranking import global_row_number, stable
-from linkstream.plans.scan import HOT_KEY_ROWS, run_split, scan_last
+from linkstream.plans.scan import PART, POS, ordered, scan_last
 
-_ORDER = ["_o0", "_ts", "seq"]
-_EPOCH = "1900-01-01 00:00:00"
+# Rows of the link table (_o0 = 0) come before all mutations.
+_ORDER = ["_o0", "_ts", "seq", "op", "user_id", "long_url"]
 MUTATION_COLS = ["id", "op", "long_url", "user_id", "commit_ts", "seq"]
 
 
@@ -45,75 +51,52 @@ def _events(links: DataFrame | None, mutations: DataFrame) -> DataFrame:
                             F.col("created_at").alias("_ts"), F.lit(-1).cast("bigint").alias("seq"),
                             F.lit(0).alias("_o0"), "created_at")
         muts = init.unionByName(muts)
-    return muts.withColumn("pos", F.struct(*_ORDER))
-
-
-def _chunk(chunk_unit: str | None):
-    if chunk_unit is None:
-        return None
-    return F.when(F.col("_o0") == 0, ts_literal(_EPOCH)).otherwise(F.date_trunc(chunk_unit, F.col("_ts")))
+    return muts
 
 
 def _successful_inserts(ev: DataFrame) -> DataFrame:
-    """(id, pos) of the inserts that start a life (pointer doubling)."""
-    nodes = ev.where(F.col("op") == "insert").select("id", "pos", "nd")
-    dels = ev.where(F.col("op") == "delete").select(F.col("id").alias("_did"), F.col("pos").alias("_dpos"), "ni")
-    jump = (nodes.join(dels, (F.col("id") == F.col("_did")) & (F.col("nd") == F.col("_dpos")), "inner")
-                 .where(F.col("ni").isNotNull())
-                 .select("id", "pos", F.col("ni").alias("nxt")))
-    jump = stable(jump)
-    marked = stable(nodes.groupBy("id").agg(F.min("pos").alias("pos")))
+    """Positions of the inserts that start a life (pointer doubling)."""
+    nodes = ev.where((F.col("op") == "insert") & F.col("id").isNotNull()).select("id", POS, "nd")
+    dels = ev.where((F.col("op") == "delete") & F.col("ni").isNotNull()).select(F.col(POS).alias("nd"), "ni")
+    jump = stable(nodes.join(dels, "nd").select(F.col(POS).alias("at"), F.col("ni").alias("nxt")))
+    marked = stable(nodes.groupBy("id").agg(F.min(POS).alias("at")).select("at"))
     size = marked.count()
     while True:
         # marked = {succ^j(head) : j < 2^k}; jump = succ^(2^k).  The join runs
         # once: marked + new is written, and no growth means the walk is done.
-        new = marked.join(jump, ["id", "pos"]).select("id", F.col("nxt").alias("pos"))
-        grown = stable(marked.unionByName(new))
+        grown = stable(marked.union(marked.join(jump, "at").select("nxt")))
         grown_size = grown.count()
         if grown_size == size:
             return marked
         marked, size = grown, grown_size
-        j2 = jump.select(F.col("id").alias("_jid"), F.col("pos").alias("_jpos"), F.col("nxt").alias("_jnxt"))
-        jump = stable(jump.join(j2, (F.col("id") == F.col("_jid")) & (F.col("nxt") == F.col("_jpos")), "inner")
-                          .select("id", "pos", F.col("_jnxt").alias("nxt")))
-
-
-def annotate_mutations(links: DataFrame | None, mutations: DataFrame,
-                       chunk_unit: str | None = "month", hot_threshold: int | None = HOT_KEY_ROWS) -> DataFrame:
-    """Every event with its verdict: ``accepted`` and ``reason``.
-
-    Ids with more than ``hot_threshold`` events are scanned in
-    ``chunk_unit`` chunks; all others with one window per id.
-    """
-    chunk = _chunk(chunk_unit)
-
-    def next_events(rows: DataFrame, ch) -> DataFrame:
-        # Partitioned by id first: hash(id) also satisfies the (id, user_id)
-        # clustering of the second window, so it needs no second shuffle.
-        rows = scan_last(rows, ["id"], _ORDER, F.when(F.col("op") == "insert", F.col("pos")), "ni", ch, "next")
-        owner_delete = (F.col("op") == "delete") & F.col("user_id").isNotNull()
-        rows = scan_last(rows, ["id", "user_id"], _ORDER, F.when(owner_delete, F.col("pos")), "nd", ch, "next")
-        rows = rows.withColumn("nd", F.when((F.col("op") == "insert") & F.col("user_id").isNotNull(), F.col("nd")))
-        return rows.withColumn("_chunked", F.lit(ch is not None))
-
-    ev = stable(run_split(_events(links, mutations), ["id"], hot_threshold, chunk, next_events))
-
-    starts = _successful_inserts(ev).withColumn("_start", F.lit(True))
-    ev = ev.join(starts, ["id", "pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(False)))
-    life_val = F.when(F.col("_start"), F.struct(F.col("pos").alias("start"), F.col("user_id").alias("owner"),
-                                                F.col("nd").alias("end"), F.col("created_at").alias("created")))
-    cold, hot = ev.where(~F.col("_chunked")), ev.where(F.col("_chunked"))
-    ev = scan_last(cold, ["id"], _ORDER, life_val, "life", None, "prev", inclusive=True)
-    if chunk is not None:
-        ev = ev.unionByName(scan_last(hot, ["id"], _ORDER, life_val, "life", chunk, "prev", inclusive=True))
+        far = jump.select(F.col("at").alias("nxt"), F.col("nxt").alias("_far"))
+        jump = stable(jump.join(far, "nxt").select("at", F.col("_far").alias("nxt")))
+
+
+def annotate_mutations(links: DataFrame | None, mutations: DataFrame) -> DataFrame:
+    """Every event with its verdict: ``accepted`` and ``reason``; an event
+    without id is rejected."""
+    full = ordered(_events(links, mutations), ["id"], _ORDER)
+    # Partitioned by id first: hash(range, id) also satisfies the clustering of
+    # the second window, so it needs no second shuffle.
+    ev = scan_last(full.select(POS, PART, "id", "op", "user_id"), ["id"], F.when(F.col("op") == "insert", F.col(POS)), "ni", "next")
+    owner_delete = (F.col("op") == "delete") & F.col("user_id").isNotNull()
+    ev = scan_last(ev, ["id", "user_id"], F.when(owner_delete, F.col(POS)), "nd", "next")
+    ev = stable(ev.withColumn("nd", F.when((F.col("op") == "insert") & F.col("user_id").isNotNull(), F.col("nd"))))
+
+    starts = _successful_inserts(ev).select(F.col("at").alias(POS), F.lit(True).alias("_start"))
+    ev = ev.join(starts, POS, "left").withColumn("_start", F.coalesce("_start", F.lit(False)))
+    life_val = F.when(F.col("_start"), F.struct(F.col(POS).alias("start"), F.col("user_id").alias("owner"),
+                                                F.col("nd").alias("end")))
+    ev = scan_last(ev, ["id"], life_val, "life", "prev", inclusive=True)
 
     life = F.col("life")
-    alive = life.isNotNull() & (life["end"].isNull() | (F.col("pos") < life["end"]))
+    alive = life.isNotNull() & (life["end"].isNull() | (F.col(POS) < life["end"]))
     is_owner = F.col("user_id").isNotNull() & (F.col("user_id") == life["owner"])
     op = F.col("op")
     accepted = (F.when(op == "insert", F.col("_start"))
                  .when(op == "update", alive & is_owner)
-                 .when(op == "delete", life.isNotNull() & life["end"].eqNullSafe(F.col("pos")))
+                 .when(op == "delete", life.isNotNull() & life["end"].eqNullSafe(F.col(POS)))
                  .otherwise(F.lit(False)))
     accepted = F.coalesce(accepted, F.lit(False))
     reason = (F.when(accepted, F.lit(None).cast("string"))
@@ -121,26 +104,27 @@ def annotate_mutations(links: DataFrame | None, mutations: DataFrame,
                .when(op == "insert", F.lit("already_exists"))
                .when(~alive, F.lit("not_found"))
                .otherwise(F.lit("not_owner")))
-    return ev.withColumn("accepted", accepted).withColumn("reason", reason)
+    verdict = ev.select(POS, "life", accepted.alias("accepted"), reason.alias("reason"))
+    return full.drop(PART).join(verdict, POS)
 
 
-def apply_mutations(links: DataFrame | None, mutations: DataFrame, chunk_unit: str | None = "month",
-                    hot_threshold: int | None = HOT_KEY_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_mutations(links: DataFrame | None, mutations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """-> (links after the replay, applied mutations, rejected mutations + reason)."""
-    ev = stable(annotate_mutations(links, mutations, chunk_unit, hot_threshold))
+    ev = stable(annotate_mutations(links, mutations))
     out_cols = ["id", "op", "long_url", "user_id", F.col("_ts").alias("commit_ts"), "seq"]
     applied = ev.where((F.col("_o0") == 1) & F.col("accepted")).select(*out_cols)
     rejected = ev.where((F.col("_o0") == 1) & ~F.col("accepted")).select(*out_cols, "reason")
-    # The last accepted insert/update of an id carries the current URL; the
-    # id is live iff that event's life has no end.
+    # The last accepted insert/update of an id carries the current URL, the
+    # last accepted insert the owner and the time; the id is live iff that
+    # event's life has no end.
+    place = F.col(POS)
     last = (ev.where(F.col("accepted") & F.col("op").isin("insert", "update"))
               .groupBy("id")
-              .agg(F.max(F.struct("pos", "long_url", F.col("life")["owner"].alias("owner"),
-                                  F.col("life")["created"].alias("created"),
-                                  F.col("life")["end"].alias("end"))).alias("s")))
+              .agg(F.max_by(F.struct("long_url", F.col("life")["owner"].alias("owner"),
+                                     F.col("life")["end"].alias("end")), place).alias("s"),
+                   F.max_by("created_at", F.when(F.col("op") == "insert", place)).alias("created_at")))
     final = (last.where(F.col("s")["end"].isNull())
-                 .select("id", F.col("s")["long_url"].alias("long_url"), F.col("s")["owner"].alias("user_id"),
-                         F.col("s")["created"].alias("created_at")))
+                 .select("id", F.col("s")["long_url"].alias("long_url"), F.col("s")["owner"].alias("user_id"), "created_at"))
     return final, applied, rejected
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from linkstream.constants import TOP_LINKS_N
 from linkstream.operators.rollup import clicks_by_code
-from linkstream.plans.joins import BUCKET_COL, bounded_broadcast, join_links
+from linkstream.plans.joins import BUCKET_COL, bounded, bounded_broadcast, join_links
 
 def _order():
     return [F.col("total_clicks").desc(), F.col("short_code").asc()]
@@ -38,7 +38,7 @@ def _with_rank(df: DataFrame) -> DataFrame:
 
 def top_links(rollup: DataFrame, n: int = TOP_LINKS_N) -> DataFrame:
     """Codes by merged clicks, descending; ties broken by code ascending."""
-    return _with_rank(clicks_by_code(rollup).orderBy(*_order()).limit(n))
+    return _with_rank(clicks_by_code(rollup).orderBy(*_order()).limit(bounded(n)))
 
 
 def top_links_enriched(rollup: DataFrame, links: DataFrame, n: int = TOP_LINKS_N,
@@ -54,12 +54,12 @@ def top_links_enriched(rollup: DataFrame, links: DataFrame, n: int = TOP_LINKS_N
     """
     live = _live_links(links)
     if drop_deleted == "after_limit":
-        top = bounded_broadcast(clicks_by_code(rollup).orderBy(*_order()).limit(n), n)
+        top = bounded_broadcast(clicks_by_code(rollup).orderBy(*_order()).limit(bounded(n)), n)
         joined = join_links(top, "short_code", live, "inner", link_buckets)
     elif drop_deleted == "before_limit":
         totals = clicks_by_code(rollup)
         joined = (totals.join(live, totals["short_code"] == live["id"], "inner")
-                        .orderBy(*_order()).limit(n))
+                        .orderBy(*_order()).limit(bounded(n)))
     else:
         raise ValueError(f"drop_deleted must be after_limit or before_limit, not {drop_deleted!r}")
     return _with_rank(joined.select("short_code", "long_url", "total_clicks"))
@@ -71,7 +71,7 @@ def top_links_page(rollup: DataFrame, links: DataFrame, page: int = 1,
     if page < 1 or limit < 1:
         raise ValueError("page and limit must be >= 1")
     offset = (page - 1) * limit
-    ranked = clicks_by_code(rollup).orderBy(*_order()).offset(offset).limit(limit)
+    ranked = clicks_by_code(rollup).orderBy(*_order()).offset(offset).limit(bounded(limit))
     # <= limit rows: the un-partitioned count is a bounded single partition.
     ranked = ranked.withColumn(
         "has_next", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) == F.lit(limit))

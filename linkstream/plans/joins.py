@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 MAX_BOUNDED_BROADCAST_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` whose row count is at most ``max_rows``.
+def bounded(n: int) -> int:
+    """``n`` of a ranked ``limit(n)``, whose rows are numbered in one task and
+    broadcast: an ``n`` above the bound is an error."""
+    if n > MAX_BOUNDED_BROADCAST_ROWS:
+        raise ValueError(f"a ranking of {n} rows: at most {MAX_BOUNDED_BROADCAST_ROWS}; "
+                         "use plans.ranking.global_row_number for more")
+    return n
+
 
-    Callers pass the ``n`` of the ``limit(n)`` that produced ``df``; a bound
-    above the cap is refused so a large LIMIT never lands on the driver.
-    """
-    if max_rows > MAX_BOUNDED_BROADCAST_ROWS:
-        return df
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast-hint ``df``, the output of a ``limit(max_rows)``."""
+    bounded(max_rows)
     return F.broadcast(df)
 
 

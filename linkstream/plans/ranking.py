@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkstream.plans.scan import ordered, scan_sum
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 
@@ -51,28 +53,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """Exact quantiles (linear interpolation, as ``percentile``) per group,
     without holding any group in one task.
 
-    Rows are numbered in (keys, value) order by a distributed range sort;
-    per group the start rank and size give the positions each quantile needs
-    (h = (n - 1) * p, its floor and ceiling); only those rows are fetched, by
-    an equi-join on (keys, rank) - the rank is unique, so a hot group spreads
-    evenly - and interpolated.
+    Equal values are counted first, so ties cost one row.  A running sum over
+    a group's distinct values (``plans.scan``) gives the ranks that each value
+    covers; the values at the ranks floor(h) and ceil(h) of a quantile,
+    h = (n - 1) * p, are picked by a plain aggregate and interpolated.
     """
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ranked = global_row_number(v, [*[F.col(k).asc() for k in keys], F.col("_v").asc()], out="_rn", start=0)
-    stats = ranked.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    need = (stats.select(*keys, "_start", "_n", F.explode(wanted).alias("w"))
-                 .select(*keys, "_start", F.col("w.q").alias("_q"),
-                         ((F.col("_n") - 1) * F.col("w.p")).alias("_h")))
-    need = (need.withColumn("_lo", F.floor("_h").cast("bigint")).withColumn("_hi", F.ceil("_h").cast("bigint")))
-    picks = need.select(*keys, "_q", "_h", "_lo", "_hi",
-                        F.explode(F.array(F.col("_start") + F.col("_lo"), F.col("_start") + F.col("_hi"))).alias("_rn"))
-    got = join_null_safe(picks, ranked.select(*keys, "_rn", "_v"), [*keys, "_rn"]) \
-        .dropDuplicates([*keys, "_q", "_rn"])
-    per_q = got.groupBy(*keys, "_q", "_h", "_lo", "_hi").agg(
-        F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
+    distinct = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = scan_sum(ordered(distinct, keys, ["_v"]), keys, F.col("_c"), "_upto", total="_n")
+
+    def at(rank: Column) -> Column:  # the value that covers this rank from 0
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")), F.col("_v")))
+
+    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    picks = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *[
+        at(side(x)).alias(f"_{name}{i}") for i, x in enumerate(h) for side, name in ((F.floor, "lo"), (F.ceil, "hi"))])
     # Same interpolation form as Spark's percentile.
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-        (F.col("_hi") - F.col("_h")) * F.col("_vlo") + (F.col("_h") - F.col("_lo")) * F.col("_vhi"))
-    wide = per_q.groupBy(*keys).pivot("_q", list(range(len(probs)))).agg(F.first(q))
-    return wide.select(*keys, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+    return picks.select(*keys, *[
+        F.when(F.floor(x) == F.ceil(x), F.col(f"_lo{i}"))
+         .otherwise((F.ceil(x) - x) * F.col(f"_lo{i}") + (x - F.floor(x)) * F.col(f"_hi{i}")).alias(n)
+        for i, (x, n) in enumerate(zip(h, names))])

@@ -1,138 +1,94 @@
 """Ordered per-key scans that stay parallel on a hot key.
 
 A window ``partitionBy(key)`` sends a whole key to one task.  When one key
-may hold a third of all rows that task is the job.  These helpers split a
-key's ordered rows into *chunks* (a time bucket of the ordering column):
+may hold a third of all rows that task is the job.  Here every key goes one
+way, whatever its size:
 
-1. the scan runs inside ``(key, chunk)`` with a window;
-2. a per-``(key, chunk)`` summary (one row per chunk, map-side
-   pre-aggregated) is scanned across chunks of the key;
-3. the carried value is joined back on ``(key, chunk)`` and combined.
+1. ``ordered`` range-partitions and sorts the rows by (keys, order) and
+   numbers them, so a key with many rows lies in several ranges and a burst
+   in a short time is cut like any other run of rows;
+2. a scan runs inside (range, key) with a window;
+3. one summary row per (range, key) is scanned across the ranges of the key;
+   the carried value is joined back.  Only keys in more than one range have
+   one, and a cut between two ranges lies in one key at most.
 
 Frames are always running frames (``unboundedPreceding .. -1/0``), which
 Spark evaluates in one pass; "next" scans run over descending order.
-With ``chunk=None`` the helpers fall back to one window per key.
-
-Chunking costs extra shuffles, so operators apply it to hot keys only
-(``run_split``): rows per key are counted once, keys above a threshold
-take the chunked path, all other keys one plain window, and the two
-results are unioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "_scan_chunk"
-
-# A key with more rows than this is scanned in time chunks.
-HOT_KEY_ROWS = 10_000_000
+#: Place of a row in the total order, and the range that it lies in.
+POS, PART = "_scan_pos", "_scan_part"
+_ROW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], threshold: int = HOT_KEY_ROWS):
-    """-> (cold rows, hot rows or None).
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``POS`` and ``PART``, for scans over ``keys`` (or keys and
+    more columns) by ``order``.  Rows equal in both get some fixed order.
 
-    Counts rows per key (a partial aggregate) and keeps the keys above
-    ``threshold`` - at most rows / threshold of them, so Spark's size check
-    broadcasts them in the split joins.  When no key is hot (one tiny job
-    tells) no chunked branch is planned at all.
-    """
-    keys = list(keys)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > threshold).select(*keys))
-    if hot.isEmpty():
-        return df, None
-    ren = {k: f"_h_{k}" for k in keys}
-    right = hot.select(*[F.col(k).alias(ren[k]) for k in keys])
-    cond = [F.col(k).eqNullSafe(F.col(ren[k])) for k in keys]
-    return df.join(right, on=cond, how="left_anti"), df.join(right, on=cond, how="left_semi")
-
-
-def run_split(df: DataFrame, keys: Sequence[str], threshold: int | None, chunk: Column | None,
-              fn: Callable[[DataFrame, Column | None], DataFrame]) -> DataFrame:
-    """``fn(rows, None)`` on cold keys and ``fn(rows, chunk)`` on hot keys.
-
-    The split happens once, in front of a whole chain of scans, so the plan
-    does not double at every scan.
+    Checkpointed: the scans read the rows more than once, and the bounds of the
+    ranges must not be drawn again in between.  Without ``ranges`` the session's
+    shuffle partitions hold, and AQE joins small ones.
     """
-    if chunk is None or threshold is None:
-        return fn(df, chunk)
-    cold, hot = split_hot(df, keys, threshold)
-    out = fn(cold, None)
-    return out if hot is None else out.unionByName(fn(hot, chunk))
+    cols = [F.col(c) for c in [*keys, *order]]
+    cut = df.repartitionByRange(ranges, *cols) if ranges else df.repartitionByRange(*cols)
+    numbered = cut.sortWithinPartitions(*cols).withColumn(POS, F.monotonically_increasing_id())
+    return numbered.withColumn(PART, F.shiftright(POS, _ROW_BITS)).checkpoint()
 
 
 def _join_carry(local: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on (keys, chunk) with null-safe key equality."""
-    ren = {k: f"_r_{k}" for k in [*keys, _CHUNK]}
+    """Left join on (range, keys) with null-safe key equality."""
+    ren = {k: f"_r_{k}" for k in [*keys, PART]}
     right = carried.select(*[F.col(c).alias(ren.get(c, c)) for c in carried.columns])
-    cond = [F.col(k).eqNullSafe(F.col(ren[k])) for k in [*keys, _CHUNK]]
+    cond = [F.col(k).eqNullSafe(F.col(ren[k])) for k in [*keys, PART]]
     return local.join(right, on=cond, how="left").drop(*ren.values())
 
 
-def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-
-
-def scan_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-              out: str, chunk: Column | None = None, direction: str = "prev",
-              inclusive: bool = False) -> DataFrame:
+def scan_last(df: DataFrame, keys: Sequence[str], value: Column, out: str,
+              direction: str = "prev", inclusive: bool = False) -> DataFrame:
     """Add ``out`` = nearest non-null ``value`` before (``prev``) or after
-    (``next``) each row within its key, by ``order``; ``inclusive`` also
-    considers the row itself.  ``chunk`` must be monotone in ``order``.
+    (``next``) each row within its key; ``inclusive`` also considers the row
+    itself.  ``df`` comes from ``ordered``.
     """
-    keys, order = list(keys), list(order)
-    desc = direction == "next"
-    tmp = f"_{out}_v"
+    keys = list(keys)
+    back = direction == "next"
+    tmp, near, far, last = f"_{out}_v", f"_{out}_near", f"_{out}_far", f"_{out}_edge"
+    by = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
     df = df.withColumn(tmp, value)
-    hi = 0 if inclusive else -1
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*_order_cols(order, desc)) \
-                  .rowsBetween(Window.unboundedPreceding, hi)
-        return df.withColumn(out, F.last(tmp, ignorenulls=True).over(w)).drop(tmp)
-
-    df = df.withColumn(_CHUNK, chunk)
-    w_in = Window.partitionBy(*keys, _CHUNK).orderBy(*_order_cols(order, desc)) \
-                 .rowsBetween(Window.unboundedPreceding, hi)
-    local = df.withColumn(f"_{out}_local", F.last(tmp, ignorenulls=True).over(w_in))
-
-    # Nearest non-null value of each chunk at its far edge (last for prev,
-    # first for next), one row per (key, chunk).
-    edge = F.struct(*[F.col(c) for c in order], F.col(tmp).alias("v"))
-    pick = F.max if not desc else F.min
-    summary = (df.groupBy(*keys, _CHUNK)
-                 .agg(pick(F.when(F.col(tmp).isNotNull(), edge)).alias("_edge")))
-    w_ch = Window.partitionBy(*keys).orderBy(F.col(_CHUNK).desc() if desc else F.col(_CHUNK).asc()) \
-                 .rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(*keys, _CHUNK,
-                             F.last(F.col("_edge")["v"], ignorenulls=True).over(w_ch).alias(f"_{out}_carry"))
-    res = _join_carry(local, carried, keys)
-    return (res.withColumn(out, F.coalesce(F.col(f"_{out}_local"), F.col(f"_{out}_carry")))
-               .drop(tmp, _CHUNK, f"_{out}_local", f"_{out}_carry"))
-
-
-def scan_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-               predicate: Column | None = None, chunk: Column | None = None) -> DataFrame:
-    """Add ``out`` = running count (inclusive) of rows of the key, by
-    ``order``, that satisfy ``predicate`` (all rows if None)."""
-    keys, order = list(keys), list(order)
-    flag = f"_{out}_f"
-    df = df.withColumn(flag, (predicate if predicate is not None else F.lit(True)).cast("bigint"))
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*_order_cols(order, False)) \
-                  .rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(flag).over(w)).drop(flag)
-
-    df = df.withColumn(_CHUNK, chunk)
-    w_in = Window.partitionBy(*keys, _CHUNK).orderBy(*_order_cols(order, False)) \
-                 .rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn(f"_{out}_local", F.sum(flag).over(w_in))
-    summary = df.groupBy(*keys, _CHUNK).agg(F.sum(flag).alias("_n"))
-    w_ch = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(*keys, _CHUNK, F.coalesce(F.sum("_n").over(w_ch), F.lit(0)).alias(f"_{out}_carry"))
-    res = _join_carry(local, carried, keys)
-    return (res.withColumn(out, F.col(f"_{out}_local") + F.col(f"_{out}_carry"))
-               .drop(flag, _CHUNK, f"_{out}_local", f"_{out}_carry"))
+    inside = Window.partitionBy(PART, *keys).orderBy(by(POS)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = df.withColumn(near, F.last(tmp, ignorenulls=True).over(inside))
+
+    # The value of each range that its neighbour sees: the last one for prev,
+    # the first one for next.
+    edge = (F.min_by if back else F.max_by)(F.col(tmp), F.when(F.col(tmp).isNotNull(), F.col(POS)))
+    summary = df.groupBy(PART, *keys).agg(edge.alias(last))
+    across = Window.partitionBy(*keys).orderBy(by(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(PART, *keys, F.last(last, ignorenulls=True).over(across).alias(far)) \
+                     .where(F.col(far).isNotNull())
+    return (_join_carry(local, carried, keys).withColumn(out, F.coalesce(near, far)).drop(tmp, near, far))
+
+
+def scan_sum(df: DataFrame, keys: Sequence[str], value: Column, out: str, total: str | None = None) -> DataFrame:
+    """Add ``out`` = running sum (inclusive) of ``value`` (bigint, not null)
+    within the key and, on demand, ``total`` = its sum over the whole key.
+    ``df`` comes from ``ordered``."""
+    keys = list(keys)
+    tmp, near, before, n = f"_{out}_v", f"_{out}_near", f"_{out}_before", f"_{out}_n"
+    df = df.withColumn(tmp, value.cast("bigint"))
+    inside = Window.partitionBy(PART, *keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn(near, F.sum(tmp).over(inside))
+    across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = df.groupBy(PART, *keys).agg(F.sum(tmp).alias(n))
+    if total:
+        carried = carried.withColumn(total, F.sum(n).over(Window.partitionBy(*keys)))
+    carried = carried.withColumn(before, F.sum(n).over(across)).drop(n)
+    if not total:
+        carried = carried.where(F.col(before).isNotNull())
+    return (_join_carry(local, carried, keys).withColumn(out, F.col(near) + F.coalesce(before, F.lit(0)))
+            .drop(tmp, near, before))

@@ -1,7 +1,7 @@
 """Stream sources: the click topic and the created-code topic.
 
 ``cfg["format"] == "kafka"`` reads the broker (start at the earliest
-offset, consumer group id, bounded offsets per trigger); any other format
+offset, consumer group id, offsets per trigger as configured); any other format
 (``json``, ``text``, ``parquet``) reads files of the same messages, which is
 how the tests drive the same code (no broker in the container).
 """
@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkstream.constants import SINK_BATCH_ROWS
-
 MESSAGE = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
 
@@ -21,8 +19,9 @@ def _kafka(spark: SparkSession, cfg: dict, topic: str) -> DataFrame:
     r = (spark.readStream.format("kafka")
          .option("kafka.bootstrap.servers", cfg["bootstrap"])
          .option("subscribe", cfg.get("topic", topic))
-         .option("startingOffsets", cfg.get("starting_offsets", "earliest"))
-         .option("maxOffsetsPerTrigger", str(cfg.get("max_offsets_per_trigger", SINK_BATCH_ROWS * 100))))
+         .option("startingOffsets", cfg.get("starting_offsets", "earliest")))
+    if cfg.get("max_offsets_per_trigger"):
+        r = r.option("maxOffsetsPerTrigger", str(cfg["max_offsets_per_trigger"]))
     if cfg.get("group_id"):
         r = r.option("kafka.group.id", cfg["group_id"])
     return r.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),

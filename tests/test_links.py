@@ -1,5 +1,6 @@
 """Ordered mutation replay: brute force, a hot id, and the end-to-end scenario."""
 
+import contextlib
 import datetime as dt
 import random
 
@@ -40,10 +41,20 @@ def fold(rows, initial=None):
     return state, applied, rejected
 
 
-def _check(spark, muts_df, chunk_unit="month", hot_threshold=L.HOT_KEY_ROWS):
+@contextlib.contextmanager
+def unsplit(spark, joined):
+    """AQE joins small ranges into one; without it every range stays apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(joined).lower())
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _check(spark, muts_df):
     rows = [r.asDict() for r in muts_df.collect()]
     state, applied, rejected = fold(rows)
-    final, app, rej = L.apply_mutations(None, muts_df, chunk_unit, hot_threshold)
+    final, app, rej = L.apply_mutations(None, muts_df)
     got_final = {r.id: (r.long_url, r.user_id, r.created_at) for r in final.collect()}
     assert got_final == {k: (v["long_url"], v["user_id"], v["created_at"]) for k, v in state.items()}
     assert {(r.id, r.seq) for r in app.collect()} == applied
@@ -71,9 +82,9 @@ def test_hot_id_many_lives(spark):
                      f"u{i}", rnd.choice(["a", "b", None]) if hot else rnd.choice(["a", "b"]),
                      base + dt.timedelta(hours=rnd.randrange(0, 24 * 90)), i))
     df = spark.createDataFrame(rows, "id string, op string, long_url string, user_id string, commit_ts timestamp, seq long")
-    _check(spark, df, "day", hot_threshold=500)   # the hot id is chunked, the rest are not
-    _check(spark, df, "day", hot_threshold=0)     # every id chunked
-    _check(spark, df, None)
+    _check(spark, df)
+    with unsplit(spark, False):  # the hot id lies in several ranges
+        _check(spark, df)
 
 
 def test_scenario_create_click_update_delete(spark):
@@ -121,12 +132,22 @@ _EVENT = st.tuples(st.sampled_from(["k0", "k1", "k2"]), st.sampled_from(["insert
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(_EVENT, min_size=1, max_size=60), st.booleans())
-def test_replay_property(spark, events, chunked):
+def test_replay_property(spark, events, cut):
     base = dt.datetime(2024, 1, 1)
     rows = [(k, op, f"u{i}", user, base + dt.timedelta(hours=6 * day), i)
             for i, (k, op, user, day) in enumerate(events)]
     df = spark.createDataFrame(rows, MUTS)
-    if chunked:
-        _check(spark, df, "day", hot_threshold=0)
-    else:
-        _check(spark, df, None)
+    with unsplit(spark, not cut):
+        _check(spark, df)
+
+
+def test_equal_commit_time_and_seq(spark):
+    """Two inserts of an id at one (commit_ts, seq): one wins, the other is
+    rejected; exact copies and rows without id are rejected too."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [("x", "insert", "u2", "bob", t, 1), ("x", "insert", "u1", "amy", t, 1),
+            ("y", "insert", "u", "amy", t, 1), ("y", "insert", "u", "amy", t, 1), (None, "insert", "u", "amy", t, 1)]
+    final, applied, rejected = L.apply_mutations(None, spark.createDataFrame(rows, MUTS))
+    assert sorted((r.id, r.long_url, r.user_id) for r in final.collect()) == [("x", "u1", "amy"), ("y", "u", "amy")]
+    assert applied.count() == 2
+    assert {r.reason for r in rejected.collect()} == {"already_exists"} and rejected.count() == 3

@@ -1,9 +1,10 @@
-"""Chunked ordered scans equal one-window-per-key scans."""
+"""Ordered scans over ranges equal one window per key."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkstream.plans.ranking import global_row_number
-from linkstream.plans.scan import scan_count, scan_last
+from linkstream.plans.scan import PART, ordered, scan_last, scan_sum
 from linkstream.sources.tables import Tables
 from tests.conftest import SF01
 
@@ -14,23 +15,55 @@ def _events(spark):
     return e.withColumn("k", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
 
 
-def test_scan_last_prev_next_chunked(spark):
+def _same(a, b):
+    a = a.select(*b.columns)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _window(direction="prev", hi=-1):
+    by = F.asc if direction == "prev" else F.desc
+    return Window.partitionBy("k").orderBy(by("ts"), by("event_id")).rowsBetween(Window.unboundedPreceding, hi)
+
+
+def test_scan_last_equals_one_window_per_key(spark):
     e = _events(spark).select("k", "ts", "event_id", "value")
-    chunk = F.date_trunc("day", "ts")
+    cut = ordered(e, ["k"], ["ts", "event_id"], ranges=7)
+    v = F.when(F.col("event_id") % 4 == 0, F.col("value"))
     for direction in ("prev", "next"):
         for inclusive in (False, True):
-            v = F.when(F.col("event_id") % 4 == 0, F.col("value"))
-            a = scan_last(e, ["k"], ["ts", "event_id"], v, "out", chunk, direction, inclusive)
-            b = scan_last(e, ["k"], ["ts", "event_id"], v, "out", None, direction, inclusive)
-            assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+            b = e.withColumn("out", F.last(v, ignorenulls=True).over(_window(direction, 0 if inclusive else -1)))
+            _same(scan_last(cut, ["k"], v, "out", direction, inclusive), b)
 
 
-def test_scan_count_chunked(spark):
+def test_scan_sum_equals_one_window_per_key(spark):
     e = _events(spark).select("k", "ts", "event_id")
-    p = F.col("event_id") % 2 == 0
-    a = scan_count(e, ["k"], ["ts", "event_id"], "n", p, F.date_trunc("day", "ts"))
-    b = scan_count(e, ["k"], ["ts", "event_id"], "n", p, None)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    p = (F.col("event_id") % 2 == 0).cast("int")
+    a = scan_sum(ordered(e, ["k"], ["ts", "event_id"], ranges=7), ["k"], p, "n", total="all")
+    b = e.withColumn("n", F.sum(p).over(_window(hi=0))).withColumn("all", F.sum(p).over(Window.partitionBy("k")))
+    _same(a, b)
+    _same(a.drop("all"), b.drop("all"))
+
+
+def test_hot_key_inside_one_day_is_cut(spark):
+    """A third of all rows on one key within one day: no range holds them all,
+    and a finer key (key, value) still scans right."""
+    e = (_events(spark).select("k", "ts", "event_id", "value")
+         .withColumn("ts", F.when(F.col("k") == 0, F.lit("2024-01-01").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, event_id / 1000)"))
+                            .otherwise(F.col("ts"))))
+    cut = ordered(e, ["k"], ["ts", "event_id"], ranges=8)
+    hot = cut.where("k = 0").groupBy(PART).count().collect()
+    assert len(hot) > 1 and max(r["count"] for r in hot) < sum(r["count"] for r in hot) * 0.7
+    assert cut.groupBy(PART).count().agg(F.max("count")).first()[0] < e.count() / 3
+    fine = scan_last(cut.withColumn("g", F.col("event_id") % 3), ["k", "g"], F.col("event_id"), "out")
+    w = Window.partitionBy("k", "g").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    _same(fine, e.withColumn("g", F.col("event_id") % 3).withColumn("out", F.last("event_id").over(w)))
+
+
+def test_scans_of_null_keys_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, t int")
+    got = scan_sum(ordered(df, ["k"], ["t"]), ["k"], F.lit(1), "n", total="all")
+    assert sorted((r.k or "", r.t, r.n, r["all"]) for r in got.collect()) == [("", 1, 1, 2), ("", 2, 2, 2), ("a", 3, 1, 1)]
+    assert scan_last(ordered(df.limit(0), ["k"], ["t"]), ["k"], F.col("t"), "p").count() == 0
 
 
 def test_global_row_number_dense(spark):
@@ -40,22 +73,6 @@ def test_global_row_number_dense(spark):
     assert [x.rn for x in rows] == list(range(1, len(rows) + 1))
 
 
-def test_hot_split_equals_plain(spark):
-    from linkstream.plans.scan import run_split, split_hot
-    e = _events(spark).select("k", "ts", "event_id", "value")
-    cold, hot = split_hot(e, ["k"], 500)
-    assert hot is not None and hot.select("k").distinct().count() >= 1
-    v = F.when(F.col("event_id") % 4 == 0, F.col("value"))
-    a = run_split(e, ["k"], 500, F.date_trunc("day", "ts"),
-                  lambda d, ch: scan_last(d, ["k"], ["ts", "event_id"], v, "out", ch, "next"))
-    b = scan_last(e, ["k"], ["ts", "event_id"], v, "out", None, "next")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    c1 = run_split(e, ["k"], 500, F.date_trunc("day", "ts"),
-                   lambda d, ch: scan_count(d, ["k"], ["ts", "event_id"], "n", None, ch))
-    c2 = scan_count(e, ["k"], ["ts", "event_id"], "n", None, None)
-    assert c1.exceptAll(c2).count() == 0 and c2.exceptAll(c1).count() == 0
-
-
 def test_exact_quantiles_match_percentile(spark):
     from linkstream.plans.ranking import exact_quantiles
     e = _events(spark).select("k", "value")
