@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstream.constants import ID_BLOCK_SIZE, REASON_BAD_BODY, REASON_MISSING_URL, SNOWFLAKE_NODE_BITS
-from linkstream.functions.codes import short_code_for_id, snowflake_compose
-from linkstream.functions.text import blank, build_short_url
+from linkstream.functions.codes import short_code_for_id, snowflake_compose, snowflake_decode
+from linkstream.functions.text import blank, build_short_url, strip_scheme
 from linkstream.plans.ranking import global_row_number, stable
 from linkstream.schemas import SHORTEN_REQUEST
 
@@ -47,10 +47,13 @@ def choose_slug(df: DataFrame, user_col: str = "user_id", slug_col: str = "custo
 
 def assign_short_codes(df: DataFrame, order_col: str, start_id: int = 0, mode: str = "segment",
                        block: int = ID_BLOCK_SIZE, obfuscate: bool = True,
-                       batch_ms: int | None = None) -> DataFrame:
+                       batch_ms: int | None = None, last_ms: int | None = None) -> DataFrame:
     """Give every row needing a generated code a unique id and its code.
 
     Rows with ``use_custom`` (if present) keep their slug and take no id.
+    A snowflake batch of many rows runs into later milliseconds; give the next
+    batch the ``last_millisecond`` of this one as ``last_ms``, and it starts
+    after it, so no id comes twice.
     """
     has_custom = "use_custom" in df.columns
     need = df.where(~F.col("use_custom")) if has_custom else df
@@ -61,6 +64,8 @@ def assign_short_codes(df: DataFrame, order_col: str, start_id: int = 0, mode: s
     elif mode == "snowflake":
         if batch_ms is None:
             raise ValueError("snowflake mode needs batch_ms")
+        if last_ms is not None:
+            batch_ms = max(batch_ms, last_ms + 1)
         # One node id per partition: more partitions than nodes are folded together.
         base = stable(need.coalesce(1 << SNOWFLAKE_NODE_BITS).withColumn("_mid", F.monotonically_increasing_id()))
         idx = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
@@ -79,6 +84,11 @@ def assign_short_codes(df: DataFrame, order_col: str, start_id: int = 0, mode: s
     return coded
 
 
+def last_millisecond(coded: DataFrame) -> int | None:
+    """The last millisecond that a snowflake batch used; None if it has no id."""
+    return coded.agg(F.max(F.unix_millis(snowflake_decode("id")["ts"]))).first()[0]
+
+
 def code_collisions(new: DataFrame, links: DataFrame, code_col: str = "short_code") -> DataFrame:
     """Codes used more than once in the batch, or already taken in the link table."""
     in_batch = (new.groupBy(code_col).agg(F.count(F.lit(1)).alias("n"))
@@ -90,4 +100,6 @@ def code_collisions(new: DataFrame, links: DataFrame, code_col: str = "short_cod
 
 
 def with_short_url(df: DataFrame, base: str, code_col: str = "short_code") -> DataFrame:
-    return df.withColumn("short_url", build_short_url(F.lit(base), F.col(code_col)))
+    """``short_url``, and ``short_url_display`` without its scheme."""
+    out = df.withColumn("short_url", build_short_url(F.lit(base), F.col(code_col)))
+    return out.withColumn("short_url_display", strip_scheme("short_url"))

@@ -56,30 +56,33 @@ def resolve_redirects(requests: DataFrame, known: DataFrame, cache: DataFrame |
     """Outcome per request: status, source label, destination.  With
     ``link_buckets`` (a link table stored by ``sinks.write_links``) the table
     lookup also matches the bucket, so dynamic partition pruning can skip
-    buckets no requested code falls in."""
+    buckets no requested code falls in.  A cache entry with ``expires_at``
+    holds for requests before it (by their ``ts``)."""
     codes = requests.select("short_code").where(~blank("short_code")).distinct()
     k = known.select("short_code", F.lit(True).alias("_known"))
     looked = codes.join(k, "short_code", "left")
     if cache is not None:
-        c = cache.select("short_code", F.col("long_url").alias("_cache_url"))
+        until = F.col("expires_at") if "expires_at" in cache.columns else F.lit(None)
+        c = cache.select("short_code", F.col("long_url").alias("_cache_url"), until.cast("timestamp").alias("_until"))
         looked = looked.join(c, "short_code", "left")
     else:
-        looked = looked.withColumn("_cache_url", F.lit(None).cast("string"))
+        looked = looked.withColumn("_cache_url", F.lit(None).cast("string")).withColumn("_until", F.lit(None).cast("timestamp"))
     extra = [BUCKET_COL] if BUCKET_COL in links.columns else []
     t = links.select("id", F.col("long_url").alias("_table_url"), *extra)
     looked = join_links(looked, "short_code", t, "left", link_buckets).drop("id")
 
-    known_ = F.coalesce(F.col("_known"), F.lit(False))
-    source = (F.when(~known_, F.lit(OUTCOME_GUARD_MISS))
-               .when(F.col("_cache_url").isNotNull(), F.lit(OUTCOME_CACHE_HIT))
+    # One lookup per code; whether its cache entry still holds is a matter of
+    # each request's time.
+    out = requests.join(looked, "short_code", "left")
+    cached = F.col("_cache_url").isNotNull() & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
+    source = (F.when(~F.coalesce(F.col("_known"), F.lit(False)), F.lit(OUTCOME_GUARD_MISS))
+               .when(cached, F.lit(OUTCOME_CACHE_HIT))
                .when(F.col("_table_url").isNotNull() & (F.col("_table_url") != ""), F.lit(OUTCOME_TABLE_HIT))
                .otherwise(F.lit(OUTCOME_TABLE_MISS)))
-    per_code = looked.select(
-        "short_code", source.alias("source"),
-        F.when(source == OUTCOME_CACHE_HIT, F.col("_cache_url"))
-         .when(source == OUTCOME_TABLE_HIT, F.col("_table_url")).alias("long_url"))
-
-    out = requests.join(per_code, "short_code", "left")
+    out = out.withColumn("source", source).withColumn(
+        "long_url", F.when(F.col("source") == OUTCOME_CACHE_HIT, F.col("_cache_url"))
+                     .when(F.col("source") == OUTCOME_TABLE_HIT, F.col("_table_url")))
+    out = out.drop("_known", "_cache_url", "_until", "_table_url")
     src = F.when(blank("short_code"), F.lit(OUTCOME_EMPTY_CODE)).otherwise(F.col("source"))
     status = (F.when(src == OUTCOME_EMPTY_CODE, F.lit(400))
                .when(src.isin(OUTCOME_CACHE_HIT, OUTCOME_TABLE_HIT), F.lit(302))

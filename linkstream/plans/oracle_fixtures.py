@@ -34,7 +34,8 @@ select lpad(cast(o_custkey as varchar(20)),11,'0') as id,
 select event_id as request_id, ts, case when event_id % 13 = 0 then concat('zz', cast(event_id as varchar(20)))
   else lpad(cast(user_id as varchar(20)),11,'0') end as short_code from events""",
     "cache_entries": """
-select id as short_code, long_url from url_mappings where substr(id, 11, 1) in ('0','3','6','9')""",
+select id as short_code, long_url, timestamp '2024-01-01 00:00:00' + to_days(cast(cast(id as bigint) % 28 + 1 as integer)) as expires_at
+from url_mappings where substr(id, 11, 1) in ('0','3','6','9')""",
     "metric_points": """
 select ts, event_type as service, 'http_requests_total' as name,
   case when event_id % 2 = 0 then 'GET' else 'POST' end as method,

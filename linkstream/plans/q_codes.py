@@ -155,11 +155,29 @@ def q_assign_snowflake(spark, sf):
                                 batch_ms=SNOWFLAKE_EPOCH_MS + 86_400_000).select("request_id", "id", "short_code")
 
 
+@query("snowflake_batches", "K2", _VALID_SQL + """
+select request_id, batch, true as in_time, true as node_ok, true as code_ok, cast(1 as bigint) as rows_of_id
+from ok, range(2) b(batch) where not use_custom""")
+def q_snowflake_batches(spark, sf):
+    """Two batches of the same millisecond: each id comes once, its parts and
+    its code decode to what went in."""
+    ok = G.choose_slug(_validated(spark, sf).where(F.col("reason").isNull())).where(~F.col("use_custom"))
+    start = SNOWFLAKE_EPOCH_MS + 86_400_000
+    first = G.assign_short_codes(ok, "request_id", mode="snowflake", batch_ms=start)
+    second = G.assign_short_codes(ok, "request_id", mode="snowflake", batch_ms=start, last_ms=G.last_millisecond(first))
+    both = first.withColumn("batch", F.lit(0).cast("bigint")).unionByName(second.withColumn("batch", F.lit(1).cast("bigint")))
+    part, code = K.snowflake_decode("id"), K.base62_decode("short_code")
+    ids = both.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("rows_of_id"))
+    return both.join(ids, F.col("id") == F.col("_id")).select(
+        "request_id", "batch", (F.unix_millis(part["ts"]) >= start).alias("in_time"), part["node"].between(0, 1023).alias("node_ok"),
+        ((F.shiftleft(code["hi"], 32) + code["lo"]) == F.col("id")).alias("code_ok"), "rows_of_id")
+
+
 @query("build_short_url", "P7", _OBF_SQL + """
-select c.request_id, 'https://sho.rt/' || c.short_code as short_url from coded c
-union all select request_id, 'https://sho.rt/' || custom_slug from ok where use_custom""")
+select c.request_id, 'https://sho.rt/' || c.short_code as short_url, 'sho.rt/' || c.short_code as short_url_display from coded c
+union all select request_id, 'https://sho.rt/' || custom_slug, 'sho.rt/' || custom_slug from ok where use_custom""")
 def q_build_short_url(spark, sf):
-    return G.with_short_url(_assigned(spark, sf), "https://sho.rt/").select("request_id", "short_url")
+    return G.with_short_url(_assigned(spark, sf), "https://sho.rt/").select("request_id", "short_url", "short_url_display")
 
 
 @query("code_collisions", "K3", _VALID_SQL + """,

@@ -20,7 +20,7 @@ res as (
     c.long_url as cache_url, m.long_url as table_url
   from redirect_requests r
   left join known k on k.short_code = r.short_code
-  left join cache_entries c on c.short_code = r.short_code
+  left join cache_entries c on c.short_code = r.short_code and r.ts < c.expires_at
   left join url_mappings m on m.id = r.short_code),
 resolved as (select request_id, ts, short_code, source,
   case source when 'missing_short_code' then 400 when 'redis' then 302 when 'db_stale' then 302 else 404 end as status,

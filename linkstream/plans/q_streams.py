@@ -27,6 +27,30 @@ def _message_files(spark, df, name, fmt="json", files=4):
     return path
 
 
+def _thirds(df, ts):
+    """``df`` in three parts, one after the other in time."""
+    at = F.unix_micros(ts)
+    lo, hi = df.agg(F.coalesce(F.min(at), F.lit(0)), F.coalesce(F.max(at), F.lit(0))).first()
+    a, b = lo + (hi - lo) // 3, lo + 2 * (hi - lo) // 3
+    return [df.where(at < a), df.where((at >= a) & (at < b)), df.where(at >= b)]
+
+
+def _far_row(df, ts):
+    """One row without key, a day after all others: it moves the watermark
+    past the end of a finite stream, so that its last windows close too."""
+    end = df.agg(F.max(ts).alias("end")).where(F.col("end").isNotNull())
+    return end.select(*[(F.col("end") + F.expr("INTERVAL 1 DAY") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in df.schema])
+
+
+def _run_in_parts(parts, path, fmt, start):
+    """Add one part of the messages, run the stream on from its checkpoint, and
+    so on: several micro-batches, with state carried over restarts."""
+    for part in parts:
+        part.write.mode("append").format(fmt).save(path)
+        start().awaitTermination()
+
+
 @query("stream_hourly_rollup", "R2, S1, S8, A3, R7", _PARSED + """
 select date_trunc('hour', event_time) as hour, short_code, country_code, count(*) as total_clicks
 from p where ok group by all""")
@@ -51,13 +75,15 @@ where cnt > 60""")
 def q_stream_bot_lifetime(spark, sf):
     t = Tables(spark, sf)
     reqs = FX.redirect_requests(t)
-    src = _message_files(spark, reqs, "redirect-msgs", fmt="parquet")
-    stream = spark.readStream.schema(reqs.schema).parquet(src)
-    alerts = AL.stream_bot_lifetime(stream, "short_code", "ts", 60, tiebreak="request_id")
-    out, ck = scratch_path(spark, "bot-alerts"), scratch_path(spark, "bot-ck")
-    q = (alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
+    src, out, ck = (scratch_path(spark, n) for n in ("redirect-msgs", "bot-alerts", "bot-ck"))
+
+    def start():
+        stream = spark.readStream.schema(reqs.schema).parquet(src)
+        alerts = AL.stream_bot_lifetime(stream, "short_code", "ts", 60, tiebreak="request_id")
+        return (alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                      .trigger(availableNow=True).start())
+
+    _run_in_parts(_thirds(reqs, "ts"), src, "parquet", start)
     return spark.read.parquet(out)
 
 
@@ -67,16 +93,17 @@ w as (select date_trunc('minute', event_time) - to_minutes(k) as window_start, s
 c as (select window_start, window_start + interval 15 minute as window_end, short_code, count(*) as clicks
       from w group by all),
 r as (select *, row_number() over (partition by window_start order by clicks desc, short_code) as rank from c)
-select * from r where rank <= 10
-  and window_end <= (select max(event_time) from clicks) - interval 5 second""")
+select * from r where rank <= 10""")
 def q_stream_trending(spark, sf):
     t = Tables(spark, sf)
     clicks = FX.clicks(t)
-    src = _message_files(spark, clicks, "click-rows", fmt="parquet")
-    stream = spark.readStream.schema(clicks.schema).parquet(src)  # all files in one micro-batch
-    out, ck = scratch_path(spark, "trending"), scratch_path(spark, "trending-ck")
-    q = AL.stream_trending(stream, out, ck, n=10, trigger={"availableNow": True})
-    q.awaitTermination()
+    src, out, ck = (scratch_path(spark, n) for n in ("click-rows", "trending", "trending-ck"))
+
+    def start():
+        return AL.stream_trending(spark.readStream.schema(clicks.schema).parquet(src), out, ck, n=10,
+                                  trigger={"availableNow": True})
+
+    _run_in_parts([*_thirds(clicks, "event_time"), _far_row(clicks, "event_time")], src, "parquet", start)
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -119,19 +146,22 @@ def q_stream_sink(spark, sf):
 @query("stream_created_per_hour", "S3, A15", V("created_events") + """
 select date_trunc('hour', timestamp) as hour, count(*) as created from created_events group by all""")
 def q_stream_created(spark, sf):
-    from linkstream.operators.clicks import dedup_created
     from linkstream.operators.rollup import created_per_hour
     from linkstream.sources.streams import read_created_stream
     created = FX.created_events(Tables(spark, sf))
-    src = _message_files(spark, created.unionByName(created), "created-msgs")  # two feed replicas
-    stream = read_created_stream(spark, {"format": "json", "path": src,
-                                         "schema": "key string, value string, timestamp timestamp"})
-    out = scratch_path(spark, "created-sink")
-    deduped = stream.withWatermark("timestamp", "1 day").dropDuplicatesWithinWatermark(["key", "value"])
-    q = (deduped.writeStream.format("parquet").option("path", out)
-                .option("checkpointLocation", scratch_path(spark, "created-ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return created_per_hour(dedup_created(spark.read.parquet(out)))
+    src, out, ck = (scratch_path(spark, n) for n in ("created-msgs", "created-sink", "created-ck"))
+
+    def start():
+        stream = read_created_stream(spark, {"format": "json", "path": src,
+                                             "schema": "key string, value string, timestamp timestamp"})
+        once = IN.dedup_stream(stream, ["key", "value"], "timestamp")
+        return (once.writeStream.format("parquet").option("path", out)
+                    .option("checkpointLocation", ck).trigger(availableNow=True).start())
+
+    # Two feed replicas, the second one part behind the first.
+    x, y, z = _thirds(created, "timestamp")
+    _run_in_parts([x.unionByName(x), y.unionByName(x), z.unionByName(y), z], src, "json", start)
+    return created_per_hour(spark.read.parquet(out))
 
 
 @query("read_telemetry_counts", "S9, A16", V("spans", "metric_points", "app_logs") + """
@@ -153,16 +183,17 @@ s as (select user_id, timestamp, sum(case when prev is null or epoch_us(timestam
       from (select *, lag(timestamp) over (partition by user_id order by timestamp) as prev from user_events)),
 g as (select user_id, min(timestamp) as session_start, max(timestamp) + interval 30 minute as session_end,
         count(*) as events from s group by user_id, sid)
-select * from g where session_end <= (select max(timestamp) from user_events) - interval 5 second""")
+select * from g""")
 def q_stream_sessions(spark, sf):
     ev = FX.user_events(Tables(spark, sf))
-    src = _message_files(spark, ev, "session-rows", fmt="parquet")
-    stream = spark.readStream.schema(ev.schema).parquet(src)
-    sess = AL.stream_sessions(stream, "user_id", "30 minutes", ts="timestamp")
-    out = scratch_path(spark, "sessions")
-    q = (sess.writeStream.format("parquet").option("path", out).outputMode("append")
-             .option("checkpointLocation", scratch_path(spark, "sessions-ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    src, out, ck = (scratch_path(spark, n) for n in ("session-rows", "sessions", "sessions-ck"))
+
+    def start():
+        sess = AL.stream_sessions(spark.readStream.schema(ev.schema).parquet(src), "user_id", "30 minutes", ts="timestamp")
+        return (sess.writeStream.format("parquet").option("path", out).outputMode("append")
+                    .option("checkpointLocation", ck).trigger(availableNow=True).start())
+
+    _run_in_parts([*_thirds(ev, "timestamp"), _far_row(ev, "timestamp")], src, "parquet", start)
     return spark.read.parquet(out)
 
 

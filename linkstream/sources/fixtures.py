@@ -82,10 +82,12 @@ def redirect_requests(t: Tables) -> DataFrame:
 
 
 def cache_entries(t: Tables) -> DataFrame:
-    """Cache contents: every third live link (a warm subset of the table)."""
+    """Cache contents: every third live link (a warm subset of the table); an
+    entry expires 1 to 28 days into the month."""
     m = url_mappings(t)
     return m.where(F.substring("id", 11, 1).isin("0", "3", "6", "9")).select(
-        F.col("id").alias("short_code"), "long_url")
+        F.col("id").alias("short_code"), "long_url",
+        (F.to_timestamp(F.lit(BASE_TS)) + F.make_dt_interval((F.col("id").cast("bigint") % 28 + 1).cast("int"))).alias("expires_at"))
 
 
 def metric_points(t: Tables) -> DataFrame:

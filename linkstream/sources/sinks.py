@@ -32,8 +32,8 @@ def write_clicks_jdbc(cfg: dict) -> Callable[[DataFrame, int], None]:
 
     With ``cfg["url"]`` it writes through JDBC in batches of 1000 rows; the
     default target is Parquet per batch id (idempotent).  JDBC writes are
-    append-only, so replays are de-duplicated by the ``batch_id`` column
-    the table carries.  The original's 5 write retries are Spark's task
+    append-only and so at least once: a replayed batch or task adds its rows
+    again, and readers can tell a batch by the ``batch_id`` column only.  The original's 5 write retries are Spark's task
     retries here (``spark.task.maxFailures``, default 4 attempts; set it to
     ``SINK_MAX_RETRIES`` + 1 to match).
     """
@@ -73,5 +73,6 @@ def write_created_feed(path: str) -> Callable[[DataFrame, int], None]:
 
 def write_links(links: DataFrame, path: str, buckets: int = LINK_BUCKETS, mode: str = "overwrite") -> None:
     """Store a link table partitioned by ``id_bucket`` (see plans.joins)."""
-    (links.withColumn(BUCKET_COL, key_bucket("id", buckets))
+    # Rows of a bucket meet first, or each task would write a file per bucket.
+    (links.withColumn(BUCKET_COL, key_bucket("id", buckets)).repartition(BUCKET_COL)
           .write.mode(mode).partitionBy(BUCKET_COL).parquet(path))

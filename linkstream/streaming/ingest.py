@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, SINK_FLUSH_MS, TOP_LINKS_N
+from linkstream.functions.timefns import ts_literal
 from linkstream.operators.clicks import parse_clicks, publish_created, route_clicks
 from linkstream.operators.rollup import ROLLUP_KEY
 from linkstream.operators.toplinks import top_links_enriched, top_links_json
 from linkstream.sources.sinks import batch_dir, write_created_feed, write_rollup, write_split
 
 
+# Files of a compacted day, at most.
+DAY_FILES = 16
+
 # Without an explicit trigger, ingest flushes on the original sink's cadence.
 DEFAULT_TRIGGER = {"processingTime": f"{SINK_FLUSH_MS} milliseconds"}
 
@@ -83,14 +87,18 @@ def _current_days(compacted: DataFrame) -> DataFrame:
     return compacted.join(newest, ["day", "upto"], "left_semi")
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+def read_rollup(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """Partial rows visible to readers: per day the newest compacted version,
     plus every partial batch written after the newest compaction.  Sum them
-    to get totals."""
+    to get totals.  ``since``: only hours from this time on; other days of the
+    compacted table are not read."""
     partials, compacted = _versions(spark, path)
     upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
     newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*ROLLUP_KEY, "total_clicks")
-    return _current_days(compacted).select(*ROLLUP_KEY, "total_clicks").unionByName(newer)
+    if since is None:
+        return _current_days(compacted).select(*ROLLUP_KEY, "total_clicks").unionByName(newer)
+    wanted = _current_days(compacted.where(F.col("day") >= F.to_date(ts_literal(since))))
+    return wanted.select(*ROLLUP_KEY, "total_clicks").unionByName(newer).where(F.col("hour") >= ts_literal(since))
 
 
 def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
@@ -115,7 +123,10 @@ def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
                                     .select(*ROLLUP_KEY, "total_clicks", "day"))
     merged = (base.unionByName(fresh).groupBy("day", *ROLLUP_KEY)
                   .agg(F.sum("total_clicks").cast("bigint").alias("total_clicks")))
-    merged.write.mode("overwrite").partitionBy("day").parquet(f"{path}/compacted/upto={upto_batch}")
+    # Its groupBy shuffles by the whole key; a day's rows meet in a few tasks,
+    # not in one file per task.
+    spread = merged.repartition(F.col("day"), F.pmod(F.xxhash64("short_code"), F.lit(DAY_FILES)))
+    spread.write.mode("overwrite").partitionBy("day").parquet(f"{path}/compacted/upto={upto_batch}")
     spark.createDataFrame([(upto_batch,)], _FINISHED_SCHEMA).write.mode("append").parquet(f"{path}/finished")
 
 
