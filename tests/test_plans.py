@@ -18,8 +18,14 @@ def test_top_links_enriched_plan(spark):
 
 
 def test_filter_pushed_to_scan(spark):
-    p = plan(spark, "filter_user")
-    assert "PushedFilters" in p
+    assert "EqualTo(event_type,click)" in plan(spark, "hourly_rollup")
+    p = plan(spark, "totals_last_24h")
+    assert "EqualTo(event_type,click)" in p and "GreaterThanOrEqual(ts," in p
+
+
+def test_sliding_windows_expand_counts_only(spark):
+    p = plan(spark, "trending_topn")
+    assert p.index("Expand") < p.index("partial_count(1)")  # the plan prints from the top: counts lie below
 
 
 def test_column_pruning(spark):
@@ -27,11 +33,21 @@ def test_column_pruning(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in p
 
 
-def test_no_python_udf_in_hot_paths(spark):
+def test_no_python_udf_in_hot_paths(spark, monkeypatch):
+    cls, seen = type(spark.range(1)), []
+    cut = cls.checkpoint
+
+    def recorded(self, *a, **k):  # the plans in front of a checkpoint count too
+        seen.append(self._jdf.queryExecution().executedPlan().toString())
+        return cut(self, *a, **k)
+
+    monkeypatch.setattr(cls, "checkpoint", recorded)
     for name in ["hourly_rollup", "resolve_redirects", "sessions", "trending_topn", "rolling_avg",
                  "apply_mutations_links", "service_map", "top_links_enriched"]:
-        p = plan(spark, name)
+        seen.clear()
+        p = plan(spark, name) + "".join(seen)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+        assert name != "apply_mutations_links" or len(seen) > 3
 
 
 def test_trending_uses_group_limit(spark):
