@@ -7,7 +7,7 @@ API; Catalyst picks the physical plan.  Sub-packages:
 * ``functions`` – Column -> Column helpers (time, text, short-code maths)
 * ``operators`` – DataFrame -> DataFrame operators (rollup, joins, ...)
 * ``plans``     – shared plan building blocks (bounded broadcast,
-                  skew-safe chunked scans) and the query registry
+                  skew-safe ordered scans) and the query registry
 * ``streaming`` – Structured Streaming jobs (ingest, alerts, feeds)
 """
 
