@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linkstream.functions.timefns import recent, start_of_hour
 from linkstream.plans.ranking import join_null_safe, exact_quantiles
 
+BUCKET_SECONDS = {"minute": 60, "hour": 3600, "day": 86400}
 DEFAULT_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -38,15 +39,17 @@ def error_count_by_service(logs: DataFrame, now: str, window: str = "1 HOUR") ->
     return errors.groupBy("service_name").agg(F.count(F.lit(1)).alias("errors")).orderBy(F.desc("errors"))
 
 
-def metric_sum(points: DataFrame, name: str, by: list[str], bucket: str | None = None) -> DataFrame:
-    """Counter total by attributes (each point is one increment), plus the
-    summed duration when the points carry one."""
+def metric_sum(points: DataFrame, name: str, by: list[str], bucket: str | None = None,
+               amount: str | None = None) -> DataFrame:
+    """Counter total by attributes, plus the summed duration when the points
+    carry one.  A point adds its ``amount`` column (a null one adds nothing),
+    or 1 without such a column."""
     keys = list(by)
     p = points.where(F.col("name") == name)
     if bucket:
         keys = [start_of_hour("ts").alias("bucket") if bucket == "hour"
                 else F.date_trunc(bucket, "ts").alias("bucket")] + keys
-    aggs = [F.count(F.lit(1)).alias("value")]
+    aggs = [(F.coalesce(F.sum(amount), F.lit(0)) if amount else F.count(F.lit(1))).alias("value")]
     if "duration" in points.columns:
         aggs.append(F.round(F.sum("duration"), 6).alias("duration_sum"))
     return p.groupBy(*keys).agg(*aggs)
@@ -75,7 +78,7 @@ def service_red(points: DataFrame, bucket: str = "day", exact: bool = True,
     gathered in one task; ``exact=False`` uses ``percentile_approx`` (one
     pass, fixed memory per group).
     """
-    seconds = {"minute": 60, "hour": 3600, "day": 86400}[bucket]
+    seconds = BUCKET_SECONDS[bucket]
     keyed = points.withColumn("bucket", F.date_trunc(bucket, ts))
     agg = (keyed.groupBy(service, "bucket")
                 .agg(F.count(F.lit(1)).alias("requests"),
@@ -120,14 +123,22 @@ def trace_waterfall(spans: DataFrame) -> DataFrame:
 
 
 def service_map(spans: DataFrame, bucket: str | None = None) -> DataFrame:
-    """caller -> callee edges with call count and callee latency."""
+    """caller -> callee edges with call count, rate, share of callee spans in
+    error, and callee latency.  The rate is over the bucket, or over the time
+    from an edge's first call to its last (a second at least)."""
     parent = spans.select(F.col("trace_id").alias("_pt"), F.col("span_id").alias("_ps"),
                           F.col("service").alias("caller"))
-    child = spans.select("trace_id", "parent_span_id", F.col("service").alias("callee"), "duration_ms", "start_ts")
+    child = spans.select("trace_id", "parent_span_id", F.col("service").alias("callee"), "duration_ms", "start_ts",
+                         F.coalesce(F.col("status") == "ERROR", F.lit(False)).cast("double").alias("_error"))
     edges = child.join(parent, (F.col("trace_id") == F.col("_pt")) & (F.col("parent_span_id") == F.col("_ps")))
     keys = ["caller", "callee"]
     if bucket:
         keys = [F.date_trunc(bucket, "start_ts").alias("bucket")] + keys
+    at = F.unix_micros("start_ts")
+    seconds = (F.lit(float(BUCKET_SECONDS[bucket])) if bucket
+               else F.greatest((F.max(at) - F.min(at)) / 1_000_000, F.lit(1.0)))
     return edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"),
+                                    F.round(F.count(F.lit(1)) / seconds, 9).alias("calls_per_s"),
+                                    F.round(F.avg("_error"), 9).alias("error_share"),
                                     F.round(F.avg("duration_ms"), 6).alias("avg_ms"),
                                     F.max("duration_ms").alias("max_ms"))

@@ -39,7 +39,10 @@ from url_mappings where substr(id, 11, 1) in ('0','3','6','9')""",
     "metric_points": """
 select ts, event_type as service, 'http_requests_total' as name,
   case when event_id % 2 = 0 then 'GET' else 'POST' end as method,
-  case when event_type = 'error' then 500 else 302 end as status_code, value / 1000 as duration from events""",
+  case when event_type = 'error' then 500 else 302 end as status_code, value / 1000 as duration,
+  case when event_id % 3 = 0 then '/shorten' else '/:code' end as path,
+  case when event_type = 'error' then case when event_id % 2 = 0 then 'url_not_found_bloom' else 'url_not_found_db' end end as reason,
+  cast(event_id % 4 + 1 as bigint) as amount from events""",
     "app_logs": """
 select ts as timestamp, concat('svc', cast(user_id % 5 as varchar(20))) as service_name,
   case when event_type = 'error' then 'ERROR' else 'INFO' end as level,
@@ -56,7 +59,8 @@ select ts as timestamp, user_id, event_type, cast(regexp_extract(props, '[0-9]+'
 select conv_id as trace_id, turn as span_id, case when turn = 0 then null else turn - 1 end as parent_span_id,
   role as service,
   timestamp '2024-01-01 00:00:00' + interval '1' minute * conv_id + interval '1' second * turn as start_ts,
-  cast(length(text) as bigint) as duration_ms from conversations""",
+  cast(length(text) as bigint) as duration_ms,
+  case when (conv_id + turn) % 11 = 0 then 'ERROR' else 'OK' end as status from conversations""",
     "shorten_requests": """
 select page_id as request_id,
   case when page_id % 11 = 0 then 'invalid json'

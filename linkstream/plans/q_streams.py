@@ -35,11 +35,11 @@ def _thirds(df, ts):
     return [df.where(at < a), df.where((at >= a) & (at < b)), df.where(at >= b)]
 
 
-def _far_row(df, ts):
+def _far_row(df, ts, after="1 DAY"):
     """One row without key, a day after all others: it moves the watermark
     past the end of a finite stream, so that its last windows close too."""
     end = df.agg(F.max(ts).alias("end")).where(F.col("end").isNotNull())
-    return end.select(*[(F.col("end") + F.expr("INTERVAL 1 DAY") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
+    return end.select(*[(F.col("end") + F.expr(f"INTERVAL {after}") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
                         for f in df.schema])
 
 
@@ -129,6 +129,49 @@ def q_change_feed(spark, sf):
     return created
 
 
+@query("stream_links_change_feed", "R10", _LIVES + """
+select 'created' as feed, id as code from verdict where accepted and op = 'insert'
+union all select distinct 'known', id from verdict where accepted and op = 'insert'""")
+def q_stream_change_feed(spark, sf):
+    _, applied, _ = L.apply_mutations(None, FX.link_mutations(Tables(spark, sf)))
+    rows = applied.select("id", "op", "commit_ts")
+    src, out, ck = (scratch_path(spark, n) for n in ("applied-rows", "change-feed", "change-feed-ck"))
+
+    def start():
+        return IN.stream_links_change_feed(spark.readStream.schema(rows.schema).parquet(src), out, ck, {"availableNow": True})
+
+    _run_in_parts(_thirds(rows, "commit_ts"), src, "parquet", start)
+    created = spark.read.parquet(f"{out}/created").select(F.lit("created").alias("feed"), F.col("key").alias("code"))
+    return created.unionByName(IN.read_known(spark, out).select(F.lit("known").alias("feed"), F.col("short_code").alias("code")))
+
+
+@query("stream_time_to_first_click", "J9", V("created_events", "clicks") + """
+select c.key as short_code, c.timestamp as created_at, min(k.event_time) as first_click,
+  (epoch_us(min(k.event_time)) - epoch_us(c.timestamp)) // 1000000 as seconds_to_first_click
+from created_events c join clicks k on k.short_code = c.key
+ and k.event_time >= c.timestamp and k.event_time <= c.timestamp + interval 2 day
+group by c.key, c.timestamp""")
+def q_stream_ttfc(spark, sf):
+    t = Tables(spark, sf)
+    made, used = FX.created_events(t).select("key", "timestamp"), FX.clicks(t).select("short_code", "event_time")
+    made_src, used_src, out, ck = (scratch_path(spark, n) for n in ("ttfc-made", "ttfc-clicks", "ttfc", "ttfc-ck"))
+
+    def start():
+        first = AL.stream_time_to_first_click(spark.readStream.schema(made.schema).parquet(made_src),
+                                              spark.readStream.schema(used.schema).parquet(used_src), "2 DAYS")
+        return (first.writeStream.format("parquet").option("path", out).outputMode("append")
+                     .option("checkpointLocation", ck).trigger(availableNow=True).start())
+
+    # Both streams end long after their last row, past every open interval.  The
+    # join drops rows without key before their time is seen, so these have one each.
+    ends = [_far_row(made, "timestamp", "60 DAYS").withColumn("key", F.lit("end of creations")),
+            _far_row(used, "event_time", "60 DAYS").withColumn("short_code", F.lit("end of clicks"))]
+    for new, clicked in zip([*_thirds(made, "timestamp"), ends[0]], [*_thirds(used, "event_time"), ends[1]]):
+        new.write.mode("append").parquet(made_src)
+        _run_in_parts([clicked], used_src, "parquet", start)
+    return spark.read.parquet(out)
+
+
 @query("stream_clicks_sink", "S6", _PARSED + "select event_time, short_code, country_code from p where ok")
 def q_stream_sink(spark, sf):
     from linkstream.operators.clicks import parse_clicks

@@ -47,6 +47,22 @@ def q_metric_sum_hourly(spark, sf):
     return TM.metric_sum(FX.metric_points(Tables(spark, sf)), "http_requests_total", ["service"], bucket="hour")
 
 
+@query("metric_sum_by_path", "A10", V("metric_points") + """
+select method, path, status_code, cast(sum(amount) as bigint) as value, round(sum(duration), 6) as duration_sum
+from metric_points where name = 'http_requests_total' group by all""")
+def q_metric_sum_path(spark, sf):
+    return TM.metric_sum(FX.metric_points(Tables(spark, sf)), "http_requests_total",
+                         ["method", "path", "status_code"], amount="amount")
+
+
+@query("metric_sum_by_reason", "A10", V("metric_points") + """
+select reason, date_trunc('hour', ts) as bucket, cast(sum(amount) as bigint) as value, round(sum(duration), 6) as duration_sum
+from metric_points where name = 'http_requests_total' and reason is not null group by all""")
+def q_metric_sum_reason(spark, sf):
+    points = FX.metric_points(Tables(spark, sf)).where("reason is not null")
+    return TM.metric_sum(points, "http_requests_total", ["reason"], bucket="hour", amount="amount")
+
+
 _EDGES = ", ".join(f"({e}::double)" for e in TM.DEFAULT_EDGES)
 
 
@@ -93,8 +109,10 @@ def q_trace_waterfall(spark, sf):
 
 
 @query("service_map", "J8", V("spans") + """
-select p.service as caller, c.service as callee, count(*) as calls, round(avg(c.duration_ms), 6) as avg_ms,
-  max(c.duration_ms) as max_ms
+select p.service as caller, c.service as callee, count(*) as calls,
+  round(count(*) / greatest((epoch_us(max(c.start_ts)) - epoch_us(min(c.start_ts))) / 1000000.0, 1.0), 9) as calls_per_s,
+  round(avg(case when c.status = 'ERROR' then 1.0 else 0.0 end), 9) as error_share,
+  round(avg(c.duration_ms), 6) as avg_ms, max(c.duration_ms) as max_ms
 from spans c join spans p on p.trace_id = c.trace_id and p.span_id = c.parent_span_id group by all""")
 def q_service_map(spark, sf):
     return TM.service_map(FX.spans(Tables(spark, sf)))
@@ -102,6 +120,8 @@ def q_service_map(spark, sf):
 
 @query("service_map_hourly", "J8", V("spans") + """
 select date_trunc('hour', c.start_ts) as bucket, p.service as caller, c.service as callee, count(*) as calls,
+  round(count(*) / 3600.0, 9) as calls_per_s,
+  round(avg(case when c.status = 'ERROR' then 1.0 else 0.0 end), 9) as error_share,
   round(avg(c.duration_ms), 6) as avg_ms, max(c.duration_ms) as max_ms
 from spans c join spans p on p.trace_id = c.trace_id and p.span_id = c.parent_span_id group by all""")
 def q_service_map_hourly(spark, sf):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkstream.constants import OUTCOME_GUARD_MISS, OUTCOME_TABLE_MISS
 from linkstream.functions.text import default_country
 from linkstream.sources.tables import Tables
 
@@ -96,7 +97,12 @@ def metric_points(t: Tables) -> DataFrame:
                     F.lit("http_requests_total").alias("name"),
                     F.when(F.col("event_id") % 2 == 0, F.lit("GET")).otherwise(F.lit("POST")).alias("method"),
                     F.when(F.col("event_type") == "error", F.lit(500)).otherwise(F.lit(302)).alias("status_code"),
-                    (F.col("value") / 1000).alias("duration"))
+                    (F.col("value") / 1000).alias("duration"),
+                    F.when(F.col("event_id") % 3 == 0, F.lit("/shorten")).otherwise(F.lit("/:code")).alias("path"),
+                    F.when(F.col("event_type") != "error", F.lit(None).cast("string"))
+                     .when(F.col("event_id") % 2 == 0, F.lit(OUTCOME_GUARD_MISS))
+                     .otherwise(F.lit(OUTCOME_TABLE_MISS)).alias("reason"),
+                    (F.col("event_id") % 4 + 1).cast("bigint").alias("amount"))
 
 
 def app_logs(t: Tables) -> DataFrame:
@@ -140,7 +146,8 @@ def spans(t: Tables) -> DataFrame:
         (F.to_timestamp(F.lit(BASE_TS))
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("decimal(18,6)")))
         .alias("start_ts"),
-        F.length("text").cast("bigint").alias("duration_ms"))
+        F.length("text").cast("bigint").alias("duration_ms"),
+        F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.lit("ERROR")).otherwise(F.lit("OK")).alias("status"))
 
 
 def shorten_requests(t: Tables) -> DataFrame:

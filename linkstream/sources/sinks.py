@@ -71,6 +71,12 @@ def write_created_feed(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def write_known_codes(path: str) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("short_code").write.mode("overwrite").parquet(batch_dir(path, batch_id))
+    return write
+
+
 def write_links(links: DataFrame, path: str, buckets: int = LINK_BUCKETS, mode: str = "overwrite") -> None:
     """Store a link table partitioned by ``id_bucket`` (see plans.joins)."""
     # Rows of a bucket meet first, or each task would write a file per bucket.

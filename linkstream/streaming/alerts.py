@@ -90,6 +90,24 @@ def stream_bot_lifetime(stream: DataFrame, key: str, ts: str, threshold: int = B
         step, out_schema, "count long", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_time_to_first_click(created: DataFrame, clicks: DataFrame, within: str = "30 DAYS",
+                               code: str = "short_code", delay: str = CLICK_WATERMARK) -> DataFrame:
+    """Interval join of two streams: the first click on a code from its creation
+    (key, timestamp) up to ``within`` after it.  A row comes out once the
+    watermark says that no earlier click can follow; state on both sides is
+    bounded by ``within``."""
+    made = created.select(F.col("key").alias("_key"), F.col("timestamp").alias("created_at")).withWatermark("created_at", delay)
+    used = clicks.select(code, "event_time").withWatermark("event_time", delay)
+    pairs = used.join(made, (F.col(code) == F.col("_key")) & (F.col("event_time") >= F.col("created_at"))
+                      & (F.col("event_time") <= F.col("created_at") + F.expr(f"INTERVAL {within}")))
+    # As a number the click time carries no watermark, so the group's is the creation's.
+    first = (pairs.select(code, "created_at", F.unix_micros("event_time").alias("_at"))
+                  .groupBy(code, "created_at").agg(F.min("_at").alias("_at")))
+    return first.select(code, "created_at", F.timestamp_micros("_at").alias("first_click"),
+                        F.floor((F.col("_at") - F.unix_micros("created_at")) / 1_000_000).cast("bigint")
+                         .alias("seconds_to_first_click"))
+
+
 def dropped_by_watermark(query: StreamingQuery) -> int:
     """Rows dropped as too late by the stateful operators, over recent progress."""
     total = 0

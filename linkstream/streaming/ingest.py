@@ -15,19 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, SINK_FLUSH_MS, TOP_LINKS_N
+from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, TOP_LINKS_N
 from linkstream.functions.timefns import ts_literal
 from linkstream.operators.clicks import parse_clicks, publish_created, route_clicks
 from linkstream.operators.rollup import ROLLUP_KEY
 from linkstream.operators.toplinks import top_links_enriched, top_links_json
-from linkstream.sources.sinks import batch_dir, write_created_feed, write_rollup, write_split
+from linkstream.sources.sinks import batch_dir, write_created_feed, write_known_codes, write_rollup, write_split
 
 
 # Files of a compacted day, at most.
 DAY_FILES = 16
 
-# Without an explicit trigger, ingest flushes on the original sink's cadence.
-DEFAULT_TRIGGER = {"processingTime": f"{SINK_FLUSH_MS} milliseconds"}
+# Without an explicit trigger: long enough that batch folders stay few (the
+# original sink flushes every SINK_FLUSH_MS, into one table).
+DEFAULT_TRIGGER = {"processingTime": "10 seconds"}
 
 
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -153,8 +154,25 @@ def links_change_feed(applied: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def stream_links_change_feed(applied_stream: DataFrame, path: str, checkpoint: str,
                              trigger: dict | None = None) -> StreamingQuery:
-    created, _ = links_change_feed(applied_stream)
-    return _start(created.writeStream.foreachBatch(write_created_feed(path)), checkpoint, trigger)
+    """Both sides of the feed from one pass: created events under
+    ``path/created``, new known codes under ``path/known`` (see ``read_known``)."""
+    write_created, write_known = write_created_feed(f"{path}/created"), write_known_codes(f"{path}/known")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            created, known = links_change_feed(batch)
+            write_known(known, batch_id)  # first, so that a created code is always known
+            write_created(created, batch_id)
+        finally:
+            batch.unpersist()
+
+    return _start(applied_stream.writeStream.foreachBatch(step), checkpoint, trigger)
+
+
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """The set of known codes of a change feed; batches may repeat a code."""
+    return spark.read.parquet(f"{path}/known").select("short_code").distinct()
 
 
 def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint: str,
@@ -176,6 +194,6 @@ def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint:
     return _start(clicks.writeStream.foreachBatch(step), checkpoint, trigger or {"processingTime": every})
 
 
-__all__ = ["batch_dir", "compact_rollup_job", "dedup_stream", "links_change_feed", "read_rollup",
+__all__ = ["batch_dir", "compact_rollup_job", "dedup_stream", "links_change_feed", "read_known", "read_rollup",
            "stream_hourly_rollup", "stream_links_change_feed", "stream_split_clicks", "stream_top_links",
            "with_click_watermark"]
