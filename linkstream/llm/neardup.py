@@ -216,7 +216,7 @@ def cell_links(pivot: int, members: list[dict], same: bool) -> list[tuple[int, i
     """(node, partner texts, partner documents, a node of its tree or itself)."""
     a = [m for m in members if m["side"] == 0]
     b = a if same else [m for m in members if m["side"] == 1]
-    if not b or len(a) + len(b) < 2:
+    if not a or not b or len(a) + len(b) < 2:  # a block may have got no member
         return []
     everyone = a if same else a + b
     shift = 0 if same else len(a)

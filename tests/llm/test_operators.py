@@ -341,6 +341,15 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_blocks_without_a_member(spark, monkeypatch):
+    """Few long near copies cut by bytes: some of a group's blocks stay empty."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 256)
+    rows = [(8 * g + i, " ".join([f"g{g}w{j}" for j in range(200)] + [f"end{i}"])) for g in range(6) for i in range(3)]
+    got = sorted((tuple(r) for r in neardup.join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+                  .select("doc_id", "class_id", "n_links").collect()), key=str)
+    assert got == brute_links(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(
         spark.createDataFrame([(1000, 1001), (1002, 1001)], "a bigint, b bigint"))
