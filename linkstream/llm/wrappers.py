@@ -56,6 +56,16 @@ NOT_MAIN_WORDS = frozenset(
     "newsletter popup modal overlay pagination pager search login signup contentinfo complementary".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: Skipped elements whose content is raw text up to their closing tag.
+RAW = frozenset("script style noscript textarea iframe title".split())
+#: What may stand in a head, and in a select; anything else ends it.
+IN_HEAD = frozenset("title base basefont bgsound link meta style script noscript template".split())
+IN_SELECT = frozenset("option optgroup hr legend div button script template".split())
+FOREIGN = frozenset(["svg", "math"])
+#: Elements of svg and math that hold HTML or a text of their own.
+FOREIGN_HTML = frozenset("foreignobject desc title annotation-xml".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
+_LAYOUT = re.compile("<(?=/?(?:" + "|".join(sorted((CONTAINERS | BLOCKS) - {"title"})) + r")(?=[\s/>]))", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Between the two lists of main slots of a wrapper.
@@ -72,11 +82,44 @@ def _name(tag: str, attributes: str) -> str:
     return ".".join([tag, *(bad[:1] or sorted(words)[:NAME_WORDS])])
 
 
+def _skipped(page: str, tag: str, at: int) -> int:
+    """Where a skipped element whose opening tag ends at ``at`` ends.
+
+    Raw text ends at the element's closing tag or, if there is none, at the
+    next layout tag.  svg, math and select also end at a tag that cannot stand
+    in them.  Another element without its closing tag is read as empty.
+    """
+    if tag in RAW:
+        if m := _RAW_END[tag].search(page, at):
+            return m.end()
+        m = _LAYOUT.search(page, at)
+        return m.start() if m else len(page)
+    depth, html, here = 1, 0, at
+    while m := _TAG.search(page, here):
+        here = m.end()
+        inner, closing = (m[2] or "").lower(), bool(m[1])
+        if inner == tag:
+            depth += -1 if closing else not m[3].rstrip().endswith("/")
+            if not depth:
+                return here
+        elif inner in RAW and not closing and not (tag in FOREIGN and m[3].rstrip().endswith("/")):
+            if end := _RAW_END[inner].search(page, here):
+                here = end.end()
+        elif tag in FOREIGN and inner in FOREIGN_HTML:
+            html = max(0, html + (-1 if closing else not m[3].rstrip().endswith("/")))
+        elif tag in FOREIGN and not html and (inner in CONTAINERS or inner in BLOCKS):
+            return m.start()
+        elif tag == "select" and inner not in IN_SELECT and (inner in CONTAINERS or inner in BLOCKS or inner == "input"):
+            return m.start()
+    return len(page) if tag == "select" else at
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(slot, text, characters inside links) of each block with text, in page order."""
     out: list[tuple[str, str, int]] = []
     stack: list[str] = []
-    leaf, pieces, linked, in_link, at, skip = "", [], 0, 0, 0, ""
+    leaf, pieces, linked, in_link, at, in_head = "", [], 0, 0, 0, False
+    ends = {t: page.lower().rfind("</" + t) for t in SKIPPED - RAW - FOREIGN - {"head", "select"}}
 
     def end_block():
         nonlocal pieces, linked
@@ -85,24 +128,26 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             out.append(("/".join(stack) + ">" + leaf, text, linked))
         pieces, linked = [], 0
 
-    for m in _TAG.finditer(page):
-        if not skip and m.start() > at:
-            text = _html.unescape(page[at:m.start()])
-            pieces.append(text)
-            if in_link:
-                linked += len(text)
+    while m := _TAG.search(page, at):
+        if m.start() > at:
+            in_head = in_head and not page[at:m.start()].strip()  # text ends a head
+            if not in_head:
+                text = _html.unescape(page[at:m.start()])
+                pieces.append(text)
+                if in_link:
+                    linked += len(text)
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         closing = bool(m[1])
-        if skip:
-            if closing and tag == skip:
-                skip = ""
-            continue
-        if tag in SKIPPED:
-            if not closing and not m[3].rstrip().endswith("/"):
-                skip = tag
+        if in_head and tag not in IN_HEAD and tag != "head":
+            in_head = False
+        if tag == "head":
+            in_head = not closing
+        elif tag in SKIPPED or in_head and tag == "title":
+            if not closing and not m[3].rstrip().endswith("/") and ends.get(tag, at) >= at:
+                at = _skipped(page, tag, at)
         elif tag in CONTAINERS:
             end_block()
             leaf = ""
@@ -120,7 +165,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             pieces.append(" ")
         elif tag == "a":
             in_link = 0 if closing else 1
-    if not skip and at < len(page):
+    if at < len(page):
         pieces.append(_html.unescape(page[at:]))
     end_block()
     return out

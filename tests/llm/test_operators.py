@@ -213,6 +213,24 @@ def test_pages_without_article_and_odd_markup(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body><article><p>Text</article>",
+    "<html><head><meta charset=x><title>T <b></title><noscript><img src=x></noscript><article><p>Text</article>",
+    "<head><title>T</title></head><article><script>for(i=0;i<n;i++){} // don't</script><p>Text</article>",
+    "<article><script>var a='<!-- <p>no</p>';</script><p>Text</p></article>",
+    "<article><style>a::after{content:'<p'}</style><p>Text</article><script>it's",
+    "<article><form><select><option>One<option>Two</form><p>Text</article>",
+    "<article><div><textarea>mail</div><p>Text</article>",
+    "<article><svg><path d=x><text>no</text><p>Text</article>",
+    "<article><svg><svg><text>no</text></svg><text>no</text></svg><p>Text</article>",
+    "<article><video src=x><p>Text</article>",
+    "<article><template><p>no<template>no</template></p><p>no</template><p>Text</article>",
+])
+def test_skipped_elements_end(page):
+    got = [t for slot, t, _ in wrappers.blocks(page) if "article" in slot and not slot.endswith("form")]
+    assert got == ["Text"]
+
+
 def test_wrapper_alignment():
     def w(slots):
         return wrappers.page_wrapper([(s, s, 0) for s in slots])
