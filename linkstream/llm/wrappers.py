@@ -8,7 +8,8 @@ a text slot while one that never differs is part of the template.  The result
 is a union-free regular expression over slots, the host's *wrapper*.
 
 Slots are then judged once for the host: those inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments go.  A page that marks its
+sidebars, notices, adverts, forms and comments go.  Where only a class, id or
+role tells that, it must say so as a whole and leave the page some text.  A page that marks its
 article keeps the slots inside it; another one keeps the slots that are
 neither template text nor link lists.
 
@@ -68,18 +69,29 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 _LAYOUT = re.compile("<(?=/?(?:" + "|".join(sorted((CONTAINERS | BLOCKS) - {"title"})) + r")(?=[\s/>]))", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Between the two lists of main slots of a wrapper.
+#: Words beside those of NOT_MAIN_WORDS that leave a class name's meaning as it is.
+NEUTRAL_WORDS = frozenset("site page top bottom left right primary secondary main global sticky box bar block area section list "
+                          "wrapper wrap container inner outer item items form link links btn button posts articles stories".split())
+#: Elements that no word excludes.
+NEVER_BY_WORD = frozenset("html body main article".split())
+#: Between the lists of main slots of a wrapper.
 _GROUP = "\x1e"
 
 
 def _name(tag: str, attributes: str) -> str:
+    """tag.words, or tag!words where a whole class, id or role excludes."""
     words: list[str] = []
     for m in _NAMED.findall(attributes):
-        for w in _WORD.findall("".join(m).lower()):
-            if w not in words:
-                words.append(w)
-    bad = [w for w in words if w in NOT_MAIN_WORDS]
-    return ".".join([tag, *(bad[:1] or sorted(words)[:NAME_WORDS])])
+        for token in "".join(m).lower().split():
+            of = _WORD.findall(token)
+            if tag not in NEVER_BY_WORD and NOT_MAIN_WORDS.intersection(of) and NOT_MAIN_WORDS.union(NEUTRAL_WORDS).issuperset(of):
+                return tag + "!" + ".".join(of[:NAME_WORDS])
+            words += [w for w in of if w not in words]
+    return ".".join([tag, *sorted(words)[:NAME_WORDS]])
+
+
+def _tag_of(name: str) -> str:
+    return re.split("[.!]", name, maxsplit=1)[0]
 
 
 def _skipped(page: str, tag: str, at: int) -> int:
@@ -155,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 stack.append(_name(tag, m[3]))
             else:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].split(".")[0] == tag:
+                    if _tag_of(stack[i]) == tag:
                         del stack[i:]
                         break
         elif tag in BLOCKS:
@@ -243,27 +255,25 @@ def merge(a: list, b: list) -> list:
     return [align(a[0], b[0]), slots]
 
 
-def _parts(slot: str) -> list[tuple[str, list[str]]]:
-    return [(p.split(".")[0], p.split(".")[1:]) for p in re.split("[/>]", slot) if p]
-
-
-def main_slots(wrapper: list) -> tuple[list[str], list[str]]:
+def main_slots(wrapper: list) -> tuple[list[str], ...]:
     """Slots of main text: those inside an article, and those that count on a
-    page without one."""
-    def outside(slot):
-        return any(tag in NOT_MAIN or any(w in NOT_MAIN_WORDS for w in words) or tag == "title" for tag, words in _parts(slot))
-
-    left = [s for s in wrapper[1] if not outside(s)]
-    inside = [s for s in left if any(tag in ("article", "main") for tag, _ in _parts(s))]
-    rest = []
+    page without one; then both again for a page that has none of them, where
+    words exclude nothing."""
+    tags = {s: [_tag_of(p) for p in re.split("[/>]", s) if p] for s in wrapper[1]}
     # pages that are all alike say nothing about what is template
     varies = any(mark is None for *_, mark in wrapper[1].values())
-    for s in set(left).difference(inside):
-        pages, chars, linked, mark = wrapper[1][s]
-        template = varies and pages > 1 and mark is not None
-        if not template and 2 * linked < chars:
-            rest.append(s)
-    return sorted(inside), sorted(rest)
+    out = []
+    for left in ([s for s in tags if "!" not in s], [s for s in tags if "!" in s]):
+        left = [s for s in left if not any(t in NOT_MAIN or t == "title" for t in tags[s])]
+        inside = [s for s in left if "article" in tags[s] or "main" in tags[s]]
+        rest = []
+        for s in set(left).difference(inside):
+            pages, chars, linked, mark = wrapper[1][s]
+            template = varies and pages > 1 and mark is not None
+            if not template and 2 * linked < chars:
+                rest.append(s)
+        out += [sorted(inside), sorted(rest)]
+    return tuple(out)
 
 
 def _dump(wrapper: list) -> str:
@@ -331,9 +341,10 @@ def _slot_sets(main: str) -> tuple[frozenset[str], ...]:
 
 def page_text(page: str | None, main: str) -> str:
     found = blocks(page or "")
-    inside, rest = _slot_sets(main)
-    keep = inside if any(slot in inside for slot, *_ in found) else rest
-    return "\n".join(text for slot, text, _ in found if slot in keep)
+    for keep in _slot_sets(main):
+        if texts := [text for slot, text, _ in found if slot in keep]:
+            return "\n".join(texts)
+    return ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

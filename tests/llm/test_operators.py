@@ -231,6 +231,17 @@ def test_skipped_elements_end(page):
     assert got == ["Text"]
 
 
+def test_words_exclude_whole_names_that_leave_text(spark):
+    rows = [(1, "http://a.net", "<body class='has-sidebar'><p>Text</p><div class='main-sidebar'><p>no</p></div>"),
+            (2, "http://b.net", "<div id='content-with-sidebar'><p>Text</p></div><p class='share'>no"),
+            (3, "http://c.net", "<article class='post comments-open'><p>Text</p><div class='comments'><p>no</p></div></article>"),
+            (4, "http://d.net", "<main class='sidebar no-header'><p>Text</main><aside><p>no</aside>"),
+            (5, "http://e.net", "<div class='sidebar'><p>Text</p></div><nav><p>no</nav>"),
+            (6, "http://f.net", "<div class='widget'><article><p>Text</article></div>")]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, "Text") for i in range(1, 7)]
+
+
 def test_wrapper_alignment():
     def w(slots):
         return wrappers.page_wrapper([(s, s, 0) for s in slots])
