@@ -1,17 +1,21 @@
 """HTML extraction by union-free wrapper inference.
 
 A page is a stream of text slots, each named by the containers around it and
-the block it stands in.  Repeats in a stream fold into repeated groups.  The
-streams of a host are aligned one after another: what matches stays, what does
-not becomes an optional group, and a slot whose text differs between pages is
-a text slot while one that never differs is part of the template.  The result
+the block it stands in.  The streams of a host are aligned one after another:
+equal texts at slots of the same name meet first, and between them slots meet
+by name, where repeats fold into repeated groups.  What matches stays, what does
+not becomes an optional group, and a position whose text differs between pages
+is a text slot while one that never differs is fixed text.  The result
 is a union-free regular expression over slots, the host's *wrapper*.
 
 Slots are then judged once for the host: those inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments go.  Where only a class, id or
 role tells that, it must say so as a whole and leave the page some text.  A page that marks its
-article keeps the slots inside it; another one keeps the slots that are
-neither template text nor link lists.
+article keeps the slots inside it, whole; another one keeps the slots that are
+neither template text nor link lists.  Where a slot's name stands for both text
+and template, the wrapper decides by position: its required fixed texts are
+template, text slots and repeated groups are content, and each page's stream is
+matched against it.
 
 Wrappers are merged inside each task first, then in two rounds by host, one
 wrapper in memory at a time, so no host's pages ever meet in one task.
@@ -23,6 +27,7 @@ import functools
 import html as _html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from zlib import crc32
@@ -39,6 +44,8 @@ HELD_HOSTS = 2_000
 SALTS = 32
 #: Wrapper judgements up to this size are broadcast; beyond it they are joined.
 MAX_BROADCAST_BYTES = 8 << 20
+#: Pages that a fixed text needs to be template among content of the same name.
+MIN_PAGES = 3
 #: Longest repeated group looked for.
 MAX_GROUP = 6
 #: Words of a page's longest class or id that are kept in a slot's name.
@@ -183,65 +190,134 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-# ---- wrappers: [items, slots]; item = [name or list of items, repeated, optional];
+# ---- wrappers: [items, slots, pages with text]; item = [name or list of items, repeated, optional];
 # ---- slots: name -> [pages, characters, characters in links, text mark or None]
 
+class Item(list):
+    """[name or list of items, repeated, optional], and the mark of its fixed
+    text (None: a text slot or a group)."""
+    __slots__ = ("mark",)
+
+    def __init__(self, body, rep: bool, opt: bool, mark: int | None = None):
+        super().__init__((body, rep, opt))
+        self.mark = mark
+
+
 def _same(item) -> object:
     """What alignment compares: the item without its marks."""
     body = item[0]
     return body if isinstance(body, str) else tuple(_same(x) for x in body)
 
 
-def fold(items: list) -> list:
+def _exact(item) -> object:
+    body = item[0]
+    return (body, item.mark) if isinstance(body, str) else tuple(_exact(x) for x in body)
+
+
+def fold(items: list, same=_same) -> list:
     """Repeats of one to MAX_GROUP items in a row become one repeated group."""
     for size in range(1, MAX_GROUP + 1):
+        if len(items) <= size:
+            break
         out: list = []
-        for item in items:
+        keys: list = []  # of out
+
+        def add(item):
             out.append(item)
-            while len(out) >= 2 * size and all(_same(a) == _same(b) for a, b in zip(out[-2 * size:-size], out[-size:])):
+            keys.append(same(item))
+
+        for item in items:
+            add(item)
+            while len(out) >= 2 * size and keys[-2 * size:-size] == keys[-size:]:
                 last = [_merged(a, b) for a, b in zip(out[-2 * size:-size], out[-size:])]
-                del out[-2 * size:]
+                del out[-2 * size:], keys[-2 * size:]
                 if size == 1:
-                    out.append([last[0][0], True, last[0][2]])
+                    add(Item(last[0][0], True, last[0][2], last[0].mark))
                 else:
-                    out.append([last, True, False])
+                    add(Item(last, True, False))
                     break
             # a group that comes again joins the repeated group before it
             if size > 1 and len(out) > size and out[-size - 1][1] and not isinstance(out[-size - 1][0], str) \
-                    and _same(out[-size - 1]) == tuple(_same(x) for x in out[-size:]):
+                    and keys[-size - 1] == tuple(keys[-size:]):
                 group = out[-size - 1]
                 group[0] = [_merged(a, b) for a, b in zip(group[0], out[-size:])]
-                del out[-size:]
+                del out[-size:], keys[-size:]
         items = out
     return items
 
 
 def _merged(a, b):
     body = a[0] if isinstance(a[0], str) else [_merged(x, y) for x, y in zip(a[0], b[0])]
-    return [body, a[1] or b[1], a[2] or b[2]]
-
-
-def align(a: list, b: list) -> list:
-    """One stream that both fit: matches merged, mismatches optional."""
+    return Item(body, a[1] or b[1], a[2] or b[2], a.mark if a.mark == b.mark else None)
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of positions with the same name and fixed text, in both orders:
+    the longest rising run of equal occurrences."""
+    def numbered(items):
+        seen: dict = {}
+        for i, item in enumerate(items):
+            if isinstance(item[0], str) and item.mark is not None:
+                key = item[0], item.mark
+                seen[key] = seen.get(key, -1) + 1
+                yield (*key, seen[key]), i
+
+    places = dict(numbered(b))
+    pairs = [(i, places[k]) for k, i in numbered(a) if k in places]
+    ends: list[int] = []  # least end of a run of each length
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at:at + 1], last[at:at + 1] = [j], [n]
+    run, n = [], last[-1] if last else -1
+    while n >= 0:
+        run.append(pairs[n])
+        n = before[n]
+    return run[::-1]
+
+
+def _align_names(a: list, b: list) -> list:
+    """Matches by name merged, mismatches optional."""
+    a, b = fold(a), fold(b)
     ka, kb = [_same(x) for x in a], [_same(x) for x in b]
     if ka == kb:
         return [_merged(x, y) for x, y in zip(a, b)]
     out, i, j = [], 0, 0
     for x, y, n in SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks():
-        out += [[body, rep, True] for body, rep, _ in a[i:x]] + [[body, rep, True] for body, rep, _ in b[j:y]]
+        out += [Item(p[0], p[1], True, p.mark) for p in (*a[i:x], *b[j:y])]
         out += [_merged(p, q) for p, q in zip(a[x:x + n], b[y:y + n])]
         i, j = x + n, y + n
     return fold(out)
 
 
+def align(a: list, b: list) -> list:
+    """One stream that both fit."""
+    out, i, j = [], 0, 0
+    for x, y in [*_anchors(a, b), (len(a), len(b))]:
+        if i < x or j < y:
+            out += _align_names(a[i:x], b[j:y])
+        if x < len(a):
+            out.append(_merged(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out
+
+
 def page_wrapper(found: list[tuple[str, str, int]]) -> list:
     slots: dict[str, list] = {}
+    items = []
     for name, text, linked in found:
         s = slots.setdefault(name, [1, 0, 0, 0])
         s[1] += len(text)
         s[2] += min(linked, len(text))
         s[3] = crc32(text.encode("utf-8", "surrogatepass"), s[3])
-    return [fold([[name, False, False] for name, _, _ in found]), slots]
+        items.append(Item(name, False, False, _mark(text)))
+    return [fold(items, _exact), slots, int(bool(found))]
+
+
+def _mark(text: str) -> int:
+    return crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def merge(a: list, b: list) -> list:
@@ -252,7 +328,36 @@ def merge(a: list, b: list) -> list:
             slots[name] = [s[0] + pages, s[1] + chars, s[2] + linked, s[3] if s[3] == mark else None]
         else:
             slots[name] = [pages, chars, linked, mark]
-    return [align(a[0], b[0]), slots]
+    # pages without text have no position to compare
+    return [align(a[0], b[0]) if a[2] and b[2] else a[0] or b[0], slots, a[2] + b[2]]
+
+
+def fixed_texts(wrapper: list, content: set[str]) -> list[str]:
+    """Required fixed texts among the content slots, in order: lines of name,
+    mark and whether it repeats."""
+    if wrapper[2] < MIN_PAGES:
+        return []
+    return [f"{x[0]}\t{x.mark}\t{int(x[1])}" for x in wrapper[0]
+            if isinstance(x[0], str) and x[0] in content and x.mark is not None and not x[2]]
+
+
+def without_fixed(found: list[tuple[str, str, int]], fixed: tuple[tuple[str, int, bool], ...]) -> list[tuple[str, str, int]]:
+    """The blocks of a page that are no template in the host's wrapper.  Every
+    page of the host has the required texts in this order, so the first fit of
+    each leaves room for the rest."""
+    out, at, names = [], 0, {n for n, *_ in fixed}
+    again = None
+    for block in found:
+        key = (block[0], _mark(block[1])) if block[0] in names else None
+        if key and key == again:
+            continue
+        again = None
+        if key and at < len(fixed) and key == fixed[at][:2]:
+            again = key if fixed[at][2] else None
+            at += 1
+            continue
+        out.append(block)
+    return out
 
 
 def main_slots(wrapper: list) -> tuple[list[str], ...]:
@@ -277,7 +382,30 @@ def main_slots(wrapper: list) -> tuple[list[str], ...]:
 
 
 def _dump(wrapper: list) -> str:
-    return json.dumps(wrapper, ensure_ascii=True, separators=(",", ":"))
+    """JSON of [names, items with numbers for names, slots by number, pages]."""
+    items, slots, pages = wrapper
+    number = {name: i for i, name in enumerate(slots)}
+
+    def short(item):
+        body, rep, opt = item
+        return [number[body] if isinstance(body, str) else [short(x) for x in body], int(rep), int(opt), item.mark]
+
+    return json.dumps([list(slots), [short(x) for x in items], list(slots.values()), pages], ensure_ascii=True, separators=(",", ":"))
+
+
+def _load(dumped: str) -> list:
+    names, items, slots, pages = json.loads(dumped)
+
+    def full(item):
+        body, rep, opt, mark = item
+        return Item([full(x) for x in body] if isinstance(body, list) else names[body], bool(rep), bool(opt), mark)
+
+    return [[full(x) for x in items], dict(zip(names, slots)), pages]
+
+
+def _judged(wrapper: list) -> str:
+    lists = main_slots(wrapper)
+    return _GROUP.join("\n".join(g) for g in (*lists, fixed_texts(wrapper, {*lists[1], *lists[3]})))
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +431,7 @@ def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = json.loads(w)
+            w = _load(w)
             if h != host:
                 if wrapper is not None:
                     out.append((host, wrapper))
@@ -319,7 +447,7 @@ def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wrapper_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([h for h, _ in rows], pa.string()), pa.array([_dump(w) for _, w in rows], pa.string()),
-         pa.array([_GROUP.join("\n".join(g) for g in main_slots(w)) for _, w in rows], pa.string())], ["host", "wrapper", "main"])
+         pa.array([_judged(w) for _, w in rows], pa.string())], ["host", "wrapper", "main"])
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -335,14 +463,18 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 
 @functools.lru_cache(maxsize=1024)
-def _slot_sets(main: str) -> tuple[frozenset[str], ...]:
-    return tuple(frozenset(g.split("\n")) for g in main.split(_GROUP))
+def _slot_sets(main: str) -> tuple[tuple[frozenset[str], ...], tuple[tuple[str, int, bool], ...]]:
+    *lists, fixed = main.split(_GROUP)
+    lines = [x.split("\t") for x in fixed.split("\n") if x]
+    return tuple(frozenset(g.split("\n")) for g in lists), tuple((n, int(m), r == "1") for n, m, r in lines)
 
 
 def page_text(page: str | None, main: str) -> str:
     found = blocks(page or "")
-    for keep in _slot_sets(main):
-        if texts := [text for slot, text, _ in found if slot in keep]:
+    lists, fixed = _slot_sets(main)
+    changing = without_fixed(found, fixed) if fixed else found
+    for i, keep in enumerate(lists):  # what an article marks is kept whole
+        if texts := [text for slot, text, _ in (changing if i % 2 else found) if slot in keep]:
             return "\n".join(texts)
     return ""
 

@@ -242,6 +242,23 @@ def test_words_exclude_whole_names_that_leave_text(spark):
     assert sorted((r["page_id"], r["text"]) for r in got) == [(i, "Text") for i in range(1, 7)]
 
 
+def test_fixed_text_between_content_of_its_name(spark):
+    """A constant paragraph in a slot of the same name as the text's is template."""
+    def page(i):
+        return (f"<div><p>Subscribe now</p></div><div><p>Text {i}</p>" + "".join(f"<p>more {i} {j}" for j in range(i % 4))
+                + "</div><div><p>Follow us</p></div><div><p>Last " + str(i) + "</div>")
+    rows = [(i, "http://h.net/x", page(i)) for i in range(9)] + [(20, "http://h.net/x", ""), (21, "http://two.net", page(1)), (22, "http://two.net", page(2))]
+    # what a mark as article holds is kept whole, and texts of some pages are no template
+    rows += [(30 + i, "http://i.net", f"<article><p>Same<p>Text {i}</article>") for i in range(4)]
+    rows += [(40 + i, "http://j.net", f"<div><p>{'Quoted' if i < 4 else i}<p>Text {i}</div>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    for i in range(9):
+        assert got[i] == "\n".join([f"Text {i}", *(f"more {i} {j}" for j in range(i % 4)), f"Last {i}"])
+    assert got[20] == "" and got[21].startswith("Subscribe now\nText 1")
+    assert all(got[30 + i] == f"Same\nText {i}" for i in range(4))
+    assert all(got[40 + i] == f"{'Quoted' if i < 4 else i}\nText {i}" for i in range(5))
+
+
 def test_wrapper_alignment():
     def w(slots):
         return wrappers.page_wrapper([(s, s, 0) for s in slots])
