@@ -17,16 +17,14 @@ from linkstream.llm import language, mixing, neardup, packing, secrets
 from linkstream.llm.common import documents, free_name
 from linkstream.session import checkpoint_dir
 
-#: Documents whose calibrated language score is below this are rejected.
-MIN_LANGUAGE_SCORE = 0.4
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; those without a letter go."""
+    """Documents with a recognised language, however close the next one is;
+    those without a letter go."""
     checkpoint_dir(spark)
-    pred, score = free_name(docs, "lang_pred", "score")
+    pred, = free_name(docs, "lang_pred")
     found = language.identify(docs, language.fit(docs))
-    return found.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return found.where(F.col(pred) != language.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,5 +57,15 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in seen[4][1].where("start = 0").collect()) == ids(seen[3][1])
 
 
+def test_short_and_mixed_documents_stay(spark):
+    """Six languages: a text that could be any of them has a low score, and stays."""
+    words = ["lorem", "amet", "dolor", "sic", "vox", "nox", "pax", "lux"]
+    rows = [(i, " ".join(words[(i + j * j) % 8] for j in range(1 + i % 9)), f"l{i * 7 % 6}") for i in range(240)]
+    rows += [(300, "a", None), (301, "lorem nox xyz", None), (302, "12 %%", None), (303, "", "l1"), (304, None, "l1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF001).collect())
+    assert got == [*range(240), 300, 301]
+
+
 def test_pipeline_runs(spark):
     assert QUERIES["pipeline"](spark, SF001).count() > 0
