@@ -8,7 +8,7 @@ SQL here and are tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from linkstream.sources.tables import read_table
 
 SHARDS = 40
 
-# The rules of the pages query, and the listed sites.
+# The rules of the pages query, and the listed sites (the pattern is for the SQL).
 RULES = (
     urlfilter.Rule("allow", "org", "/"),
     urlfilter.Rule("block", "example.org", "/es/"),
@@ -48,10 +48,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
-    listed = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where(F.col("host").rlike(LISTED_PATTERN)).distinct()
-    return urlfilter.judge(pages, RULES, listed)
+def op4_url_filter(spark: SparkSession, sf_dir: str, sites: Sequence[str] = LISTED_SITES) -> DataFrame:
+    """``sites`` is the key list: a host is listed if one of them is a label of it before a dot."""
+    listed = spark.createDataFrame([(site + ".",) for site in sites], "host string")
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"), RULES, listed)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

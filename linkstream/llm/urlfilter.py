@@ -185,18 +185,52 @@ def mark_listed(df: DataFrame, key: str, out: str, universe: DataFrame, listed:
     return df.withColumn(out, F.col(key).isNotNull() & member(h1, h2))
 
 
+def host_keys(host: Column) -> Column:
+    """The keys that list a host: itself, and each label that a dot follows,
+    with the dot."""
+    labels = F.split(host, "[.]", -1)
+    return F.array_distinct(F.concat(F.array(host), F.transform(F.slice(labels, 1, F.size(labels) - 1), lambda x: F.concat(x, F.lit(".")))))
+
+
+def mark_any_listed(df: DataFrame, keys: str, out: str, listed: DataFrame, key: str) -> DataFrame:
+    """``df`` plus the boolean column ``out``: whether any of its array ``keys``
+    (not null, of one or more) is listed.  The cascade of all keys decides."""
+    universe = df.select(F.explode(keys).alias(key))
+    cascade = build_cascade(universe, listed, key)
+    if cascade is None:
+        found = universe.distinct().join(listed.select(key).where(F.col(key).isNotNull()).distinct(), key)
+        sets = df.select(F.col(keys).alias("_keys")).distinct().withColumn(key, F.explode("_keys")).join(found, key) \
+                 .select("_keys").distinct().withColumn("_hit", F.lit(True))
+        return df.join(sets, F.col(keys) == F.col("_keys"), "left") \
+                 .withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_keys", "_hit")
+    shared = df.sparkSession.sparkContext.broadcast(cascade)
+
+    @F.pandas_udf("boolean")
+    def member(h1, h2):
+        import pandas as pd
+        if not len(h1):
+            return pd.Series([], dtype=bool)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in h1])[:-1]])
+        hits = shared.value.listed(*(np.concatenate(list(h)).astype("i8").view("u8") for h in (h1, h2)))
+        return pd.Series(np.logical_or.reduceat(hits, starts))
+
+    h1, h2 = F.transform(keys, lambda k: key_hashes(k)[0]), F.transform(keys, lambda k: key_hashes(k)[1])
+    return df.withColumn(out, member(h1, h2))
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: str = "page_id",
           url_col: str = "url") -> DataFrame:
     """-> (page_id, host, path, rule, verdict), a row per row.
 
     The longest rule that fits decides; else a page is blocked if its host is
-    in ``listed`` (column host), allowed if not.  A null url has an empty host
+    in ``listed`` (column host), allowed if not.  A listed ``name.`` stands for
+    every host with the label ``name`` before a dot.  A null url has an empty host
     and path, fits no rule, and is allowed unless the empty host is listed.
     Repeated rows are each answered; other columns are not read.
     """
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
                          path_of(F.col(url_col)).alias("path"))
-    marked = mark_listed(parts, "host", "listed", parts.select("host"), listed)
+    marked = mark_any_listed(parts.withColumn("keys", host_keys(F.col("host"))), "keys", "listed", listed, "host")
     host, path = F.col("host"), F.col("path")
     return marked.select(
         F.col("page_id").alias(id_col), "host", "path", longest_rule(host, path, rules, "name").alias("rule"),

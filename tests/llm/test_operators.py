@@ -188,6 +188,21 @@ def test_rules_on_odd_urls(spark):
     assert got == sorted(want, key=str)
 
 
+def test_key_list_decides(spark, monkeypatch):
+    """Sites and hosts of the given list are blocked, whatever their names; both paths agree."""
+    from linkstream.llm.queries import op4_url_filter
+    hosts = ["www.badsite.net", "badsite.net", "badsite", "notbadsite.net", "badsite.x.net", "x.badsite", "spam-farm.net", "a.b.net", "b.net", ""]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    listed = spark.createDataFrame([("badsite.",), ("b.net",), (None,)], "host string")
+    want = {"www.badsite.net", "badsite.net", "badsite.x.net", "b.net"}
+    for limit in (urlfilter.MAX_CASCADE_BYTES, 0):
+        monkeypatch.setattr(urlfilter, "MAX_CASCADE_BYTES", limit)
+        got = urlfilter.judge(pages, [], listed).collect()
+        assert {r["host"] for r in got if r["verdict"] == "block"} == want and len(got) == len(hosts)
+    got = op4_url_filter(spark, SF001, ["example"]).collect()
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"block"}
+
+
 # ---- 5 html ----
 
 def test_pages_equal_their_articles(spark):
