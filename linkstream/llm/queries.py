@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkstream.llm import language, mixing, neardup, packing, quality, secrets, sharding, topk, urlfilter, wrappers
+from linkstream.llm import infill, language, mixing, neardup, packing, quality, secrets, sharding, topk, urlfilter, wrappers
 from linkstream.llm.common import documents
 from linkstream.sources.tables import read_table
 
@@ -78,9 +78,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_language_id, op4_url_filter, op5_html_extraction,
-                            op6_source_mixing, op7_packing, op8_ngram_jaccard_join, op9_exact_topk, op10_quality_rules)
+                            op6_source_mixing, op7_packing, op8_ngram_jaccard_join, op9_exact_topk, op10_quality_rules,
+                            op12_infill)
 } | {"pipeline": corpus_pipeline.run}
 
 
@@ -213,12 +218,35 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
 """
 
+_SQL_OP12 = """
+with hashed as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+tokens as (
+  select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as w, cast('0x' || substr(h, 1, 8) as bigint) as h1,
+    cast('0x' || substr(h, 9, 8) as bigint) as h2, cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4
+  from hashed),
+cuts as (
+  select *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as lo, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as hi,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from tokens),
+parts as (
+  select doc_id, t, len(w) as n, form, coalesce(array_to_string(w[1:lo], ''), '') as p,
+    coalesce(array_to_string(w[lo + 1:hi], ''), '') as m, coalesce(array_to_string(w[hi + 1:], ''), '') as s
+  from cuts)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _SQL_OP1,
     "op4_url_filter": _SQL_OP4,
     "op6_source_mixing": _SQL_OP6,
     "op8_ngram_jaccard_join": _SQL_OP8,
     "op9_exact_topk": _SQL_OP9,
+    "op12_infill": _SQL_OP12,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

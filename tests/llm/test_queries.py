@@ -25,7 +25,7 @@ def test_matches_oracle(spark, con, name):
 
 def test_registered_in_the_entry():
     import __spark_entry__ as E
-    assert set(QUERIES) <= set(E.queries()) and len(QUERIES) == 11
+    assert set(QUERIES) <= set(E.queries()) and len(QUERIES) == 14
 
 
 def test_pipeline_stages(spark):
