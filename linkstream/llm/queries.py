@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkstream.llm import infill, language, mixing, neardup, packing, quality, secrets, sharding, topk, urlfilter, wrappers
+from linkstream.llm import infill, language, lexical, mixing, neardup, packing, quality, secrets, sharding, topk, urlfilter, wrappers
 from linkstream.llm.common import documents
 from linkstream.sources.tables import read_table
 
@@ -82,10 +82,14 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(documents(spark, sf_dir)))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_language_id, op4_url_filter, op5_html_extraction,
                             op6_source_mixing, op7_packing, op8_ngram_jaccard_join, op9_exact_topk, op10_quality_rules,
-                            op12_infill)
+                            op12_infill, op13_lexical_search)
 } | {"pipeline": corpus_pipeline.run}
 
 
@@ -240,6 +244,24 @@ select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast
 from parts
 """
 
+_SQL_OP13 = r"""
+with terms as (
+  select doc_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from documents),
+tfs as (select doc_id, t, count(*) as tf from terms group by all),
+docs as (select doc_id, cast(sum(tf) as bigint) as n from tfs group by all),
+stats as (select count(*) as nn, cast(sum(n) as bigint) as ll from docs),
+weights as (select t, cast(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) as bigint) as w from tfs, stats group by t, nn),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from benchmark),
+scored as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * nn) // ll))))) as bigint) as score
+  from asked join tfs using (t) join weights using (t) join docs using (doc_id), stats group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _SQL_OP1,
     "op4_url_filter": _SQL_OP4,
@@ -247,6 +269,7 @@ ORACLES: dict[str, str] = {
     "op8_ngram_jaccard_join": _SQL_OP8,
     "op9_exact_topk": _SQL_OP9,
     "op12_infill": _SQL_OP12,
+    "op13_lexical_search": _SQL_OP13,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
