@@ -25,12 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table of the shared folder.  For loops: a checkpoint keeps the
-    size estimate of the plan before it, which joins multiply in every round."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table of the shared folder, in folders by the columns ``by``.
+    For loops: a checkpoint keeps the size estimate of the plan before it, which
+    joins multiply in every round.  And for the small side of a join with a hot
+    key: Spark splits it only between two plain exchanges, not behind an aggregate."""
     path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # an empty table has no files by folder
 
 
 def free_name(df: DataFrame, *names: str) -> list[str]:

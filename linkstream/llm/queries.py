@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkstream.llm import infill, language, lexical, mixing, neardup, packing, quality, secrets, sharding, topk, urlfilter, wrappers
+from linkstream.llm import infill, language, lexical, mixing, neardup, packing, quality, secrets, sharding, topk, toxicity, urlfilter, wrappers
 from linkstream.llm.common import documents
 from linkstream.sources.tables import read_table
 
@@ -78,6 +78,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "text")
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(documents(spark, sf_dir)))
 
@@ -89,7 +96,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_language_id, op4_url_filter, op5_html_extraction,
                             op6_source_mixing, op7_packing, op8_ngram_jaccard_join, op9_exact_topk, op10_quality_rules,
-                            op12_infill, op13_lexical_search)
+                            op11_toxicity, op12_infill, op13_lexical_search)
 } | {"pipeline": corpus_pipeline.run}
 
 
@@ -118,6 +125,8 @@ def _sql_kind(rank: int, kind: str) -> str:
             f"string_split_regex(t, '{_SQL_PATTERNS[kind]}') as ps from texts where regexp_matches(t, '{_SQL_PATTERNS[kind]}')")
 
 
+#: b does not overlap a, and lies within reach of it.
+_SQL_NEAR = f"(b.e <= a.s and b.e > a.s - {secrets.REACH} or b.s >= a.e and b.s < a.e + {secrets.REACH})"
 _SQL_OP1 = f"""
 with texts as (select distinct coalesce(text, '') as t from documents),
 found as ({' union all '.join(_sql_kind(i, k) for i, k in enumerate(secrets.KINDS))}),
@@ -131,8 +140,8 @@ parts as (
 near as (
   select a.t, a.rk, a.kind, a.s, a.e,
     coalesce(bool_or(b.rk < 3 and b.e > a.s and b.s < a.e), false) as covered,
-    coalesce(bool_or(b.rk in (1, 3) and b.e > a.s - {secrets.REACH} and b.s < a.e + {secrets.REACH}), false) as acc,
-    coalesce(bool_or(b.rk in (0, 2, 4) and b.e > a.s - {secrets.REACH} and b.s < a.e + {secrets.REACH}), false) as sec
+    coalesce(bool_or(b.rk in (1, 3) and {_SQL_NEAR}), false) as acc,
+    coalesce(bool_or(b.rk in (0, 2, 4) and {_SQL_NEAR}), false) as sec
   from parts a left join parts b on a.t = b.t and (a.rk, a.s) <> (b.rk, b.s)
   group by all),
 kept as (select * from near where case when rk < 3 then true when covered then false when rk = 3 then sec when rk = 4 then acc else acc and sec end),
