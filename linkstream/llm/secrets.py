@@ -4,22 +4,24 @@ Three base patterns (assigned secrets, access identifiers, long hex runs) are
 always reported.  Three weak patterns are candidates only: an account
 identifier, a mixed-character token and an endpoint prove nothing alone.  All
 parts of a text become intervals, and an interval join finds for each weak
-part whether a complementary part of the same scope (the text) lies within
-``REACH`` code points:
+part whether a complementary part of the same scope (the text), which does not
+overlap it, lies within ``REACH`` code points:
 
 * identifier: a secret part (assign, hex, or a candidate token);
 * token: an access part (access, or a candidate identifier);
 * endpoint: both an access part and a secret part.
 
-The interval join is a sweep: parts are ordered by start, and running maxima
-of ends (forwards) and minima of starts (backwards) give the nearest part of
-each role, so no pair is ever formed.  Weak parts that overlap a base part add
-nothing and go.
+The interval join is a sweep over the starts and ends of all parts of a text:
+the last end of each role before a part's start, and the first start after its
+end, are its nearest ones, so no pair is ever formed.  Weak parts that overlap
+a base part (more base parts started before its end than ended by its start)
+add nothing and go.
 
 Positions are counted in code points.  Pattern matches carry no positions in
 SQL, so each text is also split by its pattern: a match starts where the
 pieces and matches before it end, a running sum over the exploded matches.
-Only texts with a match are exploded, and each distinct text once.
+Each text is matched once; only texts with a match are exploded, and each
+distinct one once.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstream.llm.common import free_name
+from linkstream.llm.common import free_name, written
 
 #: Largest gap in code points between parts of one credential.
 REACH = 200
@@ -88,17 +90,24 @@ def text_spans(texts: DataFrame, reach: int = REACH) -> DataFrame:
                .select("k", "rank", (F.col("end") - F.col("m.len")).alias("start"), "end"))
 
     base, access, secret = F.col("rank") < 3, F.col("rank").isin(1, 3), F.col("rank").isin(0, 2, 4)
-    order = [F.col("start"), F.col("end"), F.col("rank")]
-    ahead = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy("k").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-
-    def near(role: Column, gap: int) -> Column:
-        before = F.max(F.when(role, F.col("end"))).over(ahead) > F.col("start") - gap
-        after = F.min(F.when(role, F.col("start"))).over(back) < F.col("end") + gap
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
-    seen = parts.select("*", near(base, 0).alias("covered"), near(access, reach).alias("by_access"),
-                        near(secret, reach).alias("by_secret"))
+    events = parts.withColumn("is_start", F.explode(F.array(F.lit(True), F.lit(False)))) \
+                  .withColumn("at", F.when(F.col("is_start"), F.col("start")).otherwise(F.col("end")))
+    is_start, is_end = F.col("is_start"), ~F.col("is_start")
+    # At one place ends come before starts, both ways round: parts that touch do not overlap.
+    ahead = Window.partitionBy("k").orderBy("at", "is_start").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("k").orderBy(F.col("at").desc(), F.col("is_start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+    def near(role: Column) -> Column:
+        before = F.max(F.when(role & is_end, F.col("at"))).over(ahead) > F.col("start") - reach
+        after = F.min(F.when(role & is_start, F.col("at"))).over(back) < F.col("end") + reach
+        return F.coalesce(F.when(is_start, before).otherwise(after), F.lit(False))
+
+    seen = events.select("*", near(access).alias("by_access"), near(secret).alias("by_secret"),
+                         F.count(F.when(base & is_start, True)).over(ahead).alias("started"),
+                         F.count(F.when(base & is_end, True)).over(ahead).alias("ended"))
+    seen = seen.groupBy("k", "rank", "start", "end").agg(
+        F.max("by_access").alias("by_access"), F.max("by_secret").alias("by_secret"),
+        (F.max(F.when(is_end, F.col("started"))) > F.max(F.when(is_start, F.col("ended")))).alias("covered"))
     linked = (F.when(base, True).when(F.col("covered"), False)
                .when(F.col("rank") == 3, F.col("by_secret")).when(F.col("rank") == 4, F.col("by_access"))
                .otherwise(F.col("by_access") & F.col("by_secret")))
@@ -116,11 +125,15 @@ def _count(spans: Column, rank: int) -> Column:
     return F.coalesce(F.size(F.filter(spans, lambda s: s["rank"] == rank)), F.lit(0)).cast("bigint")
 
 
-def _candidates(df: DataFrame, text: Column) -> DataFrame:
-    """Distinct texts with a match -> (k, parts)."""
+def _found(text: Column) -> Column:
+    """The parts of a text, null without any match."""
     any_match = F.coalesce(*[F.when(text.rlike(PATTERNS[k]), True) for k in KINDS], F.lit(False))
-    return df.where(any_match).select(text_key(text).alias("k"), _parts(text).alias("parts")) \
-             .groupBy("k").agg(F.first("parts").alias("parts"))
+    return F.when(any_match, _parts(text))
+
+
+def _spans(hits: DataFrame, reach: int) -> DataFrame:
+    """(k, parts) of rows -> (k, spans) of their distinct texts, as a table."""
+    return written(text_spans(hits.groupBy("k").agg(F.first("parts").alias("parts")), reach))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
@@ -133,12 +146,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
     Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = text_spans(_candidates(df, text), reach)
-    rows = df.select(F.col(id_col), text_key(text).alias("_k"))
-    res = rows.join(spans, F.col("_k") == F.col("k"), "left")
+    rows = written(df.select(F.col(id_col).alias("id"), _found(text).alias("parts"), text_key(text).alias("_k")))
+    hits = rows.where(F.col("parts").isNotNull())
+    spans = _spans(hits.select(F.col("_k").alias("k"), "parts"), reach)
+    res = hits.select("id", "_k").join(spans, F.col("_k") == F.col("k"), "left").select("id", "spans")
+    res = res.unionByName(rows.where(F.col("parts").isNull()).select("id", F.lit(None).cast(res.schema["spans"].dataType).alias("spans")))
     s = F.col("spans")
     base = F.filter(s, lambda x: x["rank"] < 3)
-    return res.select(F.col(id_col), _count(s, 0).alias("n_assign"), _count(s, 1).alias("n_access"),
+    return res.select(F.col("id").alias(id_col), _count(s, 0).alias("n_assign"), _count(s, 1).alias("n_access"),
                       _count(s, 2).alias("n_hex"), F.sha2(_listing(base), 256).alias("base_sha256"),
                       _listing(s).alias("spans"),
                       F.coalesce(F.size(F.filter(s, lambda x: x["rank"] >= 3)), F.lit(0)).cast("bigint").alias("n_linked"))
@@ -148,11 +163,13 @@ def redact(df: DataFrame, text_col: str = "text", reach: int = REACH, mark: str
     """The rows of ``df`` with every span of the scan replaced by ``mark``;
     overlapping spans become one.  Texts without spans, null and empty ones
     included, stay as they are; no row goes."""
-    key, found, out = free_name(df, "k", "spans", "redacted")
+    key, match, found, out, hit = free_name(df, "k", "span_key", "spans", "parts", "hit")
     text = F.col(text_col)
-    hit = F.coalesce(*[F.when(text.rlike(PATTERNS[k]), True) for k in KINDS], F.lit(False))
-    spans = text_spans(_candidates(df.where(text.isNotNull()), text), reach).select(
-        F.col("k").alias(key), F.col("spans").alias(found))
+    rows = df.withColumn(out, _found(text)).withColumn(hit, F.col(out).isNotNull().cast("int"))
+    rows = written(rows.withColumn(key, F.when(F.col(hit) == 1, text_key(text))), hit)
+    hits, others = rows.where(F.col(hit) == 1), rows.where(F.col(hit) == 0)
+    spans = _spans(hits.select(F.col(key).alias("k"), F.col(out).alias("parts")), reach).select(
+        F.col("k").alias(match), F.col("spans").alias(found))
     # Covered pieces: from the largest end so far (or the span's end) on, up to the next start.
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
 
@@ -167,6 +184,5 @@ def redact(df: DataFrame, text_col: str = "text", reach: int = REACH, mark: str
         return F.concat(acc["done"], text.substr(acc["at"].cast("int") + 1, F.length(text)))
 
     new = F.when(F.col(found).isNull(), text).otherwise(F.aggregate(F.col(found), start, step, finish))
-    hits = df.where(hit).withColumn(out, text_key(text)).join(spans, F.col(out) == F.col(key), "left")
-    changed = hits.withColumn(text_col, new).select(*df.columns)
-    return df.where(~hit).unionByName(changed)
+    changed = hits.join(spans, F.col(key) == F.col(match), "left").withColumn(text_col, new)
+    return others.select(*df.columns).unionByName(changed.select(*df.columns))
