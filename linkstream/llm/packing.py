@@ -41,7 +41,8 @@ class WordIds(dict):
     The tokenizer (a byte-level BPE with word ends) never joins text across a
     blank or a line feed, so ids of a text are those of its words in turn.  It
     lower-cases, and it parts a letter or digit from the marks behind it, so a
-    word not seen yet is looked up in lower case and without closing marks.  A
+    word not seen yet is looked up in lower case and without closing marks
+    (unless its last letter becomes more than one: the second may be a mark).  A
     word of Latin letters is one pre-token, so its bytes go straight to the
     model; all others take the whole way.
     """
@@ -58,7 +59,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(CLOSING)
-        if stem and stem != word and stem[-1].isalnum():
+        if stem and stem != word and stem[-1].isalnum() and len(stem[-1].lower()) == 1:
             ids = self[stem] + self[word[len(stem):]]
         elif word.isalpha() and max(word) < "\u0130":
             if (low := word.lower()) != word:
