@@ -9,13 +9,17 @@ is a text slot while one that never differs is fixed text.  The result
 is a union-free regular expression over slots, the host's *wrapper*.
 
 Slots are then judged once for the host: those inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments go.  Where only a class, id or
-role tells that, it must say so as a whole and leave the page some text.  A page that marks its
-article keeps the slots inside it, whole; another one keeps the slots that are
-neither template text nor link lists.  Where a slot's name stands for both text
-and template, the wrapper decides by position: its required fixed texts are
-template, text slots and repeated groups are content, and each page's stream is
-matched against it.
+sidebars, notices, adverts, forms and comments go (an article's own header and
+an article inside an article, which is a reader comment, are told apart by
+nesting).  Where only a class, id or role tells that, it must say so as a whole,
+or name a thing that is never text, and leave the page some text.
+
+The rest is decided by position: each page's stream is matched against the
+wrapper, whose required fixed texts are template, while text slots and repeated
+groups are content.  A page that marks its article loses the containers inside
+it that hold template alone (share bars, notices, whatever they are called) and
+those that hold links alone; fixed texts among its other blocks are its own.
+Another page loses all fixed texts, and slots that are link lists.
 
 Wrappers are merged inside each task first, then in two rounds by host, one
 wrapper in memory at a time, so no host's pages ever meet in one task.
@@ -44,12 +48,10 @@ HELD_HOSTS = 2_000
 SALTS = 32
 #: Wrapper judgements up to this size are broadcast; beyond it they are joined.
 MAX_BROADCAST_BYTES = 8 << 20
-#: Pages that a fixed text needs to be template among content of the same name.
+#: Different pages that a fixed text needs to be template.
 MIN_PAGES = 3
-#: Longest repeated group looked for.
-MAX_GROUP = 6
-#: Words of a page's longest class or id that are kept in a slot's name.
-NAME_WORDS = 4
+#: Share of its characters in links from which a container inside an article is no text.
+LINK_SHARE = 0.9
 
 # How elements take part.
 SKIPPED = frozenset("script style noscript template svg math head textarea select iframe object canvas audio video".split())
@@ -74,8 +76,13 @@ FOREIGN = frozenset(["svg", "math"])
 FOREIGN_HTML = frozenset("foreignobject desc title annotation-xml".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 _LAYOUT = re.compile("<(?=/?(?:" + "|".join(sorted((CONTAINERS | BLOCKS) - {"title"})) + r")(?=[\s/>]))", re.I)
+#: Words of things that are never article text, whatever stands beside them in a name; but for names of a state.
+STRONG_WORDS = frozenset("comment comments disqus cookie cookies gdpr newsletter advert adverts advertisement advertising sponsor sponsored "
+                         "share sharing breadcrumb breadcrumbs pagination promo related recommended".split())
+STATE_WORDS = frozenset("open closed enabled disabled on off no has with without is not allowed content".split())
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+#: Parts of a class name; those with a digit are made up for one page, and say nothing.
+_WORD = re.compile(r"(?<![a-z0-9])[a-z]+(?![a-z0-9])")
 #: Words beside those of NOT_MAIN_WORDS that leave a class name's meaning as it is.
 NEUTRAL_WORDS = frozenset("site page top bottom left right primary secondary main global sticky box bar block area section list "
                           "wrapper wrap container inner outer item items form link links btn button posts articles stories".split())
@@ -85,16 +92,18 @@ NEVER_BY_WORD = frozenset("html body main article".split())
 _GROUP = "\x1e"
 
 
-def _name(tag: str, attributes: str) -> str:
-    """tag.words, or tag!words where a whole class, id or role excludes."""
-    words: list[str] = []
+def _name(tag: str, attributes: str, never: bool) -> str:
+    """tag.words, or tag!words where a class, id or role excludes."""
+    words: set[str] = set()
     for m in _NAMED.findall(attributes):
         for token in "".join(m).lower().split():
             of = _WORD.findall(token)
-            if tag not in NEVER_BY_WORD and NOT_MAIN_WORDS.intersection(of) and NOT_MAIN_WORDS.union(NEUTRAL_WORDS).issuperset(of):
-                return tag + "!" + ".".join(of[:NAME_WORDS])
-            words += [w for w in of if w not in words]
-    return ".".join([tag, *sorted(words)[:NAME_WORDS]])
+            whole = not NOT_MAIN_WORDS.isdisjoint(of) and NOT_MAIN_WORDS.union(NEUTRAL_WORDS).issuperset(of)
+            strong = not STRONG_WORDS.isdisjoint(of) and STATE_WORDS.isdisjoint(of)
+            if not never and (whole or strong):
+                return tag + "!" + ".".join(of)
+            words.update(of)
+    return ".".join([tag, *sorted(words)])
 
 
 def _tag_of(name: str) -> str:
@@ -135,8 +144,14 @@ def _skipped(page: str, tag: str, at: int) -> int:
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(slot, text, characters inside links) of each block with text, in page order."""
-    out: list[tuple[str, str, int]] = []
+    return [b[:3] for b in placed_blocks(page)]
+
+
+def placed_blocks(page: str) -> list[tuple[str, str, int, int]]:
+    """``blocks`` with the number of the container that each stands in."""
+    out: list[tuple[str, str, int, int]] = []
     stack: list[str] = []
+    numbers, opened = [0], 0
     leaf, pieces, linked, in_link, at, in_head = "", [], 0, 0, 0, False
     ends = {t: page.lower().rfind("</" + t) for t in SKIPPED - RAW - FOREIGN - {"head", "select"}}
 
@@ -144,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(("/".join(stack) + ">" + leaf, text, linked))
+            out.append(("/".join(stack) + ">" + leaf, text, linked, numbers[-1]))
         pieces, linked = [], 0
 
     while m := _TAG.search(page, at):
@@ -171,15 +186,19 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             end_block()
             leaf = ""
             if not closing:
-                stack.append(_name(tag, m[3]))
+                # no word excludes the whole page, nor the outermost article
+                never = tag in NEVER_BY_WORD and not (tag == "article" and any(_tag_of(x) == "article" for x in stack))
+                stack.append(_name(tag, m[3], never))
+                opened += 1
+                numbers.append(opened)
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if _tag_of(stack[i]) == tag:
-                        del stack[i:]
+                        del stack[i:], numbers[i + 1:]
                         break
         elif tag in BLOCKS:
             end_block()
-            leaf = "" if closing else _name(tag, m[3])
+            leaf = "" if closing else _name(tag, m[3], False)
         elif tag == "br":
             pieces.append(" ")
         elif tag == "a":
@@ -190,7 +209,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-# ---- wrappers: [items, slots, pages with text]; item = [name or list of items, repeated, optional];
+# ---- wrappers: [items, slots, marks of different pages]; item = [name or list of items, repeated, optional];
 # ---- slots: name -> [pages, characters, characters in links, text mark or None]
 
 class Item(list):
@@ -214,11 +233,23 @@ def _exact(item) -> object:
     return (body, item.mark) if isinstance(body, str) else tuple(_exact(x) for x in body)
 
 
+def _gaps(items: list, same) -> list[int]:
+    """Distances between an item and the next one like it: the sizes that a repeat can have."""
+    last: dict = {}
+    out = set()
+    for i, item in enumerate(items):
+        key = same(item)
+        if key in last:
+            out.add(i - last[key])
+        last[key] = i
+    return sorted(out)
+
+
 def fold(items: list, same=_same) -> list:
-    """Repeats of one to MAX_GROUP items in a row become one repeated group."""
-    for size in range(1, MAX_GROUP + 1):
-        if len(items) <= size:
-            break
+    """Repeats of any number of items in a row become one repeated group, short ones first."""
+    done = 0
+    while size := next((g for g in _gaps(items, same) if g > done), 0):
+        done = size
         out: list = []
         keys: list = []  # of out
 
@@ -306,14 +337,15 @@ def align(a: list, b: list) -> list:
 
 def page_wrapper(found: list[tuple[str, str, int]]) -> list:
     slots: dict[str, list] = {}
-    items = []
-    for name, text, linked in found:
+    items, page = [], 0
+    for name, text, linked, *_ in found:
+        page = crc32(text.encode("utf-8", "surrogatepass"), page)
         s = slots.setdefault(name, [1, 0, 0, 0])
         s[1] += len(text)
         s[2] += min(linked, len(text))
         s[3] = crc32(text.encode("utf-8", "surrogatepass"), s[3])
         items.append(Item(name, False, False, _mark(text)))
-    return [fold(items, _exact), slots, int(bool(found))]
+    return [fold(items, _exact), slots, [page] if found else []]
 
 
 def _mark(text: str) -> int:
@@ -329,50 +361,69 @@ def merge(a: list, b: list) -> list:
         else:
             slots[name] = [pages, chars, linked, mark]
     # pages without text have no position to compare
-    return [align(a[0], b[0]) if a[2] and b[2] else a[0] or b[0], slots, a[2] + b[2]]
+    return [align(a[0], b[0]) if a[2] and b[2] else a[0] or b[0], slots, sorted({*a[2], *b[2]})[:MIN_PAGES]]
 
 
 def fixed_texts(wrapper: list, content: set[str]) -> list[str]:
     """Required fixed texts among the content slots, in order: lines of name,
     mark and whether it repeats."""
-    if wrapper[2] < MIN_PAGES:
+    if len(wrapper[2]) < MIN_PAGES:
         return []
     return [f"{x[0]}\t{x.mark}\t{int(x[1])}" for x in wrapper[0]
             if isinstance(x[0], str) and x[0] in content and x.mark is not None and not x[2]]
 
 
-def without_fixed(found: list[tuple[str, str, int]], fixed: tuple[tuple[str, int, bool], ...]) -> list[tuple[str, str, int]]:
-    """The blocks of a page that are no template in the host's wrapper.  Every
-    page of the host has the required texts in this order, so the first fit of
-    each leaves room for the rest."""
+def template_flags(found: list[tuple], fixed: tuple[tuple[str, int, bool], ...]) -> list[bool]:
+    """Which blocks of a page are template in the host's wrapper.  Every page of
+    the host has the required texts in this order, so the first fit of each
+    leaves room for the rest."""
     out, at, names = [], 0, {n for n, *_ in fixed}
     again = None
-    for block in found:
-        key = (block[0], _mark(block[1])) if block[0] in names else None
-        if key and key == again:
-            continue
-        again = None
-        if key and at < len(fixed) and key == fixed[at][:2]:
-            again = key if fixed[at][2] else None
-            at += 1
-            continue
-        out.append(block)
+    for name, text, *_ in found:
+        key = (name, _mark(text)) if name in names else None
+        flag = bool(key) and key == again
+        if not flag:
+            again = None
+            if key and at < len(fixed) and key == fixed[at][:2]:
+                flag, again, at = True, key if fixed[at][2] else None, at + 1
+        out.append(flag)
     return out
 
 
+def _path(slot: str) -> list[str]:
+    return [_tag_of(p) for p in re.split("[/>]", slot) if p]
+
+
+def _nested(slot: str) -> bool:
+    """In a container inside an article."""
+    tags = [_tag_of(p) for p in slot.split(">", 1)[0].split("/") if p]
+    return any(t in ("article", "main") for t in tags) and tags[-1] not in ("article", "main")
+
+
+def _no_text(tags: list[str]) -> bool:
+    """Inside an element that is never main text; an article's own header is its heading."""
+    return any(t == "title" or t in NOT_MAIN and not (t == "header" and "article" in tags[:i]) for i, t in enumerate(tags))
+
+
 def main_slots(wrapper: list) -> tuple[list[str], ...]:
     """Slots of main text: those inside an article, and those that count on a
     page without one; then both again for a page that has none of them, where
-    words exclude nothing."""
-    tags = {s: [_tag_of(p) for p in re.split("[/>]", s) if p] for s in wrapper[1]}
+    words, nesting and links inside an article exclude nothing."""
+    tags = {s: _path(s) for s in wrapper[1]}
     # pages that are all alike say nothing about what is template
     varies = any(mark is None for *_, mark in wrapper[1].values())
+
+    def doubted(slot):
+        pages, chars, linked, _ = wrapper[1][slot]
+        links = _nested(slot) and pages > 1 and linked >= LINK_SHARE * chars
+        return "!" in slot or links or tags[slot].count("article") > 1
+
     out = []
-    for left in ([s for s in tags if "!" not in s], [s for s in tags if "!" in s]):
-        left = [s for s in left if not any(t in NOT_MAIN or t == "title" for t in tags[s])]
-        inside = [s for s in left if "article" in tags[s] or "main" in tags[s]]
+    left = [s for s in tags if not _no_text(tags[s])]
+    for some in ([s for s in left if not doubted(s)], [s for s in left if doubted(s)]):
+        inside = [s for s in some if "article" in tags[s] or "main" in tags[s]]
         rest = []
-        for s in set(left).difference(inside):
+        for s in set(some).difference(inside):
             pages, chars, linked, mark = wrapper[1][s]
             template = varies and pages > 1 and mark is not None
             if not template and 2 * linked < chars:
@@ -405,7 +456,8 @@ def _load(dumped: str) -> list:
 
 def _judged(wrapper: list) -> str:
     lists = main_slots(wrapper)
-    return _GROUP.join("\n".join(g) for g in (*lists, fixed_texts(wrapper, {*lists[1], *lists[3]})))
+    decided = {*lists[1], *lists[3], *filter(_nested, lists[0] + lists[2])}
+    return _GROUP.join("\n".join(g) for g in (*lists, fixed_texts(wrapper, decided)))
 
 
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,11 +522,14 @@ def _slot_sets(main: str) -> tuple[tuple[frozenset[str], ...], tuple[tuple[str,
 
 
 def page_text(page: str | None, main: str) -> str:
-    found = blocks(page or "")
+    found = placed_blocks(page or "")
     lists, fixed = _slot_sets(main)
-    changing = without_fixed(found, fixed) if fixed else found
-    for i, keep in enumerate(lists):  # what an article marks is kept whole
-        if texts := [text for slot, text, _ in (changing if i % 2 else found) if slot in keep]:
+    template = template_flags(found, fixed) if fixed else [False] * len(found)
+    # inside an article only a container that holds nothing else is template
+    mixed = {number for (*_, number), flag in zip(found, template) if not flag}
+    for i, keep in enumerate(lists):
+        if texts := [text for (slot, text, _, number), flag in zip(found, template)
+                     if slot in keep and not (flag and (i % 2 or number not in mixed))]:
             return "\n".join(texts)
     return ""
 
