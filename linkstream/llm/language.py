@@ -197,6 +197,23 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(langs, idf, w, fit_temperature(logits, labels[cal]))
 
 
+def recognised(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` whose text has a letter, a null ``lang_col`` filled with the
+    predicted language (if the model knows any)."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [has_letter(t or "") for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    if not model.langs:
+        return df.mapInArrow(run, df.schema)
+    pred, _ = free_name(df, "lang_pred", "score")
+    found = identify(df, model, text_col).where(F.col(pred) != UNKNOWN)
+    return found.withColumn(lang_col, F.coalesce(lang_col, pred)).select(*df.columns)
+
+
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with lang_pred and score (0 to 1) after their columns.
 

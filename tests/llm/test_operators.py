@@ -3,6 +3,7 @@
 import hashlib
 import html as _html
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -87,6 +88,47 @@ def test_weak_parts_need_their_complement(spark):
     assert [x.split(":")[0] for x in got[6].split(",")] == ["identifier", "assign"]
 
 
+def test_a_part_is_not_its_own_complement(spark):
+    """Overlapping parts prove nothing about each other; parts that touch or stand apart do."""
+    rows = [(1, "see account: section-12-of-the-manual for help"), (2, "login=k9Jd82mQpLx03VbnTT"),
+            (3, "https://example.com/docs/section-12-of-the-manual?page=2"),
+            (4, "postgres://user:abcdefgh12345678@db.example.com/x"),
+            (5, "login=k9Jd82mQpLx03VbnTT and k9Jd82mQpLx03VbnTT"), (6, "login=k9Jd82mQpLx03VbnTT, user=bob1")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == got[2] == got[3] == got[4] == ""
+    assert got[5] == "identifier:0:24,token:29:47"
+    assert got[6] == "token:6:24,identifier:26:35"
+    plain = spark.createDataFrame(rows[:4], "doc_id bigint, text string")
+    assert {tuple(r) for r in secrets.redact(plain).collect()} == set(rows[:4])
+
+
+def test_spans_against_every_pair(spark):
+    """Random texts of parts: a weak part stands exactly if a complementary one lies near and apart."""
+    rng = random.Random(3)
+    parts = ["user=bob", "login: a1b2c3d4e5f6g7h8i9", "token=abcdef12", "AKIA" + "Q" * 16, "0a" * 12, "k9Jd82mQpLx03VbnTT",
+             "https://h.example/x", "ssh://user=abcd:K3yK3yK3yK3yK3yK3y", " x" * 60, " - ", "account=" + "0a" * 13]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(1, 9)))) for i in range(400)]
+
+    def want(text):
+        found = []
+        for rank, kind in enumerate(secrets.KINDS):
+            for m in re.finditer(secrets.PATTERNS[kind], text):
+                group, least = secrets.VALUE_GROUP.get(kind, (0, 0))
+                if len(m.group(group)) >= least and (kind != "token" or re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+                    found.append((m.start(), rank, m.end()))
+        out = []
+        for s, r, e in found:
+            near = {x for a, x, b in found if b <= s and b > s - secrets.REACH or a >= e and a < e + secrets.REACH}
+            access, secret = bool(near & {1, 3}), bool(near & {0, 2, 4})
+            covered = any(x < 3 and a < e and b > s for a, x, b in found)
+            if r < 3 or not covered and {3: secret, 4: access, 5: access and secret}[r]:
+                out.append((s, r, e))
+        return ",".join(f"{secrets.KINDS[r]}:{s}:{e}" for s, r, e in sorted(out))
+
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: want(t) for i, t in rows}
+
+
 def test_redaction(spark, edge, empty):
     rows = [(1, 'é token = "' + "0a" * 12 + '" b AKIA' + "Z" * 16), (2, None), (3, "plain"), (4, "password=abcdef")]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
@@ -274,6 +316,52 @@ def test_fixed_text_between_content_of_its_name(spark):
     assert all(got[40 + i] == f"{'Quoted' if i < 4 else i}\nText {i}" for i in range(5))
 
 
+def _page_in_article(i):
+    """An article whose junk is told by the wrapper, by nesting or by links: no name says it."""
+    return (f"<body><article class='x{i}f'><header><h1>Title {i}</h1></header><div class='q{i}a'><p>Tell a friend</p><p>Print this</p></div>"
+            f"<div class='b{i}'><p>Text {i}</p><p>Always said</p><p>More {i}</p></div><div class='z9'><p>Follow the author</p></div>"
+            f"<ul class=k{i}><li><a href=a>Other story {i}</a><li><a href=b>Next story {i * 7}</a></ul>"
+            f"<article class='comment'><p>I think {i}</p></article></article>")
+
+
+def test_junk_inside_articles_that_only_the_wrapper_tells(spark):
+    rows = [(i, "http://k.net/x", _page_in_article(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Title {i}\nText {i}\nAlways said\nMore {i}" for i in range(6)}
+
+
+def test_alignment_decides(monkeypatch):
+    """Without alignment no position is known to be fixed, and the template stays."""
+    def texts():
+        made = [wrappers.page_wrapper(wrappers.blocks(_page_in_article(i))) for i in range(6)]
+        whole = made[0]
+        for w in made[1:]:
+            whole = wrappers.merge(whole, w)
+        main = wrappers._judged(whole)
+        return [wrappers.page_text(_page_in_article(i), main) for i in range(6)]
+    assert all("Tell a friend" not in t and "Follow the author" not in t for t in texts())
+    monkeypatch.setattr(wrappers, "align", lambda a, b: [])
+    assert all("Tell a friend" in t and "Follow the author" in t for t in texts())
+
+
+@pytest.mark.parametrize("name", ["class='share-buttons'", "class='cookie-law-bar'", "class='promo_teaser'", "class='related-news'",
+                                  "id=disqus_thread", "class='col user-comments x7'", "class=newsletter-signup-box"])
+def test_names_of_junk_inside_articles(name):
+    page = f"<article><header><h1>T</h1></header><p>Text</p><div {name}><p>no</p></div></article>"
+    assert wrappers.page_text(page, wrappers._judged(wrappers.page_wrapper(wrappers.blocks(page)))) == "T\nText"
+    for keep in ("<article class='post comments-open'>", "<article class='share-enabled'>", "<div class='comments-closed'>"):
+        page = f"{keep}<p>Text</p>"
+        assert wrappers.page_text(page, wrappers._judged(wrappers.page_wrapper(wrappers.blocks(page)))) == "Text"
+
+
+def test_names_and_groups_have_no_caps():
+    a, b = (wrappers.blocks(f"<div class='a b c d {x}'><p>t</div>")[0][0] for x in ("e", "zz"))
+    assert a != b
+    assert wrappers.blocks("<div class='css-1x2y item-77'><p>t</div>")[0][0] == "div.css.item>p"
+    items = wrappers.page_wrapper([(x, x, 0) for x in "h" + "abcdefghij" * 3 + "z"])[0]
+    assert [x[1] for x in items] == [False, True, False] and [y[0] for y in items[1][0]] == list("abcdefghij")
+
+
 def test_wrapper_alignment():
     def w(slots):
         return wrappers.page_wrapper([(s, s, 0) for s in slots])
@@ -343,6 +431,18 @@ def test_patterns_hold_the_histogram():
         assert packs <= total / 4096 * 1.1 + 2
 
 
+def test_word_ids_equal_the_tokenizer_on_random_strings():
+    """Dotted capitals, combining marks, odd white space, marks behind all of them."""
+    w = packing.WordIds(packing.tokenizer_path())
+    rng = random.Random(11)
+    alphabet = ["İ", "I", "ı", "ß", "É", "e\u0301", "\u0307", "\u0308", "ö", "Σ", "ς", "ſ", "ﬁ", "Ǆ", "日", "😀", "١", "²", "a", "B", "z", "7", ".", ",", "!",
+                "#", "*", ")", "(", "'", "-", "_", "\n", " ", "\t", "\u00a0", "\u2009", "\u200b", "\u0000", "\r\n", "Ω", "K"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 9))) for _ in range(100_000)]
+    texts += ["İSTANBUL BÜYÜKŞEHİR BELEDİYESİ. YENİ", "Aİ.", "İ!", "aİ)", "x̂."]
+    wrong = [t for t, e in zip(texts, w.tokenizer.encode_batch(texts, add_special_tokens=False)) if list(np.frombuffer(w.text(t), "<u4")) != e.ids]
+    assert not wrong, wrong[:10]
+
+
 def test_word_ids_equal_the_tokenizer():
     w = packing.WordIds(packing.tokenizer_path())
     for x in ["it's, O'Neil's!! a),b ...x y', z'' don't. I'M. <|endoftext|> <|endoftext|>,", "Σας ΣΑΣ, İx, é, É. x́, 12. 1,2,. ,,, (a) \ttab\tx,\tb. \x1c x\x1c, ½, ².",

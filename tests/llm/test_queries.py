@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkstream.llm import language
@@ -67,5 +68,16 @@ def test_short_and_mixed_documents_stay(spark):
     assert got == [*range(240), 300, 301]
 
 
+def test_unlabelled_documents_stay(spark):
+    """Without any language to learn, only texts without a letter go; with one, null languages are filled."""
+    rows = [(i, f"some clean words of document {i}", None) for i in range(20)] + [(30, "12 %%", None), (31, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.language_id(spark, docs, SF001).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(20)] and all(r["lang"] is None for r in got)
+    learned = docs.withColumn("lang", F.when(F.col("doc_id") < 18, "en"))
+    got = corpus_pipeline.language_id(spark, learned, SF001).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(20)] and {r["lang"] for r in got} == {"en"}
+
+
 def test_pipeline_runs(spark):
     assert QUERIES["pipeline"](spark, SF001).count() > 0
