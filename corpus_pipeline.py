@@ -14,17 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstream.llm import language, mixing, neardup, packing, secrets
-from linkstream.llm.common import documents, free_name
+from linkstream.llm.common import documents
 from linkstream.session import checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, however close the next one is;
-    those without a letter go."""
+    """Documents with a letter; a null language becomes the predicted one, if
+    there is any to learn from.  Texts without a letter are no language, and go."""
     checkpoint_dir(spark)
-    pred, = free_name(docs, "lang_pred")
-    found = language.identify(docs, language.fit(docs))
-    return found.where(F.col(pred) != language.UNKNOWN).select(*docs.columns)
+    return language.recognised(docs, language.fit(docs)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
