@@ -12,6 +12,8 @@
    that repeated evidence counts once.  It runs over the distinct vote
    patterns of all learning documents: a round is a Spark job that returns the
    expected counts of all pairs of voters, whatever the number of documents.
+   Labels are those of a bounded sample of the labelled documents
+   (``LABELLED_ROWS``), which is small enough to go to every task.
 3. *Classifier.*  Logistic regression over hashed words and word beginnings,
    fitted by follow-the-regularised-leader to the posteriors of a bounded,
    weighted sample (``SAMPLE_ROWS`` documents a side), then calibrated on the
@@ -58,6 +60,8 @@ FIXED = [*LEXICONS, *PATTERNS, "insults twice"]
 #: Voters that the mined lexicon is dealt over; a vote pattern is one long.
 MINED_VOTERS = 32
 VOTERS = len(FIXED) + MINED_VOTERS
+#: Expected number of labelled documents whose label is used (all, if there are fewer).
+LABELLED_ROWS = 100_000
 #: Words of the mined lexicon; the documents one needs, and by how much its rate has to beat the usual one.
 LEXICON_WORDS, LEAST_DOCS, LEAST_LIFT, Z = 512, 5, 3.0, 2.58
 #: Rounds of expectation maximisation without and with the tree; least dependence of its edges (nats).
@@ -69,7 +73,9 @@ DIM_BITS, BEGINNINGS = 18, (5, 8)
 DIM = 1 << DIM_BITS
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1.0, 1.0
 THRESHOLD = 0.7
-CACHED_WORDS, HELD_WORDS = 300_000, 400_000
+CACHED_WORDS, HELD_WORDS = 100_000, 200_000
+#: Texts that a task has as Python objects at once.
+SLICE_ROWS = 512
 _UNIT = 1 << 16  # expected counts are summed in whole units, so any order gives the same sum
 
 _LETTERS = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -102,25 +108,36 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [words(t) for t in batch.column(1).to_pylist()]
-        votes = [fixed_votes(t, b) for t, b in zip(batch.column(1).to_pylist(), bags)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([b" ".join(sorted(b)) for b in bags], pa.binary()), pa.array(list(map(len, bags)), pa.int64()),
-             pa.array(votes, pa.int64())], ["id", "words", "n", "votes"])
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        joined, sizes, votes = [], [], []
+        for text in batch.column(1).to_pylist():
+            bag = words(text)
+            joined.append(b" ".join(sorted(bag)))
+            sizes.append(len(bag))
+            votes.append(fixed_votes(text, bag))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.binary()), pa.array(sizes, pa.int64()),
+                                          pa.array(votes, pa.int64())], ["id", "words", "n", "votes"])
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str) -> DataFrame:
     """(id, words, n, votes, label) of the documents to learn from, as a table;
-    a text shrinks to its distinct words before it meets its label."""
+    texts shrink to their distinct words.  The sampled labels are broadcast:
+    LABELLED_ROWS of them are expected, whatever the size of the tables."""
     rows = docs.where(~held_out(id_col) & F.col(text_col).isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
     bags = rows.select(id_col, text_col).mapInArrow(_bags, f"id {kind}, words binary, n bigint, votes bigint")
-    marks = labels.where(F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
-        (F.avg(F.col(toxic_col).cast("double")) >= 0.5).cast("int").alias("label"))
-    marks = written(marks.withColumn("_id", F.col("_id").cast(kind)))
-    return written(bags.join(marks, F.col("id") == F.col("_id"), "left").drop("_id"))
+    usable = labels.where(F.col(toxic_col).isNotNull() & ~held_out(id_col))
+    marks = usable.groupBy(F.col(id_col).cast(kind).alias("_id")).agg((F.avg(F.col(toxic_col).cast("double")) >= 0.5).cast("int").alias("label"))
+    marks = written(marks.withColumn("_u", unit_hash(F.lit("label sample"), F.col("_id").cast("string"))))
+    marks = marks.where(F.col("_u") < LABELLED_ROWS / max(marks.count(), 1)).drop("_u")
+    return written(bags.join(F.broadcast(marks), F.col("id") == F.col("_id"), "left").drop("_id"))
 
 
 # ---- voters ----
@@ -133,7 +150,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([counts[0][w] for w in every], pa.int64()),
                                            pa.array([counts[1][w] for w in every], pa.int64())], ["word", "clean", "toxic"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         for bag, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[label].update(bag.split())
             if len(counts[0]) + len(counts[1]) > HELD_WORDS:
@@ -167,7 +184,7 @@ def vote_patterns(rows: DataFrame, lexicon: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             votes = []
             for v, bag in zip(batch.column(place).to_pylist(), batch.column(bags).to_pylist()):
                 for w in bit.keys() & set(bag.split()):
@@ -277,13 +294,18 @@ def _expected(model) -> object:
     return run
 
 
-def fit_label_model(rows: DataFrame) -> LabelModel:
-    """Expectation maximisation over the vote patterns of ``rows`` (votes, label)."""
-    counted = written(rows.groupBy("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
-                          .agg(F.count(F.lit(1)).alias("n")))
+def count_patterns(rows: DataFrame) -> DataFrame:
+    """(votes, label, n, words): documents and words of each vote pattern, as a table."""
+    return written(rows.groupBy("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
+                       .agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words")))
+
+
+def fit_label_model(counted: DataFrame) -> LabelModel:
+    """Expectation maximisation over vote patterns (votes, label, n)."""
+    counted = counted.select("votes", "label", "n")
     model, side = LabelModel(), VOTERS + 1
     for r in range(ROUNDS + TREE_ROUNDS):
-        shared = rows.sparkSession.sparkContext.broadcast(model)
+        shared = counted.sparkSession.sparkContext.broadcast(model)
         sums = np.zeros(2 * side * side + 4)
         for x in counted.mapInArrow(_expected(shared), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
             sums[x["at"]] = x["n"] / _UNIT  # a row a pair of voters and class
@@ -296,22 +318,14 @@ def fit_label_model(rows: DataFrame) -> LabelModel:
 
 # ---- classifier ----
 
-class _Features(dict):
-    """Word -> the numbers of its features."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        parts = [word + b" ", *(word[:n] for n in BEGINNINGS if len(word) > n)]
-        self[word] = out = tuple(xxhash.xxh64_intdigest(p) >> (64 - DIM_BITS) for p in parts)
-        return out
-
-
-_FEATURES = _Features()
+def word_features(word: bytes) -> list[int]:
+    """The numbers of a word's features."""
+    parts = [word + b" ", *(word[:n] for n in BEGINNINGS if len(word) > n)]
+    return [xxhash.xxh64_intdigest(p) >> (64 - DIM_BITS) for p in parts]
 
 
 def features(bag) -> np.ndarray:
-    return np.array(sorted(set().union(*map(_FEATURES.__getitem__, bag))), np.int64)
+    return np.array(sorted({f for word in bag for f in word_features(word)}), np.int64)
 
 
 def fit_ftrl(rows: list[np.ndarray], target: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -367,42 +381,43 @@ class Classifier:
             if found is None:
                 if len(self._known) >= CACHED_WORDS:
                     self._known.clear()
-                found = self._known[word] = tuple(f for f in _FEATURES[word] if self.weights[f])
+                found = self._known[word] = tuple(f for f in word_features(word) if self.weights[f])
             if found:
                 at.update(found)
         x = self.bias + float(self.weights[sorted(at)].sum()) if at else self.bias
         return float(1 / (1 + np.exp(-np.clip(self.scale[0] * x + self.scale[1], -50, 50))))
 
 
-def _sample(model) -> object:
+def _judged(model) -> object:
+    """(votes, label, others) -> (q, others)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
-            votes, label = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.posterior(votes, label)), batch.column(3), batch.column(4)],
-                                             ["words", "q", "n", "u"])
+        for batch in _slices(batches):
+            votes, label = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(m.posterior(votes, label)), *batch.columns[2:]], ["q", *batch.schema.names[2:]])
     return run
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         at = [features(b.split()).astype("<u4").tobytes() for b in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), *batch.columns[1:]], ["at", "q", "u"])
 
 
-def fit_classifier(rows: DataFrame, model: LabelModel) -> Classifier:
-    """``rows``: id, words, n, votes, label."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    draw = unit_hash(F.lit("toxicity sample"), F.col("id").cast("string"))
-    judged = rows.select("words", "votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "n", draw.alias("u")) \
-                 .mapInArrow(_sample(shared), "words binary, q double, n bigint, u double")
+def fit_classifier(rows: DataFrame, counted: DataFrame, model: LabelModel) -> Classifier:
+    """``rows``: id, words, n, votes, label; ``counted``: their vote patterns."""
+    judged = _judged(rows.sparkSession.sparkContext.broadcast(model))
     side = F.col("q") >= 0.5
-    sizes = {r["side"]: r for r in judged.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
+    sizes = {r["side"]: r for r in counted.select("votes", "label", "n", "words").mapInArrow(judged, "q double, n bigint, words bigint")
+             .groupBy(side.alias("side")).agg(F.sum("n").alias("rows"), F.sum("words").alias("n")).collect()}
     shares = {s: min(1.0, SAMPLE_ROWS / r["rows"], SAMPLE_WORDS / max(r["n"], 1)) for s, r in sizes.items()}
     if not shares:
         return Classifier(np.zeros(DIM + 1), (1.0, -2.0))
     share = F.when(side, F.lit(shares.get(True, 1.0))).otherwise(F.lit(shares.get(False, 1.0)))
-    picked = judged.where(F.col("u") < share).select("words", "q", (F.col("u") / share).alias("u")) \
+    draw = unit_hash(F.lit("toxicity sample"), F.col("id").cast("string"))
+    drawn = rows.select("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "words", draw.alias("u")) \
+                .mapInArrow(judged, "q double, words binary, u double")
+    picked = drawn.where(F.col("u") < share).select("words", "q", (F.col("u") / share).alias("u")) \
                    .mapInArrow(_featured, "at binary, q double, u double").collect()
     picked.sort(key=lambda r: (r["u"], r["q"], bytes(r["at"])))
     x = [np.frombuffer(r["at"], "<u4").astype(np.int64) for r in picked]
@@ -421,8 +436,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     nothing.  Without any label the fixed voters alone teach; without any
     document all scores are one low value."""
     rows = learning_rows(docs, labels, id_col, text_col, toxic_col)
-    rows = written(vote_patterns(rows, mine(rows)))
-    return fit_classifier(rows, fit_label_model(rows))
+    rows = vote_patterns(rows, mine(rows))
+    counted = count_patterns(rows)
+    return fit_classifier(rows, counted, fit_label_model(counted))
 
 
 def score(df: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -434,7 +450,7 @@ def score(df: DataFrame, model: Classifier, text_col: str = "text", threshold: f
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             scores = [shared.value.score(t) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()),
                                               pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names, name, hit])

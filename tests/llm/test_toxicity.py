@@ -41,7 +41,7 @@ def simulated(n, seed=0):
 def test_label_model_finds_accuracies_and_dependence(spark):
     y, votes, label, rates = simulated(20_000)
     rows = spark.createDataFrame([(int(v), None if a < 0 else int(a)) for v, a in zip(votes, label)], "votes bigint, label int")
-    m = X.fit_label_model(rows)
+    m = X.fit_label_model(X.count_patterns(rows.withColumn("n", F.lit(1))))
     assert abs(m.prior - 0.2) < 0.03
     for j, (a, b) in rates.items():
         assert abs(m.fires[0, j] - a) < 0.03 and abs(m.fires[1, j] - b) < 0.06
