@@ -4,9 +4,14 @@ The original resolves one request at a time (guard -> cache -> table, with
 single-flight collapsing concurrent lookups of a code).  As a batch job:
 distinct codes first (each code is looked up once, a partial aggregate),
 three left joins on the small distinct side, then one many-to-one join
-back to the requests.  Join strategies are Spark's: a lookup side is
-broadcast only when its measured size is under the broadcast threshold;
-AQE splits a hot code's partition on the request side.
+back to the requests (``plans.joins.skew_safe_join``: AQE splits a hot code's
+partition on the request side).  Join strategies are Spark's: a lookup side is
+broadcast only when its measured size is under the broadcast threshold.
+
+``resolve_redirects_as_of`` answers each request from the link table as it was
+``staleness`` before that request's own time.  Creations, changes and requests
+are one ordered log per code, and each request takes the last change before it
+in a scan that cuts every code into ranges (``plans.scan``).
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ from pyspark.sql import functions as F
 from linkstream.constants import (
     CACHE_MISS_ERROR, OUTCOME_CACHE_HIT, OUTCOME_EMPTY_CODE, OUTCOME_GUARD_MISS,
     OUTCOME_TABLE_HIT, OUTCOME_TABLE_MISS, READ_EDGE_BUCKET_PER_S, READ_LIMIT_PER_S,
-    WRITE_EDGE_BUCKET_PER_S, WRITE_LIMIT_PER_S,
+    STALE_READ, WRITE_EDGE_BUCKET_PER_S, WRITE_LIMIT_PER_S,
 )
 from linkstream.functions.text import blank
-from linkstream.plans.joins import BUCKET_COL, join_links
+from linkstream.plans.joins import BUCKET_COL, join_links, skew_safe_join
+from linkstream.plans.scan import ordered, scan_last
 
 # Limits configured in front of the original services (requests per second).
 CONFIGURED_LIMITS = {"write": WRITE_LIMIT_PER_S, "read": READ_LIMIT_PER_S,
@@ -61,19 +67,58 @@ def resolve_redirects(requests: DataFrame, known: DataFrame, cache: DataFrame |
     codes = requests.select("short_code").where(~blank("short_code")).distinct()
     k = known.select("short_code", F.lit(True).alias("_known"))
     looked = codes.join(k, "short_code", "left")
-    if cache is not None:
-        until = F.col("expires_at") if "expires_at" in cache.columns else F.lit(None)
-        c = cache.select("short_code", F.col("long_url").alias("_cache_url"), until.cast("timestamp").alias("_until"))
-        looked = looked.join(c, "short_code", "left")
-    else:
-        looked = looked.withColumn("_cache_url", F.lit(None).cast("string")).withColumn("_until", F.lit(None).cast("timestamp"))
+    looked = looked.join(_cached(cache), "short_code", "left") if cache is not None else _uncached(looked)
     extra = [BUCKET_COL] if BUCKET_COL in links.columns else []
     t = links.select("id", F.col("long_url").alias("_table_url"), *extra)
     looked = join_links(looked, "short_code", t, "left", link_buckets).drop("id")
-
     # One lookup per code; whether its cache entry still holds is a matter of
     # each request's time.
-    out = requests.join(looked, "short_code", "left")
+    return _answered(skew_safe_join(requests, looked, "short_code"), count_miss_as_error)
+
+
+def resolve_redirects_as_of(requests: DataFrame, created: DataFrame, cache: DataFrame | None, changes: DataFrame,
+                            staleness: str = STALE_READ, count_miss_as_error: bool = False) -> DataFrame:
+    """As ``resolve_redirects``, with the state of each request's own time.
+
+    ``created`` (value, timestamp): a code is known from then on; ``changes``
+    (id, op, long_url, commit_ts, seq): applied changes, of which a request sees
+    those committed ``staleness`` before it or earlier ("0 seconds" is a strong
+    read).  A code is therefore unknown, then missing in the table, then found;
+    and still found for a while after its deletion.
+    """
+    columns = requests.columns
+    asked = requests.where(~blank("short_code"))
+    body = F.struct(*columns)
+    log = (created.select(F.col("value").alias("_code"), F.col("timestamp").alias("_at"), F.lit(0).alias("_kind"))
+                  .unionByName(changes.select(F.col("id").alias("_code"),
+                                              (F.col("commit_ts") + F.expr(f"INTERVAL {staleness}")).alias("_at"), F.lit(1).alias("_kind"),
+                                              F.col("seq").cast("bigint").alias("_seq"),
+                                              F.struct("op", "long_url").alias("_change")), allowMissingColumns=True)
+                  .unionByName(asked.select(F.col("short_code").alias("_code"), F.col("ts").alias("_at"), F.lit(2).alias("_kind"),
+                                            body.alias("_request")), allowMissingColumns=True))
+    log = ordered(log, ["_code"], ["_at", "_kind", "_seq"])
+    log = scan_last(log, ["_code"], F.when(F.col("_kind") == 1, F.col("_change")), "_seen")
+    log = scan_last(log, ["_code"], F.when(F.col("_kind") == 0, True), "_known")
+    seen = log.where(F.col("_kind") == 2).select(
+        "_request.*", "_known", F.when(F.col("_seen.op") != "delete", F.col("_seen.long_url")).alias("_table_url"))
+    others = requests.where(blank("short_code")).select(
+        *columns, F.lit(None).cast("boolean").alias("_known"), F.lit(None).cast("string").alias("_table_url"))
+    out = seen.unionByName(others)
+    out = skew_safe_join(out, _cached(cache), "short_code") if cache is not None else _uncached(out)
+    return _answered(out, count_miss_as_error)
+
+
+def _cached(cache: DataFrame) -> DataFrame:
+    until = F.col("expires_at") if "expires_at" in cache.columns else F.lit(None)
+    return cache.select("short_code", F.col("long_url").alias("_cache_url"), until.cast("timestamp").alias("_until"))
+
+
+def _uncached(df: DataFrame) -> DataFrame:
+    return df.withColumn("_cache_url", F.lit(None).cast("string")).withColumn("_until", F.lit(None).cast("timestamp"))
+
+
+def _answered(out: DataFrame, count_miss_as_error: bool) -> DataFrame:
+    """Requests with what was looked up for them -> outcome, status, destination."""
     cached = F.col("_cache_url").isNotNull() & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
     source = (F.when(~F.coalesce(F.col("_known"), F.lit(False)), F.lit(OUTCOME_GUARD_MISS))
                .when(cached, F.lit(OUTCOME_CACHE_HIT))

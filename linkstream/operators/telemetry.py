@@ -2,9 +2,12 @@
 
 Per-trace figures (trace start, longest span) are computed as a grouped
 aggregate joined back many-to-one, not as a window over the trace, so a
-huge trace is pre-reduced on the map side and its join partition can be
-split by AQE.  Parent/child edges are a one-to-one equi-join on
-(trace_id, span_id): each child has one parent, no pairs are emitted.
+huge trace is pre-reduced on the map side and its join partition is split by
+AQE (``plans.joins.skew_safe_join``).  Parent/child edges are a one-to-one
+equi-join on (trace_id, span_id): each child has one parent, no pairs are
+emitted.  The nested view walks up the span tree by pointer doubling, a round
+for each power of two of its depth.  RED figures also come from stored partials
+of a service and minute, whose quantile sketches merge into any longer period.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstream.functions.timefns import recent, start_of_hour
-from linkstream.plans.ranking import join_null_safe, exact_quantiles
+from linkstream.plans.joins import skew_safe_join
+from linkstream.plans.ranking import join_null_safe, exact_quantiles, stable
+from linkstream.plans.scan import ordered, scan_max
 
 BUCKET_SECONDS = {"minute": 60, "hour": 3600, "day": 86400}
 DEFAULT_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -109,19 +114,111 @@ def _trace_summary(spans: DataFrame) -> DataFrame:
 
 def logs_for_trace(logs: DataFrame, spans: DataFrame) -> DataFrame:
     """Every log line with its trace's summary (NULLs when the trace has no span)."""
-    return logs.join(_trace_summary(spans), "trace_id", "left")
+    return skew_safe_join(logs, _trace_summary(spans), "trace_id")
 
 
 def trace_waterfall(spans: DataFrame) -> DataFrame:
     """Spans with their offset from the trace start; the longest span flagged."""
     s = _trace_summary(spans).select("trace_id", "trace_start", "longest_ms")
-    j = spans.join(s, "trace_id")
+    j = skew_safe_join(spans, s, "trace_id", "inner")
     offset_ms = (F.unix_micros("start_ts") - F.unix_micros("trace_start")) / F.lit(1000)
     return j.select("trace_id", "span_id", "parent_span_id", "service", "start_ts", "duration_ms",
                     F.floor(offset_ms).cast("bigint").alias("offset_ms"),
                     (F.col("duration_ms") == F.col("longest_ms")).alias("is_longest"))
 
 
+def _depths(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, depth, on_path): steps up to the root, and whether
+    every span on that way is the last of its siblings to end.  Pointer
+    doubling: a round looks twice as far up, until no span has further to go; a
+    span whose parent is not there is a root, and one on a ring of parents has no depth."""
+    parent = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_p"))
+    known = spans.join(parent, (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_p")), "left")
+    end = F.unix_micros("start_ts") + F.col("duration_ms") * 1000
+    last = (known.where(F.col("_p").isNotNull()).groupBy("trace_id", F.col("_p").alias("_up"))
+                 .agg(F.max_by("span_id", F.struct(end, -F.col("span_id"))).alias("_last")))
+    up = known.select("trace_id", "span_id", F.col("_p").alias("up"))
+    hop = (up.join(last.withColumnRenamed("trace_id", "_t"), (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_up")), "left")
+             .select("trace_id", "span_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+                     F.when(F.col("up").isNull(), True).otherwise(F.col("span_id") == F.col("_last")).alias("on_path")))
+    hop = stable(hop)
+    left, rounds = hop.where("up is not null").count(), 0
+    total = max(hop.count(), 1)
+    while left and rounds <= total.bit_length():
+        far = hop.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"),
+                         F.col("depth").alias("_d"), F.col("on_path").alias("_ok"))
+        going = (hop.where("up is not null").join(far, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s")))
+                    .select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"),
+                            (F.col("on_path") & F.col("_ok")).alias("on_path")))
+        hop = stable(hop.where("up is null").unionByName(going))
+        left, rounds = hop.where("up is not null").count(), rounds + 1
+    there = F.col("up").isNull()
+    return hop.select("trace_id", "span_id", F.when(there, F.col("depth")).alias("depth"), (there & F.col("on_path")).alias("on_path"))
+
+
+def _self_times(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, covered_us): how much of each parent its children
+    cover.  A child's new stretch begins where its earlier siblings end, which
+    is a running maximum over the siblings by start, cut into ranges of rows."""
+    kids = spans.where(F.col("parent_span_id").isNotNull()).select(
+        "trace_id", F.col("parent_span_id").alias("span_id"), F.unix_micros("start_ts").alias("_s"),
+        (F.unix_micros("start_ts") + F.col("duration_ms") * 1000).alias("_e"))
+    own = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_p"), F.unix_micros("start_ts").alias("_ps"),
+                       (F.unix_micros("start_ts") + F.col("duration_ms") * 1000).alias("_pe"))
+    inside = (kids.join(own, (F.col("trace_id") == F.col("_t")) & (F.col("span_id") == F.col("_p")))
+                  .select("trace_id", "span_id", F.greatest("_s", "_ps").alias("_s"), F.least("_e", "_pe").alias("_e"))
+                  .where(F.col("_e") > F.col("_s")))
+    rows = scan_max(ordered(inside, ["trace_id", "span_id"], ["_s", "_e"]), ["trace_id", "span_id"], F.col("_e"), "_before")
+    fresh = F.greatest(F.col("_e") - F.greatest(F.col("_s"), F.coalesce(F.col("_before"), F.col("_s"))), F.lit(0))
+    return rows.groupBy("trace_id", "span_id").agg(F.sum(fresh).alias("covered_us"))
+
+
+def trace_tree(spans: DataFrame) -> DataFrame:
+    """The nested waterfall: each span with its depth, its offset from the trace
+    start, the time it spent itself (its duration less what its children cover),
+    and whether it lies on the critical path (the way from a root that always
+    follows the child that ends last, the smaller id among equals)."""
+    at = F.col("trace_id").eqNullSafe(F.col("_t")) & F.col("span_id").eqNullSafe(F.col("_s"))
+    deep = _depths(spans).select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), "depth", "on_path")
+    busy = _self_times(spans).select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), "covered_us")
+    out = trace_waterfall(spans).join(deep, at, "left").drop("_t", "_s").join(busy, at, "left").drop("_t", "_s")
+    self_us = F.col("duration_ms") * 1000 - F.coalesce("covered_us", F.lit(0))
+    return out.select("trace_id", "span_id", "parent_span_id", "service", "depth", "offset_ms", "duration_ms",
+                      F.round(self_us / 1000, 3).alias("self_ms"), F.col("on_path").alias("on_critical_path"))
+
+
+# Items of a level of a quantile sketch: ranks are off by about 1.7 / K at the 99 % level.
+KLL_K = 800
+
+
+def red_partials(points: DataFrame, period: str = "minute", service: str = "service", ts: str = "ts",
+                 duration: str = "duration", status: str = "status_code") -> DataFrame:
+    """What a service's period adds to any longer one: requests, errors, and a
+    mergeable sketch of the durations (null ones are in no sketch)."""
+    return (points.groupBy(F.col(service).alias("service"), F.date_trunc(period, ts).alias("period"))
+                  .agg(F.count(F.lit(1)).alias("requests"), F.sum(F.coalesce(F.col(status) >= 500, F.lit(False)).cast("bigint")).alias("errors"),
+                       F.kll_sketch_agg_double(F.col(duration).cast("double"), F.lit(KLL_K)).alias("durations")))
+
+
+def merge_red(partials: DataFrame, period: str) -> DataFrame:
+    """Partials of a longer period from those of shorter ones (or several of one period)."""
+    return (partials.groupBy("service", F.date_trunc(period, "period").alias("period"))
+                    .agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"),
+                         F.kll_merge_agg_double("durations").alias("durations")))
+
+
+def red_from_partials(partials: DataFrame, period: str) -> DataFrame:
+    """Rate, error share and quantiles (a value seen, the least whose rank
+    reaches the share) per service and period, from stored partials alone."""
+    merged = merge_red(partials, period)
+    some = F.kll_sketch_get_n_double("durations") > 0
+    q = [F.when(some, F.kll_sketch_get_quantile_double("durations", F.lit(p))).alias(n)
+         for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
+    return merged.select("service", F.col("period").alias("bucket"), "requests",
+                         F.round(F.col("requests") / F.lit(float(BUCKET_SECONDS[period])), 9).alias("rate_per_s"),
+                         F.round(F.col("errors") / F.col("requests"), 9).alias("error_rate"), *q)
+
+
 def service_map(spans: DataFrame, bucket: str | None = None) -> DataFrame:
     """caller -> callee edges with call count, rate, share of callee spans in
     error, and callee latency.  The rate is over the bucket, or over the time

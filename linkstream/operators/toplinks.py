@@ -65,6 +65,17 @@ def top_links_enriched(rollup: DataFrame, links: DataFrame, n: int = TOP_LINKS_N
     return _with_rank(joined.select("short_code", "long_url", "total_clicks"))
 
 
+def enrich_top(top: DataFrame, links: DataFrame, n: int = TOP_LINKS_N, link_buckets: int | None = None) -> DataFrame:
+    """``n`` ranked (short_code, total_clicks) at most -> those with a live link, ranked."""
+    joined = join_links(bounded_broadcast(top, n), "short_code", _live_links(links), "inner", link_buckets)
+    return _with_rank(joined.select("short_code", "long_url", "total_clicks"))
+
+
+def best(totals: DataFrame, n: int = TOP_LINKS_N) -> DataFrame:
+    """The first ``n`` of one total a code."""
+    return totals.select("short_code", "total_clicks").orderBy(*_order()).limit(bounded(n))
+
+
 def top_links_page(rollup: DataFrame, links: DataFrame, page: int = 1,
                    limit: int = TOP_LINKS_N) -> DataFrame:
     """One page of the ranking; ``has_next`` is true iff the page is full."""

@@ -56,3 +56,22 @@ def join_links(keys: DataFrame, key_col: str, links: DataFrame, how: str = "inne
         cond = (keys[key_col] == links["id"]) & (keys["_kb"] == links[BUCKET_COL])
         return keys.join(links, cond, how).drop("_kb", BUCKET_COL)
     return keys.join(links, cond, how)
+
+
+# Buckets of the hash that ``skew_safe_join`` also matches.
+SKEW_BUCKETS = 1 << 16
+
+
+def skew_safe_join(many: DataFrame, few: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Equi-join of ``many`` rows to a reduced side with a row a key, so that a
+    hot key of ``many`` can be split at run time.
+
+    Spark splits a skewed partition only if both sides of the join are plain
+    exchanges.  ``few`` usually ends in an aggregate or a join by the key and is
+    not exchanged again.  Matching a hash of the key as well asks both sides for
+    another partitioning, which costs one more shuffle of the reduced side.
+    """
+    def bucket():
+        return F.pmod(F.xxhash64(key), F.lit(SKEW_BUCKETS))
+
+    return many.withColumn("_skew", bucket()).join(few.withColumn("_skew", bucket()), [key, "_skew"], how).drop("_skew")

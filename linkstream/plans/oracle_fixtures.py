@@ -30,6 +30,12 @@ select lpad(cast(o_custkey as varchar(20)),11,'0') as id,
   concat('https://example.com/', cast(o_orderkey as varchar(20))) as long_url,
   concat('user', cast((o_custkey + case when o_orderkey % 9 = 0 then 1 else 0 end) % 20 as varchar(20))) as user_id,
   o_orderdate as commit_ts, o_orderkey as seq from orders""",
+    "link_changes": """
+select lpad(cast(o_custkey as varchar(20)),11,'0') as id,
+  case o_orderkey % 5 when 0 then 'delete' when 1 then 'update' else 'insert' end as op,
+  concat('https://example.com/', cast(o_orderkey as varchar(20))) as long_url,
+  concat('user', cast(o_custkey % 20 as varchar(20))) as user_id,
+  timestamp '2024-01-01 00:00:00' + interval '1' second * ((o_orderkey * 7919) % 2592000) as commit_ts, o_orderkey as seq from orders""",
     "redirect_requests": """
 select event_id as request_id, ts, case when event_id % 13 = 0 then concat('zz', cast(event_id as varchar(20)))
   else lpad(cast(user_id as varchar(20)),11,'0') end as short_code from events""",

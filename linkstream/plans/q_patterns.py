@@ -129,3 +129,19 @@ group by c.key, c.timestamp""")
 def q_ttfc(spark, sf):
     t = Tables(spark, sf)
     return PT.time_to_first_click(FX.created_events(t), FX.clicks(t), "30 DAYS")
+
+
+@query("match_pattern", "R11", V("user_events") + """,
+bought as (select p.user_id, p.timestamp,
+    (select max(c.timestamp) from user_events c where c.user_id = p.user_id and c.event_type = 'click' and c.timestamp < p.timestamp) as last_click,
+    (select max(v.timestamp) from user_events v where v.user_id = p.user_id and v.event_type = 'view' and v.timestamp < p.timestamp) as last_view
+  from user_events p where p.event_type = 'purchase'),
+m as (select v.user_id, v.timestamp as match_start, min(b.timestamp) as match_end
+  from user_events v join bought b on b.user_id = v.user_id and b.last_click > v.timestamp and (b.last_view is null or b.last_view < b.last_click)
+  where v.event_type = 'view' group by v.user_id, v.timestamp)
+select * from m where match_end <= match_start + interval 2 day""")
+def q_match_pattern(spark, sf):
+    """A view, clicks, and a purchase without another view since the last of these clicks."""
+    from linkstream.operators.matching import Step, match_pattern
+    steps = [Step("view"), Step("click", repeated=True), Step("purchase", without=("view",))]
+    return match_pattern(FX.user_events(Tables(spark, sf)), steps, "2 DAYS")

@@ -76,6 +76,39 @@ def q_resolve_outcomes(spark, sf):
                                              F.count("cache_error").alias("cache_errors"))
 
 
+def _as_of_sql(seconds):
+    return V("redirect_requests", "created_events", "cache_entries", "link_changes") + f""",
+state as (select id, commit_ts + interval {seconds} second as seen_at, arg_max(op, seq) as op, arg_max(long_url, seq) as long_url
+          from link_changes group by id, commit_ts),
+known as (select value as short_code, min(timestamp) as since from created_events group by value),
+seen as (select r.request_id, r.ts, r.short_code, case when s.op <> 'delete' then s.long_url end as table_url
+         from redirect_requests r asof left join state s on r.short_code = s.id and r.ts >= s.seen_at),
+res as (select s.*, c.long_url as cache_url,
+    case when k.short_code is null then 'url_not_found_bloom' when c.long_url is not null then 'redis'
+         when table_url is not null and table_url <> '' then 'db_stale' else 'url_not_found_db' end as source
+  from seen s left join known k on k.short_code = s.short_code and k.since <= s.ts
+  left join cache_entries c on c.short_code = s.short_code and s.ts < c.expires_at)
+select request_id, ts, short_code, source, case source when 'redis' then 302 when 'db_stale' then 302 else 404 end as status,
+  case source when 'redis' then cache_url when 'db_stale' then table_url end as long_url from res"""
+
+
+def _as_of(spark, sf, staleness):
+    t = Tables(spark, sf)
+    out = RS.resolve_redirects_as_of(FX.redirect_requests(t), FX.created_events(t), FX.cache_entries(t), FX.link_changes(t), staleness)
+    return out.select("request_id", "ts", "short_code", "source", "status", "long_url")
+
+
+@query("resolve_redirects_as_of", "J3, J5", _as_of_sql(15))
+def q_resolve_as_of(spark, sf):
+    """Each request sees the table as it was 15 seconds before it."""
+    return _as_of(spark, sf, "15 seconds")
+
+
+@query("resolve_redirects_strong", "J3, J5", _as_of_sql(0))
+def q_resolve_strong(spark, sf):
+    return _as_of(spark, sf, "0 seconds")
+
+
 @query("redirect_clicks", "J5", _RESOLVED + """
 select ts as event_time, short_code, 'Unknown' as country_code from resolved where status = 302""")
 def q_redirect_clicks(spark, sf):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkstream.operators import links as L
+from linkstream.operators import rollup as R
 from linkstream.operators.rollup import compact_rollup
 from linkstream.plans.q_clicks import _PARSED
 from linkstream.plans.q_links import _LIVES
@@ -19,6 +20,7 @@ from linkstream.sources.streams import read_clicks_stream
 from linkstream.sources.tables import Tables
 from linkstream.streaming import alerts as AL
 from linkstream.streaming import ingest as IN
+from linkstream.streaming import keyed as KS
 
 
 def _message_files(spark, df, name, fmt="json", files=4):
@@ -67,6 +69,74 @@ def q_stream_rollup(spark, sf):
     return compact_rollup(IN.read_rollup(spark, out))
 
 
+def _visitors_sql(period, by):
+    return _PARSED + f"""
+select date_trunc('{period}', event_time) as period, {by} count(distinct concat(country_code, '/', user_agent)) as visitors
+from p where ok group by all"""
+
+
+def _stored_visitors(spark, sf, period, by):
+    """From a stored roll-up of several batches, the older ones compacted twice."""
+    src, out = _message_files(spark, FX.click_json(Tables(spark, sf)), "visit-msgs", files=6), scratch_path(spark, "visits")
+    cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": 1}
+    q = IN.stream_hourly_rollup(read_clicks_stream(spark, cfg), out, scratch_path(spark, "visits-ck"), {"availableNow": True},
+                                compact_every=2, visitor=F.concat("country_code", F.lit("/"), "user_agent"))
+    q.awaitTermination()
+    return R.unique_visitors(IN.read_rollup(spark, out), period, by)
+
+
+@query("unique_visitors_hourly", "A1, A3, 2.12", _visitors_sql("hour", "short_code,"))
+def q_visitors_hourly(spark, sf):
+    return _stored_visitors(spark, sf, "hour", ["short_code"])
+
+
+@query("unique_visitors_daily", "A3, 2.12", _visitors_sql("day", ""))
+def q_visitors_daily(spark, sf):
+    return _stored_visitors(spark, sf, "day", [])
+
+
+@query("stream_bot_timers", "R5, R1, R8, 2.12", V("redirect_requests") + """,
+c as (select short_code, date_trunc('day', ts) as window_start, count(*) as n from redirect_requests group by all having count(*) > 3)
+select short_code, window_start, window_start + interval 1 day as window_end, 'crossed' as kind, 4 as events from c
+union all select short_code, window_start, window_start + interval 1 day, 'closed', n from c""")
+def q_stream_bot_timers(spark, sf):
+    """Four runs over one checkpoint, then one whose rows are all too late: the
+    first third again, days behind the watermark, which changes nothing."""
+    reqs = FX.redirect_requests(Tables(spark, sf))
+    src, out, ck = (scratch_path(spark, n) for n in ("timer-rows", "timer-alerts", "timer-ck"))
+
+    def start():
+        alerts = KS.stream_bot_timers(spark.readStream.schema(reqs.schema).parquet(src), "short_code", "ts", 3, 86400)
+        return (alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                      .trigger(availableNow=True).start())
+
+    parts = _thirds(reqs, "ts")
+    _run_in_parts([*parts, _far_row(reqs, "ts", "3 DAYS"), parts[0]], src, "parquet", start)
+    return spark.read.parquet(out)
+
+
+@query("stream_cached_lookups", "J5, 2.12", V("redirect_requests", "url_mappings") + """,
+n as (select r.short_code, m.long_url is not null as found, count(*) as n from redirect_requests r
+      left join url_mappings m on m.id = r.short_code group by all)
+select short_code, 'db_stale' as source, 1 as requests from n where found
+union all select short_code, 'redis', n - 1 from n where found and n > 1
+union all select short_code, 'url_not_found_db', n from n where not found""")
+def q_stream_cached_lookups(spark, sf):
+    """Which requests the cache answers: all but the first of a code, while its answer is kept."""
+    t = Tables(spark, sf)
+    m = FX.url_mappings(t).select(F.col("id").alias("short_code"), F.col("long_url").alias("table_url"))
+    reqs = FX.redirect_requests(t).join(m, "short_code", "left")
+    src, out, ck = (scratch_path(spark, n) for n in ("lookup-rows", "lookups", "lookup-ck"))
+
+    def start():
+        found = KS.stream_cached_lookups(spark.readStream.schema(reqs.schema).parquet(src), ttl="1 day")
+        return (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                     .trigger(availableNow=True).start())
+
+    _run_in_parts(_thirds(reqs, "ts"), src, "parquet", start)
+    return spark.read.parquet(out).groupBy("short_code", "source").agg(F.count(F.lit(1)).alias("requests"))
+
+
 @query("stream_bot_lifetime", "R5b", V("redirect_requests") + """
 select request_id, ts, short_code, cnt as count from (
   select *, count(*) over (partition by short_code order by ts, request_id
@@ -255,6 +325,6 @@ def q_stream_top_links(spark, sf):
     path = scratch_path(spark, "top")
     cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": 2}
     q = IN.stream_top_links(read_clicks_stream(spark, cfg), FX.url_mappings(t), path,
-                            scratch_path(spark, "top-ck"), trigger={"availableNow": True}, compact_every=1)
+                            scratch_path(spark, "top-ck"), trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.json(f"{path}/top_links").select("json")
+    return IN.read_top_links(spark, path)

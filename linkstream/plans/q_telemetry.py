@@ -108,6 +108,40 @@ def q_trace_waterfall(spark, sf):
     return TM.trace_waterfall(FX.spans(Tables(spark, sf)))
 
 
+@query("trace_tree", "W6", V("spans", recursive=True) + """,
+up as (select s.*, p.span_id as up, epoch_us(s.start_ts) as b, epoch_us(s.start_ts) + s.duration_ms * 1000 as e
+       from spans s left join spans p on p.trace_id = s.trace_id and p.span_id = s.parent_span_id),
+ranked as (select *, up is null or row_number() over (partition by trace_id, up order by e desc, span_id) = 1 as last_child from up),
+walk as (select trace_id, span_id, 0 as depth, true as on_path from ranked where up is null
+  union all select r.trace_id, r.span_id, w.depth + 1, w.on_path and r.last_child
+  from walk w join ranked r on r.trace_id = w.trace_id and r.up = w.span_id),
+kids as (select k.trace_id, k.up as span_id, greatest(k.b, p.b) as b, least(k.e, p.e) as e
+  from up k join up p on p.trace_id = k.trace_id and p.span_id = k.up where least(k.e, p.e) > greatest(k.b, p.b)),
+runs as (select *, max(e) over (partition by trace_id, span_id order by b, e rows between unbounded preceding and 1 preceding) as before from kids),
+busy as (select trace_id, span_id, sum(greatest(e - greatest(b, coalesce(before, b)), 0)) as covered from runs group by all),
+start as (select trace_id, min(b) as t0 from up group by trace_id)
+select u.trace_id, u.span_id, u.parent_span_id, u.service, cast(w.depth as bigint) as depth, (u.b - t.t0) // 1000 as offset_ms, u.duration_ms,
+  round((u.duration_ms * 1000 - coalesce(k.covered, 0)) / 1000.0, 3) as self_ms, w.on_path as on_critical_path
+from up u join start t on t.trace_id = u.trace_id join walk w on w.trace_id = u.trace_id and w.span_id = u.span_id
+left join busy k on k.trace_id = u.trace_id and k.span_id = u.span_id""")
+def q_trace_tree(spark, sf):
+    return TM.trace_tree(FX.spans(Tables(spark, sf)))
+
+
+@query("service_red_stored", "A13", V("metric_points") + """
+select service, date_trunc('day', ts) as bucket, count(*) as requests, round(count(*) / 86400.0, 9) as rate_per_s,
+  round(avg(case when status_code >= 500 then 1.0 else 0.0 end), 9) as error_rate
+from metric_points group by all""")
+def q_service_red_stored(spark, sf):
+    """Daily figures from stored minutes, by way of stored hours; the sketches'
+    quantiles are compared with exact ones in the tests."""
+    from linkstream.session import scratch_path
+    path = scratch_path(spark, "red")
+    TM.red_partials(FX.metric_points(Tables(spark, sf))).write.parquet(f"{path}/minute")
+    TM.merge_red(spark.read.parquet(f"{path}/minute"), "hour").write.parquet(f"{path}/hour")
+    return TM.red_from_partials(spark.read.parquet(f"{path}/hour"), "day").drop("p50", "p90", "p99")
+
+
 @query("service_map", "J8", V("spans") + """
 select p.service as caller, c.service as callee, count(*) as calls,
   round(count(*) / greatest((epoch_us(max(c.start_ts)) - epoch_us(min(c.start_ts))) / 1000000.0, 1.0), 9) as calls_per_s,

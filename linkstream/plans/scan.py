@@ -92,3 +92,16 @@ def scan_sum(df: DataFrame, keys: Sequence[str], value: Column, out: str, total:
         carried = carried.where(F.col(before).isNotNull())
     return (_join_carry(local, carried, keys).withColumn(out, F.col(near) + F.coalesce(before, F.lit(0)))
             .drop(tmp, near, before))
+
+
+def scan_max(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Add ``out`` = largest ``value`` among the rows before each row within its
+    key (null before the first).  ``df`` comes from ``ordered``."""
+    keys = list(keys)
+    near, far, top = f"_{out}_near", f"_{out}_far", f"_{out}_top"
+    inside = Window.partitionBy(PART, *keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn(near, F.max(value).over(inside))
+    across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (df.groupBy(PART, *keys).agg(F.max(value).alias(top))
+                 .select(PART, *keys, F.max(top).over(across).alias(far)).where(F.col(far).isNotNull()))
+    return _join_carry(local, carried, keys).withColumn(out, F.greatest(near, far)).drop(near, far)

@@ -75,6 +75,20 @@ def link_mutations(t: Tables) -> DataFrame:
         F.col("o_orderkey").alias("seq"))
 
 
+def link_changes(t: Tables) -> DataFrame:
+    """A change log of links over the month of the events: applied changes with commit times."""
+    o = t("orders")
+    return o.select(
+        code_of("o_custkey").alias("id"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("delete")).when(F.col("o_orderkey") % 5 == 1, F.lit("update"))
+         .otherwise(F.lit("insert")).alias("op"),
+        F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string")).alias("long_url"),
+        F.concat(F.lit("user"), (F.col("o_custkey") % 20).cast("string")).alias("user_id"),
+        (F.to_timestamp(F.lit(BASE_TS)) + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), ((F.col("o_orderkey") * 7919) % 2592000).cast("decimal(18,6)"))).alias("commit_ts"),
+        F.col("o_orderkey").alias("seq"))
+
+
 def redirect_requests(t: Tables) -> DataFrame:
     e = t("events")
     return e.select(F.col("event_id").alias("request_id"), "ts",

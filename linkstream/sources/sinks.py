@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkstream.constants import SINK_BATCH_ROWS
@@ -19,11 +19,11 @@ def batch_dir(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/batch_id={batch_id}"
 
 
-def write_rollup(path: str, ts: str = "event_time") -> Callable[[DataFrame, int], None]:
+def write_rollup(path: str, ts: str = "event_time", visitor: str | Column | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: raw click rows are not stored, only the batch's
-    partial counts per (hour, code, country) under ``batch_id=N``."""
+    partial counts (and visitor sketches) per (hour, code, country) under ``batch_id=N``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (hourly_rollup(batch, ts).write.mode("overwrite").parquet(batch_dir(path, batch_id)))
+        (hourly_rollup(batch, ts, visitor).write.mode("overwrite").parquet(batch_dir(path, batch_id)))
     return write
 
 

@@ -17,12 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from linkstream.constants import BOT_THRESHOLD, CLICK_WATERMARK
+from linkstream.streaming.ingest import with_click_watermark
 
 
 def stream_trending_counts(stream: DataFrame, size: str = "15 minutes", slide: str = "1 minute",
                            ts: str = "event_time", key: str = "short_code",
                            delay: str = CLICK_WATERMARK) -> DataFrame:
-    return (stream.withWatermark(ts, delay)
+    return (with_click_watermark(stream, delay, ts)
                   .groupBy(F.window(ts, size, slide).alias("w"), key)
                   .agg(F.count(F.lit(1)).alias("clicks")))
 
@@ -52,7 +53,7 @@ def stream_trending(stream: DataFrame, out_path: str, checkpoint: str, n: int =
 
 def stream_sessions(stream: DataFrame, key: str, gap: str, ts: str = "event_time",
                     delay: str = CLICK_WATERMARK) -> DataFrame:
-    return (stream.withWatermark(ts, delay)
+    return (with_click_watermark(stream, delay, ts)
                   .groupBy(F.session_window(ts, gap).alias("s"), key)
                   .agg(F.count(F.lit(1)).alias("events"))
                   .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
@@ -63,7 +64,7 @@ def stream_bot_windowed(stream: DataFrame, key: str, threshold: int = BOT_THRESH
                         window: str = "1 minute", ts: str = "event_time",
                         delay: str = CLICK_WATERMARK) -> DataFrame:
     """Keys with more than ``threshold`` events in a minute (the stated rule)."""
-    agg = (stream.withWatermark(ts, delay).groupBy(key, F.window(ts, window).alias("w"))
+    agg = (with_click_watermark(stream, delay, ts).groupBy(key, F.window(ts, window).alias("w"))
                  .agg(F.count(F.lit(1)).alias("events")))
     return (agg.where(F.col("events") > threshold)
                .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events"))

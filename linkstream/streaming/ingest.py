@@ -6,20 +6,25 @@ readers sum the partials.  No watermark sits in front of it, so a late
 click is never dropped (a watermarked 1-hour window would drop rows that
 arrive after the window closed; the original accepts any lateness).
 Exactly-once comes from the checkpoint (offsets + commit log) plus the
-idempotent per-batch overwrite in the sink.
+idempotent per-batch overwrite in the sink.  Folders that a compaction has
+folded in are removed by the next one, so their number does not grow.
+
+The dashboard feed keeps running totals as state and publishes versions behind
+a pointer: a batch costs what it holds, and a reader always finds a document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, TOP_LINKS_N
 from linkstream.functions.timefns import ts_literal
 from linkstream.operators.clicks import parse_clicks, publish_created, route_clicks
-from linkstream.operators.rollup import ROLLUP_KEY
-from linkstream.operators.toplinks import top_links_enriched, top_links_json
+from linkstream.operators.rollup import ROLLUP_KEY, merged_visitors
+from linkstream.operators.toplinks import best, enrich_top, top_links_json
+from linkstream.sources import files
 from linkstream.sources.sinks import batch_dir, write_created_feed, write_known_codes, write_rollup, write_split
 
 
@@ -42,9 +47,8 @@ def with_click_watermark(stream: DataFrame, delay: str = CLICK_WATERMARK, ts: st
     return stream.withWatermark(ts, delay)
 
 
-# Compacted versions whose write ended; a version without its row does not exist for readers.
-_FINISHED_SCHEMA = "upto bigint"
-_PARTIAL_SCHEMA = "hour timestamp, short_code string, country_code string, total_clicks bigint"
+_PARTIAL_SCHEMA = "hour timestamp, short_code string, country_code string, total_clicks bigint, visitors binary"
+_ROLLUP_COLS = [*ROLLUP_KEY, "total_clicks", "visitors"]
 
 
 def init_rollup(spark: SparkSession, path: str) -> None:
@@ -53,13 +57,14 @@ def init_rollup(spark: SparkSession, path: str) -> None:
     empty = spark.createDataFrame([], _PARTIAL_SCHEMA)
     empty.write.mode("ignore").parquet(f"{path}/partials/batch_id=-1")
     empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1/day=1970-01-01")
-    spark.createDataFrame([], _FINISHED_SCHEMA).write.mode("ignore").parquet(f"{path}/finished")
+    # A version is there for readers once it has its folder here.
+    spark.range(0).select(F.lit(True).alias("done")).write.mode("ignore").parquet(f"{path}/finished/upto=-1")
 
 
-def _rollup_writer(path: str, compact_every: int | None):
+def _rollup_writer(path: str, compact_every: int | None, visitor: str | Column | None = None):
     """Write the batch's partial counts; every ``compact_every`` batches fold
     the batches before this one (all committed) into a compacted version."""
-    write_partials = write_rollup(f"{path}/partials")
+    write_partials = write_rollup(f"{path}/partials", visitor=visitor)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         write_partials(batch, batch_id)
@@ -69,17 +74,19 @@ def _rollup_writer(path: str, compact_every: int | None):
 
 
 def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-                         value_col: str = "value", compact_every: int | None = None) -> StreamingQuery:
+                         value_col: str = "value", compact_every: int | None = None,
+                         visitor: str | Column | None = None) -> StreamingQuery:
+    """``visitor``: what tells visitors apart (a column of the parsed clicks); partials then carry their sketches."""
     init_rollup(stream.sparkSession, path)
     clicks, _ = parse_clicks(stream, value_col)
-    return _start(clicks.writeStream.foreachBatch(_rollup_writer(path, compact_every)), checkpoint, trigger)
+    return _start(clicks.writeStream.foreachBatch(_rollup_writer(path, compact_every, visitor)), checkpoint, trigger)
 
 
 def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     partials = spark.read.schema(_PARTIAL_SCHEMA + ", batch_id bigint").parquet(f"{path}/partials")
     compacted = spark.read.schema(_PARTIAL_SCHEMA + ", upto bigint, day date").parquet(f"{path}/compacted")
-    finished = spark.read.schema(_FINISHED_SCHEMA).parquet(f"{path}/finished")
-    return partials, compacted.join(finished, "upto", "left_semi")
+    finished = files.versions(spark, f"{path}/finished", "upto")  # a name a compaction still kept
+    return partials, compacted.where(F.col("upto").isin(finished))
 
 
 def _current_days(compacted: DataFrame) -> DataFrame:
@@ -95,11 +102,11 @@ def read_rollup(spark: SparkSession, path: str, since: str | None = None) -> Dat
     compacted table are not read."""
     partials, compacted = _versions(spark, path)
     upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
-    newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*ROLLUP_KEY, "total_clicks")
+    newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*_ROLLUP_COLS)
     if since is None:
-        return _current_days(compacted).select(*ROLLUP_KEY, "total_clicks").unionByName(newer)
+        return _current_days(compacted).select(*_ROLLUP_COLS).unionByName(newer)
     wanted = _current_days(compacted.where(F.col("day") >= F.to_date(ts_literal(since))))
-    return wanted.select(*ROLLUP_KEY, "total_clicks").unionByName(newer).where(F.col("hour") >= ts_literal(since))
+    return wanted.select(*_ROLLUP_COLS).unionByName(newer).where(F.col("hour") >= ts_literal(since))
 
 
 def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
@@ -110,25 +117,46 @@ def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
     ``query.lastProgress['batchId']``), so a batch still being replayed is
     never folded in.  A day untouched by the new batches keeps its older
     version, which readers still pick for it.  The new version becomes
-    visible by its row in ``finished``, written after all its days: a job that
+    visible by its folder in ``finished``, written after all its days: a job that
     dies between days leaves nothing to readers, and its re-run overwrites
-    what it left."""
+    what it left.  What the version before this one had already replaced is then
+    removed; readers that began before this version still find all they need."""
     partials, compacted = _versions(spark, path)
     prev = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
     if upto_batch <= prev:
         return  # already compacted (a re-run must not overwrite the version)
     fresh = (partials.where((F.col("batch_id") > F.lit(prev)) & (F.col("batch_id") <= F.lit(upto_batch)))
-                     .select(*ROLLUP_KEY, "total_clicks").withColumn("day", F.to_date("hour")))
+                     .select(*_ROLLUP_COLS).withColumn("day", F.to_date("hour")))
     touched = fresh.select("day").distinct()
     base = (_current_days(compacted).join(touched, "day", "left_semi")
-                                    .select(*ROLLUP_KEY, "total_clicks", "day"))
+                                    .select(*_ROLLUP_COLS, "day"))
     merged = (base.unionByName(fresh).groupBy("day", *ROLLUP_KEY)
-                  .agg(F.sum("total_clicks").cast("bigint").alias("total_clicks")))
+                  .agg(F.sum("total_clicks").cast("bigint").alias("total_clicks"), merged_visitors().alias("visitors")))
     # Its groupBy shuffles by the whole key; a day's rows meet in a few tasks,
     # not in one file per task.
     spread = merged.repartition(F.col("day"), F.pmod(F.xxhash64("short_code"), F.lit(DAY_FILES)))
     spread.write.mode("overwrite").partitionBy("day").parquet(f"{path}/compacted/upto={upto_batch}")
-    spark.createDataFrame([(upto_batch,)], _FINISHED_SCHEMA).write.mode("append").parquet(f"{path}/finished")
+    spark.range(0).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/finished/upto={upto_batch}")
+    _remove_replaced(spark, path, prev)
+
+
+def _remove_replaced(spark: SparkSession, path: str, prev: int) -> None:
+    """Remove the partials folded into version ``prev``, days that versions up to
+    it replace, and versions without a day left.  Only folder names are read."""
+    for batch_id in files.versions(spark, f"{path}/partials", "batch_id"):
+        if 0 <= batch_id <= prev:
+            files.remove(spark, f"{path}/partials/batch_id={batch_id}")
+    replaced: set[str] = set()
+    finished = set(files.versions(spark, f"{path}/finished", "upto"))
+    for upto in reversed([v for v in files.versions(spark, f"{path}/compacted", "upto") if 0 <= v <= prev]):
+        days = {d for d in files.names(spark, f"{path}/compacted/upto={upto}") if d.startswith("day=")}
+        gone = days if upto not in finished else days & replaced
+        for day in gone:
+            files.remove(spark, f"{path}/compacted/upto={upto}/{day}")
+        if not days - gone:
+            files.remove(spark, f"{path}/compacted/upto={upto}")
+            files.remove(spark, f"{path}/finished/upto={upto}") if upto != prev else None
+        replaced |= days if upto in finished else set()
 
 
 def stream_split_clicks(stream: DataFrame, paths: dict[str, str], checkpoint: str,
@@ -175,25 +203,53 @@ def read_known(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/known").select("short_code").distinct()
 
 
+#: Published versions that are kept for readers that have just read the pointer.
+KEPT_VERSIONS = 3
+
+
 def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint: str,
                      every: str = DASHBOARD_REFRESH, n: int = TOP_LINKS_N,
-                     value_col: str = "value", trigger: dict | None = None,
-                     compact_every: int | None = None) -> StreamingQuery:
-    """Dashboard feed: after each batch's partials are written, recompute the
-    enriched top-n from the roll-up and replace the published document."""
-    init_rollup(stream.sparkSession, path)
+                     value_col: str = "value", trigger: dict | None = None) -> StreamingQuery:
+    """Dashboard feed: the enriched top-n of all clicks so far, a version a batch.
+
+    Totals per code are state of the stream, and a batch brings those that it
+    changed.  Totals only grow, so the new top-n lies among the one before and
+    the changed codes: nothing else is read.  A version is written whole, then
+    the pointer is moved to it by a rename; a replayed batch finds its version
+    published and leaves it.  ``read_top_links`` reads the current one.
+    """
     clicks, _ = parse_clicks(stream, value_col)
-    write_partials = _rollup_writer(path, compact_every)
+    totals = clicks.groupBy("short_code").agg(F.count(F.lit(1)).alias("total_clicks"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_partials(batch, batch_id)
         spark = batch.sparkSession
-        top = top_links_enriched(read_rollup(spark, path), links, n)
-        top_links_json(top).write.mode("overwrite").json(f"{path}/top_links")
-
-    return _start(clicks.writeStream.foreachBatch(step), checkpoint, trigger or {"processingTime": every})
+        current = files.published(spark, f"{path}/CURRENT")
+        if current is not None and int(current) >= batch_id:
+            return
+        changed = batch.select("short_code", "total_clicks")
+        if current is not None:
+            before = spark.read.schema(changed.schema).parquet(f"{path}/totals/version={current}")
+            changed = changed.unionByName(before).groupBy("short_code").agg(F.max("total_clicks").alias("total_clicks"))
+        best(changed, n).write.mode("overwrite").parquet(f"{path}/totals/version={batch_id}")
+        top = spark.read.schema(changed.schema).parquet(f"{path}/totals/version={batch_id}").limit(n)
+        top_links_json(enrich_top(top, links, n)).write.mode("overwrite").json(f"{path}/top_links/version={batch_id}")
+        files.publish(spark, f"{path}/CURRENT", str(batch_id))
+        for kind in ("totals", "top_links"):
+            for old in files.versions(spark, f"{path}/{kind}", "version")[:-KEPT_VERSIONS]:
+                files.remove(spark, f"{path}/{kind}/version={old}")
+
+    writer = totals.writeStream.outputMode("update").foreachBatch(step)
+    return _start(writer, checkpoint, trigger or {"processingTime": every})
+
+
+def read_top_links(spark: SparkSession, path: str) -> DataFrame:
+    """The published document (column ``json``); an empty one before the first."""
+    current = files.published(spark, f"{path}/CURRENT")
+    if current is None:
+        return spark.createDataFrame([('{"top_links":[]}',)], "json string")
+    return spark.read.schema("json string").json(f"{path}/top_links/version={current}")
 
 
 __all__ = ["batch_dir", "compact_rollup_job", "dedup_stream", "links_change_feed", "read_known", "read_rollup",
-           "stream_hourly_rollup", "stream_links_change_feed", "stream_split_clicks", "stream_top_links",
+           "read_top_links", "stream_hourly_rollup", "stream_links_change_feed", "stream_split_clicks", "stream_top_links",
            "with_click_watermark"]
