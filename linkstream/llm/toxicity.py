@@ -67,7 +67,7 @@ LEXICON_WORDS, LEAST_DOCS, LEAST_LIFT, Z = 512, 5, 3.0, 2.58
 #: Rounds of expectation maximisation without and with the tree; least dependence of its edges (nats).
 ROUNDS, TREE_ROUNDS, LEAST_DEPENDENCE = 8, 6, 2e-4
 #: Expected documents on either side of the classifier's sample, and their words in all, at most.
-SAMPLE_ROWS, SAMPLE_WORDS = 8_000, 4_000_000
+SAMPLE_ROWS, SAMPLE_WORDS = 8_000, 2_000_000
 CALIBRATION_SHARE = 0.2
 DIM_BITS, BEGINNINGS = 18, (5, 8)
 DIM = 1 << DIM_BITS
