@@ -31,6 +31,26 @@ def read_telemetry(spark, path: str, kind: str, fmt: str = "parquet") -> DataFra
     return spark.read.format(fmt).load(f"{path.rstrip('/')}/{kind}")
 
 
+# The collector's batches: every second, of this many rows or so a message file.
+TELEMETRY_TRIGGER = {"processingTime": "1 second"}
+
+
+def read_telemetry_stream(spark, path: str, kind: str, schema, fmt: str = "json", max_files: int | None = None) -> DataFrame:
+    """The spans / metrics / logs of a telemetry export as a stream of its files."""
+    if kind not in ("spans", "metrics", "logs"):
+        raise ValueError(kind)
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", str(max_files))
+    return reader.load(f"{path.rstrip('/')}/{kind}")
+
+
+def stream_telemetry(stream: DataFrame, path: str, kind: str, checkpoint: str, trigger: dict | None = None):
+    """Keep one kind's stream as a table that ``read_committed`` reads, each batch once."""
+    from linkstream.sources.committed import write_committed
+    return write_committed(stream, f"{path.rstrip('/')}/{kind}", f"{checkpoint.rstrip('/')}/{kind}", trigger or TELEMETRY_TRIGGER)
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():

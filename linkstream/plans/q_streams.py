@@ -15,6 +15,7 @@ from linkstream.plans.q_links import _LIVES
 from linkstream.plans.oracle_fixtures import with_views as V
 from linkstream.plans.registry import query
 from linkstream.session import scratch_path
+from linkstream.sources import files
 from linkstream.sources import fixtures as FX
 from linkstream.sources.streams import read_clicks_stream
 from linkstream.sources.tables import Tables
@@ -122,7 +123,9 @@ select short_code, 'db_stale' as source, 1 as requests from n where found
 union all select short_code, 'redis', n - 1 from n where found and n > 1
 union all select short_code, 'url_not_found_db', n from n where not found""")
 def q_stream_cached_lookups(spark, sf):
-    """Which requests the cache answers: all but the first of a code, while its answer is kept."""
+    """Which requests the cache answers: all but the first of a code, while its
+    answer is kept.  One batch a run: state with a processing-time TTL asks for
+    another batch as long as a stream runs."""
     t = Tables(spark, sf)
     m = FX.url_mappings(t).select(F.col("id").alias("short_code"), F.col("long_url").alias("table_url"))
     reqs = FX.redirect_requests(t).join(m, "short_code", "left")
@@ -131,7 +134,7 @@ def q_stream_cached_lookups(spark, sf):
     def start():
         found = KS.stream_cached_lookups(spark.readStream.schema(reqs.schema).parquet(src), ttl="1 day")
         return (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-                     .trigger(availableNow=True).start())
+                     .trigger(once=True).start())
 
     _run_in_parts(_thirds(reqs, "ts"), src, "parquet", start)
     return spark.read.parquet(out).groupBy("short_code", "source").agg(F.count(F.lit(1)).alias("requests"))
@@ -328,3 +331,80 @@ def q_stream_top_links(spark, sf):
                             scratch_path(spark, "top-ck"), trigger={"availableNow": True})
     q.awaitTermination()
     return IN.read_top_links(spark, path)
+
+
+@query("stream_known_code_guard", "J4, J5", V("redirect_requests", "created_events") + """
+select r.*, c.timestamp as created_at, case when c.value is null then 'url_not_found_bloom' end as outcome
+from redirect_requests r left join created_events c on c.value = r.short_code and c.timestamp <= r.ts
+  and c.timestamp >= r.ts - interval 40 day""")
+def q_stream_guard(spark, sf):
+    t = Tables(spark, sf)
+    made, asked = FX.created_events(t).select("value", "timestamp"), FX.redirect_requests(t)
+    made_src, asked_src, out, ck = (scratch_path(spark, n) for n in ("guard-made", "guard-asked", "guard", "guard-ck"))
+
+    def start():
+        found = AL.stream_known_code_guard(spark.readStream.schema(asked.schema).parquet(asked_src),
+                                           spark.readStream.schema(made.schema).parquet(made_src))
+        return (found.writeStream.format("parquet").option("path", out).outputMode("append")
+                     .option("checkpointLocation", ck).trigger(availableNow=True).start())
+
+    # Rows long after the last ones end both streams (with keys: the join does not see times of rows without).
+    ends = [_far_row(made, "timestamp", "60 DAYS").withColumn("value", F.lit("end of creations")),
+            _far_row(asked, "ts", "60 DAYS").withColumn("short_code", F.lit("end of requests"))]
+    for new, used in zip([*_thirds(made, "timestamp"), ends[0]], [*_thirds(asked, "ts"), ends[1]]):
+        new.write.mode("append").parquet(made_src)
+        _run_in_parts([used], asked_src, "parquet", start)
+    return spark.read.parquet(out)
+
+
+@query("stream_committed_sink", "S6, R7", _PARSED + "select event_time, short_code, country_code from p where ok")
+def q_committed_sink(spark, sf):
+    """Clicks in a table to which each batch is added once; the last batch runs again."""
+    from linkstream.operators.clicks import parse_clicks, project_click
+    from linkstream.sources.committed import read_committed, write_committed
+    src = _message_files(spark, FX.click_json(Tables(spark, sf)), "commit-msgs")
+    out, ck = scratch_path(spark, "committed"), scratch_path(spark, "committed-ck")
+    cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": 2}
+
+    def start():
+        clicks, _ = parse_clicks(read_clicks_stream(spark, cfg))
+        return write_committed(project_click(clicks), out, ck, {"availableNow": True})
+
+    first = start()
+    first.awaitTermination()
+    # As after a crash between the sink's commit and the stream's: the batch is not logged as done.
+    last = first.lastProgress["batchId"] if first.lastProgress else 0
+    files.remove(spark, f"{ck}/commits/{last}")
+    start().awaitTermination()
+    return read_committed(spark, out, "event_time timestamp, short_code string, country_code string")
+
+
+@query("stream_telemetry", "S9, A16", V("spans", "metric_points", "app_logs") + """
+select 'spans' as table_name, count(*) as rows from spans
+union all select 'metrics', count(*) from metric_points
+union all select 'logs', count(*) from app_logs""")
+def q_stream_telemetry(spark, sf):
+    """Three streams of message files, each kept as a table in small batches."""
+    from linkstream.operators import telemetry as TM
+    from linkstream.sources.committed import read_committed
+    t = Tables(spark, sf)
+    tables = {"spans": FX.spans(t), "metrics": FX.metric_points(t), "logs": FX.app_logs(t)}
+    src, out, ck = (scratch_path(spark, n) for n in ("telemetry-msgs", "telemetry-tables", "telemetry-ck"))
+    for kind, df in tables.items():
+        df.repartition(4).write.json(f"{src}/{kind}")
+    running = [TM.stream_telemetry(TM.read_telemetry_stream(spark, src, kind, df.schema, max_files=1), out, kind, ck, {"availableNow": True})
+               for kind, df in tables.items()]
+    for q in running:
+        q.awaitTermination()
+    return TM.table_counts({kind: read_committed(spark, f"{out}/{kind}", df.schema) for kind, df in tables.items()})
+
+
+@query("stored_retention", "M5", V("clicks") + """
+select event_id, event_time, short_code from clicks where event_time >= timestamp '2024-01-30 23:59:59' - interval 500 hour""")
+def q_stored_retention(spark, sf):
+    """Clicks stored by day, after days and a part of one have expired."""
+    from linkstream.sources.retention import drop_expired, write_by_day
+    path = scratch_path(spark, "clicks-by-day")
+    write_by_day(FX.clicks(Tables(spark, sf)).select("event_id", "event_time", "short_code"), path, "event_time")
+    drop_expired(spark, path, "event_time", FX.NOW, "500 HOURS")
+    return spark.read.parquet(path).drop("day")

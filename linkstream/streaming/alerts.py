@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from linkstream.constants import BOT_THRESHOLD, CLICK_WATERMARK
+from linkstream.constants import BOT_THRESHOLD, CLICK_WATERMARK, OUTCOME_GUARD_MISS
 from linkstream.streaming.ingest import with_click_watermark
 
 
@@ -109,6 +109,24 @@ def stream_time_to_first_click(created: DataFrame, clicks: DataFrame, within: st
                          .alias("seconds_to_first_click"))
 
 
+def stream_known_code_guard(requests: DataFrame, created: DataFrame, horizon: str = "40 DAYS", code: str = "short_code",
+                            ts: str = "ts", delay: str = CLICK_WATERMARK) -> DataFrame:
+    """The known-code guard on streams: each request with the creation of its
+    code (``created_at``), or with the outcome of an unknown one.
+
+    A left outer join of two streams.  A request waits until the watermark says
+    that no creation up to its own time can follow; only then is its code
+    unknown.  A creation is remembered for ``horizon``, which bounds the state.
+    ``created`` (value, timestamp) has a row a code (see ``ingest.dedup_stream``).
+    """
+    made = created.select(F.col("value").alias("_code"), F.col("timestamp").alias("created_at")).withWatermark("created_at", delay)
+    asked = with_click_watermark(requests, delay, ts)
+    known = ((F.col(code) == F.col("_code")) & (F.col("created_at") <= F.col(ts))
+             & (F.col("created_at") >= F.col(ts) - F.expr(f"INTERVAL {horizon}")))
+    return asked.join(made, known, "leftOuter").select(
+        *requests.columns, "created_at", F.when(F.col("created_at").isNull(), F.lit(OUTCOME_GUARD_MISS)).alias("outcome"))
+
+
 def dropped_by_watermark(query: StreamingQuery) -> int:
     """Rows dropped as too late by the stateful operators, over recent progress."""
     total = 0
