@@ -83,7 +83,7 @@ def _stored_visitors(spark, sf, period, by):
     q = IN.stream_hourly_rollup(read_clicks_stream(spark, cfg), out, scratch_path(spark, "visits-ck"), {"availableNow": True},
                                 compact_every=2, visitor=F.concat("country_code", F.lit("/"), "user_agent"))
     q.awaitTermination()
-    return R.unique_visitors(IN.read_rollup(spark, out), period, by)
+    return R.unique_visitors(IN.read_rollup(spark, out, visitors=True), period, by)
 
 
 @query("unique_visitors_hourly", "A1, A3, 2.12", _visitors_sql("hour", "short_code,"))

@@ -95,18 +95,19 @@ def _current_days(compacted: DataFrame) -> DataFrame:
     return compacted.join(newest, ["day", "upto"], "left_semi")
 
 
-def read_rollup(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+def read_rollup(spark: SparkSession, path: str, since: str | None = None, visitors: bool = False) -> DataFrame:
     """Partial rows visible to readers: per day the newest compacted version,
     plus every partial batch written after the newest compaction.  Sum them
     to get totals.  ``since``: only hours from this time on; other days of the
-    compacted table are not read."""
+    compacted table are not read.  ``visitors``: with the visitor sketches."""
+    cols = _ROLLUP_COLS if visitors else _ROLLUP_COLS[:-1]
     partials, compacted = _versions(spark, path)
     upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
-    newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*_ROLLUP_COLS)
+    newer = partials.where(F.col("batch_id") > F.lit(upto)).select(*cols)
     if since is None:
-        return _current_days(compacted).select(*_ROLLUP_COLS).unionByName(newer)
+        return _current_days(compacted).select(*cols).unionByName(newer)
     wanted = _current_days(compacted.where(F.col("day") >= F.to_date(ts_literal(since))))
-    return wanted.select(*_ROLLUP_COLS).unionByName(newer).where(F.col("hour") >= ts_literal(since))
+    return wanted.select(*cols).unionByName(newer).where(F.col("hour") >= ts_literal(since))
 
 
 def compact_rollup_job(spark: SparkSession, path: str, upto_batch: int) -> None:
