@@ -48,10 +48,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def listed_keys(spark: SparkSession, sf_dir: str, sites: Sequence[str]) -> DataFrame:
+    """The key list: ``sites`` as labels, and the url (host and path) of every
+    page whose number ``labels`` marks as toxic."""
+    pages, labels = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels")
+    flagged = pages.join(labels.where("toxic = 1").select(F.col("doc_id").alias("page_id")).distinct(), "page_id")
+    url = F.concat(urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))).alias("host")
+    return spark.createDataFrame([(site + ".",) for site in sites], "host string").unionByName(flagged.select(url))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str, sites: Sequence[str] = LISTED_SITES) -> DataFrame:
-    """``sites`` is the key list: a host is listed if one of them is a label of it before a dot."""
-    listed = spark.createDataFrame([(site + ".",) for site in sites], "host string")
-    return urlfilter.judge(read_table(spark, sf_dir, "pages"), RULES, listed)
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"), RULES, listed_keys(spark, sf_dir, sites))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +174,11 @@ def _sql_rules(field: str) -> str:
 _SQL_OP4 = rf"""
 with cut as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 parts as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from cut)
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from cut),
+flagged as (select distinct host || path as key from parts where page_id in (select doc_id from labels where toxic = 1))
 select page_id, host, path, {_sql_rules('name')} as rule,
-  coalesce({_sql_rules('verdict')}, case when regexp_matches(host, '{LISTED_PATTERN}') then 'block' else 'allow' end) as verdict
+  coalesce({_sql_rules('verdict')}, case when regexp_matches(host, '{LISTED_PATTERN}') or host || path in (select key from flagged)
+    then 'block' else 'allow' end) as verdict
 from parts
 """
 

@@ -1,27 +1,38 @@
-"""URL filters: longest-match rules, then exact list membership by a Bloom
-filter cascade.
+"""URL filters: longest-match rules, then exact list membership by Bloom
+filter cascades.
 
 Level 0 encodes the listed keys.  Level 1 encodes the unlisted keys of the
 corpus's complete key universe that level 0 lets through, level 2 the listed
 keys that level 1 lets through, and so on until a level lets nothing wrong
 through.  A key is then listed or not by the first level that turns it away,
-with no error for any key of the universe and no join: each task holds the
-levels, whose size follows the list and not the corpus.
+with no error for any key of the universe and no join.
+
+Rows are dealt by a hash of their keys into as many parts as keep the keys of
+one small (``PART_SETS``), and each part has a cascade of its own, built in one
+task from the part's universe.  The cascade then travels in front of the part's
+rows, once for each of the tasks that share them, so neither the list nor the
+universe has to fit anywhere whole.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import ceil, log, log2, sqrt
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from linkstream.llm.common import free_name
 
-#: A cascade up to this size goes to every task; a larger list is joined instead.
-MAX_CASCADE_BYTES = 64 << 20
+#: Distinct key sets (hosts with their paths) of a part, as counted approximately.
+PART_SETS = 500_000
 #: False-positive rate of every level but the first.
 LATER_RATE = 0.5
 MAX_LEVELS = 64
@@ -101,136 +112,115 @@ class Cascade:
         return out
 
 
-def _hashes(batch: pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(batch.column(at + i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(2))
-
-
-def _filled(keys: DataFrame, level: Level) -> Level:
-    """Sets the level's bits: an OR inside each task, then over tasks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(level.words, np.uint64)
-        for batch in batches:
-            for at in level.probes(*_hashes(batch)):
-                np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        word = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], ["word", "bits"])
-
-    rows = keys.select("h1", "h2").mapInArrow(run, "word bigint, bits bigint").groupBy("word") \
-               .agg(F.bit_or("bits").alias("bits")).collect()  # level.words rows, a checked size
-    level.bits = np.zeros(level.words, np.uint64)
-    for r in rows:
-        level.bits[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return level
-
-
-def _through(keys: DataFrame, level: Level) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(level)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(*_hashes(batch))))
-
-    return keys.mapInArrow(run, keys.schema)
-
-
-def key_hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
-
-
-def build_cascade(universe: DataFrame, listed: DataFrame, key: str) -> Cascade | None:
-    """A cascade exact on ``universe`` for the keys of ``listed`` (both are
-    distinct-ed; nulls are no keys; listed keys outside the universe are not
-    needed).  None if it would be larger than MAX_CASCADE_BYTES."""
-    marks = universe.select(key).where(F.col(key).isNotNull()).withColumn("l", F.lit(0)).union(
-        listed.select(key).where(F.col(key).isNotNull()).withColumn("l", F.lit(2)))
-    sides = marks.groupBy(key).agg(F.min("l").alias("in_universe"), F.max("l").alias("is_listed")) \
-                 .where(F.col("in_universe") == 0) \
-                 .select(*key_hashes(F.col(key)), (F.col("is_listed") == 2).alias("listed")).checkpoint()
-    sizes = {r["listed"]: r["count"] for r in sides.groupBy("listed").count().collect()}
-    n_listed, n_rest = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_listed:
-        return Cascade([])
-    rate = min(0.5, max(1e-9, sqrt(0.5) * n_listed / max(n_rest, 1)))
-    if n_listed * log(1 / rate) / log(2) ** 2 / 8 > MAX_CASCADE_BYTES:
-        return None
+def build(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> Cascade:
+    """The cascade of one part's distinct keys."""
+    n_listed, n_rest = int(listed.sum()), int((~listed).sum())
     levels: list[Level] = []
-    inside, outside, n = sides.where("listed"), sides.where("not listed"), n_listed
-    while n:
+    rate = min(0.5, max(1e-9, sqrt(0.5) * n_listed / max(n_rest, 1)))
+    inside, outside = np.flatnonzero(listed), np.flatnonzero(~listed)
+    while len(inside):
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("two keys of the universe share 128 hash bits")
-        level = _filled(inside, Level(len(levels), n, LATER_RATE if levels else rate))
+        level = Level(len(levels), len(inside), LATER_RATE if levels else rate)
+        level.bits = np.zeros(level.words, np.uint64)
+        for at in level.probes(h1[inside], h2[inside]):
+            np.bitwise_or.at(level.bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         levels.append(level)
         # those wrongly let through are what the next level encodes
-        inside, outside = _through(outside, level).checkpoint(), inside
-        n = inside.count()
+        inside, outside = outside[level.has(h1[outside], h2[outside])], inside
     return Cascade(levels)
 
 
-def mark_listed(df: DataFrame, key: str, out: str, universe: DataFrame, listed: DataFrame) -> DataFrame:
-    """``df`` plus the boolean column ``out``: whether its key is listed.  The
-    universe must hold every key of ``df``; a null key is not listed."""
-    cascade = build_cascade(universe, listed, key)
-    if cascade is None:
-        keys = listed.select(F.col(key).alias("_lk")).where("_lk is not null").distinct().withColumn("_hit", F.lit(True))
-        return df.join(keys, F.col(key) == F.col("_lk"), "left") \
-                 .withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_lk", "_hit")
-    shared = df.sparkSession.sparkContext.broadcast(cascade)
-
-    @F.pandas_udf("boolean")
-    def member(h1, h2):
-        import pandas as pd
-        return pd.Series(shared.value.listed(h1.to_numpy("i8").view("u8"), h2.to_numpy("i8").view("u8")))
+def key_hashes(key: Column) -> list[Column]:
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")]
 
-    h1, h2 = key_hashes(F.col(key))
-    return df.withColumn(out, F.col(key).isNotNull() & member(h1, h2))
 
+def cascades(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """(part, key) rows and listed keys -> (part, cascade): a cascade exact on
+    the part's keys, as bytes.  Nulls are no keys; listed keys outside the
+    universe are not needed."""
+    marks = universe.select("part", "key", F.lit(False).alias("l")).unionByName(
+        listed.select(F.lit(None).cast("int").alias("part"), "key", F.lit(True).alias("l"))).where(F.col("key").isNotNull())
+    # A key stands in as many parts as have rows with it, at most all.
+    sides = marks.groupBy("key").agg(F.collect_set("part").alias("parts"), F.max("l").alias("listed")) \
+                 .select(F.explode("parts").alias("part"), *key_hashes(F.col("key")), "listed")
 
-def host_keys(host: Column) -> Column:
-    """The keys that list a host: itself, and each label that a dot follows,
-    with the dot."""
-    labels = F.split(host, "[.]", -1)
-    return F.array_distinct(F.concat(F.array(host), F.transform(F.slice(labels, 1, F.size(labels) - 1), lambda x: F.concat(x, F.lit(".")))))
+    def one(group: tuple, keys: Any) -> Any:
+        import pandas as pd
+        c = build(keys.h1.to_numpy("i8").view("u8"), keys.h2.to_numpy("i8").view("u8"), keys.listed.to_numpy(bool))
+        return pd.DataFrame({"part": [group[0]], "cascade": [pickle.dumps(c)]})
+
+    return sides.groupBy("part").applyInPandas(one, "part int, cascade binary")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, cascade, row, h1, h2) by part, its cascade first -> (row, hit)."""
+    part, cascade = None, Cascade([])
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else []
+        for a, b in zip(edges, [*edges[1:], len(parts)]):
+            piece = batch.slice(a, b - a)
+            if parts[a] != part:
+                part, cascade = parts[a], Cascade([])  # a part without keys has no cascade
+            sent = piece.column(1).is_valid()  # a copy for each of the part's salts that lie here
+            if sent[0].as_py():
+                cascade = pickle.loads(piece.column(1)[0].as_py())
+            piece = piece.filter(pc.invert(sent))
+            h1, h2 = piece.column(3), piece.column(4)
+            sizes = pc.fill_null(pc.list_value_length(h1), 0).to_numpy(zero_copy_only=False)
+            keys = [h.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for h in (h1, h2)]
+            before = np.concatenate([[0], np.cumsum(cascade.listed(*keys))])
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([piece.column(2), pa.array(before[ends] > before[ends - sizes])], ["row", "hit"])
 
 
 def mark_any_listed(df: DataFrame, keys: str, out: str, listed: DataFrame, key: str) -> DataFrame:
     """``df`` plus the boolean column ``out``: whether any of its array ``keys``
-    (not null, of one or more) is listed.  The cascade of all keys decides."""
-    universe = df.select(F.explode(keys).alias(key))
-    cascade = build_cascade(universe, listed, key)
-    if cascade is None:
-        found = universe.distinct().join(listed.select(key).where(F.col(key).isNotNull()).distinct(), key)
-        sets = df.select(F.col(keys).alias("_keys")).distinct().withColumn(key, F.explode("_keys")).join(found, key) \
-                 .select("_keys").distinct().withColumn("_hit", F.lit(True))
-        return df.join(sets, F.col(keys) == F.col("_keys"), "left") \
-                 .withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_keys", "_hit")
-    shared = df.sparkSession.sparkContext.broadcast(cascade)
-
-    @F.pandas_udf("boolean")
-    def member(h1, h2):
-        import pandas as pd
-        if not len(h1):
-            return pd.Series([], dtype=bool)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in h1])[:-1]])
-        hits = shared.value.listed(*(np.concatenate(list(h)).astype("i8").view("u8") for h in (h1, h2)))
-        return pd.Series(np.logical_or.reduceat(hits, starts))
-
-    h1, h2 = F.transform(keys, lambda k: key_hashes(k)[0]), F.transform(keys, lambda k: key_hashes(k)[1])
-    return df.withColumn(out, member(h1, h2))
+    is listed.  The keys of all rows are the universe, and their cascades decide."""
+    sets = df.select(F.approx_count_distinct(F.xxhash64(keys)).alias("n")).first()["n"]
+    parts = max(1, -(-sets // PART_SETS))
+    salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)
+    routed = df.select(F.struct(*df.columns).alias("row"), F.col(keys).alias("keys"),
+                       F.pmod(F.xxhash64(keys), F.lit(parts)).cast("int").alias("part"),
+                       F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"))
+    found = cascades(routed.select("part", F.explode("keys").alias("key")), listed.select(F.col(key).alias("key")))
+    sent = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hashed = [F.transform("keys", lambda k: key_hashes(k)[i]).alias(f"h{i + 1}") for i in (0, 1)]
+    stream = routed.select("part", "salt", F.lit(None).cast("binary").alias("cascade"), "row", *hashed).unionByName(sent, allowMissingColumns=True)
+    dealt = stream.repartition(parts * salts, "part", "salt").sortWithinPartitions("part", "salt", F.col("cascade").isNull())
+    hits = dealt.select("part", "cascade", "row", "h1", "h2").mapInArrow(_members, T.StructType([routed.schema["row"], T.StructField("hit", T.BooleanType())]))
+    return hits.select("row.*", F.col("hit").alias(out))
+
+
+def mark_listed(df: DataFrame, key: str, out: str, listed: DataFrame, listed_key: str | None = None) -> DataFrame:
+    """``df`` plus the boolean column ``out``: whether its key is listed; a null key is not."""
+    column, = free_name(df, "keys")
+    one = df.withColumn(column, F.when(F.col(key).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(key).cast("string"))))
+    return mark_any_listed(one, column, out, listed, listed_key or key).drop(column)
+
+
+def url_keys(host: Column, path: Column) -> Column:
+    """The keys that list a url: its host, each label of it that a dot follows,
+    with the dot, and host and path together."""
+    labels = F.split(host, "[.]", -1)
+    return F.array_distinct(F.concat(F.array(host, F.concat(host, path)),
+                                     F.transform(F.slice(labels, 1, F.size(labels) - 1), lambda x: F.concat(x, F.lit(".")))))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: str = "page_id",
           url_col: str = "url") -> DataFrame:
     """-> (page_id, host, path, rule, verdict), a row per row.
 
-    The longest rule that fits decides; else a page is blocked if its host is
-    in ``listed`` (column host), allowed if not.  A listed ``name.`` stands for
-    every host with the label ``name`` before a dot.  A null url has an empty host
+    The longest rule that fits decides; else a page is blocked if it is in
+    ``listed`` (column host), allowed if not.  A listed key is a host, a host with
+    a path, or ``name.`` for every host with the label ``name`` before a dot.  A null url has an empty host
     and path, fits no rule, and is allowed unless the empty host is listed.
     Repeated rows are each answered; other columns are not read.
     """
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
                          path_of(F.col(url_col)).alias("path"))
-    marked = mark_any_listed(parts.withColumn("keys", host_keys(F.col("host"))), "keys", "listed", listed, "host")
+    marked = mark_any_listed(parts.withColumn("keys", url_keys(F.col("host"), F.col("path"))), "keys", "listed", listed, "host")
     host, path = F.col("host"), F.col("path")
     return marked.select(
         F.col("page_id").alias(id_col), "host", "path", longest_rule(host, path, rules, "name").alias("rule"),

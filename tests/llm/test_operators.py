@@ -197,23 +197,25 @@ def test_language_counts_do_not_depend_on_chunks(monkeypatch):
 
 # ---- 4 url filter ----
 
-def test_cascade_is_exact(spark):
+def _cascades(keys, listed):
+    import pickle
+    return [pickle.loads(r["cascade"]) for r in urlfilter.cascades(keys.withColumn("part", F.lit(0)), listed).collect()]
+
+
+@pytest.mark.parametrize("sets", [500_000, 4_000, 700])
+def test_cascades_are_exact(spark, monkeypatch, sets):
+    """In one part or in many, with a key that holds a third of all rows."""
+    monkeypatch.setattr(urlfilter, "PART_SETS", sets)
     keys = spark.range(30_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where("substr(key, 2) % 7 = 0")
-    cascade = urlfilter.build_cascade(keys, listed.union(listed), "key")
+    cascade, = _cascades(keys, listed.union(listed))
     assert len(cascade.levels) > 3
-    got = urlfilter.mark_listed(keys.union(keys.limit(3)), "key", "hit", keys, listed)
-    assert got.where("hit <> (substr(key, 2) % 7 = 0)").count() == 0 and got.count() == 30_003
+    rows = keys.union(spark.range(15_000).select(F.lit("k7").alias("key")))
+    got = urlfilter.mark_listed(rows.union(spark.createDataFrame([(None,)], "key string")), "key", "hit", listed)
+    assert got.where("hit <> coalesce(substr(key, 2) % 7 = 0, false)").count() == 0 and got.count() == 45_001
     none = spark.createDataFrame([], "key string")
-    assert urlfilter.mark_listed(keys, "key", "hit", keys, none).where("hit").count() == 0
-    assert urlfilter.mark_listed(none, "key", "hit", none, listed).count() == 0
-
-
-def test_cascade_beyond_its_bound_is_a_join(spark, monkeypatch):
-    keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
-    monkeypatch.setattr(urlfilter, "MAX_CASCADE_BYTES", 4)
-    assert urlfilter.build_cascade(keys, keys.where("substr(key, 2) % 2 = 0"), "key") is None
-    assert urlfilter.mark_listed(keys, "key", "hit", keys, keys.where("substr(key, 2) % 2 = 0")).where("hit").count() == 250
+    assert urlfilter.mark_listed(keys, "key", "hit", none).where("hit").count() == 0
+    assert urlfilter.mark_listed(none, "key", "hit", listed).count() == 0
 
 
 def test_rules_on_odd_urls(spark):
@@ -231,14 +233,14 @@ def test_rules_on_odd_urls(spark):
 
 
 def test_key_list_decides(spark, monkeypatch):
-    """Sites and hosts of the given list are blocked, whatever their names; both paths agree."""
+    """Sites and hosts of the given list are blocked, whatever their names and the number of parts."""
     from linkstream.llm.queries import op4_url_filter
     hosts = ["www.badsite.net", "badsite.net", "badsite", "notbadsite.net", "badsite.x.net", "x.badsite", "spam-farm.net", "a.b.net", "b.net", ""]
     pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id bigint, url string")
     listed = spark.createDataFrame([("badsite.",), ("b.net",), (None,)], "host string")
     want = {"www.badsite.net", "badsite.net", "badsite.x.net", "b.net"}
-    for limit in (urlfilter.MAX_CASCADE_BYTES, 0):
-        monkeypatch.setattr(urlfilter, "MAX_CASCADE_BYTES", limit)
+    for sets in (urlfilter.PART_SETS, 1):
+        monkeypatch.setattr(urlfilter, "PART_SETS", sets)
         got = urlfilter.judge(pages, [], listed).collect()
         assert {r["host"] for r in got if r["verdict"] == "block"} == want and len(got) == len(hosts)
     got = op4_url_filter(spark, SF001, ["example"]).collect()
