@@ -43,7 +43,3 @@ def recent(df: DataFrame, ts: str, now: str, interval: str) -> DataFrame:
 
 def since(df: DataFrame, ts: str, lower: str) -> DataFrame:
     return df.where(F.col(ts) >= ts_literal(lower))
-
-
-def epoch_seconds(col) -> Column:
-    return F.unix_micros(_c(col)) / F.lit(1_000_000)

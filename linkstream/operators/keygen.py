@@ -14,10 +14,10 @@ As a batch job the same ids come from a distributed numbering:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkstream.constants import ID_BLOCK_SIZE, REASON_BAD_BODY, REASON_MISSING_URL, SNOWFLAKE_NODE_BITS
+from linkstream.constants import ID_BLOCK_SIZE, REASON_BAD_BODY, REASON_MISSING_URL, SNOWFLAKE_NODE_BITS, SNOWFLAKE_SEQ_BITS
 from linkstream.functions.codes import short_code_for_id, snowflake_compose, snowflake_decode
 from linkstream.functions.text import blank, build_short_url, strip_scheme
 from linkstream.plans.ranking import global_row_number, stable
@@ -66,13 +66,20 @@ def assign_short_codes(df: DataFrame, order_col: str, start_id: int = 0, mode: s
             raise ValueError("snowflake mode needs batch_ms")
         if last_ms is not None:
             batch_ms = max(batch_ms, last_ms + 1)
-        # One node id per partition: more partitions than nodes are folded together.
-        base = stable(need.coalesce(1 << SNOWFLAKE_NODE_BITS).withColumn("_mid", F.monotonically_increasing_id()))
-        idx = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-        node = F.shiftright("_mid", 33)
-        ident = snowflake_compose(F.lit(batch_ms) + F.floor(idx / 4096).cast("bigint"), node, idx % 4096)
+        # One node id per partition; partitions beyond the nodes share one, each
+        # going on where those before it end (a row a partition, so broadcast).
+        base = stable(need.withColumn("_mid", F.monotonically_increasing_id()))
+        base = base.withColumn("_pid", F.shiftright("_mid", 33))
+        node = F.col("_pid") % (1 << SNOWFLAKE_NODE_BITS)
+        sizes = base.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(node).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+        base = base.join(F.broadcast(starts), "_pid")
+        idx = F.col("_from") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+        per_ms = 1 << SNOWFLAKE_SEQ_BITS
+        ident = snowflake_compose(F.lit(batch_ms) + F.floor(idx / per_ms).cast("bigint"), node, idx % per_ms)
         coded = (base.withColumn("id", ident).withColumn("block_id", F.lit(None).cast("bigint"))
-                     .withColumn("short_code", short_code_for_id("id", obfuscate=False)).drop("_mid"))
+                     .withColumn("short_code", short_code_for_id("id", obfuscate=False)).drop("_mid", "_pid", "_from"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     if has_custom:

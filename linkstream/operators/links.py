@@ -27,7 +27,7 @@ The scans and the doubling carry no URL; it joins back once at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkstream.constants import REASON_UNAUTHORIZED, STALE_READ
@@ -54,20 +54,32 @@ def _events(links: DataFrame | None, mutations: DataFrame) -> DataFrame:
     return muts
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` with its lineage cut, and its rows, counted on the way."""
+    seen = Observation()
+    cut = stable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return cut, seen.get["n"]
+
+
 def _successful_inserts(ev: DataFrame) -> DataFrame:
-    """Positions of the inserts that start a life (pointer doubling)."""
+    """Positions of the inserts that start a life.  The first insert of an id
+    always does; pointer doubling follows only ids with more of them."""
     nodes = ev.where((F.col("op") == "insert") & F.col("id").isNotNull()).select("id", POS, "nd")
+    firsts = stable(nodes.groupBy("id").agg(F.min(POS).alias("at"), F.count(F.lit(1)).alias("n")))
     dels = ev.where((F.col("op") == "delete") & F.col("ni").isNotNull()).select(F.col(POS).alias("nd"), "ni")
-    jump = stable(nodes.join(dels, "nd").select(F.col(POS).alias("at"), F.col("ni").alias("nxt")))
-    marked = stable(nodes.groupBy("id").agg(F.min(POS).alias("at")).select("at"))
-    size = marked.count()
+    # An insert without a later delete that an insert follows leads nowhere, so
+    # ids with one insert are not here.
+    jump, left = _counted(nodes.join(dels, "nd").select(F.col(POS).alias("at"), F.col("ni").alias("nxt")))
+    marked = firsts.select("at")
+    if not left:
+        return marked
+    marked, size = _counted(marked.join(jump, "at", "left_semi"))
     while True:
         # marked = {succ^j(head) : j < 2^k}; jump = succ^(2^k).  The join runs
         # once: marked + new is written, and no growth means the walk is done.
-        grown = stable(marked.union(marked.join(jump, "at").select("nxt")))
-        grown_size = grown.count()
+        grown, grown_size = _counted(marked.union(marked.join(jump, "at").select("nxt")))
         if grown_size == size:
-            return marked
+            return firsts.select("at").union(marked).distinct()
         marked, size = grown, grown_size
         far = jump.select(F.col("at").alias("nxt"), F.col("nxt").alias("_far"))
         jump = stable(jump.join(far, "nxt").select("at", F.col("_far").alias("nxt")))

@@ -19,6 +19,7 @@ from linkstream.functions.timefns import recent, start_of_hour
 from linkstream.plans.joins import skew_safe_join
 from linkstream.plans.ranking import join_null_safe, exact_quantiles, stable
 from linkstream.plans.scan import ordered, scan_max
+from linkstream.schemas import TELEMETRY
 
 BUCKET_SECONDS = {"minute": 60, "hour": 3600, "day": 86400}
 DEFAULT_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -26,7 +27,7 @@ DEFAULT_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 def read_telemetry(spark, path: str, kind: str, fmt: str = "parquet") -> DataFrame:
     """Spans / metrics / logs table of a telemetry export."""
-    if kind not in ("spans", "metrics", "logs"):
+    if kind not in TELEMETRY:
         raise ValueError(kind)
     return spark.read.format(fmt).load(f"{path.rstrip('/')}/{kind}")
 
@@ -35,11 +36,9 @@ def read_telemetry(spark, path: str, kind: str, fmt: str = "parquet") -> DataFra
 TELEMETRY_TRIGGER = {"processingTime": "1 second"}
 
 
-def read_telemetry_stream(spark, path: str, kind: str, schema, fmt: str = "json", max_files: int | None = None) -> DataFrame:
+def read_telemetry_stream(spark, path: str, kind: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
     """The spans / metrics / logs of a telemetry export as a stream of its files."""
-    if kind not in ("spans", "metrics", "logs"):
-        raise ValueError(kind)
-    reader = spark.readStream.schema(schema).format(fmt)
+    reader = spark.readStream.schema(TELEMETRY[kind]).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.load(f"{path.rstrip('/')}/{kind}")

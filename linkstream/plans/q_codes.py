@@ -148,11 +148,16 @@ def q_assign(spark, sf):
     return _assigned(spark, sf).select("request_id", "id", "block_id", "short_code")
 
 
-@query("assign_short_codes_snowflake", "K2", None)
+@query("assign_short_codes_snowflake", "K2", _VALID_SQL + """
+select request_id, not use_custom as generated, true as code_ok from ok""")
 def q_assign_snowflake(spark, sf):
+    """Each request's code: its own slug, or the one that its id spells."""
     ok = G.choose_slug(_validated(spark, sf).where(F.col("reason").isNull()))
-    return G.assign_short_codes(ok, "request_id", mode="snowflake",
-                                batch_ms=SNOWFLAKE_EPOCH_MS + 86_400_000).select("request_id", "id", "short_code")
+    coded = G.assign_short_codes(ok, "request_id", mode="snowflake", batch_ms=SNOWFLAKE_EPOCH_MS + 86_400_000)
+    code = K.base62_decode("short_code")
+    spelled = F.when(F.col("id").isNull(), F.col("short_code") == F.col("custom_slug")).otherwise(
+        F.shiftleft(code["hi"], 32) + code["lo"] == F.col("id"))
+    return coded.select("request_id", F.col("id").isNotNull().alias("generated"), spelled.alias("code_ok"))
 
 
 @query("snowflake_batches", "K2", _VALID_SQL + """

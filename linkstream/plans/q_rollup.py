@@ -167,9 +167,9 @@ def q_top_links_stored(spark, sf):
     pruning reads only the buckets of the ranked codes."""
     from linkstream.plans.joins import LINK_BUCKETS
     from linkstream.session import scratch_path
-    from linkstream.sources.sinks import write_links
+    from linkstream.sources.sinks import read_links, write_links
     t = Tables(spark, sf)
     path = scratch_path(spark, "links")
     write_links(FX.url_mappings(t), path, LINK_BUCKETS)
-    links = spark.read.parquet(path)
+    links = read_links(spark, path)
     return TL.top_links_enriched(R.hourly_rollup(FX.clicks(t)), links, 10, link_buckets=LINK_BUCKETS)

@@ -14,6 +14,7 @@ from linkstream.plans.q_clicks import _PARSED
 from linkstream.plans.q_links import _LIVES
 from linkstream.plans.oracle_fixtures import with_views as V
 from linkstream.plans.registry import query
+from linkstream.schemas import TELEMETRY
 from linkstream.session import scratch_path
 from linkstream.sources import files
 from linkstream.sources import fixtures as FX
@@ -392,11 +393,11 @@ def q_stream_telemetry(spark, sf):
     src, out, ck = (scratch_path(spark, n) for n in ("telemetry-msgs", "telemetry-tables", "telemetry-ck"))
     for kind, df in tables.items():
         df.repartition(4).write.json(f"{src}/{kind}")
-    running = [TM.stream_telemetry(TM.read_telemetry_stream(spark, src, kind, df.schema, max_files=1), out, kind, ck, {"availableNow": True})
-               for kind, df in tables.items()]
+    running = [TM.stream_telemetry(TM.read_telemetry_stream(spark, src, kind, max_files=1), out, kind, ck, {"availableNow": True})
+               for kind in tables]
     for q in running:
         q.awaitTermination()
-    return TM.table_counts({kind: read_committed(spark, f"{out}/{kind}", df.schema) for kind, df in tables.items()})
+    return TM.table_counts({kind: read_committed(spark, f"{out}/{kind}", TELEMETRY[kind]) for kind in tables})
 
 
 @query("stored_retention", "M5", V("clicks") + """

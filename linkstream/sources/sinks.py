@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from linkstream.constants import SINK_BATCH_ROWS
 from linkstream.operators.rollup import hourly_rollup
+from linkstream.schemas import URL_MAPPING
 from linkstream.plans.joins import BUCKET_COL, LINK_BUCKETS, key_bucket
 
 
@@ -82,3 +84,8 @@ def write_links(links: DataFrame, path: str, buckets: int = LINK_BUCKETS, mode:
     # Rows of a bucket meet first, or each task would write a file per bucket.
     (links.withColumn(BUCKET_COL, key_bucket("id", buckets)).repartition(BUCKET_COL)
           .write.mode(mode).partitionBy(BUCKET_COL).parquet(path))
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """The link table that ``write_links`` stored, with its bucket column."""
+    return spark.read.schema(StructType([*URL_MAPPING.fields]).add(BUCKET_COL, LongType())).parquet(path)

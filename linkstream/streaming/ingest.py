@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, LongType, StructType
 
 from linkstream.constants import CLICK_WATERMARK, DASHBOARD_REFRESH, TOP_LINKS_N
 from linkstream.functions.timefns import ts_literal
 from linkstream.operators.clicks import parse_clicks, publish_created, route_clicks
 from linkstream.operators.rollup import ROLLUP_KEY, merged_visitors
 from linkstream.operators.toplinks import best, enrich_top, top_links_json
+from linkstream.schemas import HOURLY_PARTIAL, TOP_TOTAL
 from linkstream.sources import files
 from linkstream.sources.sinks import batch_dir, write_created_feed, write_known_codes, write_rollup, write_split
 
@@ -47,14 +49,13 @@ def with_click_watermark(stream: DataFrame, delay: str = CLICK_WATERMARK, ts: st
     return stream.withWatermark(ts, delay)
 
 
-_PARTIAL_SCHEMA = "hour timestamp, short_code string, country_code string, total_clicks bigint, visitors binary"
-_ROLLUP_COLS = [*ROLLUP_KEY, "total_clicks", "visitors"]
+_ROLLUP_COLS = HOURLY_PARTIAL.names
 
 
 def init_rollup(spark: SparkSession, path: str) -> None:
     """Create the roll-up location (empty partial and compacted tables) if
     absent; ``ignore`` mode leaves an existing location untouched."""
-    empty = spark.createDataFrame([], _PARTIAL_SCHEMA)
+    empty = spark.createDataFrame([], HOURLY_PARTIAL)
     empty.write.mode("ignore").parquet(f"{path}/partials/batch_id=-1")
     empty.write.mode("ignore").parquet(f"{path}/compacted/upto=-1/day=1970-01-01")
     # A version is there for readers once it has its folder here.
@@ -83,8 +84,8 @@ def stream_hourly_rollup(stream: DataFrame, path: str, checkpoint: str, trigger:
 
 
 def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    partials = spark.read.schema(_PARTIAL_SCHEMA + ", batch_id bigint").parquet(f"{path}/partials")
-    compacted = spark.read.schema(_PARTIAL_SCHEMA + ", upto bigint, day date").parquet(f"{path}/compacted")
+    partials = spark.read.schema(StructType([*HOURLY_PARTIAL.fields]).add("batch_id", LongType())).parquet(f"{path}/partials")
+    compacted = spark.read.schema(StructType([*HOURLY_PARTIAL.fields]).add("upto", LongType()).add("day", DateType())).parquet(f"{path}/compacted")
     finished = files.versions(spark, f"{path}/finished", "upto")  # a name a compaction still kept
     return partials, compacted.where(F.col("upto").isin(finished))
 
@@ -230,10 +231,10 @@ def stream_top_links(stream: DataFrame, links: DataFrame, path: str, checkpoint:
             return
         changed = batch.select("short_code", "total_clicks")
         if current is not None:
-            before = spark.read.schema(changed.schema).parquet(f"{path}/totals/version={current}")
+            before = spark.read.schema(TOP_TOTAL).parquet(f"{path}/totals/version={current}")
             changed = changed.unionByName(before).groupBy("short_code").agg(F.max("total_clicks").alias("total_clicks"))
         best(changed, n).write.mode("overwrite").parquet(f"{path}/totals/version={batch_id}")
-        top = spark.read.schema(changed.schema).parquet(f"{path}/totals/version={batch_id}").limit(n)
+        top = spark.read.schema(TOP_TOTAL).parquet(f"{path}/totals/version={batch_id}").limit(n)
         top_links_json(enrich_top(top, links, n)).write.mode("overwrite").json(f"{path}/top_links/version={batch_id}")
         files.publish(spark, f"{path}/CURRENT", str(batch_id))
         for kind in ("totals", "top_links"):
