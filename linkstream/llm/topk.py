@@ -2,17 +2,19 @@
 
 Every vector becomes integers, and each dimension a posting list ordered by
 falling quantised impact ``|x| >> LEVEL_BITS``: segments of equal impact.  For
-a query, segments of all dimensions are taken in rounds of falling impact
-``|q| * |x|`` and added to the accumulators.  What is not yet read can move a
-score by no more than ``R``, the sum over dimensions of ``|q|`` times the
-largest unread ``|x|``; a vector can still be in the answer only if its
-accumulator is within ``2 R`` of the k-th best.  Reading stops when so few can
-be members that scoring them exactly is cheaper; those that can be are scored
-exactly.  Nothing is estimated: the bound is a proof.
-
-The vectors are indexed in blocks of bounded size; the stated queries, in
-blocks too, meet every vector block.  Each meeting returns its own k best, and
-the k best of those are the answer.
+some queries together, segments of all dimensions are taken in rounds of falling
+impact (the largest ``|q| * |x|`` among the queries) and added to the
+accumulators of each.  What is not yet read can move a query's scores by no more
+than ``R``, the sum over dimensions of ``|q|`` times the largest unread ``|x|``;
+a vector can still be in its answer only if the accumulator is within ``2 R`` of
+the k-th best.  A query is done when so few can be members that scoring them
+exactly is cheaper; those that can be are scored exactly.  Nothing is estimated:
+the bound is a proof.
+
+The vectors are indexed in blocks of bounded size.  A block is dealt to a task
+once, in front of the query blocks that it meets (a task for each ``SLICE`` of
+them), and its index is built there once.  Each meeting returns its own k best,
+and the k best of those are the answer.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL_BITS = 3
 #: Vectors of one index block and queries of one query block.
 INDEX_BLOCK = 16_384
 QUERY_BLOCK = 1_024
+#: Query blocks that meet an index block in one task, and queries that read its postings together.
+SLICE, TOGETHER = 16, 128
 #: Exact scoring takes over when at most this share of a block can be members.
 RESCORE_SHARE = 0.02
 
@@ -50,41 +54,62 @@ class ImpactIndex:
             top = ((levels[starts] + 1) << LEVEL_BITS) - 1  # no |x| of the segment is above
             self.lists.append((rows, self.x[rows, d], bounds, top))
 
-    def search(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows whose id is not ``own``."""
-        n = len(self.ids)
-        alive = self.ids != own
-        want = min(k, int(alive.sum()))
-        if not want:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        weight = np.abs(q)
-        read = [0] * len(q)  # segments read of each dimension
-        acc = np.zeros(n)
-        acc[~alive] = -np.inf
-        tau = max((int(w) * int(li[3][0]) for w, li in zip(weight, self.lists) if w), default=0)
-        maybe = np.flatnonzero(alive)
-        while True:
-            rest, rows, adds = 0, [], []
-            for d in np.flatnonzero(weight):
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query, ids and scores of the k best rows whose id is not its own."""
+        out = []
+        for at in range(0, len(queries), TOGETHER):
+            out += self._search(queries[at:at + TOGETHER], k, own[at:at + TOGETHER])
+        return out
+
+    def _search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, dims = self.x.shape
+        weight = np.abs(queries)
+        # sums of whole numbers: exact in 32-bit floats up to 2^24
+        largest = int((weight * np.array([int(li[3][0]) for li in self.lists])).sum(1).max(initial=0)) if dims else 0
+        kind = np.float32 if largest < 1 << 24 else np.float64
+        out: list = [None] * len(queries)
+        left = np.arange(len(queries))
+        alive = self.ids[:, None] != own[None, :]
+        wants = np.minimum(k, alive.sum(0))
+        acc = np.where(alive, 0, -np.inf).astype(kind)
+        read = [0] * dims
+        tau = max((int(w) * int(li[3][0]) for w, li in zip(weight.max(0), self.lists) if w), default=0)
+        while len(left):
+            heaviest = weight[left].max(0)
+            due_dims, unread = [], np.zeros(dims, np.int64)
+            piece = np.zeros((n, dims), kind)
+            for d in np.flatnonzero(heaviest):
                 post, value, bounds, top = self.lists[d]
-                due = read[d] + int(np.searchsorted(-(weight[d] * top[read[d]:]), -tau, side="right"))
+                due = read[d] + int(np.searchsorted(-(heaviest[d] * top[read[d]:]), -tau, side="right"))
                 if due > read[d]:
                     a, b = bounds[read[d]], bounds[due]
-                    rows.append(post[a:b])
-                    adds.append(value[a:b] * q[d])
+                    piece[post[a:b], len(due_dims)] = value[a:b]
+                    due_dims.append(d)
                     read[d] = due
                 if due < len(top):
-                    rest += int(weight[d]) * int(top[due])
-            if rows:
-                acc += np.bincount(np.concatenate(rows), weights=np.concatenate(adds), minlength=n)
-            kth = np.partition(acc, n - want)[n - want]
-            maybe = np.flatnonzero(acc >= kth - 2 * rest)
-            if not rest or len(maybe) <= max(want, RESCORE_SHARE * n):
-                break
+                    unread[d] = top[due]
+            if due_dims:
+                acc += piece[:, :len(due_dims)] @ queries[left][:, due_dims].T.astype(kind)
+            rest = weight[left] @ unread
+            ranked = np.ascontiguousarray(acc.T)
+            going = []
+            for j, q in enumerate(left):
+                want = wants[q]
+                if not want:
+                    out[q] = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    continue
+                kth = np.partition(ranked[j], n - want)[n - want]
+                maybe = np.flatnonzero(ranked[j] >= kth - 2 * rest[j])
+                if rest[j] and len(maybe) > max(want, RESCORE_SHARE * n):
+                    going.append(j)
+                    continue
+                maybe = maybe[alive[maybe, q]]
+                score = self.x[maybe] @ queries[q]
+                best = np.lexsort((self.ids[maybe], -score))[:want]
+                out[q] = self.ids[maybe][best], score[best]
+            left, acc = left[going], acc[:, going]
             tau //= 2
-        score = self.x[maybe] @ q
-        best = np.lexsort((self.ids[maybe], -score))[:want]
-        return self.ids[maybe][best], score[best]
+        return out
 
 
 def _pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,21 +125,20 @@ def _unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search_cells(k: int):
+    """Rows (block, dim, slice, is_query, ids, x) with an index block in front of
+    the query blocks that it meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
+        index = None
         for batch in batches:
-            for cell in batch.to_pylist():
-                at = (cell["block"], cell["dim"])
-                if at != last:  # cells come ordered by index block
-                    last, index = at, ImpactIndex(*_unpack(cell["ids"], cell["x"]))
-                found = []
-                for own, q in zip(*_unpack(cell["q_ids"], cell["q_x"])):
-                    ids, scores = index.search(q, k, own)
-                    found.append((np.full(len(ids), own), ids, scores))
-                if found:
-                    a, b, c = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())],
-                                                     ["query_id", "vec_id", "score"])
+            for is_query, ids, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids, x = _unpack(ids, x)
+                if not is_query:
+                    index = ImpactIndex(ids, x)
+                    continue
+                found = [(np.full(len(a), own), a, b) for own, (a, b) in zip(ids, index.search(x, k, ids))]
+                a, b, c = (np.concatenate(y) for y in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())],
+                                                 ["query_id", "vec_id", "score"])
     return run
 
 
@@ -142,19 +166,22 @@ def top_k(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5, scale:
     blocks, q_blocks = max(1, -(-n // INDEX_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
     packed = "block int, dim int, ids binary, x binary"
 
+    def block(parts: int) -> Column:
+        return F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("block")
+
     def pack(rows: DataFrame, parts: int) -> DataFrame:
-        return (rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int"))
-                    .groupBy("block", "dim").applyInPandas(_pack_group, packed))
-
-    queries = pack(v.where(is_query), q_blocks).select(
-        F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    # Each query block is sent to every index block: the stated queries against all rows, in blocks.
-    sent = queries.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    index = pack(v, blocks)
-    cells = index.join(sent, (F.col("block") == F.col("to")) & (F.col("dim") == F.col("q_dim")))
-    cells = (cells.select("block", "dim", "ids", "x", "q_block", "q_ids", "q_x")
-                  .repartition(max(blocks * q_blocks, 1), "block", "dim", "q_block").sortWithinPartitions("block", "dim"))
-    found = cells.mapInArrow(_search_cells(k), "query_id bigint, vec_id bigint, score bigint")
+        return rows.select("*", block(parts)).groupBy("block", "dim").applyInPandas(_pack_group, packed)
+
+    slices = -(-q_blocks // SLICE)
+    # The stated queries against all rows, in blocks: each query block goes to every index block of its length,
+    # and an index block once to each slice of the query blocks.
+    queries = pack(v.where(is_query), q_blocks).withColumn("slice", F.floor(F.col("block") / SLICE).cast("int")) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("is_query", F.lit(True))
+    index = pack(v, blocks).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("is_query", F.lit(False))
+    asked, there = v.where(is_query).select("dim").distinct(), v.select(block(blocks), "dim").distinct()
+    cells = (index.join(asked, "dim", "left_semi").unionByName(queries.join(there, ["block", "dim"], "left_semi"))
+                  .repartition(blocks * slices, "block", "dim", "slice").sortWithinPartitions("block", "dim", "slice", "is_query"))
+    found = cells.select("is_query", "ids", "x").mapInArrow(_search_cells(k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
                  .select("query_id", "rank", "vec_id", "score"))
