@@ -66,9 +66,10 @@ def _with_cdf(rates: DataFrame) -> DataFrame:
 
 def poisson_inverse(key: Column, cdf: Column, parts: Column, seed: int) -> Column:
     """Copies of a key: the sum of ``parts`` draws, each the number of steps of
-    the distribution at or below the key's uniform hash."""
-    draw = lambda j: F.size(F.filter(cdf, lambda c: c <= unit_hash(F.lit(str(seed)), key, j.cast("string"))))
-    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0).cast("bigint"), lambda n, j: n + draw(j))
+    the distribution at or below the key's uniform hash (drawn once a part)."""
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: unit_hash(F.lit(str(seed)), key, j.cast("string")))
+    steps = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    return F.aggregate(draws, F.lit(0).cast("bigint"), lambda n, u: n + steps(u))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
