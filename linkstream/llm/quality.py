@@ -38,7 +38,8 @@ _ID_BITS = 21
 
 
 class Words(dict):
-    """Word -> number; ``hashes`` holds each number's 64-bit hash."""
+    """Word -> number; ``hashes`` holds each number's 64-bit hash, in room that
+    doubles as words come."""
 
     LIMIT = 1 << 20
 
@@ -58,7 +59,9 @@ class Words(dict):
             self.hashes = np.zeros(0, np.uint64)
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self._fresh:
-            self.hashes = np.append(self.hashes, np.array(self._fresh, np.uint64))
+            if len(self) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self), 1 << 12), np.uint64)])
+            self.hashes[len(self) - len(self._fresh):len(self)] = self._fresh
             self._fresh = []
         return out
 
