@@ -309,11 +309,13 @@ def class_links(df: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     texts = df.select(normal.alias("text")).withColumn("kt", F.unhex(F.md5("text"))) \
               .groupBy("kt").agg(F.first("text").alias("text"))
     full = texts.join(wanted, F.col("kt") == F.col("k")).select("node", "n", "sig", "pivots", "text")
-    # A block is about BLOCK_ROWS members or BLOCK_BYTES of text, whichever is less.
+    # A block is about BLOCK_ROWS members or BLOCK_BYTES of text, whichever is less.  Only groups of several
+    # blocks take part in the join by pivot, whose large side Spark can split: the other one is a table.
     blocks = found.select("node", "size").join(groups, "node").groupBy(F.col("pivot").alias("p")).agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES, F.lit(1))).cast("int").alias("nb"))
+    blocks = written(blocks.where("nb > 1"))
     one = full.withColumn("pivot", F.explode("pivots"))
-    sized = one.join(blocks, F.col("pivot") == F.col("p")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    sized = one.join(blocks, F.col("pivot") == F.col("p"), "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     met = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cells = met.select("pivot", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"),
                        F.when(F.col("b") <= F.col("other"), 0).otherwise(1).alias("side"),

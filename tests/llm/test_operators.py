@@ -538,6 +538,8 @@ def brute_topk(rows, is_query, k=5):
 def test_topk_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "INDEX_BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "SLICE", 2)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.2, 16).astype("f4")]) for i in range(300)]
     rows += [(400 + i, rows[50][1]) for i in range(8)] + [rows[7], (500, None), (550, [1.0, None]), (600, [float("nan")] * 16), (None, rows[1][1]),
