@@ -171,6 +171,18 @@ def feistel_invert(hi, lo) -> Column:
     return _feistel_backward(_c(hi).cast("bigint"), _c(lo).cast("bigint"))
 
 
+def cycle_walk(hi, lo, max_hi: int = MASK32, max_lo: int = MASK32) -> Column:
+    """The permuted id within a bound (halves of the largest id) -> struct(hi, lo).
+
+    A value above the bound would be permuted again.  The bound of the codes is
+    the largest 64-bit value, so the walk is one step; under a smaller bound a
+    value outside it is an error, as no id may leave its domain unseen.
+    """
+    h = feistel_obfuscate(hi, lo)
+    within = (h["hi"] < max_hi) | ((h["hi"] == max_hi) & (h["lo"] <= max_lo))
+    return F.when(h["hi"].isNull() | within, h).otherwise(F.raise_error(F.lit("a permuted id lies above its bound")).cast(_HALVES))
+
+
 # --- base 62 -----------------------------------------------------------------
 
 def _split_62_6(hi: Column, lo: Column) -> tuple[Column, Column]:

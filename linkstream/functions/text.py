@@ -30,6 +30,11 @@ def strip_scheme(col) -> Column:
     return F.regexp_replace(_c(col), r"^https?://", "")
 
 
+def replace_literal(col, old: str, new: str) -> Column:
+    """Every ``old`` becomes ``new``; no character of ``old`` is a pattern."""
+    return F.replace(_c(col), F.lit(old), F.lit(new))
+
+
 def build_short_url(base, code) -> Column:
     """``base/code``; a trailing slash on the base is not doubled."""
     b = F.regexp_replace(_c(base), "/+$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkstream.functions import text as T
 from linkstream.operators import clicks as C
 from linkstream.plans.oracle_fixtures import with_views as V
 from linkstream.plans.registry import query
@@ -118,3 +119,11 @@ def q_valid_enum(spark, sf):
     from linkstream.functions.text import valid_enum
     e = Tables(spark, sf)("events")
     return e.select("event_id", "event_type", valid_enum("event_type", ["view", "click", "purchase"]).alias("valid"))
+
+
+@query("replace_time_mark", "H3", V("click_json") + """
+select event_id, replace(replace(value, 'T', ' '), '.', ',') as value from click_json""")
+def q_replace(spark, sf):
+    """Literal replacement: the dot stands for itself only."""
+    value = T.replace_literal(T.replace_literal("value", "T", " "), ".", ",")
+    return FX.click_json(Tables(spark, sf)).select("event_id", value.alias("value"))

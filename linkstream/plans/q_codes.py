@@ -82,6 +82,15 @@ def q_roundtrip(spark, sf):
 _REBASE_MS = "(epoch_ms(o_orderdate) - epoch_ms(timestamp '1992-01-01 00:00:00'))"
 
 
+@query("cycle_walk", "H8", "with ids as (select o_orderkey as k, cast(o_orderkey as ubigint) >> 32 as hi, "
+       f"cast(o_orderkey as ubigint) % {_M}::UBIGINT as lo from orders),\n" + _sql_feistel("ids", "f") + """
+select k as id, cast(hi as bigint) as hi, cast(lo as bigint) as lo from f4""")
+def q_cycle_walk(spark, sf):
+    df = Tables(spark, sf)("orders").select(F.col("o_orderkey").alias("id"))
+    h = K.halves_from_long("id")
+    return df.withColumn("w", K.cycle_walk(h["hi"], h["lo"])).select("id", "w.hi", "w.lo")
+
+
 @query("snowflake_roundtrip", "H9-H10", f"""
 with s as (select o_orderkey as k, {SNOWFLAKE_EPOCH_MS} + {_REBASE_MS} + o_orderkey % 1000 as ms,
   o_custkey % 1024 as node, o_orderkey % 4096 as seq from orders)

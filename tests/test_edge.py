@@ -121,3 +121,30 @@ def test_rolling_avg_below_one_second(spark):
     from linkstream.operators.patterns import rolling_avg
     df = spark.sql("select 1 k, timestamp'2024-01-01 00:00:10.1' ts, 1.0D v union all select 1, timestamp'2024-01-01 00:00:10.9', 9.0D")
     assert [r["rolling_avg"] for r in rolling_avg(df, "k", "ts", "v", 60).orderBy("ts").collect()] == [1.0, 5.0]
+
+
+def test_cycle_walk_keeps_to_its_bound(spark):
+    import pytest
+    ids = spark.range(50).select(K.cycle_walk(F.lit(0), F.col("id")).alias("w"), K.feistel_obfuscate(F.lit(0), F.col("id")).alias("f"))
+    assert ids.where("w <> f").count() == 0
+    with pytest.raises(Exception, match="above its bound"):
+        spark.range(50).select(K.cycle_walk(F.lit(0), F.col("id"), 1, 0)).collect()
+
+
+def test_hourly_averages_come_in_order(spark):
+    from linkstream.operators.patterns import hourly_avg
+    hours = [r["hour"] for r in hourly_avg(FX.sensor_data(Tables(spark, SF001)), 3, FX.NOW, "720 HOURS").collect()]
+    assert len(hours) > 1 and hours == sorted(hours)
+
+
+def test_micro_batches_follow_the_configured_size(spark):
+    from linkstream.session import scratch_path
+    from linkstream.sources.streams import read_clicks_stream
+    src = scratch_path(spark, "sized")
+    FX.click_json(Tables(spark, SF001)).repartition(6).write.json(src)
+    for size, batches in ((1, 6), (4, 2)):
+        cfg = {"format": "json", "path": src, "schema": "event_id long, value string", "max_files_per_trigger": size}
+        q = (read_clicks_stream(spark, cfg).writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "sized-ck"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) == batches
