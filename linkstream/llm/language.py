@@ -5,8 +5,8 @@ penalties, then calibrated by a temperature.
 Letters are lower-cased and every run of other characters is one separator;
 1- to 3-grams of that sequence are hashed into ``DIM`` features.  Document
 frequencies are counted over all learning documents; the regression is fitted
-on a bounded sample of them (``PER_LANG`` documents a language, chosen by a
-hash of the id), the temperature on the part of that sample it has not seen.
+on a bounded sample of them (``PER_LANG`` documents a language and
+``SAMPLE_ROWS`` in all, chosen by a hash of the id), the temperature on the part of that sample it has not seen.
 Prediction reads the text only.
 """
 
@@ -25,8 +25,8 @@ from linkstream.llm.common import free_name, unit_hash
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
-#: Expected number of sampled documents of a language (all, if it has fewer).
-PER_LANG = 400
+#: Expected number of sampled documents of a language (all, if it has fewer), and of all languages.
+PER_LANG, SAMPLE_ROWS = 400, 40_000
 CALIBRATION_SHARE = 0.25
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 0.01, 0.01
 CHUNK = 1 << 20
@@ -175,7 +175,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     langs = sorted(sizes)
     if not langs:
         return Model([], np.ones(DIM), np.zeros((0, DIM + 1)), 1.0)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, PER_LANG / n))) for k, n in sizes.items()])
+    per_lang = min(PER_LANG, SAMPLE_ROWS / len(langs))
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in sizes.items()])
     sample = learn.where(F.col("u") < share).select("text", "lang", (F.col("u") / share).alias("u")) \
                   .mapInArrow(_sampled_counts, "lang string, u double, at binary, n binary").collect()
     counted = learn.select("text").mapInArrow(_document_frequencies, "feature bigint, n bigint") \
