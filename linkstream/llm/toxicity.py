@@ -3,7 +3,8 @@
 1. *Voters.*  A voter fires on a text or not.  Fixed word lists and patterns
    are some; the others come from a lexicon mined from the labelled learning
    rows: words whose documents are labelled toxic far more often than usual,
-   dealt over ``MINED_VOTERS`` lists.  The labels themselves are one more
+   dealt over ``MINED_VOTERS`` lists.  Near copies are no evidence of their own,
+   so documents are counted by groups (of equal rare words).  The labels themselves are one more
    voter, which is silent on most rows and wrong on some.
 2. *Label model.*  A generative model of all votes given the hidden class.
    Expectation maximisation finds how often each voter fires in either class;
@@ -64,6 +65,10 @@ VOTERS = len(FIXED) + MINED_VOTERS
 LABELLED_ROWS = 100_000
 #: Words of the mined lexicon; the documents one needs, and by how much its rate has to beat the usual one.
 LEXICON_WORDS, LEAST_DOCS, LEAST_LIFT, Z = 512, 5, 3.0, 2.58
+#: Words that are counted by groups of copies, at most: those of the strongest evidence by documents.
+COUNTED_WORDS = 50_000
+#: A group is the GROUP_WORDS words of least hash among those of GROUP_BYTES or more (all words, if there are fewer).
+GROUP_WORDS, GROUP_BYTES = 4, 9
 #: Rounds of expectation maximisation without and with the tree; least dependence of its edges (nats).
 ROUNDS, TREE_ROUNDS, LEAST_DEPENDENCE = 8, 6, 2e-4
 #: Expected documents on either side of the classifier's sample, and their words in all, at most.
@@ -71,7 +76,9 @@ SAMPLE_ROWS, SAMPLE_WORDS = 8_000, 2_000_000
 CALIBRATION_SHARE = 0.2
 DIM_BITS, BEGINNINGS = 18, (5, 8)
 DIM = 1 << DIM_BITS
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 2.0, 1.0
+#: Bounds of the calibrated logit's slope (of two classes far apart it has no best value).
+SLOPES = (0.2, 5.0)
 THRESHOLD = 0.7
 CACHED_WORDS, HELD_WORDS = 100_000, 200_000
 #: Texts that a task has as Python objects at once.
@@ -116,23 +123,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        joined, sizes, votes = [], [], []
+        joined, sizes, votes, groups = [], [], [], []
         for text in batch.column(1).to_pylist():
             bag = words(text)
             joined.append(b" ".join(sorted(bag)))
             sizes.append(len(bag))
             votes.append(fixed_votes(text, bag))
+            groups.append(group_of(bag))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.binary()), pa.array(sizes, pa.int64()),
-                                          pa.array(votes, pa.int64())], ["id", "words", "n", "votes"])
+                                          pa.array(votes, pa.int64()), pa.array(groups, pa.int64())], ["id", "words", "n", "votes", "group"])
+
+
+def group_of(bag: set[bytes]) -> int:
+    """Equal for copies and most near copies of a text."""
+    rare = sorted(xxhash.xxh64_digest(w) for w in bag if len(w) >= GROUP_BYTES)[:GROUP_WORDS]
+    if len(rare) < GROUP_WORDS:
+        rare = sorted(xxhash.xxh64_digest(w) for w in bag)
+    return xxhash.xxh64_intdigest(b"".join(rare)) - (1 << 63)
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str) -> DataFrame:
-    """(id, words, n, votes, label) of the documents to learn from, as a table;
+    """(id, words, n, votes, group, label) of the documents to learn from, as a table;
     texts shrink to their distinct words.  The sampled labels are broadcast:
     LABELLED_ROWS of them are expected, whatever the size of the tables."""
     rows = docs.where(~held_out(id_col) & F.col(text_col).isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
-    bags = rows.select(id_col, text_col).mapInArrow(_bags, f"id {kind}, words binary, n bigint, votes bigint")
+    bags = rows.select(id_col, text_col).mapInArrow(_bags, f"id {kind}, words binary, n bigint, votes bigint, group bigint")
     usable = labels.where(F.col(toxic_col).isNotNull() & ~held_out(id_col))
     marks = usable.groupBy(F.col(id_col).cast(kind).alias("_id")).agg((F.avg(F.col(toxic_col).cast("double")) >= 0.5).cast("int").alias("label"))
     marks = written(marks.withColumn("_u", unit_hash(F.lit("label sample"), F.col("_id").cast("string"))))
@@ -160,6 +176,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _evidence(counted: DataFrame, usual: float) -> DataFrame:
+    """Words with LEAST_DOCS toxic cases or more whose rate of them surely beats
+    the usual one, the strongest first."""
+    docs = (F.col("clean") + F.col("toxic")).cast("double")
+    rate = F.col("toxic") / docs
+    lower = (rate + Z * Z / (2 * docs) - Z * F.sqrt((rate * (1 - rate) + Z * Z / (4 * docs)) / docs)) / (1 + Z * Z / docs)
+    return (counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("rate", lower)
+                   .where(F.col("rate") > min(LEAST_LIFT * usual, (1 + usual) / 2))
+                   .orderBy((F.col("rate") * F.sqrt("toxic")).desc(), "word"))
+
+
 def mine(rows: DataFrame) -> dict[bytes, int]:
     """Word -> its list: the LEXICON_WORDS words of the strongest evidence."""
     labelled = rows.where(F.col("label").isNotNull())
@@ -169,11 +196,18 @@ def mine(rows: DataFrame) -> dict[bytes, int]:
     usual = n["toxic"] / n["n"]
     counted = labelled.select("words", "label").mapInArrow(_word_counts, "word binary, clean bigint, toxic bigint") \
                       .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    docs = (F.col("clean") + F.col("toxic")).cast("double")
-    rate = F.col("toxic") / docs
-    lower = (rate + Z * Z / (2 * docs) - Z * F.sqrt((rate * (1 - rate) + Z * Z / (4 * docs)) / docs)) / (1 + Z * Z / docs)
-    best = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("rate", lower).where(F.col("rate") > min(LEAST_LIFT * usual, (1 + usual) / 2)) \
-                  .orderBy((F.col("rate") * F.sqrt("toxic")).desc(), "word").limit(LEXICON_WORDS).select("word").collect()
+    likely = [bytes(r["word"]) for r in _evidence(counted, usual).limit(COUNTED_WORDS).select("word").collect()]
+    shared = rows.sparkSession.sparkContext.broadcast(set(likely))
+
+    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            out = [(w, g, y) for bag, g, y in zip(*(c.to_pylist() for c in batch.columns)) for w in shared.value.intersection(bag.split())]
+            a, b, c = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["word", "group", "label"])
+
+    found = labelled.select("words", "group", "label").mapInArrow(cases, "word binary, group bigint, label int").distinct()
+    by_group = found.groupBy("word").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic"))
+    best = _evidence(by_group, usual).limit(LEXICON_WORDS).select("word").collect()
     return {bytes(r["word"]): i % MINED_VOTERS for i, r in enumerate(best)}
 
 
@@ -295,9 +329,10 @@ def _expected(model) -> object:
 
 
 def count_patterns(rows: DataFrame) -> DataFrame:
-    """(votes, label, n, words): documents and words of each vote pattern, as a table."""
-    return written(rows.groupBy("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
-                       .agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words")))
+    """(votes, label, n, rows, words): groups, documents and words of each vote pattern, as a table."""
+    per_group = rows.groupBy("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "group") \
+                    .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"))
+    return written(per_group.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("words").alias("words")))
 
 
 def fit_label_model(counted: DataFrame) -> LabelModel:
@@ -350,15 +385,16 @@ def fit_ftrl(rows: list[np.ndarray], target: np.ndarray, weights: np.ndarray) ->
 
 
 def fit_scale(logits: np.ndarray, target: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """(a, b) of the calibrated logit a * x + b, by Newton steps with a weak pull to (1, 0)."""
+    """(a, b) of the calibrated logit a * x + b, by short Newton steps with a weak pull to (1, 0)."""
     ab = np.array([1.0, 0.0])
     x = np.column_stack([logits, np.ones(len(logits))])
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -50, 50)))
         grad = x.T @ (weights * (p - target)) + 1.0 * (ab - [1, 0])
         hess = (x * (weights * p * (1 - p))[:, None]).T @ x + np.eye(2)
-        ab = ab - np.linalg.solve(hess, grad)
-    return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
+        ab = ab - np.clip(np.linalg.solve(hess, grad), -0.5, 0.5)
+        ab[0] = np.clip(ab[0], *SLOPES)
+    return float(ab[0]), float(ab[1])
 
 
 class Classifier:
@@ -401,29 +437,42 @@ def _judged(model) -> object:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         at = [features(b.split()).astype("<u4").tobytes() for b in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), *batch.columns[1:]], ["at", "q", "u"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), *batch.columns[1:]], ["at", "q", "group"])
 
 
-def fit_classifier(rows: DataFrame, counted: DataFrame, model: LabelModel) -> Classifier:
-    """``rows``: id, words, n, votes, label; ``counted``: their vote patterns."""
+def training_sample(rows: DataFrame, counted: DataFrame, model: LabelModel) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Features, posteriors, weights, and which are for calibration, of a sample
+    of ``rows``; of the sampled rows of a group one stays."""
     judged = _judged(rows.sparkSession.sparkContext.broadcast(model))
     side = F.col("q") >= 0.5
-    sizes = {r["side"]: r for r in counted.select("votes", "label", "n", "words").mapInArrow(judged, "q double, n bigint, words bigint")
-             .groupBy(side.alias("side")).agg(F.sum("n").alias("rows"), F.sum("words").alias("n")).collect()}
+    sizes = {r["side"]: r for r in counted.select("votes", "label", "rows", "words").mapInArrow(judged, "q double, rows bigint, words bigint")
+             .groupBy(side.alias("side")).agg(F.sum("rows").alias("rows"), F.sum("words").alias("n")).collect()}
     shares = {s: min(1.0, SAMPLE_ROWS / r["rows"], SAMPLE_WORDS / max(r["n"], 1)) for s, r in sizes.items()}
-    if not shares:
-        return Classifier(np.zeros(DIM + 1), (1.0, -2.0))
     share = F.when(side, F.lit(shares.get(True, 1.0))).otherwise(F.lit(shares.get(False, 1.0)))
     draw = unit_hash(F.lit("toxicity sample"), F.col("id").cast("string"))
-    drawn = rows.select("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "words", draw.alias("u")) \
-                .mapInArrow(judged, "q double, words binary, u double")
-    picked = drawn.where(F.col("u") < share).select("words", "q", (F.col("u") / share).alias("u")) \
-                   .mapInArrow(_featured, "at binary, q double, u double").collect()
-    picked.sort(key=lambda r: (r["u"], r["q"], bytes(r["at"])))
-    x = [np.frombuffer(r["at"], "<u4").astype(np.int64) for r in picked]
-    q = np.array([r["q"] for r in picked])
-    w = np.array([1 / shares[r["q"] >= 0.5] for r in picked])
-    unseen = np.array([r["u"] >= 1 - CALIBRATION_SHARE for r in picked])
+    drawn = rows.select("votes", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "words", "group", draw.alias("u")) \
+                .mapInArrow(judged, "q double, words binary, group bigint, u double")
+    picked = drawn.where(F.col("u") < share).select("words", "q", "group").mapInArrow(_featured, "at binary, q double, group bigint").collect()
+    picked.sort(key=lambda r: (r["group"], r["q"], bytes(r["at"])))
+    ones = [rows_[len(rows_) // 2] for rows_ in _grouped(picked)]
+    x = [np.frombuffer(r["at"], "<u4").astype(np.int64) for r in ones]
+    q = np.array([r["q"] for r in ones])
+    w = np.array([1 / shares[r["q"] >= 0.5] for r in ones])
+    return x, q, w, np.array([r["group"] % 1000 < 1000 * CALIBRATION_SHARE for r in ones], bool)
+
+
+def _grouped(rows: list) -> Iterator[list]:
+    """Runs of equal group."""
+    at = 0
+    for i in range(1, len(rows) + 1):
+        if i == len(rows) or rows[i]["group"] != rows[at]["group"]:
+            yield rows[at:i]
+            at = i
+
+
+def fit_classifier(x: list[np.ndarray], q: np.ndarray, w: np.ndarray, unseen: np.ndarray) -> Classifier:
+    if not len(x):
+        return Classifier(np.zeros(DIM + 1), (1.0, -2.0))
     seen = np.flatnonzero(~unseen)
     weights = fit_ftrl([x[i] for i in seen], q[seen], (w / w.mean())[seen])
     logits = np.array([weights[x[i]].sum() + weights[-1] for i in np.flatnonzero(unseen)])
@@ -438,7 +487,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = learning_rows(docs, labels, id_col, text_col, toxic_col)
     rows = vote_patterns(rows, mine(rows))
     counted = count_patterns(rows)
-    return fit_classifier(rows, counted, fit_label_model(counted))
+    return fit_classifier(*training_sample(rows, counted, fit_label_model(counted)))
 
 
 def score(df: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -41,7 +41,7 @@ def simulated(n, seed=0):
 def test_label_model_finds_accuracies_and_dependence(spark):
     y, votes, label, rates = simulated(20_000)
     rows = spark.createDataFrame([(int(v), None if a < 0 else int(a)) for v, a in zip(votes, label)], "votes bigint, label int")
-    m = X.fit_label_model(X.count_patterns(rows.withColumn("n", F.lit(1))))
+    m = X.fit_label_model(X.count_patterns(rows.withColumn("n", F.lit(1)).withColumn("group", F.monotonically_increasing_id())))
     assert abs(m.prior - 0.2) < 0.03
     for j, (a, b) in rates.items():
         assert abs(m.fires[0, j] - a) < 0.03 and abs(m.fires[1, j] - b) < 0.06
@@ -133,3 +133,19 @@ def test_unlabelled_corpus_learns_from_the_fixed_voters(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     out = X.score(docs, X.fit(docs, none)).collect()
     assert np.mean([r["predicted"] == (r["doc_id"] % 8 == 0) for r in out]) > 0.95
+
+
+def test_copies_of_a_mislabelled_text_teach_no_words(spark):
+    """A thousand copies of one wrongly labelled text are one case; insults in many texts are many."""
+    rng = np.random.default_rng(9)
+    letters = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) for i in range(400)]
+    plain, wrong = [f"plainword{x}" for x in letters], " ".join(f"innocentword{x}" for x in letters[:40])
+    rows = [(i, " ".join(rng.choice(plain, 30)) + (" moronic text" if i % 6 == 0 else ""), int(i % 6 == 0)) for i in range(900)]
+    rows += [(5000 + i, wrong + f" plain{i % 9}", 1) for i in range(1000)]
+    df = spark.createDataFrame([(int(a), str(b), int(c)) for a, b, c in rows], "doc_id bigint, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    lexicon = X.mine(X.learning_rows(docs, labels, "doc_id", "text", "toxic"))
+    assert b"moronic" in lexicon and not any(w.startswith(b"innocent") for w in lexicon)
+    # copies, edited ones too, mostly fall into one group
+    bag = X.words(wrong)
+    assert X.group_of(bag) == X.group_of(X.words(wrong.upper() + " a b"))
