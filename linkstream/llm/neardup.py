@@ -44,7 +44,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-9
 #: Members and bytes of text of a block, about.
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 CACHED_WORDS = 400_000
 #: Cells on the whole matrix when more pairs than this per member are left.
 DENSE_PAIRS = 8
