@@ -165,3 +165,28 @@ def test_unknown_codes_come_out_with_the_watermark(spark):
         1: None, 3: "url_not_found_bloom"}  # the watermark stands at 12: of 2, at 16, nothing is known yet
     got = run([("b", 18), ("z", 500)], [(5, "b", 30), (6, "z", 500)])  # b was made after request 2
     assert got[1] is None and got[5] is None and got[2] == got[3] == "url_not_found_bloom"
+
+
+def test_kept_answers_expire(spark):
+    import time
+    src, out, ck = (scratch_path(spark, n) for n in ("k-src", "k-out", "k-ck"))
+
+    def run(rows, ttl):
+        spark.createDataFrame(rows, "id int, short_code string, table_url string").coalesce(1).write.mode("append").parquet(src)
+        found = KS.stream_cached_lookups(spark.readStream.schema("id int, short_code string, table_url string").parquet(src), ttl=ttl)
+        (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(once=True).start()).awaitTermination()
+        return {r["id"]: r["source"] for r in spark.read.parquet(out).collect()}
+
+    assert run([(1, "a", "u"), (2, "b", None), (3, "c", "")], "3 seconds") == {1: "db_stale", 2: "url_not_found_db", 3: "url_not_found_db"}
+    time.sleep(4)
+    got = run([(4, "a", "u"), (5, "b", "v")], "3 seconds")  # a has expired, b is there now
+    assert got[4] == "db_stale" and got[5] == "db_stale"
+
+
+def test_answers_are_kept_over_restarts(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("r-src", "r-out", "r-ck"))
+    for i in range(3):
+        spark.createDataFrame([(i, "a", "u")], "id int, short_code string, table_url string").write.mode("append").parquet(src)
+        found = KS.stream_cached_lookups(spark.readStream.schema("id int, short_code string, table_url string").parquet(src), ttl="1 hour")
+        (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(once=True).start()).awaitTermination()
+    assert {r["id"]: r["source"] for r in spark.read.parquet(out).collect()} == {0: "db_stale", 1: "redis", 2: "redis"}
