@@ -37,13 +37,15 @@ REACH = 200
 # Kinds in report order, their patterns, and the shortest match.
 BASE = ("assign", "access", "hex")
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
+# Lookarounds: a match can begin only at those letters, or where a run begins, which spares most tries; a token
+# is a whole run that holds letters and digits.
 PATTERNS = {
-    "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "assign": r"""(?=[PpSsTtAa])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
-    "identifier": r"""(?i:(username|user|login|account|client_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""",
-    "token": r"[A-Za-z0-9+/_-]{16,}",
-    "endpoint": r"""(https|http|ftp|ssh|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?@%&=+-]+""",
+    "identifier": r"""(?=[UuLlAaCc])(?i:(username|user|login|account|client_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""",
+    "token": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}",
+    "endpoint": r"""(?=[hfsjpmra])(https|http|ftp|ssh|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?@%&=+-]+""",
 }
 #: Of assign and identifier, the least length of the value.
 VALUE_GROUP = {"assign": (2, 6), "identifier": (2, 3)}
@@ -60,8 +62,6 @@ def _matches(text: Column, kind: str) -> Column:
     if kind in VALUE_GROUP:
         group, least = VALUE_GROUP[kind]
         oks = F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda v: F.length(v) >= least)
-    elif kind == "token":  # letters and digits
-        oks = F.transform(found, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
     else:
         oks = F.transform(found, lambda m: F.lit(True))
     all_ = F.transform(found, lambda m, i: F.struct(
