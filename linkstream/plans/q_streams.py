@@ -15,7 +15,7 @@ from linkstream.plans.q_links import _LIVES
 from linkstream.plans.oracle_fixtures import with_views as V
 from linkstream.plans.registry import query
 from linkstream.schemas import TELEMETRY
-from linkstream.session import scratch_path
+from linkstream.session import rocksdb_state, scratch_path
 from linkstream.sources import files
 from linkstream.sources import fixtures as FX
 from linkstream.sources.streams import read_clicks_stream
@@ -109,8 +109,9 @@ def q_stream_bot_timers(spark, sf):
 
     def start():
         alerts = KS.stream_bot_timers(spark.readStream.schema(reqs.schema).parquet(src), "short_code", "ts", 3, 86400)
-        return (alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-                      .trigger(availableNow=True).start())
+        with rocksdb_state(spark):
+            return (alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                          .trigger(availableNow=True).start())
 
     parts = _thirds(reqs, "ts")
     _run_in_parts([*parts, _far_row(reqs, "ts", "3 DAYS"), parts[0]], src, "parquet", start)
@@ -134,8 +135,9 @@ def q_stream_cached_lookups(spark, sf):
 
     def start():
         found = KS.stream_cached_lookups(spark.readStream.schema(reqs.schema).parquet(src), ttl="1 day")
-        return (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-                     .trigger(once=True).start())
+        with rocksdb_state(spark):
+            return (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                         .trigger(once=True).start())
 
     _run_in_parts(_thirds(reqs, "ts"), src, "parquet", start)
     return spark.read.parquet(out).groupBy("short_code", "source").agg(F.count(F.lit(1)).alias("requests"))

@@ -2,7 +2,9 @@
 
 State lives in the RocksDB state store, one entry a key and open period; rows
 of a key are read one at a time, so a key that holds a large part of a batch
-costs time in one task but no memory.  What a processor emits does not depend
+costs time in one task but no memory.  Spark's default store cannot hold such
+state: start these streams in a session of ``get_spark`` or inside
+``session.rocksdb_state``.  What a processor emits does not depend
 on the order of the rows inside a batch.
 """
 

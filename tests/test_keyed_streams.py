@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from linkstream.session import scratch_path
+from linkstream.plans.registry import load_all
+from linkstream.session import STATE_PROVIDER, scratch_path
 from linkstream.sources import committed, files
 from linkstream.sources import fixtures as FX
 from linkstream.sources.streams import read_clicks_stream
@@ -15,6 +16,7 @@ from linkstream.streaming import alerts as AL
 from linkstream.streaming import ingest as IN
 from linkstream.streaming import keyed as KS
 from tests.conftest import SF001
+from tests.oracle_check import compare, duck_connection
 
 
 def _local(path):
@@ -190,3 +192,15 @@ def test_answers_are_kept_over_restarts(spark):
         found = KS.stream_cached_lookups(spark.readStream.schema("id int, short_code string, table_url string").parquet(src), ttl="1 hour")
         (found.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(once=True).start()).awaitTermination()
     assert {r["id"]: r["source"] for r in spark.read.parquet(out).collect()} == {0: "db_stale", 1: "redis", 2: "redis"}
+
+
+@pytest.mark.parametrize("name", ["stream_bot_timers", "stream_cached_lookups"])
+def test_keyed_queries_run_on_a_session_with_the_default_store(spark, name):
+    plain = spark.newSession()
+    store = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    for k, v in ((STATE_PROVIDER, store), ("spark.sql.session.timeZone", "UTC"), ("spark.sql.shuffle.partitions", "4")):
+        plain.conf.set(k, v)
+    q = load_all()[name]
+    n, problems = compare(plain, duck_connection(SF001), name, q.build, q.oracle, SF001)
+    assert n and not problems, problems
+    assert plain.conf.get(STATE_PROVIDER) == store
