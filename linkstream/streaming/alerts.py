@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BinaryType, IntegralType
 
 from linkstream.constants import BOT_THRESHOLD, CLICK_WATERMARK, OUTCOME_GUARD_MISS
 from linkstream.streaming.ingest import with_click_watermark
@@ -70,25 +71,47 @@ def stream_bot_windowed(stream: DataFrame, key: str, threshold: int = BOT_THRESH
                .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events"))
 
 
+#: Groups of keys that ``stream_bot_lifetime`` counts together, fixed for a checkpoint.
+LIFETIME_GROUPS = 2_048
+
+
 def stream_bot_lifetime(stream: DataFrame, key: str, ts: str, threshold: int = BOT_THRESHOLD,
-                        tiebreak: str | None = None) -> DataFrame:
+                        tiebreak: str | None = None, groups: int = LIFETIME_GROUPS) -> DataFrame:
     """Keyed lifetime count in value state; one alert per event past
-    ``threshold`` (the snippet's behaviour).  State per key is one long."""
+    ``threshold`` (the snippet's behaviour).  State per key is one long.
+
+    A call of Python costs milliseconds, so it counts the keys of a hash group,
+    not of one key: a batch has ``groups`` calls at most.  Only keys that pass
+    the threshold have their rows put in order.  ``key`` is of an atomic type.
+    """
     cols = stream.columns
     order = [ts] + ([tiebreak] if tiebreak else [])
-    out_schema = stream.select(*cols, F.lit(0).cast("bigint").alias("count")).schema
+    # In pandas a null among integers makes them floats, so they travel as decimals.
+    kinds = {f.name: "decimal(20,0)" if isinstance(f.dataType, IntegralType) else f.dataType for f in stream.schema}
+    name = F.hex(key) if isinstance(stream.schema[key].dataType, BinaryType) else F.col(key).cast("string")
+    rows = stream.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"), name.alias("_key"),
+                         *[F.col(c).cast(kinds[c]).alias(c) for c in cols])
+    out_schema = rows.select(*cols, F.lit(0).cast("bigint").alias("count")).schema
 
     def step(k, pdfs, state):
-        total = state.get[0] if state.exists else 0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        counts = total + np.arange(1, len(batch) + 1, dtype="int64")
-        state.update((int(total + len(batch)),))
-        hit = counts > threshold
-        if hit.any():
-            yield batch.loc[hit, cols].assign(count=counts[hit])
-
-    return stream.groupBy(key).applyInPandasWithState(
-        step, out_schema, "count long", "append", GroupStateTimeout.NoTimeout)
+        held = dict(zip(*state.get)) if state.exists else {}
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        codes, names = pd.factorize(batch["_key"], use_na_sentinel=False)
+        names = [n if isinstance(n, str) else None for n in names]
+        before = np.array([held.get(n, 0) for n in names], dtype="int64")
+        after = before + np.bincount(codes, minlength=len(names))
+        held.update(zip(names, after.tolist()))
+        state.update((list(held), list(held.values())))
+        over = (after > threshold)[codes]
+        if over.any():
+            late = batch.loc[over, cols].assign(_code=codes[over]).sort_values(order, kind="stable")
+            counts = before[late["_code"]] + late.groupby("_code").cumcount().to_numpy() + 1
+            hit = counts > threshold
+            yield late.loc[hit, cols].assign(count=counts[hit])
+
+    alerts = rows.groupBy("_group").applyInPandasWithState(
+        step, out_schema, "names array<string>, counts array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return alerts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stream.schema], "count")
 
 
 def stream_time_to_first_click(created: DataFrame, clicks: DataFrame, within: str = "30 DAYS",

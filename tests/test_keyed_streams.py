@@ -204,3 +204,29 @@ def test_keyed_queries_run_on_a_session_with_the_default_store(spark, name):
     n, problems = compare(plain, duck_connection(SF001), name, q.build, q.oracle, SF001)
     assert n and not problems, problems
     assert plain.conf.get(STATE_PROVIDER) == store
+
+
+def test_lifetime_counts_keys_in_groups(spark):
+    """Of many keys a batch makes few calls; keys that share one are counted apart, over restarts."""
+    src, out, ck = (scratch_path(spark, n) for n in ("l-src", "l-out", "l-ck"))
+    schema = "code bigint, id bigint, ts timestamp"
+    big = 2**60
+
+    def run(rows):
+        spark.createDataFrame(rows, "code bigint, id bigint, t bigint").select(
+            "code", "id", F.timestamp_seconds("t").alias("ts")).repartition(3).write.mode("append").parquet(src)
+        q = (AL.stream_bot_lifetime(spark.readStream.schema(schema).parquet(src), "code", "ts", 2, tiebreak="id", groups=4)
+               .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+        df = spark.read.parquet(out)
+        assert [f.dataType.typeName() for f in df.schema] == ["long", "long", "timestamp", "long"]
+        return sorted((r["code"], r["id"], r["count"]) for r in df.where("code is not null").collect()), sorted(
+            (r["id"] or 0, r["count"]) for r in df.where("code is null").collect())
+
+    few = [(big + k, big + 1000 + k, 5) for k in range(300)]  # alike as floats; once each
+    hot = [(big + 1, big + 1, 9), (big + 1, big + 2, 9), (big + 1, big + 3, 7)]  # a fourth one at 5, so 7, 9, 9 in order
+    none = [(None, 1, 3), (None, 2, 2), (None, None, 9)]
+    want = [(big + 1, big + 1, 3), (big + 1, big + 2, 4)]
+    assert run(few + hot + none) == (want, [(0, 3)])
+    assert run([(big + 2, big + 7, 1), (big + 2, big + 8, 1), (None, 4, 1)]) == (sorted([*want, (big + 2, big + 8, 3)]), [(0, 3), (4, 4)])
