@@ -230,3 +230,16 @@ def test_lifetime_counts_keys_in_groups(spark):
     want = [(big + 1, big + 1, 3), (big + 1, big + 2, 4)]
     assert run(few + hot + none) == (want, [(0, 3)])
     assert run([(big + 2, big + 7, 1), (big + 2, big + 8, 1), (None, 4, 1)]) == (sorted([*want, (big + 2, big + 8, 3)]), [(0, 3), (4, 4)])
+
+
+def test_timers_of_many_keys_share_entries(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("s-src", "s-out", "s-ck"))
+    spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id") // 6 + 2**60).alias("code"),
+                            F.timestamp_seconds(F.lit(5)).alias("event_time")).repartition(3).write.parquet(src)
+    stream = spark.readStream.schema("code bigint, event_time timestamp").parquet(src)
+    q = (KS.stream_bot_timers(stream, "code", threshold=3, groups=4).writeStream.format("parquet").option("path", out)
+           .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+    got = {(r["code"], r["kind"], r["events"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(k, "crossed", 4) for k in [None, *range(2**60, 2**60 + 50)]}
