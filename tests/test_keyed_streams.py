@@ -234,7 +234,7 @@ def test_lifetime_counts_keys_in_groups(spark):
 
 def test_timers_of_many_keys_share_entries(spark):
     src, out, ck = (scratch_path(spark, n) for n in ("s-src", "s-out", "s-ck"))
-    spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id") // 6 + 2**60).alias("code"),
+    spark.range(300).select(F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 6) + 2**60).alias("code"),
                             F.timestamp_seconds(F.lit(5)).alias("event_time")).repartition(3).write.parquet(src)
     stream = spark.readStream.schema("code bigint, event_time timestamp").parquet(src)
     q = (KS.stream_bot_timers(stream, "code", threshold=3, groups=4).writeStream.format("parquet").option("path", out)
